@@ -90,6 +90,28 @@ LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 EXPORT_STAMP_FORMAT = "dd_MM_yyyy"
 # Mon-first weekday headers of the birthday calendar.
 WEEKDAYS = ["Pzt", "Sal", "Çar", "Per", "Cum", "Cmt", "Paz"]
+# Audit log action types and detail texts ({} = customer name / id / file).
+AUDIT_OUTCOME = ("Müşteri İşlemi", "Müşteri: {} (No: {}) paneli üzerinden güncelleme yapıldı.")
+AUDIT_ADMIN = ("Yönetici Düzenlemesi", "Müşteri (No: {}) bilgileri yönetici tarafından güncellendi.")
+AUDIT_DELETE = ("Not Silme İşlemi", "{} numaralı müşterinin geçmiş notu silindi.")
+AUDIT_COMPLETE = ("Hatırlatıcı Tamamlandı",
+                  "Müşteri: {} (No: {}) için kurulan hatırlatıcı danışman tarafından onaylandı ve kapatıldı.")
+AUDIT_EXPORT = ("Excel Dışa Aktarım", "'{}' isimli tablo bilgisayara indirildi.")
+AUDIT_LOG_EXPORT = ("Logları Dışa Aktardı", "Sistem logları excele aktarıldı.")
+UNKNOWN_CUSTOMER = "Bilinmeyen Müşteri"
+UNKNOWN_NAME = "Bilinmiyor"
+# Export file name stems per report.
+EXPORT_STEMS = {
+    "test_drive": "Test_Surusu_Takip",
+    "trade_in": "Takas_Firsatlari_Raporu",
+    "warranty": "Garanti_Uzatma_Firsatlari",
+    "processed": "Islem_Gecmisi_Arsivi",
+    "untouched": "Islemsiz_Kayitlar_Raporu",
+    "low_quality": "Kalitesiz_Veri_Raporu",
+    "reminders": "Aktif_Hatirlaticilar",
+    "logs": "Sistem_Güvenlik_Loglari",
+    "general": "Genel_Analiz_Raporu",
+}
 
 # ---------------------------------------------------------------------------
 # end of fixed values

@@ -10,6 +10,8 @@ integer casts round (use trunc/floor), ``sum`` of integers is HUGEINT.
 
 from __future__ import annotations
 
+import re
+
 from .. import constants as K
 
 AS_OF = f"TIMESTAMP '{K.FIXTURE_AS_OF}'"
@@ -199,7 +201,7 @@ cte("cities", "SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS t(city_key, lat, lon)")
 
 cte("stations_raw", f"""
-  SELECT s_suppkey, s_name, s_nationkey,
+  SELECT s_suppkey, s_name, s_nationkey, s_nationkey % 3 AS snapshot_id,
     CAST(35 + s_suppkey % 9 AS DOUBLE) AS lat, CAST(24 + s_suppkey % 23 AS DOUBLE) AS lon,
     CASE WHEN s_suppkey % 5 = 0 THEN 'fuel' ELSE '{K.STATION_AMENITY}' END AS amenity,
     CASE WHEN s_suppkey % 4 = 0 THEN s_name END AS t_operator,
@@ -209,10 +211,10 @@ cte("stations_raw", f"""
   FROM supplier""")
 
 cte("stations", f"""
-  SELECT lat, lon,
+  SELECT snapshot_id, lat, lon,
     upper(coalesce(t_operator, t_brand, t_name, '{K.UNKNOWN_STATION}')) AS station_name
   FROM stations_raw
-  WHERE s_nationkey <> 0 AND amenity = '{K.STATION_AMENITY}'
+  WHERE snapshot_id <> 0 AND amenity = '{K.STATION_AMENITY}'
     AND lat BETWEEN {K.STATION_LAT[0]} AND {K.STATION_LAT[1]}
     AND lon BETWEEN {K.STATION_LON[0]} AND {K.STATION_LON[1]}""", ["stations_raw"])
 
@@ -230,6 +232,13 @@ def sql(body: str, needs=()) -> str:
 
     for n in needs:
         visit(n)
+    body = body.strip()
     if not order:
-        return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order) + "\n" + body.strip()
+        return body
+    head = "WITH "
+    ctes = ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order)
+    m = re.match(r"(?is)^with\s+(recursive\s+)?", body)
+    if m:
+        head = "WITH RECURSIVE " if m.group(1) else "WITH "
+        return head + ctes + ",\n" + body[m.end():]
+    return head + ctes + "\n" + body

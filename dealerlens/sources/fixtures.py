@@ -208,9 +208,11 @@ STATION_JSON_SCHEMA = ("struct<elements:array<struct<lat:double,lon:double,"
                        "tags:map<string,string>>>>")
 
 
-def station_documents(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
-    """Landed station feed: one JSON document per supplier nation
-    (snapshot_id, fetched_at, json).  Nation 0's snapshot is empty."""
+def station_documents(spark: SparkSession, sf_dir: str, as_of=None, page_size: int = 50) -> DataFrame:
+    """Landed station feed: three fetches (snapshot_id = s_nationkey % 3,
+    fetched 0 / 10 / 20 minutes before as_of), each landed as JSON pages of
+    at most ``page_size`` elements (snapshot_id, page, fetched_at, json).
+    The newest fetch (snapshot 0) came back empty."""
     s = read_table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     amenity = F.when(sk % 5 == 0, F.lit("fuel")).otherwise(F.lit(K.STATION_AMENITY))
@@ -228,15 +230,15 @@ def station_documents(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame
     el = F.struct((F.lit(35.0) + (sk % 9)).cast("double").alias("lat"),
                   (F.lit(24.0) + (sk % 23)).cast("double").alias("lon"),
                   tags.alias("tags"))
-    docs = (
-        s.groupBy(F.col("s_nationkey").alias("snapshot_id"))
-        .agg(F.array_sort(F.collect_list(F.struct(sk.alias("k"), el.alias("e")))).alias("els"))
+    sid = (F.col("s_nationkey") % 3).cast("int")
+    empty = F.array().cast("array<struct<lat:double,lon:double,tags:map<string,string>>>")
+    return (
+        s.groupBy(sid.alias("snapshot_id"), F.floor(sk / page_size).alias("page"))
+        .agg(F.collect_list(el).alias("els"))
         .select(
-            "snapshot_id",
-            (as_of_col(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("snapshot_id") * 10).cast("int"), F.lit(0))).alias("fetched_at"),
-            F.to_json(F.struct(
-                F.when(F.col("snapshot_id") == 0, F.array().cast("array<struct<lat:double,lon:double,tags:map<string,string>>>"))
-                .otherwise(F.transform("els", lambda x: x["e"])).alias("elements"))).alias("json"),
+            "snapshot_id", "page",
+            (as_of_col(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.col("snapshot_id") * 10, F.lit(0))).alias("fetched_at"),
+            F.to_json(F.struct(F.when(F.col("snapshot_id") == 0, empty).otherwise(F.col("els"))
+                               .alias("elements"))).alias("json"),
         )
     )
-    return docs
