@@ -125,8 +125,9 @@ WS_CLASS = (
 )
 STRIP_PATTERN = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
 RSTRIP_PATTERN = WS_CLASS + "+$"
-# A number as pandas.to_numeric accepts it (guard before try_cast).
-NUMERIC_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+# A number as pandas.to_numeric accepts it (guard before try_cast): padded
+# decimals, or a bare signed inf / infinity.
+NUMERIC_PATTERN = r"(?i)^(\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(inity)?)$"
 
 # Default evaluation time for the bundled fixtures (newest order date).
 FIXTURE_AS_OF = "2001-08-01 12:00:00"
