@@ -117,14 +117,9 @@ EXPORT_STEMS = {
 # end of fixed values
 # ---------------------------------------------------------------------------
 
-# Whitespace as Python's str.strip() sees it, written so that both Java regex
-# (Spark) and RE2 (DuckDB oracle) read it the same way.
-WS_CLASS = (
-    r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
-STRIP_PATTERN = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
-RSTRIP_PATTERN = WS_CLASS + "+$"
+# Whitespace as Python's str.strip() sees it, derived from str.isspace
+# (all such characters lie below U+3001).
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # A number as pandas.to_numeric accepts it (guard before try_cast): padded
 # decimals, or a bare signed inf / infinity.
 NUMERIC_PATTERN = r"(?i)^(\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(inity)?)$"

@@ -36,13 +36,14 @@ def col_or(df: DataFrame, name: str, default=None) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Python ``str.strip()``: trims Unicode whitespace (Spark ``trim``
-    only trims spaces)."""
-    return F.regexp_replace(_c(c), K.STRIP_PATTERN, "")
+    """Python ``str.strip()``: trims Unicode whitespace (Spark's one-argument
+    ``trim`` only trims spaces).  A character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(K.WS_CHARS))
 
 
 def urstrip(c) -> Column:
-    return F.regexp_replace(_c(c), K.RSTRIP_PATTERN, "")
+    """Python ``str.rstrip()``."""
+    return F.rtrim(_c(c), F.lit(K.WS_CHARS))
 
 
 def as_text(c) -> Column:

@@ -18,12 +18,16 @@ AS_OF = f"TIMESTAMP '{K.FIXTURE_AS_OF}'"
 NL = "chr(10)"
 
 
+WS = " || ".join(f"chr({ord(c)})" for c in K.WS_CHARS)
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{K.STRIP_PATTERN}', '', 'g')"
+    """Python str.strip(): trim the whitespace character set."""
+    return f"trim({x}, {WS})"
 
 
 def rstrip(x: str) -> str:
-    return f"regexp_replace({x}, '{K.RSTRIP_PATTERN}', '', 'g')"
+    return f"rtrim({x}, {WS})"
 
 
 def lower(x: str) -> str:
