@@ -883,7 +883,7 @@ LOCK_MAX, LOCK_S = 3, 86400
 
 def lockout_sql(max_attempts=LOCK_MAX, lock_s=LOCK_S):
     """Oracle of the lockout fold: a recursive CTE stepping through each
-    user's attempts in (ts, event_id) order."""
+    user's attempts in (ts, event_id) order (attempts capped at the limit)."""
     L = lock_s * 1_000_000
     ign = f"(f.a >= {max_attempts} AND e.t_us < f.u)"
     return f"""WITH RECURSIVE
@@ -892,14 +892,14 @@ ev AS (SELECT *, row_number() OVER (PARTITION BY user_name ORDER BY ts, event_id
 fold AS (
   SELECT user_name, rn, event_id, ts,
     CASE WHEN success THEN 'success' WHEN 1 >= {max_attempts} THEN 'locked' ELSE 'failure' END AS outcome,
-    CASE WHEN success THEN 0 ELSE 1 END AS a,
+    CASE WHEN success THEN 0 ELSE least(1, {max_attempts}) END AS a,
     CASE WHEN success THEN 0 ELSE t_us + {L} END AS u
   FROM ev WHERE rn = 1
   UNION ALL
   SELECT e.user_name, e.rn, e.event_id, e.ts,
     CASE WHEN {ign} THEN 'ignored' WHEN e.success THEN 'success'
          WHEN f.a + 1 >= {max_attempts} THEN 'locked' ELSE 'failure' END,
-    CASE WHEN {ign} THEN f.a WHEN e.success THEN 0 ELSE f.a + 1 END,
+    CASE WHEN {ign} THEN f.a WHEN e.success THEN 0 ELSE least(f.a + 1, {max_attempts}) END,
     CASE WHEN {ign} THEN f.u WHEN e.success THEN 0 ELSE e.t_us + {L} END
   FROM fold f JOIN ev e ON e.user_name = f.user_name AND e.rn = f.rn + 1)
 SELECT event_id, user_name, ts, outcome, CAST(a AS BIGINT) AS attempts FROM fold"""

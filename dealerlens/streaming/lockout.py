@@ -5,13 +5,31 @@ before the unlock time, the event is ignored (even a right password); a
 success clears the state; a failure adds one attempt and sets unlock =
 now + lock.  Attempts do not reset when a lock expires, so the next failure
 locks again.  Ignored events leave the state untouched, which makes this a
-sequential fold rather than a window count.
+sequential fold rather than a window count.  Attempts are reported capped
+at the limit (only "at the limit" changes behaviour), so the state is
+(attempts in 0..max, unlock time).
 
-Batch: rows are hash-partitioned by user and sorted within partitions, and
-a ``mapInPandas`` step walks each partition's Arrow batches carrying the
-current user's state across batch boundaries — memory stays at one batch,
-no group is collected.  Stream: ``applyInPandasWithState`` keeps
-(attempts, unlock) per user between micro-batches."""
+Batch form — an exact parallel fold that also splits a hot user:
+
+1. Events are range-partitioned on (user, ts, event_id), so one user's
+   events may span many chunks, and each chunk is sorted.
+2. Phase A (``mapInPandas``, one pass per chunk): for each user run inside
+   a chunk, the fold is run speculatively from every possible entry state
+   (attempts 0..max-1, or locked until any time within one lock span of the
+   run's start).  These trajectories merge (same state) after a few events;
+   from there on outcomes are final and are emitted.  Emitted besides: the
+   unresolved prefix events and one summary row (merged?, exit state).
+3. Phase B (sorted ``mapInPandas``): only prefixes and summaries, per user
+   in chunk order: fold each prefix from the true entry state, then jump to
+   the chunk's exit state.  With the dashboard's 3-minute lock a hot user
+   leaves a few dozen prefix events per chunk here.  When locks are long
+   against the event rate, trajectories from different entry states stay
+   offset and a chunk does not merge; its events then pass through this
+   phase as a streamed fold (memory of one batch).
+
+Stream form: ``applyInPandasWithState`` keeps (attempts, unlock) per user
+between micro-batches.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 
 # The task-side functions below ship by value, so executors need no copy of
 # this package on their path.
@@ -33,25 +51,30 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUT_SCHEMA = "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long"
 STATE_SCHEMA = "attempts long, unlock_us long"
+PHASE_A_SCHEMA = ("kind string, event_id long, user_name string, ts timestamp_ntz, success boolean, "
+                  "outcome string, attempts long, chunk_ts long, chunk_eid long, merged boolean, "
+                  "exit_a long, exit_u long")
+NO_LOCK = -(1 << 62)  # "unlock time irrelevant"
+
+
+def step(a: int, u: int, t: int, success: bool, max_attempts: int, lock_us: int):
+    """One event: returns (a, u, outcome)."""
+    if a >= max_attempts and t < u:
+        return a, u, "ignored"
+    if success:
+        return 0, NO_LOCK, "success"
+    a = min(a + 1, max_attempts)
+    return a, (t + lock_us if a >= max_attempts else NO_LOCK), ("locked" if a >= max_attempts else "failure")
 
 
 def fold_user(t_us: np.ndarray, success: np.ndarray, a: int, u: int, max_attempts: int, lock_us: int):
-    """Fold one user's events (sorted).  Returns outcomes, attempts after
-    each event, and the final (a, u)."""
+    """Fold one user's sorted events from state (a, u).  Returns outcomes,
+    attempts after each event and the final (a, u)."""
     n = len(t_us)
     outcome = np.empty(n, dtype=object)
     attempts = np.empty(n, dtype=np.int64)
     for i in range(n):
-        t = int(t_us[i])
-        if a >= max_attempts and t < u:
-            outcome[i] = "ignored"
-        elif success[i]:
-            a, u = 0, 0
-            outcome[i] = "success"
-        else:
-            a += 1
-            u = t + lock_us
-            outcome[i] = "locked" if a >= max_attempts else "failure"
+        a, u, outcome[i] = step(a, u, int(t_us[i]), bool(success[i]), max_attempts, lock_us)
         attempts[i] = a
     return outcome, attempts, a, u
 
@@ -60,39 +83,155 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ts.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _fold_partitions(max_attempts: int, lock_us: int):
+class _Run:
+    """Speculative fold of one user's events inside one chunk."""
+
+    def __init__(self, t0: int, eid0: int, max_attempts: int, lock_us: int):
+        self.M, self.L = max_attempts, lock_us
+        self.key = (t0, eid0)
+        self.horizon = t0 + lock_us   # a lock set before the chunk ends before this
+        self.pending = True           # entries "locked past the current event" remain
+        self.states = {(c, NO_LOCK) for c in range(max_attempts)}
+        self.merged = False
+
+    def feed(self, t: int, success: bool):
+        """Returns (outcome, attempts) once merged, else None (prefix)."""
+        M, L = self.M, self.L
+        if self.merged:
+            (a, u), = self.states
+            a, u, o = step(a, u, t, success, M, L)
+            self.states = {(a, u)}
+            return o, a
+        if self.pending:  # entry locked until a time in (previous event, t]
+            self.states.add((M, NO_LOCK))
+        nxt = set()
+        for a, u in self.states:
+            if a >= M and u <= t:
+                u = NO_LOCK
+            a, u, _ = step(a, u, t, success, M, L)
+            nxt.add((a, u))
+        self.states = nxt
+        self.pending = t < self.horizon
+        if not self.pending and len(nxt) == 1:
+            self.merged = True
+        return None
+
+    def summary(self):
+        if self.merged:
+            (a, u), = self.states
+            return True, a, u
+        return False, None, None
+
+
+def _phase_a(max_attempts: int, lock_us: int):
     def run(batches):
-        cur_user, a, u = None, 0, 0
+        cur, user = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             users = pdf["user_name"].to_numpy()
             t_us = _micros(pdf["ts"])
+            eids = pdf["event_id"].to_numpy()
             succ = pdf["success"].to_numpy(dtype=bool)
+            ts = pdf["ts"].to_numpy()
+            rows = []
+            for i in range(len(pdf)):
+                if users[i] != user:
+                    if cur is not None:
+                        rows.append(_summary_row(user, cur))
+                    user = users[i]
+                    cur = _Run(int(t_us[i]), int(eids[i]), max_attempts, lock_us)
+                res = cur.feed(int(t_us[i]), bool(succ[i]))
+                if res is None:
+                    rows.append(("prefix", int(eids[i]), user, ts[i], bool(succ[i]), None, None,
+                                 cur.key[0], cur.key[1], None, None, None))
+                else:
+                    rows.append(("resolved", int(eids[i]), user, ts[i], None, res[0], int(res[1]),
+                                 None, None, None, None, None))
+            yield _frame(rows)
+        if cur is not None:
+            yield _frame([_summary_row(user, cur)])
+    return run
+
+
+def _summary_row(user, run: _Run):
+    merged, a, u = run.summary()
+    return ("summary", None, user, None, None, None, None, run.key[0], run.key[1], merged, a, u)
+
+
+_A_COLS = ["kind", "event_id", "user_name", "ts", "success", "outcome", "attempts",
+           "chunk_ts", "chunk_eid", "merged", "exit_a", "exit_u"]
+
+
+def _frame(rows):
+    df = pd.DataFrame(rows, columns=_A_COLS)
+    for c in ("event_id", "attempts", "chunk_ts", "chunk_eid", "exit_a", "exit_u"):
+        df[c] = df[c].astype("Int64")
+    df["ts"] = pd.to_datetime(df["ts"])
+    df["success"] = df["success"].astype("boolean")
+    df["merged"] = df["merged"].astype("boolean")
+    return df
+
+
+def _phase_b(max_attempts: int, lock_us: int):
+    """Stitch: per user, chunks in order; each chunk's prefix events are
+    folded from the true entry state, then the state jumps to the chunk's
+    exit (when its trajectories merged).  Rows arrive sorted by (user,
+    chunk, prefix-before-summary, ts, event_id), so the state is carried
+    across Arrow batches and memory stays at one batch."""
+    def run(batches):
+        user, a, u = None, 0, NO_LOCK
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            users = pdf["user_name"].to_numpy()
+            kinds = pdf["kind"].to_numpy()
+            t_us = _micros(pdf["ts"].fillna(pd.Timestamp(0)))
+            succ = pdf["success"].fillna(False).to_numpy(dtype=bool)
+            merged = pdf["merged"].fillna(False).to_numpy(dtype=bool)
+            exit_a = pdf["exit_a"].to_numpy()
+            exit_u = pdf["exit_u"].to_numpy()
+            keep = kinds == "prefix"
             outcome = np.empty(len(pdf), dtype=object)
-            attempts = np.empty(len(pdf), dtype=np.int64)
-            # boundaries of runs of one user inside this (sorted) batch
-            starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
-            ends = np.r_[starts[1:], len(pdf)]
-            for s, e in zip(starts, ends):
-                if users[s] != cur_user:
-                    cur_user, a, u = users[s], 0, 0
-                o, at, a, u = fold_user(t_us[s:e], succ[s:e], a, u, max_attempts, lock_us)
-                outcome[s:e], attempts[s:e] = o, at
-            yield pd.DataFrame({"event_id": pdf["event_id"], "user_name": pdf["user_name"],
-                                "ts": pdf["ts"], "outcome": outcome, "attempts": attempts})
+            attempts = np.zeros(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                if users[i] != user:
+                    user, a, u = users[i], 0, NO_LOCK
+                if keep[i]:
+                    a, u, outcome[i] = step(a, u, int(t_us[i]), bool(succ[i]), max_attempts, lock_us)
+                    attempts[i] = a
+                elif merged[i]:
+                    a, u = int(exit_a[i]), int(exit_u[i])
+            yield pd.DataFrame({"event_id": pdf["event_id"][keep].astype("int64"),
+                                "user_name": pdf["user_name"][keep], "ts": pdf["ts"][keep],
+                                "outcome": outcome[keep], "attempts": attempts[keep]})
     return run
 
 
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
-                  lock_s: int = K.LOCKOUT_S) -> DataFrame:
+                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None) -> DataFrame:
     """Outcome of every attempt: success / failure / locked (a failure that
-    reaches the limit) / ignored (arrived while locked).
+    reaches the limit) / ignored (arrived while locked), with the attempts
+    count (capped at the limit) after it.
     ``events``: event_id, ts (timestamp_ntz), user_name, success."""
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    lock_us = lock_s * 1_000_000
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (events.select("event_id", "ts", "user_name", "success")
-               .repartition("user_name")
+               .repartitionByRange(n, "user_name", "ts", "event_id")
                .sortWithinPartitions("user_name", "ts", "event_id"))
-    return ordered.mapInPandas(_fold_partitions(max_attempts, lock_s * 1_000_000), OUT_SCHEMA)
+    # phase A feeds two branches: cut its lineage once (reliable checkpoint
+    # in the shared checkpoint folder)
+    a = ordered.mapInPandas(_phase_a(max_attempts, lock_us), PHASE_A_SCHEMA).checkpoint(eager=True)
+    resolved = a.where(F.col("kind") == "resolved").select(
+        "event_id", "user_name", "ts", "outcome", "attempts")
+    stitched = (a.where(F.col("kind") != "resolved")
+                .repartition(n, "user_name")
+                .sortWithinPartitions("user_name", "chunk_ts", "chunk_eid",
+                                      (F.col("kind") == "summary"), "ts", "event_id")
+                .mapInPandas(_phase_b(max_attempts, lock_us), OUT_SCHEMA))
+    return resolved.unionByName(stitched)
 
 
 def _state_fn(max_attempts: int, lock_us: int):
@@ -101,7 +240,7 @@ def _state_fn(max_attempts: int, lock_us: int):
         if pdf.empty:
             return
         pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        a, u = state.get if state.exists else (0, 0)
+        a, u = state.get if state.exists else (0, NO_LOCK)
         o, at, a, u = fold_user(_micros(pdf["ts"]), pdf["success"].to_numpy(dtype=bool),
                                 int(a), int(u), max_attempts, lock_us)
         state.update((int(a), int(u)))
