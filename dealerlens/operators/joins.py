@@ -89,7 +89,8 @@ def birthday_calendar(df: DataFrame, as_of=None) -> DataFrame:
     births = birthdays_month(df.withColumn("full_name", name), as_of).select(
         F.col("birth_day").alias("day"), "customer_id", "full_name")
     filled = births.join(F.broadcast(cal), "day", "inner")
-    empty = (cal.join(births.select("day").distinct(), "day", "left_anti")
+    # distinct birth days of one month: at most 31 rows, safe to broadcast
+    empty = (cal.join(F.broadcast(births.select("day").distinct()), "day", "left_anti")
              .select("day", F.lit(None).cast("bigint").alias("customer_id"),
                      F.lit(None).cast("string").alias("full_name"), "week", "weekday"))
     return filled.select("week", "weekday", "day", "customer_id", "full_name").unionByName(

@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import format_dates
 
@@ -54,7 +53,7 @@ def report_frame(customers: DataFrame, report: str, as_of=None) -> DataFrame:
     included, dates formatted) — what the page search runs over."""
     from ..operators import segments as S
     builders = {
-        "processed": lambda d: S.processed_archive(d),
+        "processed": S.processed_archive,
         "trade_in": S.seg_trade_in,
         "warranty": lambda d: S.with_warranty_label(S.seg_warranty(d, as_of), as_of),
         "untouched": S.seg_untouched,
@@ -62,16 +61,8 @@ def report_frame(customers: DataFrame, report: str, as_of=None) -> DataFrame:
         "test_drive": S.seg_test_drive,
         "reminders": S.reminder_list,
     }
-    if report == "warranty":
-        out = S.with_warranty_label(S.seg_warranty(customers, as_of), as_of)
-    else:
-        out = builders[report](customers)
-    return format_dates(out)
+    return format_dates(builders[report](customers))
 
 
 def report(customers: DataFrame, report_name: str, as_of=None) -> DataFrame:
     return project(report_frame(customers, report_name, as_of), REPORT_COLUMNS[report_name])
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.where(F.lit(False))
