@@ -100,6 +100,19 @@ AUDIT_EXPORT = ("Excel Dışa Aktarım", "'{}' isimli tablo bilgisayara indirild
 AUDIT_LOG_EXPORT = ("Logları Dışa Aktardı", "Sistem logları excele aktarıldı.")
 UNKNOWN_CUSTOMER = "Bilinmeyen Müşteri"
 UNKNOWN_NAME = "Bilinmiyor"
+# Team evaluation texts ({0} = total calls, {1} = staff name; insight: {0} =
+# top reason, {1} = its count).
+TEAM_TITLE_ALL = "Tüm Ekip Genel Değerlendirme"
+TEAM_TITLE_ONE = "{1} - Performans Özeti"
+TEAM_COMMENTS = {
+    "active": "Seçilen dönemde toplam {0} arama ile aktif ve yoğun bir performans sergileniyor.",
+    "low": "Seçilen dönemde toplam {0} arama yapıldı. Arama hacmi artırılabilir.",
+    "very_good": "🌟 Çok İyi: Toplam {0} görüşme ile oldukça yüksek efor sarf ediyor. Motivasyonu desteklenmeli.",
+    "good": "👍 İyi: Toplam {0} arama ile istikrarlı bir ilerleyişi var.",
+    "needs_work": "⚠️ Gelişime Açık: Toplam {0} aramada kaldı. Görüşme hacmini artırması önerilir.",
+}
+TEAM_INSIGHT = "En çok '{0}' sebebiyle ({1} kez) kapanış yapılmış."
+TEAM_NO_INSIGHT = "Müşterilerin net bir kapanış veya reddedilme sebebi henüz girilmemiş."
 # Export file name stems per report.
 EXPORT_STEMS = {
     "test_drive": "Test_Surusu_Takip",

@@ -15,8 +15,11 @@ from .segments import seg_called
 
 
 def _dist(df: DataFrame, column: str, out_name: str, cond=None) -> DataFrame:
+    """Count by value, largest first (ties by value).  The sort runs on the
+    aggregated rows, one per distinct value."""
     d = df if cond is None else df.where(cond)
-    return d.groupBy(F.col(column).alias(out_name)).agg(F.count(F.lit(1)).alias("n"))
+    return (d.groupBy(F.col(column).alias(out_name)).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col(out_name)))
 
 
 def close_reason_dist(df: DataFrame) -> DataFrame:
@@ -67,6 +70,7 @@ def calls_by_staff(df: DataFrame, days: int = 30, as_of=None) -> DataFrame:
         called_in_period(df, days, as_of)
         .where(F.col("operator").isNotNull())
         .groupBy("operator").agg(F.count(F.lit(1)).alias("calls"))
+        .orderBy("operator")
     )
 
 
@@ -110,11 +114,32 @@ def team_evaluation(df: DataFrame, days: int = 30, staff: str = K.ALL_STAFF,
     else:
         rating = (F.when(avg >= 3, F.lit("very_good")).when(avg >= 1, F.lit("good"))
                   .otherwise(F.lit("needs_work")))
-    return agg.select(
+    out = agg.select(
         F.lit(staff).alias("staff"), F.lit(int(days)).alias("days"), "total_calls",
         F.col("top.reason").alias("top_reason"), F.col("top.n").alias("top_count"),
         avg.alias("daily_avg"), rating.alias("rating"),
     )
+    total = F.col("total_calls").cast("string")
+    comment = None
+    for code, text in K.TEAM_COMMENTS.items():
+        c = _fill(text, total)
+        comment = F.when(F.col("rating") == code, c) if comment is None else comment.when(F.col("rating") == code, c)
+    title = (F.lit(K.TEAM_TITLE_ALL) if staff == K.ALL_STAFF
+             else F.lit(K.TEAM_TITLE_ONE.replace("{1}", staff)))
+    insight = F.when(F.col("top_reason").isNotNull(),
+                     _fill(K.TEAM_INSIGHT, F.col("top_reason"), F.col("top_count").cast("string"))
+                     ).otherwise(F.lit(K.TEAM_NO_INSIGHT))
+    return out.select("*", title.alias("title"), comment.alias("comment"), insight.alias("insight"))
+
+
+def _fill(template: str, *cols):
+    """template with {0}, {1}, ... replaced by columns (concat)."""
+    import re
+    parts = re.split(r"\{(\d)\}", template)
+    pieces = []
+    for i, p in enumerate(parts):
+        pieces.append(F.lit(p) if i % 2 == 0 else cols[int(p)])
+    return F.concat(*pieces)
 
 
 def daily_counts(df: DataFrame, as_of=None) -> DataFrame:

@@ -742,15 +742,27 @@ def _team_sql(days, staff):
     avg = f"CAST((SELECT count(*) FROM sel) AS DOUBLE) / CAST({days} AS DOUBLE)"
     rating = (f"CASE WHEN {avg} > 5 THEN 'active' ELSE 'low' END" if staff == K.ALL_STAFF else
               f"CASE WHEN {avg} >= 3 THEN 'very_good' WHEN {avg} >= 1 THEN 'good' ELSE 'needs_work' END")
+    def fill(t, *xs):
+        out = "'" + t.replace("'", "''") + "'"
+        for i, x in enumerate(xs):
+            out = out.replace("{" + str(i) + "}", "' || " + x + " || '")
+        return out
+    comment = "CASE rating " + " ".join(
+        f"WHEN '{code}' THEN {fill(text, 'CAST(total_calls AS VARCHAR)')}" for code, text in K.TEAM_COMMENTS.items()) + " END"
+    title = f"'{K.TEAM_TITLE_ALL}'" if staff == K.ALL_STAFF else "'" + K.TEAM_TITLE_ONE.replace("{1}", staff) + "'"
+    insight = (f"CASE WHEN top_reason IS NOT NULL THEN {fill(K.TEAM_INSIGHT, 'top_reason', 'CAST(top_count AS VARCHAR)')} "
+               f"ELSE '{K.TEAM_NO_INSIGHT}' END")
     return f"""
 WITH period AS (SELECT * FROM customers WHERE called_flag = '{K.CALLED_EXACT}'
                 AND {O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL {days} DAY),
 sel AS (SELECT * FROM period{sel}),
 top AS (SELECT close_reason AS reason, count(*) AS n FROM sel WHERE close_reason IS NOT NULL AND close_reason <> ''
-        GROUP BY 1 ORDER BY n DESC, reason LIMIT 1)
+        GROUP BY 1 ORDER BY n DESC, reason LIMIT 1),
+ev AS (
 SELECT '{staff}' AS staff, {days} AS days, (SELECT count(*) FROM sel) AS total_calls,
   (SELECT reason FROM top) AS top_reason, (SELECT n FROM top) AS top_count, {avg} AS daily_avg, {rating} AS rating
-WHERE (SELECT count(*) FROM period) > 0"""
+WHERE (SELECT count(*) FROM period) > 0)
+SELECT *, {title} AS title, {comment} AS comment, {insight} AS insight FROM ev"""
 
 
 @q("team_evaluation", _team_sql(30, K.ALL_STAFF))
@@ -758,9 +770,15 @@ def _team_evaluation(spark, sf):
     return A.team_evaluation(cust(spark, sf), 30)
 
 
-@q("team_evaluation_staff", _team_sql(365, "Supplier#000000002"))
+@q("team_evaluation_staff", _team_sql(365, STAFF_ONE))
 def _team_evaluation_staff(spark, sf):
-    return A.team_evaluation(cust(spark, sf), 365, "Supplier#000000002")
+    return A.team_evaluation(cust(spark, sf), 365, STAFF_ONE)
+
+
+@q("team_evaluation_idle", _team_sql(7, "Supplier#000000002"))
+def _team_evaluation_idle(spark, sf):
+    """A staff member without calls in the period (rated 'needs work')."""
+    return A.team_evaluation(cust(spark, sf), 7, "Supplier#000000002")
 
 
 @q("station_count", "SELECT count(*) AS stations FROM stations", needs=("stations",))
