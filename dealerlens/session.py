@@ -52,6 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session names none (local tests) is a private folder created."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(intermediate tables and stream checkpoints are written there)")
         d = tempfile.mkdtemp(prefix="dealerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

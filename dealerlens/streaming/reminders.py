@@ -19,13 +19,29 @@ from ..session import scratch_path
 WATERMARK = "3 hours"  # longer than the 2 h 5 min alert window
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The landed events table as a file stream (new files = new events)."""
+def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = None) -> DataFrame:
+    """Events as a file stream, one landed file per micro-batch: the
+    ``events.parquet`` table of ``sf_dir``, or every parquet file arriving
+    in ``landing_dir``."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(sf_dir))
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if landing_dir is not None:
+        return r.option("pathGlobFilter", "*.parquet").parquet(landing_dir)
+    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def land_events(spark: SparkSession, sf_dir: str, landing_dir: str, files: int = 6) -> str:
+    """Land the events table as ``files`` parquet files in time order (one
+    write per time slice, so file times follow event times)."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / files
+    for i in range(files):
+        start, end = lo + step * i, (hi if i == files - 1 else lo + step * (i + 1))
+        cond = (F.col("ts") >= F.lit(start)) & ((F.col("ts") <= F.lit(end)) if i == files - 1
+                                               else (F.col("ts") < F.lit(end)))
+        e.where(cond).coalesce(1).write.mode("append").parquet(landing_dir)
+    return landing_dir
 
 
 def alert_stream(events: DataFrame) -> DataFrame:
@@ -44,11 +60,12 @@ def alert_stream(events: DataFrame) -> DataFrame:
     return r.join(t, cond, "left_semi").select("operator", "reminder_id", "due_ts")
 
 
-def run_reminder_alerts(spark: SparkSession, sf_dir: str, out_path: str | None = None) -> DataFrame:
+def run_reminder_alerts(spark: SparkSession, sf_dir: str, out_path: str | None = None,
+                        landing_dir: str | None = None) -> DataFrame:
     """Run the alert stream to the end of the landed data (availableNow)
     and return what the sink holds."""
     out_path = out_path or scratch_path(spark, "reminder_alerts")
-    q = (alert_stream(events_stream(spark, sf_dir)).writeStream
+    q = (alert_stream(events_stream(spark, sf_dir, landing_dir)).writeStream
          .format("parquet").outputMode("append")
          .option("path", out_path)
          .option("checkpointLocation", out_path + "_checkpoint")
