@@ -25,13 +25,16 @@ def _dist(df: DataFrame, column: str, out_name: str, cond=None) -> DataFrame:
 def close_reason_dist(df: DataFrame) -> DataFrame:
     """Count by raw close reason (nulls dropped, blanks kept); a table with
     no reasons at all gives one placeholder row ('Veri Yok', 1)."""
-    counts = _dist(df, "close_reason", "reason", F.col("close_reason").isNotNull())
+    d = df.where(F.col("close_reason").isNotNull())
+    counts = d.groupBy(F.col("close_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    # decided on the aggregated counts (one row per reason): the second use
+    # of the same aggregation reuses its shuffle instead of rescanning
     placeholder = (
-        df.agg(F.count_if(F.col("close_reason").isNotNull()).alias("k"))
-        .where(F.col("k") == 0)
+        counts.agg(F.sum("n").alias("k"))
+        .where(F.col("k").isNull())
         .select(F.lit(K.NO_DATA_REASON).alias("reason"), F.lit(1).cast("bigint").alias("n"))
     )
-    return counts.unionByName(placeholder)
+    return counts.unionByName(placeholder).orderBy(F.col("n").desc(), F.col("reason"))
 
 
 def vehicle_model_dist(df: DataFrame) -> DataFrame:
