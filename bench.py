@@ -28,7 +28,7 @@ HEADLINE = [
     "kpi_summary", "report_processed", "report_trade_in", "report_warranty", "report_untouched",
     "report_low_quality", "report_test_drive", "report_reminders", "close_reason_dist",
     "vehicle_model_dist", "interest_dist", "channel_dist", "calls_by_staff_30", "reasons_by_staff",
-    "team_evaluation", "daily_goal", "birthdays_today", "birthday_calendar", "customer_geo",
+    "team_evaluation", "performance_cube", "daily_goal", "birthdays_today", "birthday_calendar", "customer_geo",
     "map_layers", "global_search", "notes_timeline", "customer_profile", "apply_outcome",
     "apply_admin_edit", "delete_note", "complete_reminder", "audit_from_patches", "reminder_due",
     "due_reminder_first", "reminder_alerts", "login_lockout", "station_feed", "latest_snapshot",

@@ -98,17 +98,23 @@ def staff_list(df: DataFrame) -> DataFrame:
 
 def team_evaluation(df: DataFrame, days: int = 30, staff: str = K.ALL_STAFF,
                     as_of=None) -> DataFrame:
-    """Period summary: total calls, top close reason, daily average and a
-    rating.  No calls in the period at all -> no row."""
+    """Period summary: total calls, top close reason, daily average, a
+    rating and the page's texts.  No calls in the period at all -> no row."""
     period = called_in_period(df, days, as_of)
     sel = F.lit(True) if staff == K.ALL_STAFF else (F.col("operator") == staff)
     g = (period.withColumn("sel", F.coalesce(sel, F.lit(False)))
          .groupBy("sel", "close_reason").agg(F.count(F.lit(1)).alias("n")))
+    return evaluate(g, days, staff)
+
+
+def evaluate(g: DataFrame, days: int, staff: str) -> DataFrame:
+    """Evaluation row from per-(sel, close_reason) call counts of a period
+    (sel = the row belongs to the chosen staff member)."""
     valid = F.col("sel") & F.col("close_reason").isNotNull() & (F.col("close_reason") != "")
     agg = g.agg(
         F.sum("n").alias("all_calls"),
         F.coalesce(F.sum(F.when(F.col("sel"), F.col("n"))), F.lit(0)).cast("bigint").alias("total_calls"),
-        F.min_by(F.when(valid, F.struct(F.col("close_reason").alias("reason"), "n")),
+        F.min_by(F.when(valid, F.struct(F.col("close_reason").alias("reason"), F.col("n").cast("bigint").alias("n"))),
                  F.when(valid, F.struct(-F.col("n"), F.col("close_reason")))).alias("top"),
     ).where(F.col("all_calls") > 0)
     avg = F.col("total_calls").cast("double") / float(days) if days > 0 else F.lit(0.0)

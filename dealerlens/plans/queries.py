@@ -781,6 +781,18 @@ def _team_evaluation_idle(spark, sf):
     return A.team_evaluation(cust(spark, sf), 7, "Supplier#000000002")
 
 
+@q("performance_cube", f"""SELECT operator, close_reason,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 7 DAY, FALSE) AS in_7d,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 30 DAY, FALSE) AS in_30d,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 365 DAY, FALSE) AS in_365d, count(*) AS n
+  FROM customers WHERE called_flag = '{K.CALLED_EXACT}' GROUP BY ALL""")
+def _performance_cube(spark, sf):
+    """Called rows counted per (operator, reason, period flags): the shared
+    input of the team performance widgets."""
+    from .dashboard import performance_cube
+    return performance_cube(cust(spark, sf))
+
+
 @q("station_count", "SELECT count(*) AS stations FROM stations", needs=("stations",))
 def _station_count(spark, sf):
     return A.station_count(ST.station_feed(fx.station_documents(spark, sf)))

@@ -317,3 +317,19 @@ def test_streams_over_several_micro_batches(spark):
     lb = login_lockout(fx.auth_events(spark, SF01), 3, 86400)
     assert ls.count() == lb.count()
     assert lb.exceptAll(ls).count() == 0
+
+
+def test_team_performance_from_cube_equals_direct(spark):
+    from dealerlens.plans.dashboard import TeamPerformance
+    c = fx.customers(spark, SF01)
+    page = TeamPerformance(c)
+    try:
+        for d in (7, 30, 365):
+            assert page.calls_by_staff(d).collect() == A.calls_by_staff(c, d).collect()
+        for staff in ("HEPSİ", "Supplier#000000001", "Supplier#000000002"):
+            assert sorted(page.reasons_by_staff(staff).collect()) == sorted(A.reasons_by_staff(c, staff).collect())
+            for d in (7, 30, 365):
+                assert page.evaluation(d, staff).collect() == A.team_evaluation(c, d, staff).collect()
+        assert sorted(page.staff_list().collect()) == sorted(A.staff_list(c).collect())
+    finally:
+        page.close()
