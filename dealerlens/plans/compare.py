@@ -10,7 +10,6 @@ import decimal
 import hashlib
 import math
 
-from .. import sources  # noqa: F401  (package import side effects: none)
 from ..sources.fixtures import TABLES
 
 

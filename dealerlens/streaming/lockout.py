@@ -187,8 +187,8 @@ def _phase_b(max_attempts: int, lock_us: int):
             users = pdf["user_name"].to_numpy()
             kinds = pdf["kind"].to_numpy()
             t_us = _micros(pdf["ts"].fillna(pd.Timestamp(0)))
-            succ = pdf["success"].fillna(False).to_numpy(dtype=bool)
-            merged = pdf["merged"].fillna(False).to_numpy(dtype=bool)
+            succ = pdf["success"].eq(True).to_numpy()
+            merged = pdf["merged"].eq(True).to_numpy()
             exit_a = pdf["exit_a"].to_numpy()
             exit_u = pdf["exit_u"].to_numpy()
             keep = kinds == "prefix"
