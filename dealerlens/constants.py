@@ -87,7 +87,6 @@ NOTE_TS_FORMAT = "dd.MM.yyyy HH:mm"
 DISPLAY_DATE_FORMAT = "dd-MM-yyyy"
 DISPLAY_REMINDER_FORMAT = "dd-MM-yyyy HH:mm"
 LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
-EXPORT_STAMP_FORMAT = "dd_MM_yyyy"
 # Mon-first weekday headers of the birthday calendar.
 WEEKDAYS = ["Pzt", "Sal", "Çar", "Per", "Cum", "Cmt", "Paz"]
 # Audit log action types and detail texts ({} = customer name / id / file).
@@ -99,6 +98,7 @@ AUDIT_COMPLETE = ("Hatırlatıcı Tamamlandı",
 AUDIT_EXPORT = ("Excel Dışa Aktarım", "'{}' isimli tablo bilgisayara indirildi.")
 AUDIT_LOG_EXPORT = ("Logları Dışa Aktardı", "Sistem logları excele aktarıldı.")
 UNKNOWN_CUSTOMER = "Bilinmeyen Müşteri"
+UNKNOWN_USER = "Bilinmeyen Kullanıcı"
 UNKNOWN_NAME = "Bilinmiyor"
 # Team evaluation texts ({0} = total calls, {1} = staff name; insight: {0} =
 # top reason, {1} = its count).

@@ -3,12 +3,14 @@ source, rebuild, append, read newest first, export a report."""
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..plans.reports import EXPORT_COLUMNS, project
-from ..session import as_of_col
+from ..session import as_of_col, as_of_value
 
 # FIXED VALUES: the columns a customer table must have.
 REQUIRED_COLUMNS = ["customer_id", "full_name", "phone", "close_reason"]
@@ -100,23 +102,26 @@ def audit_log(spark: SparkSession, logs_path: str | None = None, logs: DataFrame
         df = df.select("log_ts", "user_name", "action_type", "detail")
     except Exception:
         df = spark.createDataFrame([], LOG_SCHEMA)
-    return df.orderBy(F.col("log_ts").desc())
+    # the text columns break ties, so a burst of rows within one second can
+    # still be range-split across tasks
+    return df.orderBy(F.col("log_ts").desc(), "user_name", "action_type", "detail")
 
 
-def export_name(report: str, as_of=None):
-    """File stem of an export: '<Stem>_dd_MM_yyyy' (a Column)."""
+def export_name(report: str, as_of=None) -> str:
+    """File stem of an export: '<Stem>_dd_MM_yyyy'."""
     stem = K.EXPORT_STEMS.get(report, K.EXPORT_STEMS["general"])
-    return F.concat(F.lit(stem + "_"), F.date_format(as_of_col(as_of), K.EXPORT_STAMP_FORMAT))
+    day = _dt.datetime.strptime(as_of_value(as_of)[:10], "%Y-%m-%d")
+    return f"{stem}_{day:%d_%m_%Y}"
 
 
-def report_export(df: DataFrame, report: str, out_dir: str, user: str = "Bilinmeyen Kullanıcı",
+def report_export(df: DataFrame, report: str, out_dir: str, user: str = K.UNKNOWN_USER,
                   as_of=None, fmt: str = "csv", logs_path: str | None = None) -> str:
     """Write the report's export columns that exist (all columns when none
     do) to ``out_dir/<file stem>``, append an audit row, and return the
     path written."""
     spark = df.sparkSession
     cols = EXPORT_COLUMNS.get(report, EXPORT_COLUMNS["general"])
-    stem = spark.range(1).select(export_name(report, as_of)).first()[0]
+    stem = export_name(report, as_of)
     path = f"{out_dir.rstrip('/')}/{stem}"
     w = project(df, cols).write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
