@@ -57,11 +57,16 @@ def norm_token(c) -> Column:
 
 
 def to_number(c, default=None) -> Column:
-    """Numeric text to double; anything else (junk, NaN text, null) to
-    ``default``.  The guard regex keeps Spark's wider cast rules ('1d',
-    'Infinity') out."""
+    """Numeric text to double; anything else (junk, NaN text, null,
+    overflow) to ``default``, as pandas.to_numeric(errors='coerce').  The
+    guard regex keeps Spark's wider cast rules ('1d', padded 'inf') out.
+    Literals beyond ~1e22 may differ from pandas in the last binary digit
+    (Spark rounds correctly, pandas' fast parser does not)."""
     c = _c(c).cast("string")
     num = F.when(c.rlike(K.NUMERIC_PATTERN), F.trim(c).try_cast("double"))
+    # a finite literal that overflows is not a number for pandas (Spark
+    # would give +-Infinity); only the inf/infinity words give infinities
+    num = F.when(~(F.abs(num) == F.lit(float("inf"))) | F.lower(c).contains("inf"), num)
     if default is None:
         return num
     if not isinstance(default, Column):

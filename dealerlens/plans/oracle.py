@@ -48,8 +48,9 @@ def in_list(values) -> str:
 
 
 def to_number(x: str, default: str | None = None) -> str:
+    v = f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
     num = (f"CASE WHEN regexp_matches(CAST({x} AS VARCHAR), '{K.NUMERIC_PATTERN}') "
-           f"THEN TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE) END")
+           f"AND (NOT isinf({v}) OR contains(lower(CAST({x} AS VARCHAR)), 'inf')) THEN {v} END")
     return num if default is None else f"coalesce({num}, CAST({default} AS DOUBLE))"
 
 
