@@ -88,8 +88,8 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # so queries that use no part column drop this join, and the grouping's
     # hash partitioning is the one the join needs anyway (no extra exchange).
     part = (read_table(spark, sf_dir, "part").groupBy("p_partkey")
-            .agg(F.first("p_type").alias("p_type"), F.first("p_brand").alias("p_brand"),
-                 F.first("p_size").alias("p_size")))
+            .agg(F.max("p_type").alias("p_type"), F.max("p_brand").alias("p_brand"),
+                 F.max("p_size").alias("p_size")))
     last = (
         read_table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
