@@ -22,15 +22,18 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def load_customers(spark: SparkSession, path: str, fmt: str = "parquet",
+def load_customers(spark: SparkSession, path: str | None = None, fmt: str = "parquet",
                    schema=None, **options) -> DataFrame:
     """Full table scan (columns are pruned later by the query that uses
-    it).  CSV and JSON sources get trimmed headers."""
+    it).  File sources take ``path``; a database table comes through
+    ``fmt="jdbc"`` with ``url=``, ``dbtable=`` (and ``partitionColumn=``,
+    ``lowerBound=``, ``upperBound=``, ``numPartitions=`` for a parallel
+    read).  CSV, JSON and JDBC sources get trimmed headers."""
     r = spark.read.format(fmt).options(**options)
     if schema is not None:
         r = r.schema(schema)
-    df = r.load(path)
-    return strip_headers(df) if fmt in ("csv", "json") else df
+    df = r.load(path) if path is not None else r.load()
+    return strip_headers(df) if fmt in ("csv", "json", "jdbc") else df
 
 
 def schema_gate(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
