@@ -13,19 +13,15 @@ Batch form — an exact parallel fold that also splits a hot user:
 
 1. Events are range-partitioned on (user, ts, event_id), so one user's
    events may span many chunks, and each chunk is sorted.
-2. Phase A (``mapInPandas``, one pass per chunk): for each user run inside
-   a chunk, the fold is run speculatively from every possible entry state
-   (attempts 0..max-1, or locked until any time within one lock span of the
-   run's start).  These trajectories merge (same state) after a few events;
-   from there on outcomes are final and are emitted.  Emitted besides: the
-   unresolved prefix events and one summary row (merged?, exit state).
-3. Phase B (sorted ``mapInPandas``): only prefixes and summaries, per user
-   in chunk order: fold each prefix from the true entry state, then jump to
-   the chunk's exit state.  With the dashboard's 3-minute lock a hot user
-   leaves a few dozen prefix events per chunk here.  When locks are long
-   against the event rate, trajectories from different entry states stay
-   offset and a chunk does not merge; its events then pass through this
-   phase as a streamed fold (memory of one batch).
+2. Each chunk folds every user run speculatively from every possible
+   entry state (attempts 0..max-1, or locked until any time within one lock
+   span of the run's start).  The trajectories merge after a few events;
+   from there on outcomes are final.  Left over: the unresolved prefix rows
+   and, for a merged run, one barrier row carrying its end state.
+3. The left-over rows are folded speculatively again in ``fanin`` times
+   fewer, longer chunks (a barrier resolves everything after it), and so
+   on; a sorted sequential fold finishes what remains.  Longer chunks let
+   lock chains that outlast a short chunk merge at the next level.
 
 Stream form: ``applyInPandasWithState`` keeps (attempts, unlock) per user
 between micro-batches.
@@ -51,9 +47,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUT_SCHEMA = "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long"
 STATE_SCHEMA = "attempts long, unlock_us long"
-PHASE_A_SCHEMA = ("kind string, event_id long, user_name string, ts timestamp_ntz, success boolean, "
-                  "outcome string, attempts long, chunk_ts long, chunk_eid long, merged boolean, "
-                  "exit_a long, exit_u long")
 NO_LOCK = -(1 << 62)  # "unlock time irrelevant"
 
 
@@ -84,25 +77,32 @@ def _micros(ts: pd.Series) -> np.ndarray:
 
 
 class _Run:
-    """Speculative fold of one user's events inside one chunk."""
+    """Speculative fold of one user's rows inside one chunk.
 
-    def __init__(self, t0: int, eid0: int, max_attempts: int, lock_us: int):
+    Entry states considered: attempts 0..max-1 (the unlock time does not
+    matter below the limit), at the limit and unlocked, and locked until
+    any time up to one lock span after the run's first row (such entries
+    start counting at a later row; they are injected row by row while
+    that can still happen).  A barrier row carries a known state and
+    resolves everything after it."""
+
+    def __init__(self, t0: int, max_attempts: int, lock_us: int):
         self.M, self.L = max_attempts, lock_us
-        self.key = (t0, eid0)
-        self.horizon = t0 + lock_us   # a lock set before the chunk ends before this
-        self.pending = True           # entries "locked past the current event" remain
+        self.horizon = t0 + lock_us
+        self.pending = True
         self.states = {(c, NO_LOCK) for c in range(max_attempts)}
         self.merged = False
+        self.last = None  # (ts, event_id) of the run's last row
 
     def feed(self, t: int, success: bool):
-        """Returns (outcome, attempts) once merged, else None (prefix)."""
+        """An event: (outcome, attempts) once merged, else None (prefix)."""
         M, L = self.M, self.L
         if self.merged:
             (a, u), = self.states
             a, u, o = step(a, u, t, success, M, L)
             self.states = {(a, u)}
             return o, a
-        if self.pending:  # entry locked until a time in (previous event, t]
+        if self.pending:  # entry locked until a time in (previous row, t]
             self.states.add((M, NO_LOCK))
         nxt = set()
         for a, u in self.states:
@@ -116,122 +116,138 @@ class _Run:
             self.merged = True
         return None
 
-    def summary(self):
-        if self.merged:
-            (a, u), = self.states
-            return True, a, u
-        return False, None, None
+    def barrier(self, a: int, u: int):
+        self.states, self.merged, self.pending = {(a, u)}, True, False
+
+    def exit_state(self):
+        (a, u), = self.states
+        return a, u
+
+
+ROW_SCHEMA = ("kind string, event_id long, user_name string, ts timestamp_ntz, success boolean, "
+              "outcome string, attempts long, exit_a long, exit_u long")
+_COLS = ["kind", "event_id", "user_name", "ts", "success", "outcome", "attempts", "exit_a", "exit_u"]
+_ORDER = ["user_name", "ts", "event_id", "is_barrier"]
+
+
+def _frame(rows):
+    df = pd.DataFrame(rows, columns=_COLS)
+    for c in ("event_id", "attempts", "exit_a", "exit_u"):
+        df[c] = df[c].astype("Int64")
+    df["ts"] = pd.to_datetime(df["ts"])
+    df["success"] = df["success"].astype("boolean")
+    return df
 
 
-def _phase_a(max_attempts: int, lock_us: int):
+def _speculate(max_attempts: int, lock_us: int):
+    """One level: rows sorted by (user, ts, event_id, barrier last) inside
+    each chunk.  Emits 'resolved' events, unresolved 'event' rows and a
+    'barrier' at the end of every run that merged."""
     def run(batches):
         cur, user = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             users = pdf["user_name"].to_numpy()
+            is_b = pdf["kind"].to_numpy() == "barrier"
             t_us = _micros(pdf["ts"])
             eids = pdf["event_id"].to_numpy()
-            succ = pdf["success"].to_numpy(dtype=bool)
+            succ = pdf["success"].eq(True).to_numpy()
+            ex_a, ex_u = pdf["exit_a"].to_numpy(), pdf["exit_u"].to_numpy()
             ts = pdf["ts"].to_numpy()
             rows = []
             for i in range(len(pdf)):
                 if users[i] != user:
-                    if cur is not None:
-                        rows.append(_summary_row(user, cur))
+                    if cur is not None and cur.merged:
+                        rows.append(_barrier_row(user, cur))
                     user = users[i]
-                    cur = _Run(int(t_us[i]), int(eids[i]), max_attempts, lock_us)
+                    cur = _Run(int(t_us[i]), max_attempts, lock_us)
+                cur.last = (ts[i], int(eids[i]))
+                if is_b[i]:
+                    cur.barrier(int(ex_a[i]), int(ex_u[i]))
+                    continue
                 res = cur.feed(int(t_us[i]), bool(succ[i]))
                 if res is None:
-                    rows.append(("prefix", int(eids[i]), user, ts[i], bool(succ[i]), None, None,
-                                 cur.key[0], cur.key[1], None, None, None))
+                    rows.append(("event", int(eids[i]), user, ts[i], bool(succ[i]), None, None, None, None))
                 else:
-                    rows.append(("resolved", int(eids[i]), user, ts[i], None, res[0], int(res[1]),
-                                 None, None, None, None, None))
+                    rows.append(("resolved", int(eids[i]), user, ts[i], None, res[0], int(res[1]), None, None))
             yield _frame(rows)
-        if cur is not None:
-            yield _frame([_summary_row(user, cur)])
+        if cur is not None and cur.merged:
+            yield _frame([_barrier_row(user, cur)])
     return run
 
 
-def _summary_row(user, run: _Run):
-    merged, a, u = run.summary()
-    return ("summary", None, user, None, None, None, None, run.key[0], run.key[1], merged, a, u)
+def _barrier_row(user, run: _Run):
+    a, u = run.exit_state()
+    return ("barrier", run.last[1], user, run.last[0], None, None, None, a, u)
 
 
-_A_COLS = ["kind", "event_id", "user_name", "ts", "success", "outcome", "attempts",
-           "chunk_ts", "chunk_eid", "merged", "exit_a", "exit_u"]
-
-
-def _frame(rows):
-    df = pd.DataFrame(rows, columns=_A_COLS)
-    for c in ("event_id", "attempts", "chunk_ts", "chunk_eid", "exit_a", "exit_u"):
-        df[c] = df[c].astype("Int64")
-    df["ts"] = pd.to_datetime(df["ts"])
-    df["success"] = df["success"].astype("boolean")
-    df["merged"] = df["merged"].astype("boolean")
-    return df
-
-
-def _phase_b(max_attempts: int, lock_us: int):
-    """Stitch: per user, chunks in order; each chunk's prefix events are
-    folded from the true entry state, then the state jumps to the chunk's
-    exit (when its trajectories merged).  Rows arrive sorted by (user,
-    chunk, prefix-before-summary, ts, event_id), so the state is carried
-    across Arrow batches and memory stays at one batch."""
+def _final_fold(max_attempts: int, lock_us: int):
+    """Last level: per user in order, events folded from the true state,
+    barriers set the state.  State carries across Arrow batches."""
     def run(batches):
         user, a, u = None, 0, NO_LOCK
         for pdf in batches:
             if pdf.empty:
                 continue
             users = pdf["user_name"].to_numpy()
-            kinds = pdf["kind"].to_numpy()
-            t_us = _micros(pdf["ts"].fillna(pd.Timestamp(0)))
+            is_b = pdf["kind"].to_numpy() == "barrier"
+            t_us = _micros(pdf["ts"])
             succ = pdf["success"].eq(True).to_numpy()
-            merged = pdf["merged"].eq(True).to_numpy()
-            exit_a = pdf["exit_a"].to_numpy()
-            exit_u = pdf["exit_u"].to_numpy()
-            keep = kinds == "prefix"
+            ex_a, ex_u = pdf["exit_a"].to_numpy(), pdf["exit_u"].to_numpy()
             outcome = np.empty(len(pdf), dtype=object)
             attempts = np.zeros(len(pdf), dtype=np.int64)
             for i in range(len(pdf)):
                 if users[i] != user:
                     user, a, u = users[i], 0, NO_LOCK
-                if keep[i]:
+                if is_b[i]:
+                    a, u = int(ex_a[i]), int(ex_u[i])
+                else:
                     a, u, outcome[i] = step(a, u, int(t_us[i]), bool(succ[i]), max_attempts, lock_us)
                     attempts[i] = a
-                elif merged[i]:
-                    a, u = int(exit_a[i]), int(exit_u[i])
+            keep = ~is_b
             yield pd.DataFrame({"event_id": pdf["event_id"][keep].astype("int64"),
                                 "user_name": pdf["user_name"][keep], "ts": pdf["ts"][keep],
                                 "outcome": outcome[keep], "attempts": attempts[keep]})
     return run
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    return df.withColumn("is_barrier", F.col("kind") == "barrier")
+
+
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
-                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None) -> DataFrame:
+                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None, fanin: int = 8) -> DataFrame:
     """Outcome of every attempt: success / failure / locked (a failure that
     reaches the limit) / ignored (arrived while locked), with the attempts
     count (capped at the limit) after it.
-    ``events``: event_id, ts (timestamp_ntz), user_name, success."""
+    ``events``: event_id, ts (timestamp_ntz), user_name, success.
+
+    Levels of speculative folding over range chunks of (user, ts): level
+    one sees all events in ``chunks`` chunks; each next level sees only the
+    unresolved rows plus one barrier per merged run, in ``fanin`` times
+    fewer (so longer) chunks; a sorted sequential fold finishes the rest."""
     spark = events.sparkSession
     checkpoint_dir(spark)
     lock_us = lock_s * 1_000_000
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (events.select("event_id", "ts", "user_name", "success")
-               .repartitionByRange(n, "user_name", "ts", "event_id")
-               .sortWithinPartitions("user_name", "ts", "event_id"))
-    # phase A feeds two branches: cut its lineage once (reliable checkpoint
-    # in the shared checkpoint folder)
-    a = ordered.mapInPandas(_phase_a(max_attempts, lock_us), PHASE_A_SCHEMA).checkpoint(eager=True)
-    resolved = a.where(F.col("kind") == "resolved").select(
-        "event_id", "user_name", "ts", "outcome", "attempts")
-    stitched = (a.where(F.col("kind") != "resolved")
-                .repartition(n, "user_name")
-                .sortWithinPartitions("user_name", "chunk_ts", "chunk_eid",
-                                      (F.col("kind") == "summary"), "ts", "event_id")
-                .mapInPandas(_phase_b(max_attempts, lock_us), OUT_SCHEMA))
-    return resolved.unionByName(stitched)
+    n0 = n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(F.lit("event").alias("kind"), "event_id", "user_name", "ts", "success",
+                         F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("long").alias("attempts"),
+                         F.lit(None).cast("long").alias("exit_a"), F.lit(None).cast("long").alias("exit_u"))
+    done = []
+    while n > 1:
+        level = (_sorted(rows).repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).drop("is_barrier")
+                 .mapInPandas(_speculate(max_attempts, lock_us), ROW_SCHEMA)
+                 .checkpoint(eager=True))  # feeds two branches; lineage cut in the shared folder
+        done.append(level.where(F.col("kind") == "resolved"))
+        rows = level.where(F.col("kind") != "resolved")
+        n //= fanin
+    last = (_sorted(rows).repartition(n0, "user_name").sortWithinPartitions(*_ORDER)
+            .drop("is_barrier").mapInPandas(_final_fold(max_attempts, lock_us), OUT_SCHEMA))
+    out = last
+    for d in done:
+        out = d.select("event_id", "user_name", "ts", "outcome", "attempts").unionByName(out)
+    return out
 
 
 def _state_fn(max_attempts: int, lock_us: int):
