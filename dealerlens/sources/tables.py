@@ -15,6 +15,11 @@ from ..session import as_of_col, as_of_value
 # FIXED VALUES: the columns a customer table must have.
 REQUIRED_COLUMNS = ["customer_id", "full_name", "phone", "close_reason"]
 LOG_SCHEMA = "log_ts string, user_name string, action_type string, detail string"
+# CSV written and read so that cells with newlines, quotes and padding
+# survive (RFC 4180 quoting).  Empty cells read back as null, as empty
+# spreadsheet cells do.
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -29,11 +34,20 @@ def load_customers(spark: SparkSession, path: str | None = None, fmt: str = "par
     ``fmt="jdbc"`` with ``url=``, ``dbtable=`` (and ``partitionColumn=``,
     ``lowerBound=``, ``upperBound=``, ``numPartitions=`` for a parallel
     read).  CSV, JSON and JDBC sources get trimmed headers."""
+    if fmt == "csv":
+        # notes cells hold newlines and quotes: read them back whole
+        options = {**CSV_OPTIONS, **options}
     r = spark.read.format(fmt).options(**options)
     if schema is not None:
         r = r.schema(schema)
     df = r.load(path) if path is not None else r.load()
-    return strip_headers(df) if fmt in ("csv", "json", "jdbc") else df
+    if fmt not in ("csv", "json", "jdbc"):
+        return df
+    df = strip_headers(df)
+    if schema is None and dict(df.dtypes).get("customer_id") == "string":
+        # text sources carry the key as text; the tables it joins with use bigint
+        df = df.withColumn("customer_id", F.col("customer_id").try_cast("bigint"))
+    return df
 
 
 def schema_gate(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -127,7 +141,7 @@ def report_export(df: DataFrame, report: str, out_dir: str, user: str = K.UNKNOW
     stem = export_name(report, as_of)
     path = f"{out_dir.rstrip('/')}/{stem}"
     w = project(df, cols).write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+    (w.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else w.format(fmt).save(path))
     if logs_path is not None:
         if report == "logs":
             action, detail = K.AUDIT_LOG_EXPORT[0], F.lit(K.AUDIT_LOG_EXPORT[1])

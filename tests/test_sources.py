@@ -69,6 +69,19 @@ def test_report_export_csv(spark):
     assert log.user_name == "Ali" and "Kalitesiz_Veri_Raporu_01_08_2001.xlsx" in log.detail
 
 
+def test_report_export_csv_round_trip_with_notes(spark):
+    """Multi-line notes, quotes and padded values survive the CSV export."""
+    from dealerlens.plans.reports import report
+    df = report(fx.customers(spark, SF001), "trade_in")
+    path = T.report_export(df, "trade_in", scratch_path(spark, "exports"))
+    back = T.load_customers(spark, path, fmt="csv")
+    assert back.count() == df.count() == 33
+    cols = ["customer_id", "notes", "phone", "operator"]
+    # empty strings come back as null (CSV has no empty-vs-null distinction)
+    norm = df.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) if c != "customer_id" else F.col(c) for c in cols])
+    assert norm.exceptAll(back.select(*cols)).count() == 0
+
+
 def test_export_keeps_all_columns_when_none_listed_exist(spark):
     out = scratch_path(spark, "exports")
     df = spark.createDataFrame([(1, 2)], "a int, b int")
