@@ -9,6 +9,8 @@ text ``None``, ``str.strip()`` removes Unicode whitespace, and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +76,32 @@ def to_number(c, default=None) -> Column:
     return F.coalesce(num, default.cast("double"))
 
 
+def _shape(fmt: str) -> str:
+    """Regex of the text shape a datetime pattern parses ('yyyy' -> 4
+    digits, other letters -> 2 digits, quoted text literally)."""
+    out, i = [], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        run = len(fmt[i:]) - len(fmt[i:].lstrip(ch))
+        out.append(r"\d{%d}" % (4 if ch == "y" else run) if ch.isalpha() else re.escape(ch * run))
+        i += run
+    return "(?i)^" + "".join(out) + "$"
+
+
 def parse_ts(c, formats=None) -> Column:
-    """Text to TIMESTAMP_NTZ using the first format that parses the whole
-    value; unparsable -> null."""
+    """Text to TIMESTAMP_NTZ using the format whose shape the value has;
+    unparsable -> null.  The shape test runs first, so each value is parsed
+    at most once (a failed parse attempt is far more costly than a regex
+    test)."""
     formats = formats or K.DATE_FORMATS
     c = _c(c).cast("string")
     return F.coalesce(
-        *[F.try_to_timestamp(c, F.lit(f)) for f in formats]
+        *[F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats]
     ).cast("timestamp_ntz")
 
 
