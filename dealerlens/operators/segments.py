@@ -101,7 +101,10 @@ def birthdays_today(df: DataFrame, as_of=None) -> DataFrame:
 
 
 def birthdays_month(df: DataFrame, as_of=None) -> DataFrame:
-    """Customers with a parsable birth date in the current month."""
+    """Customers with a parsable birth date in the current month (none when
+    the table has no birth-date column)."""
+    if "birth_date" not in df.columns:
+        df = df.withColumn("birth_date", F.lit(None).cast("string"))
     now = as_of_col(as_of)
     b = F.col("birth_date")
     bd = parse_ts(b)

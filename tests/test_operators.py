@@ -235,6 +235,12 @@ def test_birthday_calendar_feb29(spark):
     assert (first.week, first.weekday) == (0, 3)
 
 
+def test_birthday_calendar_without_birth_dates(spark):
+    df = mk(spark, [{"customer_id": 1, "full_name": "a"}]).drop("birth_date")
+    cal = J.birthday_calendar(df, "2001-08-10 12:00:00")
+    assert cal.count() == 31 and cal.where("customer_id IS NOT NULL").count() == 0
+
+
 # ----------------------------------------------------------------- lockout
 def plain_loop(events, max_attempts, lock_s):
     state, out = {}, {}
