@@ -23,6 +23,9 @@ from ..session import as_of_col
 def performance_cube(df: DataFrame, as_of=None, periods=K.PERIODS) -> DataFrame:
     """(operator, close_reason, in_7d, in_30d, in_365d, n) over the
     'Evet' rows; one scan, map-side combined."""
+    for c in ("operator", "close_reason", "action_date"):  # missing -> no data
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
     now = as_of_col(as_of)
     action = parse_ts(F.col("action_date"))
     flags = [(action >= now - F.make_dt_interval(F.lit(int(d)))).alias(f"in_{d}d") for d in periods]
@@ -35,6 +38,7 @@ class TeamPerformance:
     """The three widgets of the performance page from one cached cube."""
 
     def __init__(self, df: DataFrame, as_of=None):
+        self.has_operator = "operator" in df.columns
         self.cube = performance_cube(df, as_of).persist(StorageLevel.MEMORY_AND_DISK)
 
     def calls_by_staff(self, days: int = 30) -> DataFrame:
@@ -54,7 +58,8 @@ class TeamPerformance:
     def evaluation(self, days: int = 30, staff: str = K.ALL_STAFF) -> DataFrame:
         from ..operators.aggregates import evaluate
         period = self.cube.where(F.col(f"in_{days}d"))
-        sel = F.lit(True) if staff == K.ALL_STAFF else (F.col("operator") == staff)
+        sel = (F.lit(True) if staff == K.ALL_STAFF or not self.has_operator
+               else (F.col("operator") == staff))
         g = (period.withColumn("sel", F.coalesce(sel, F.lit(False)))
              .groupBy("sel", "close_reason").agg(F.sum("n").alias("n")))
         return evaluate(g, days, staff)

@@ -216,6 +216,29 @@ def test_close_reason_placeholder(spark):
     assert [tuple(r) for r in A.close_reason_dist(df).collect()] == [("Veri Yok", 1)]
 
 
+def test_performance_widgets_with_missing_columns(spark):
+    df = mk(spark, [{"customer_id": 1, "called_flag": "Evet", "operator": "a", "action_date": "2001-07-30",
+                     "close_reason": "r"}])
+    assert A.calls_by_staff(df.drop("action_date"), 30).count() == 0
+    assert A.calls_by_staff(df.drop("operator"), 30).count() == 0
+    assert A.reasons_by_staff(df.drop("close_reason")).count() == 0
+    assert A.team_evaluation(df.drop("action_date"), 30).count() == 0
+    ev = A.team_evaluation(df.drop("operator"), 30, "somebody").first()
+    assert ev.total_calls == 1 and ev.top_reason == "r"  # staff filter skipped
+    ev = A.team_evaluation(df.drop("close_reason"), 30).first()
+    assert ev.total_calls == 1 and ev.top_reason is None
+    from dealerlens.plans.dashboard import TeamPerformance
+    for missing in ("operator", "close_reason", "action_date"):
+        d = df.drop(missing)
+        page = TeamPerformance(d)
+        try:
+            assert page.calls_by_staff(30).collect() == A.calls_by_staff(d, 30).collect()
+            assert page.reasons_by_staff().collect() == A.reasons_by_staff(d).collect()
+            assert page.evaluation(30, "somebody").collect() == A.team_evaluation(d, 30, "somebody").collect()
+        finally:
+            page.close()
+
+
 def test_team_evaluation_empty_period(spark):
     df = mk(spark, [{"customer_id": 1, "called_flag": "Evet", "action_date": "1990-01-01"}])
     assert A.team_evaluation(df, 7).count() == 0
