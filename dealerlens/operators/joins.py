@@ -18,7 +18,10 @@ def cities(spark: SparkSession) -> DataFrame:
 
 
 def mappable_customers(df: DataFrame) -> DataFrame:
-    """Customers with a usable city text and its normalised key."""
+    """Customers with a usable city text and its normalised key (no city
+    column -> no rows, as the map page shows none)."""
+    if "city" not in df.columns:
+        df = df.withColumn("city", F.lit(None).cast("string"))
     c = F.col("city")
     return (df.where(c.isNotNull() & (c != "") & (c != "-"))
             .withColumn("city_key", normalize_city(c)))

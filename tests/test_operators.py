@@ -258,6 +258,11 @@ def test_birthday_calendar_feb29(spark):
     assert (first.week, first.weekday) == (0, 3)
 
 
+def test_map_without_city_column(spark):
+    df = mk(spark, [{"customer_id": 1, "city": "Bursa"}]).drop("city")
+    assert J.mappable_customers(df).count() == 0 and J.customer_geo(df).count() == 0
+
+
 def test_birthday_calendar_without_birth_dates(spark):
     df = mk(spark, [{"customer_id": 1, "full_name": "a"}]).drop("birth_date")
     cal = J.birthday_calendar(df, "2001-08-10 12:00:00")
