@@ -30,13 +30,15 @@ def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = No
     return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def land_events(spark: SparkSession, sf_dir: str, landing_dir: str, files: int = 6) -> str:
+def land_events(spark: SparkSession, sf_dir: str, landing_dir: str, files: int = 6,
+                slices: range | None = None) -> str:
     """Land the events table as ``files`` parquet files in time order (one
-    write per time slice, so file times follow event times)."""
+    write per time slice, so file times follow event times); ``slices``
+    lands only some of them (e.g. the first half now, the rest later)."""
     e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / files
-    for i in range(files):
+    for i in (slices if slices is not None else range(files)):
         start, end = lo + step * i, (hi if i == files - 1 else lo + step * (i + 1))
         cond = (F.col("ts") >= F.lit(start)) & ((F.col("ts") <= F.lit(end)) if i == files - 1
                                                else (F.col("ts") < F.lit(end)))
