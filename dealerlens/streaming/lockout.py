@@ -9,19 +9,23 @@ sequential fold rather than a window count.  Attempts are reported capped
 at the limit (only "at the limit" changes behaviour), so the state is
 (attempts in 0..max, unlock time).
 
-Batch form — an exact parallel fold that also splits a hot user:
+Batch form — a two-pass parallel scan, exact for any lock length and
+skew:
 
 1. Events are range-partitioned on (user, ts, event_id), so one user's
-   events may span many chunks, and each chunk is sorted.
-2. Each chunk folds every user run speculatively from every possible
-   entry state (attempts 0..max-1, or locked until any time within one lock
-   span of the run's start).  The trajectories merge after a few events;
-   from there on outcomes are final.  Left over: the unresolved prefix rows
-   and, for a merged run, one barrier row carrying its end state.
-3. The left-over rows are folded speculatively again in ``fanin`` times
-   fewer, longer chunks (a barrier resolves everything after it), and so
-   on; a sorted sequential fold finishes what remains.  Longer chunks let
-   lock chains that outlast a short chunk merge at the next level.
+   events may span many chunks; each chunk is sorted.
+2. Pass 1 follows every entry class of each (user, chunk) run at once:
+   attempts 0..max-1, or "at the limit, locked until u" for u up to one
+   lock span after the run's first event (the classes are intervals
+   between event times).  Equal states merge (union-find), so the cost per
+   event is the number of distinct live states.  The run's transfer
+   function (entry class -> exit state, intervals run-length compressed) is
+   written as one summary row; where all trajectories merged, outcomes are
+   final already.
+3. A stitch walks each user's summaries in chunk order (at most one row per
+   chunk) and yields every run's true entry state.
+4. Pass 2 re-folds the unresolved prefixes of the runs from their entry
+   states, in parallel.
 
 Stream form: ``applyInPandasWithState`` keeps (attempts, unlock) per user
 between micro-batches.
@@ -76,178 +80,239 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ts.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-class _Run:
-    """Speculative fold of one user's rows inside one chunk.
+# ---------------------------------------------------------------------------
+# Two-pass parallel scan: per-chunk transfer summaries, a stitch over the
+# summaries, then a re-fold of every chunk from its known entry state.
+# ---------------------------------------------------------------------------
 
-    Entry states considered: attempts 0..max-1 (the unlock time does not
-    matter below the limit), at the limit and unlocked, and locked until
-    any time up to one lock span after the run's first row (such entries
-    start counting at a later row; they are injected row by row while
-    that can still happen).  A barrier row carries a known state and
-    resolves everything after it."""
+SUMMARY_SCHEMA = ("kind string, event_id long, user_name string, ts timestamp_ntz, success boolean, "
+                  "outcome string, attempts long, chunk_ts long, chunk_eid long, c_a array<long>, "
+                  "c_u array<long>, g_upper array<long>, g_a array<long>, g_u array<long>")
+ENTRY_SCHEMA = "user_name string, chunk_ts long, chunk_eid long, entry_a long, entry_u long"
+
+
+class _Transfer:
+    """Exit state of one user's run inside a chunk as a function of its
+    entry state.  Entry classes: attempts c in 0..max-1 (unlock time
+    irrelevant), and 'at the limit, locked until u' for u up to one lock
+    span after the run's first event — such an entry starts counting at
+    the first event at or after u, so the classes are the intervals
+    (t_{j-1}, t_j] of event times.  Trajectories are followed together;
+    equal states merge (union-find), so the work per event is the number
+    of distinct live states, small even when lock phases never realign."""
 
     def __init__(self, t0: int, max_attempts: int, lock_us: int):
         self.M, self.L = max_attempts, lock_us
         self.horizon = t0 + lock_us
         self.pending = True
-        self.states = {(c, NO_LOCK) for c in range(max_attempts)}
-        self.merged = False
-        self.last = None  # (ts, event_id) of the run's last row
+        self.parent: list[int] = []
+        self.states: dict = {}
+        self.c_tid = []
+        for c in range(max_attempts):
+            tid = self._new()
+            self.states[(c, NO_LOCK)] = tid
+            self.c_tid.append(tid)
+        self.g: list[tuple[int, int]] = []  # (upper bound t_j, trajectory id)
+        self.merged = False  # one live state left and no entry class pending
+
+    def _new(self) -> int:
+        self.parent.append(len(self.parent))
+        return len(self.parent) - 1
+
+    def _find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
 
     def feed(self, t: int, success: bool):
-        """An event: (outcome, attempts) once merged, else None (prefix)."""
+        """Advance all trajectories; once they have merged, the event's
+        final (outcome, attempts), else None."""
         M, L = self.M, self.L
         if self.merged:
-            (a, u), = self.states
+            ((a, u), tid), = self.states.items()
             a, u, o = step(a, u, t, success, M, L)
-            self.states = {(a, u)}
+            self.states = {(a, u): tid}
             return o, a
-        if self.pending:  # entry locked until a time in (previous row, t]
-            self.states.add((M, NO_LOCK))
-        nxt = set()
-        for a, u in self.states:
+        if self.pending:  # entries locked until a time in (previous event, t]
+            key = (M, NO_LOCK)
+            if key not in self.states:
+                self.states[key] = self._new()
+            self.g.append((t, self.states[key]))
+        nxt: dict = {}
+        for (a, u), tid in self.states.items():
             if a >= M and u <= t:
                 u = NO_LOCK
             a, u, _ = step(a, u, t, success, M, L)
-            nxt.add((a, u))
+            if (a, u) in nxt:
+                self.parent[self._find(tid)] = self._find(nxt[(a, u)])
+            else:
+                nxt[(a, u)] = self._find(tid)
         self.states = nxt
         self.pending = t < self.horizon
-        if not self.pending and len(nxt) == 1:
-            self.merged = True
+        self.merged = not self.pending and len(nxt) == 1
         return None
 
-    def barrier(self, a: int, u: int):
-        self.states, self.merged, self.pending = {(a, u)}, True, False
-
-    def exit_state(self):
-        (a, u), = self.states
-        return a, u
-
-
-ROW_SCHEMA = ("kind string, event_id long, user_name string, ts timestamp_ntz, success boolean, "
-              "outcome string, attempts long, exit_a long, exit_u long")
-_COLS = ["kind", "event_id", "user_name", "ts", "success", "outcome", "attempts", "exit_a", "exit_u"]
-_ORDER = ["user_name", "ts", "event_id", "is_barrier"]
-
-
-def _frame(rows):
-    df = pd.DataFrame(rows, columns=_COLS)
-    for c in ("event_id", "attempts", "exit_a", "exit_u"):
-        df[c] = df[c].astype("Int64")
-    df["ts"] = pd.to_datetime(df["ts"])
-    df["success"] = df["success"].astype("boolean")
-    return df
-
-
-def _speculate(max_attempts: int, lock_us: int):
-    """One level: rows sorted by (user, ts, event_id, barrier last) inside
-    each chunk.  Emits 'resolved' events, unresolved 'event' rows and a
-    'barrier' at the end of every run that merged."""
+    def summary(self):
+        final = {self._find(tid): st for st, tid in self.states.items()}
+        c_exit = [final[self._find(tid)] for tid in self.c_tid]
+        g_upper, g_exit = [], []
+        for t, tid in self.g:  # consecutive classes with the same exit -> one run
+            ex = final[self._find(tid)]
+            if g_exit and g_exit[-1] == ex:
+                g_upper[-1] = t
+            else:
+                g_upper.append(t)
+                g_exit.append(ex)
+        return c_exit, g_upper, g_exit
+
+
+def _summarize(max_attempts: int, lock_us: int):
+    """Pass 1: tag every event with its run's chunk key and emit one
+    transfer summary per (user, chunk) run."""
     def run(batches):
-        cur, user = None, None
+        cur, user, key = None, None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             users = pdf["user_name"].to_numpy()
-            is_b = pdf["kind"].to_numpy() == "barrier"
             t_us = _micros(pdf["ts"])
             eids = pdf["event_id"].to_numpy()
             succ = pdf["success"].eq(True).to_numpy()
-            ex_a, ex_u = pdf["exit_a"].to_numpy(), pdf["exit_u"].to_numpy()
-            ts = pdf["ts"].to_numpy()
-            rows = []
+            ck_ts = np.empty(len(pdf), dtype=np.int64)
+            ck_eid = np.empty(len(pdf), dtype=np.int64)
+            outcome = np.full(len(pdf), None, dtype=object)
+            attempts = np.full(len(pdf), None, dtype=object)
+            summaries = []
             for i in range(len(pdf)):
                 if users[i] != user:
-                    if cur is not None and cur.merged:
-                        rows.append(_barrier_row(user, cur))
-                    user = users[i]
-                    cur = _Run(int(t_us[i]), max_attempts, lock_us)
-                cur.last = (ts[i], int(eids[i]))
-                if is_b[i]:
-                    cur.barrier(int(ex_a[i]), int(ex_u[i]))
-                    continue
+                    if cur is not None:
+                        summaries.append(_summary_row(user, key, cur))
+                    user, key = users[i], (int(t_us[i]), int(eids[i]))
+                    cur = _Transfer(int(t_us[i]), max_attempts, lock_us)
                 res = cur.feed(int(t_us[i]), bool(succ[i]))
-                if res is None:
-                    rows.append(("event", int(eids[i]), user, ts[i], bool(succ[i]), None, None, None, None))
-                else:
-                    rows.append(("resolved", int(eids[i]), user, ts[i], None, res[0], int(res[1]), None, None))
-            yield _frame(rows)
-        if cur is not None and cur.merged:
-            yield _frame([_barrier_row(user, cur)])
+                if res is not None:
+                    outcome[i], attempts[i] = res
+                ck_ts[i], ck_eid[i] = key
+            none = pd.Series([None] * len(pdf), dtype=object)
+            yield pd.DataFrame({"kind": "event", "event_id": pdf["event_id"], "user_name": pdf["user_name"],
+                                "ts": pdf["ts"], "success": pdf["success"], "outcome": outcome,
+                                "attempts": attempts, "chunk_ts": ck_ts, "chunk_eid": ck_eid,
+                                "c_a": none, "c_u": none, "g_upper": none, "g_a": none, "g_u": none})
+            if summaries:
+                yield _summary_frame(summaries)
+        if cur is not None:
+            yield _summary_frame([_summary_row(user, key, cur)])
     return run
 
 
-def _barrier_row(user, run: _Run):
-    a, u = run.exit_state()
-    return ("barrier", run.last[1], user, run.last[0], None, None, None, a, u)
+def _summary_row(user, key, t: _Transfer):
+    c_exit, g_upper, g_exit = t.summary()
+    return {"kind": "summary", "user_name": user, "chunk_ts": key[0], "chunk_eid": key[1],
+            "c_a": [a for a, _ in c_exit], "c_u": [u for _, u in c_exit],
+            "g_upper": g_upper, "g_a": [a for a, _ in g_exit], "g_u": [u for _, u in g_exit]}
+
+
+def _summary_frame(rows):
+    df = pd.DataFrame(rows, columns=["kind", "event_id", "user_name", "ts", "success", "outcome", "attempts",
+                                     "chunk_ts", "chunk_eid", "c_a", "c_u", "g_upper", "g_a", "g_u"])
+    df["event_id"] = pd.Series([None] * len(df), dtype="Int64")
+    df["attempts"] = pd.Series([None] * len(df), dtype="Int64")
+    df["outcome"] = pd.Series([None] * len(df), dtype=object)
+    df["ts"] = pd.Series([pd.NaT] * len(df), dtype="datetime64[us]")
+    df["success"] = pd.Series([None] * len(df), dtype="boolean")
+    return df
 
 
-def _final_fold(max_attempts: int, lock_us: int):
-    """Last level: per user in order, events folded from the true state,
-    barriers set the state.  State carries across Arrow batches."""
+def _stitch(max_attempts: int):
+    """Per user, over its chunk summaries in chunk order (at most one per
+    chunk, arriving sorted): the true entry state of every chunk.  The
+    state carries across Arrow batches."""
     def run(batches):
         user, a, u = None, 0, NO_LOCK
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ea = np.empty(len(pdf), dtype=np.int64)
+            eu = np.empty(len(pdf), dtype=np.int64)
+            for i, r in enumerate(pdf.itertuples(index=False)):
+                if r.user_name != user:
+                    user, a, u = r.user_name, 0, NO_LOCK
+                ea[i], eu[i] = a, u
+                if a < max_attempts:
+                    a, u = int(r.c_a[a]), int(r.c_u[a])
+                else:
+                    for k, upper in enumerate(r.g_upper):
+                        if u <= upper:
+                            a, u = int(r.g_a[k]), int(r.g_u[k])
+                            break
+                    # u beyond every class: the whole run fell inside the lock
+            yield pd.DataFrame({"user_name": pdf["user_name"], "chunk_ts": pdf["chunk_ts"],
+                                "chunk_eid": pdf["chunk_eid"], "entry_a": ea, "entry_u": eu})
+    return run
+
+
+def _refold(max_attempts: int, lock_us: int):
+    """Pass 2: each (user, chunk) run folded from its entry state."""
+    def run(batches):
+        key, a, u = None, 0, NO_LOCK
         for pdf in batches:
             if pdf.empty:
                 continue
             users = pdf["user_name"].to_numpy()
-            is_b = pdf["kind"].to_numpy() == "barrier"
+            cks, cke = pdf["chunk_ts"].to_numpy(), pdf["chunk_eid"].to_numpy()
+            ea, eu = pdf["entry_a"].to_numpy(), pdf["entry_u"].to_numpy()
             t_us = _micros(pdf["ts"])
             succ = pdf["success"].eq(True).to_numpy()
-            ex_a, ex_u = pdf["exit_a"].to_numpy(), pdf["exit_u"].to_numpy()
             outcome = np.empty(len(pdf), dtype=object)
-            attempts = np.zeros(len(pdf), dtype=np.int64)
+            attempts = np.empty(len(pdf), dtype=np.int64)
             for i in range(len(pdf)):
-                if users[i] != user:
-                    user, a, u = users[i], 0, NO_LOCK
-                if is_b[i]:
-                    a, u = int(ex_a[i]), int(ex_u[i])
-                else:
-                    a, u, outcome[i] = step(a, u, int(t_us[i]), bool(succ[i]), max_attempts, lock_us)
-                    attempts[i] = a
-            keep = ~is_b
-            yield pd.DataFrame({"event_id": pdf["event_id"][keep].astype("int64"),
-                                "user_name": pdf["user_name"][keep], "ts": pdf["ts"][keep],
-                                "outcome": outcome[keep], "attempts": attempts[keep]})
+                k = (users[i], cks[i], cke[i])
+                if k != key:
+                    key, a, u = k, int(ea[i]), int(eu[i])
+                a, u, outcome[i] = step(a, u, int(t_us[i]), bool(succ[i]), max_attempts, lock_us)
+                attempts[i] = a
+            yield pd.DataFrame({"event_id": pdf["event_id"], "user_name": pdf["user_name"], "ts": pdf["ts"],
+                                "outcome": outcome, "attempts": attempts})
     return run
 
 
-def _sorted(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_barrier", F.col("kind") == "barrier")
-
-
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
-                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None, fanin: int = 8) -> DataFrame:
+                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None) -> DataFrame:
     """Outcome of every attempt: success / failure / locked (a failure that
     reaches the limit) / ignored (arrived while locked), with the attempts
     count (capped at the limit) after it.
     ``events``: event_id, ts (timestamp_ntz), user_name, success.
 
-    Levels of speculative folding over range chunks of (user, ts): level
-    one sees all events in ``chunks`` chunks; each next level sees only the
-    unresolved rows plus one barrier per merged run, in ``fanin`` times
-    fewer (so longer) chunks; a sorted sequential fold finishes the rest."""
+    Pass 1 folds each range chunk of (user, ts) from every entry class at
+    once and writes a transfer summary per (user, chunk) run (outcomes are
+    final already where the trajectories merged); a stitch over the
+    summaries — at most one row per chunk and user — gives each run its
+    true entry state; pass 2 re-folds only the unresolved prefixes, in
+    parallel."""
     spark = events.sparkSession
     checkpoint_dir(spark)
     lock_us = lock_s * 1_000_000
-    n0 = n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = events.select(F.lit("event").alias("kind"), "event_id", "user_name", "ts", "success",
-                         F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("long").alias("attempts"),
-                         F.lit(None).cast("long").alias("exit_a"), F.lit(None).cast("long").alias("exit_u"))
-    done = []
-    while n > 1:
-        level = (_sorted(rows).repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).drop("is_barrier")
-                 .mapInPandas(_speculate(max_attempts, lock_us), ROW_SCHEMA)
-                 .checkpoint(eager=True))  # feeds two branches; lineage cut in the shared folder
-        done.append(level.where(F.col("kind") == "resolved"))
-        rows = level.where(F.col("kind") != "resolved")
-        n //= fanin
-    last = (_sorted(rows).repartition(n0, "user_name").sortWithinPartitions(*_ORDER)
-            .drop("is_barrier").mapInPandas(_final_fold(max_attempts, lock_us), OUT_SCHEMA))
-    out = last
-    for d in done:
-        out = d.select("event_id", "user_name", "ts", "outcome", "attempts").unionByName(out)
-    return out
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["user_name", "ts", "event_id"]
+    p1 = (events.select("event_id", "ts", "user_name", "success")
+          .repartitionByRange(n, *order).sortWithinPartitions(*order)
+          .mapInPandas(_summarize(max_attempts, lock_us), SUMMARY_SCHEMA)
+          .checkpoint(eager=True))  # feeds two branches; lineage cut in the shared folder
+    entries = (p1.where(F.col("kind") == "summary")
+               .select("user_name", "chunk_ts", "chunk_eid", "c_a", "c_u", "g_upper", "g_a", "g_u")
+               .repartition(n, "user_name").sortWithinPartitions("user_name", "chunk_ts", "chunk_eid")
+               .mapInPandas(_stitch(max_attempts), ENTRY_SCHEMA))
+    keys = ["user_name", "chunk_ts", "chunk_eid"]
+    events_p1 = p1.where(F.col("kind") == "event")
+    resolved = events_p1.where(F.col("outcome").isNotNull()).select(
+        "event_id", "user_name", "ts", "outcome", "attempts")
+    prefix = events_p1.where(F.col("outcome").isNull()).select("event_id", "ts", "success", *keys)
+    refolded = (prefix.join(entries, keys, "inner")
+                .repartition(n, *keys).sortWithinPartitions(*keys, "ts", "event_id")
+                .mapInPandas(_refold(max_attempts, lock_us), OUT_SCHEMA))
+    return resolved.unionByName(refolded)
 
 
 def _state_fn(max_attempts: int, lock_us: int):

@@ -311,6 +311,22 @@ def test_login_lockout_many_chunks(spark):
     assert parts.count() == hot.count()
 
 
+def test_login_lockout_splits_a_hot_user_with_long_locks(spark):
+    """A user with a third of the attempts and a one-day lock (lock phases
+    never realign): spread over many chunks, each summarised by a small
+    transfer table."""
+    from dealerlens.streaming import lockout as LK
+    ev = fx.auth_events(spark, SF01)
+    hot = ev.withColumn("user_name", F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("user_name")))
+    order = ["user_name", "ts", "event_id"]
+    p1 = (hot.repartitionByRange(64, *order).sortWithinPartitions(*order)
+          .mapInPandas(LK._summarize(3, 86400 * 10**6), LK.SUMMARY_SCHEMA))
+    s = p1.where("kind = 'summary' AND user_name = 'hot'").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max(F.size("g_upper")).alias("g")).first()
+    n_hot = hot.where("user_name = 'hot'").count()
+    assert s.chunks >= 16 and s.g < n_hot / s.chunks
+
+
 def test_lockout_edges():
     import numpy as np
     s = 1_000_000
