@@ -278,6 +278,15 @@ def _refold(max_attempts: int, lock_us: int):
     return run
 
 
+def attempts(events: DataFrame) -> DataFrame:
+    """Login attempts keyed as the page keys them: user name stripped and
+    lower-cased; an attempt without a user name or time is not counted."""
+    from ..functions import ustrip
+    key = F.lower(ustrip(F.col("user_name")))
+    return (events.select("event_id", "ts", key.alias("user_name"), "success")
+            .where(F.col("user_name").isNotNull() & (F.col("user_name") != "") & F.col("ts").isNotNull()))
+
+
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
                   lock_s: int = K.LOCKOUT_S, chunks: int | None = None) -> DataFrame:
     """Outcome of every attempt: success / failure / locked (a failure that
@@ -296,7 +305,7 @@ def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
     lock_us = lock_s * 1_000_000
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["user_name", "ts", "event_id"]
-    p1 = (events.select("event_id", "ts", "user_name", "success")
+    p1 = (attempts(events)
           .repartitionByRange(n, *order).sortWithinPartitions(*order)
           .mapInPandas(_summarize(max_attempts, lock_us), SUMMARY_SCHEMA)
           .checkpoint(eager=True))  # feeds two branches; lineage cut in the shared folder
@@ -333,10 +342,10 @@ def _state_fn(max_attempts: int, lock_us: int):
 def lockout_stream(events_stream: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
                    lock_s: int = K.LOCKOUT_S) -> DataFrame:
     """Streaming plan over raw events ('error' = failure, 'signup' = success)."""
-    auth = events_stream.where(F.col("event_type").isin("error", "signup")).select(
+    auth = attempts(events_stream.where(F.col("event_type").isin("error", "signup")).select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.col("user_id").cast("string").alias("user_name"),
-        (F.col("event_type") == "signup").alias("success"))
+        (F.col("event_type") == "signup").alias("success")))
     return auth.groupBy("user_name").applyInPandasWithState(
         _state_fn(max_attempts, lock_s * 1_000_000), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)

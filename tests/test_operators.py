@@ -327,6 +327,17 @@ def test_login_lockout_splits_a_hot_user_with_long_locks(spark):
     assert s.chunks >= 16 and s.g < n_hot / s.chunks
 
 
+def test_lockout_user_key_is_normalised(spark):
+    t = dt.datetime(2001, 8, 1)
+    rows = [(1, " Ali@X.com", t, False), (2, "ali@x.com", t + dt.timedelta(seconds=1), False),
+            (3, "ALI@x.com ", t + dt.timedelta(seconds=2), False), (4, "ali@x.com", t + dt.timedelta(seconds=3), True),
+            (5, "", t, False), (6, None, t, False)]
+    df = spark.createDataFrame(rows, "event_id long, user_name string, ts timestamp_ntz, success boolean")
+    got = {r.event_id: (r.user_name, r.outcome) for r in login_lockout(df, 3, 180).collect()}
+    assert got == {1: ("ali@x.com", "failure"), 2: ("ali@x.com", "failure"),
+                   3: ("ali@x.com", "locked"), 4: ("ali@x.com", "ignored")}
+
+
 def test_lockout_edges():
     import numpy as np
     s = 1_000_000
