@@ -353,12 +353,13 @@ def lockout_stream(events_stream: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
 
 def run_lockout_stream(spark: SparkSession, sf_dir: str, max_attempts: int = K.MAX_ATTEMPTS,
                        lock_s: int = K.LOCKOUT_S, out_path: str | None = None,
-                       landing_dir: str | None = None) -> DataFrame:
+                       landing_dir: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """Run the lockout stream to the end of the landed data (availableNow);
     files must land in event-time order (state carries across batches)."""
     from .reminders import events_stream
     out_path = out_path or scratch_path(spark, "login_lockout")
-    q = (lockout_stream(events_stream(spark, sf_dir, landing_dir), max_attempts, lock_s).writeStream
+    q = (lockout_stream(events_stream(spark, sf_dir, landing_dir, files_per_trigger),
+                        max_attempts, lock_s).writeStream
          .format("parquet").outputMode("append")
          .option("path", out_path)
          .option("checkpointLocation", out_path + "_checkpoint")

@@ -19,12 +19,14 @@ from ..session import scratch_path
 WATERMARK = "3 hours"  # longer than the 2 h 5 min alert window
 
 
-def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = None) -> DataFrame:
-    """Events as a file stream, one landed file per micro-batch: the
-    ``events.parquet`` table of ``sf_dir``, or every parquet file arriving
-    in ``landing_dir``."""
+def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = None,
+                  files_per_trigger: int = 1) -> DataFrame:
+    """Events as a file stream: the ``events.parquet`` table of ``sf_dir``,
+    or every parquet file arriving in ``landing_dir``; ``files_per_trigger``
+    landed files per micro-batch (raise it to catch up on a backlog; files
+    must land in event-time order for the lockout's per-user state)."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if landing_dir is not None:
         return r.option("pathGlobFilter", "*.parquet").parquet(landing_dir)
     return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -63,11 +65,11 @@ def alert_stream(events: DataFrame) -> DataFrame:
 
 
 def run_reminder_alerts(spark: SparkSession, sf_dir: str, out_path: str | None = None,
-                        landing_dir: str | None = None) -> DataFrame:
+                        landing_dir: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """Run the alert stream to the end of the landed data (availableNow)
     and return what the sink holds."""
     out_path = out_path or scratch_path(spark, "reminder_alerts")
-    q = (alert_stream(events_stream(spark, sf_dir, landing_dir)).writeStream
+    q = (alert_stream(events_stream(spark, sf_dir, landing_dir, files_per_trigger)).writeStream
          .format("parquet").outputMode("append")
          .option("path", out_path)
          .option("checkpointLocation", out_path + "_checkpoint")

@@ -371,6 +371,8 @@ def test_streams_over_several_micro_batches(spark):
     from dealerlens.streaming.reminders import land_events, run_reminder_alerts
     landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=6)
     stream = run_reminder_alerts(spark, SF01, landing_dir=landing)
+    two_per_batch = run_reminder_alerts(spark, SF01, landing_dir=landing, files_per_trigger=2)
+    assert two_per_batch.exceptAll(stream).count() == 0 and two_per_batch.count() == stream.count()
     batch = J.reminders_alerted(fx.poll_ticks(spark, SF01), fx.stream_reminders(spark, SF01))
     assert stream.count() == batch.count() == 350
     assert batch.exceptAll(stream).count() == 0
