@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, packing
+from . import fair_mix, feistel, kn_toxicity, packing
+from .labels import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _classified(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op10_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = kn_toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _classified(kn_toxicity.score(docs, model, keep=("doc_id",)), kn_toxicity.THRESHOLD)
+
+
 QUERIES = {
     "op2_feistel_sharding": op2_feistel_sharding,
     "op4_fair_mix": op4_fair_mix,
+    "op10_kn_toxicity": op10_kn_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
