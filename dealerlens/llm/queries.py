@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, kn_toxicity, packing
+from . import fair_mix, feistel, kn_toxicity, line_crf, packing
 from .labels import held_out
 
 
@@ -25,6 +25,12 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = line_crf.fit(docs, _table(spark, sf_dir, "labels"))
+    return _classified(line_crf.score(docs, field, keep=("doc_id",)), line_crf.THRESHOLD)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -45,6 +51,7 @@ QUERIES = {
     "op2_feistel_sharding": op2_feistel_sharding,
     "op4_fair_mix": op4_fair_mix,
     "op10_kn_toxicity": op10_kn_toxicity,
+    "op5_line_crf_quality": op5_line_crf_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
