@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, kn_toxicity, line_crf, packing
+from . import fair_mix, feistel, kn_toxicity, line_crf, packing, simhash, trie_tokens
 from .labels import held_out
 
 
@@ -20,6 +20,10 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fair_mix.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +35,10 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(line_crf.score(docs, field, keep=("doc_id",)), line_crf.THRESHOLD)
 
 
+def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_tokens.token_counts(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -52,6 +60,8 @@ QUERIES = {
     "op4_fair_mix": op4_fair_mix,
     "op10_kn_toxicity": op10_kn_toxicity,
     "op5_line_crf_quality": op5_line_crf_quality,
+    "op3_simhash_fingerprints": op3_simhash_fingerprints,
+    "op8_trie_token_counts": op8_trie_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
