@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, kn_toxicity, line_crf, packing, simhash, trie_tokens
+from . import fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens
 from .labels import held_out
 
 
@@ -35,6 +35,10 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(line_crf.score(docs, field, keep=("doc_id",)), line_crf.THRESHOLD)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_tokens.token_counts(_table(spark, sf_dir, "documents"), keep=("doc_id",))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_line_crf_quality": op5_line_crf_quality,
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op8_trie_token_counts": op8_trie_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
