@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens
+from . import fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens, uniform_topk
 from .labels import held_out
 
 
@@ -39,6 +39,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op7_uniform_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_tokens.token_counts(_table(spark, sf_dir, "documents"), keep=("doc_id",))
 
@@ -67,7 +71,19 @@ QUERIES = {
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op8_trie_token_counts": op8_trie_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_uniform_topk": op7_uniform_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_uniform_topk": """
+        WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id,
+                     list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
