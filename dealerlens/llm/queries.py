@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens, uniform_topk
+from . import block_labeller, fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens, uniform_topk
 from .labels import held_out
 
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    out = block_labeller.extract(pages, block_labeller.fit(pages), keep=("page_id", "url"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = feistel.shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -64,6 +70,7 @@ def op10_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_block_labeller": op1_block_labeller,
     "op2_feistel_sharding": op2_feistel_sharding,
     "op4_fair_mix": op4_fair_mix,
     "op10_kn_toxicity": op10_kn_toxicity,
