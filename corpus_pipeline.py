@@ -1,14 +1,89 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences, stage by stage.
+
+``STAGES`` holds (name, function) pairs.  Each function takes (spark, docs,
+sf_dir) and returns the documents that go on, with the columns of
+``documents``; the last returns the packed pieces.  Between stages the rows
+are written as Parquet and read again.
+
+Rows without text or id pass the filters like others: an empty text has a
+score of its own in the classifiers, and a row without an id links with
+nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dealerlens.llm import fair_mix, jaccard_join, kn_toxicity, line_crf, packing
+from dealerlens.llm.common import prepare, stored
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney models don't call toxic."""
+    model = kn_toxicity.fit(docs, _labels(spark, sf_dir))
+    scored = kn_toxicity.score(docs, model, out="_score")
+    return scored.where(F.col("_score") < kn_toxicity.THRESHOLD).drop("_score")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field over lines calls good."""
+    field = line_crf.fit(docs, _labels(spark, sf_dir))
+    scored = line_crf.score(docs, field, out="_score")
+    return scored.where(F.col("_score") >= line_crf.THRESHOLD).drop("_score")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near copies (five words, similarity 0.8) the
+    document with the smallest id; of rows that repeat an id, one."""
+    prepare(spark)
+    groups = stored(jaccard_join.groups(docs).select("doc_id", "component_id"), "pipeline-groups")
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    repeated = stored(groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                      .where("n > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = (kept.join(repeated, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1")
+            .select(docs.columns))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weighted fair queue takes it."""
+    prepare(spark)
+    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "pipeline-rows")
+    taken = fair_mix.mix(rows, keep=("_rid",)).where("copies > 0").select("_rid", "copies")
+    return (rows.join(taken, "_rid").withColumn("_lap", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select(docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    out = packing.pack_documents(docs)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near_copies", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Learned classifiers and tokenisers are not expressible in SQL.
+#: Learned classifiers and tokenisers can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
