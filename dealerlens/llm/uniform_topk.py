@@ -3,16 +3,16 @@
 A score is the sum of ``PARTS`` partial scores, each over every ``PARTS``-th
 component; a list holds one part's scores of one query.  Lists are computed in
 cells of a grid, a block of queries against a chunk of vectors, by one matrix
-product per cell.  Partial scores count from the list's lowest, so that sums
-of known parts are lower bounds.
+product per part.  Partial scores count from the list's lowest value.
 
-1. Every cell gives its ``k`` highest entries and its lowest value.  The k-th
-   highest sum of known parts is a safe cutoff ``t1`` for the query.
-2. With the cutoff joined to the queries, every cell gives all entries of at
-   least ``t1 / PARTS``: whoever reaches ``t1`` in all has one.  Sums of known
-   parts give a better cutoff ``t2``; entries whose upper bound (``t1 /
-   PARTS`` for each unknown part) stays below it go.
-3. The few left are scored exactly from the vectors, and ranked.
+1. Every cell gives, per query and part, its list's ``k`` highest entries with
+   their whole scores, and the list's lowest value.  The k-th highest score
+   among them is a safe cutoff: k rows reach it.
+2. The cutoff and the lowest values travel with the queries to every cell.  A
+   row that reaches the cutoff has a part of at least the cutoff's share, the
+   uniform threshold; every cell collects the entries above it.
+3. Collected entries whose remaining parts don't lift them to the cutoff go;
+   the few left have exact scores and are ranked.
 
 Vectors with equal components tie everywhere, so only the ``k + 1`` smallest
 ids of each distinct vector can rank (one may be the query's own); the others
@@ -39,7 +39,7 @@ PARTS = 2
 SCALE = 1024
 BOUND = 1 << 24
 BLOCK_QUERIES = 1024
-CHUNK_VECTORS = 8192
+CHUNK_VECTORS = 4096
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -62,48 +62,67 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _products(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Integer inner products; the fast float product where it is exact."""
-    width = max(map(len, [*left, *right]), default=0)
-    a, b = _matrix(left, width), _matrix(right, width)
+def _partials(queries: pd.Series, vectors: pd.Series) -> list[np.ndarray]:
+    """Integer partial scores (queries x vectors) of every part; the fast
+    float product where it is exact."""
+    width = max(map(len, [*queries, *vectors]), default=0)
+    a, b = _matrix(queries, width), _matrix(vectors, width)
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(width, 1) < 2 ** 53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return np.einsum("id,jd->ij", a, b)
+        a, b = a.astype(float), b.astype(float)
+        return [(a[:, j::PARTS] @ b[:, j::PARTS].T).astype(np.int64) for j in range(PARTS)]
+    return [np.einsum("id,jd->ij", a[:, j::PARTS], b[:, j::PARTS]) for j in range(PARTS)]
 
 
-def _first_lists(k: int):
+LISTS = "query_id long, part int, row long, score long, low long"
+RESOLVED = "query_id long, vec_id long, row long, score long"
+
+
+def _frame(schema: str, *columns) -> pd.DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pd.DataFrame(dict(zip(names, columns or [[]] * len(names), strict=True)))
+
+
+def _lists(k: int):
     def lists(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": [], "part": [], "vec_id": [], "row": [], "partial": [], "low": []})
-        p = _products(queries["q"], vectors["q"])
-        ids, rows = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy()
-        own = queries["query_id"].to_numpy()[:, None] == ids[None, :]
-        part = queries["part"].iloc[0]
-        out = []
-        for i, query in enumerate(queries["query_id"]):
-            open_ = np.flatnonzero(~own[i])
-            if not len(open_):
-                continue
-            score = p[i, open_]
-            n = min(k, len(open_))
-            top = open_[np.argpartition(-score, n - 1)[:n]]
-            out.append(pd.DataFrame({"query_id": query, "part": part, "vec_id": ids[top], "row": rows[top],
-                                     "partial": p[i, top], "low": score.min()}))
-        return pd.concat(out) if out else lists(queries[:0], vectors)
+        """Phase 1 in one cell."""
+        out = [_frame(LISTS)]
+        if len(queries) and len(vectors):
+            parts = _partials(queries["q"], vectors["q"])
+            score = sum(parts)
+            asker, rows = queries["query_id"].to_numpy(), vectors["row"].to_numpy()
+            own = asker[:, None] == vectors["vec_id"].to_numpy()[None, :]
+            n = min(k, len(vectors))
+            for j, p in enumerate(parts):
+                low = p.min(1)
+                top = np.argpartition(np.where(own, np.iinfo(np.int64).max, -p), n - 1, axis=1)[:, :n]
+                i = np.repeat(np.arange(len(asker)), n)
+                c = top.ravel()
+                use = ~own[i, c]
+                i, c = i[use], c[use]
+                out.append(_frame(LISTS, asker[i], j, rows[c], score[i, c], low[i]))
+        return pd.concat(out)
 
     return lists
 
 
-def _entries(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    """All entries of at least the query's uniform threshold."""
+def _resolve(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    """Phases 2 and 3 in one cell: the entries above the uniform threshold,
+    and of those the ones whose whole score reaches the cutoff."""
     if not len(queries) or not len(vectors):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "known": []})
-    p = _products(queries["q"], vectors["q"]) - queries["low"].to_numpy()[:, None]
-    ids = vectors["vec_id"].to_numpy()
-    keep = (p * PARTS >= queries["t1"].to_numpy()[:, None]) & (queries["query_id"].to_numpy()[:, None] != ids[None, :])
-    i, j = np.nonzero(keep)
-    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[i], "vec_id": ids[j],
-                         "row": vectors["row"].to_numpy()[j], "known": p[i, j]})
+        return _frame(RESOLVED)
+    parts = _partials(queries["q"], vectors["q"])
+    asker, ids = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy()
+    cutoff, lows = queries["cutoff"].to_numpy(np.int64), _matrix(queries["lows"], PARTS)
+    above = cutoff - lows.sum(1)
+    collected = np.zeros(parts[0].shape, bool)
+    for j, p in enumerate(parts):
+        collected |= (p - lows[:, j:j + 1]) * PARTS >= above[:, None]
+    collected &= asker[:, None] != ids[None, :]
+    i, c = np.nonzero(collected)
+    score = sum(p[i, c] for p in parts)
+    left = score >= cutoff[i]
+    i, c = i[left], c[left]
+    return _frame(RESOLVED, asker[i], ids[c], vectors["row"].to_numpy()[c], score[left])
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
@@ -118,53 +137,30 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     able = stored(rows.withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place"), "topk-vectors")
     chunks = max(1, -(-able.count() // CHUNK_VECTORS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    cell = ["part", "block", "chunk"]
-
-    def deal(df: DataFrame, key: str) -> DataFrame:
-        """The rows' own block or chunk, every one of the other, every part."""
-        b, c = F.pmod(F.xxhash64(F.lit(1), key), F.lit(blocks)), F.pmod(F.xxhash64(F.lit(2), key), F.lit(chunks))
-        if key == "query_id":
-            df = df.withColumn("block", b).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        else:
-            df = df.withColumn("chunk", c).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        df = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        return (df.withColumn("q", F.filter("q", lambda x, i: i % PARTS == F.col("part")))
-                .withColumn("block", F.col("block").cast("int")).withColumn("chunk", F.col("chunk").cast("int")))
-
-    dealt = deal(able, "vec_id").groupBy(cell)
-    first = stored(deal(queries, "query_id").groupBy(cell).cogroup(dealt).applyInPandas(
-        _first_lists(k), "query_id long, part int, vec_id long, row long, partial long, low long"), "topk-lists")
-    lows = stored(first.groupBy("query_id", "part").agg(F.min("low").alias("low")), "topk-lows")
-    best = Window.partitionBy("query_id", "part").orderBy(F.desc("partial"), "row")
-    lists = first.drop("low").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
-    sums = (lists.join(lows, ["query_id", "part"]).groupBy("query_id", "row")
-            .agg(F.sum(F.col("partial") - F.col("low")).alias("known")))
-    t1 = _kth(sums, "known", k, "t1")
-    cut = queries.join(t1, "query_id")
-
-    # 2: entries above the uniform threshold
-    with_low = deal(cut, "query_id").join(lows, ["query_id", "part"])
-    entries = with_low.groupBy(cell).cogroup(deal(able, "vec_id").groupBy(cell)).applyInPandas(
-        _entries, "query_id long, vec_id long, row long, known long")
-    known = stored(entries.groupBy("query_id", "vec_id", "row")
-                   .agg(F.sum("known").alias("known"), F.count(F.lit(1)).alias("parts")), "topk-entries")
-    t2 = _kth(known, "known", k, "t2")
-    upper = F.col("known") + (PARTS - F.col("parts")) * F.col("t1") / PARTS
-    left = (known.join(t1, "query_id").join(t2, "query_id").where(upper >= F.col("t2"))
-            .select("query_id", "vec_id", "row"))
-
-    # 3: exact scores of what is left
-    exact = (left.join(able.select("row", F.col("q").alias("v")), "row").join(queries, "query_id")
-             .withColumn("score", F.aggregate(
-                 F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))),
-                 F.lit(0).cast("long"), lambda s, x: s + x)))
+    cell = ["block", "chunk"]
+
+    def every_one(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def deal_queries(df: DataFrame) -> DataFrame:
+        return (df.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+                .withColumn("chunk", every_one(chunks)).groupBy(cell))
+
+    dealt = (able.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+             .withColumn("block", every_one(blocks)).groupBy(cell))
+
+    # 1: local lists, cutoff and lowest values
+    lists = stored(deal_queries(queries).cogroup(dealt).applyInPandas(_lists(k), LISTS), "topk-lists")
+    best = lists.groupBy("query_id", "row").agg(F.max("score").alias("score"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    # with fewer than k rows in all, everything counts
+    kth = F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(-(1 << 62)))
+    cutoff = best.withColumn("_n", n).where(F.col("_n") <= k).groupBy("query_id").agg(kth.alias("cutoff"))
+    low = lists.groupBy("query_id").pivot("part", list(range(PARTS))).agg(F.min("low"))
+    low = low.select("query_id", F.array(*[F.col(str(j)) for j in range(PARTS)]).alias("lows"))
+
+    # 2 and 3: entries above the threshold, resolved, and ranked
+    asked = queries.join(cutoff, "query_id").join(low, "query_id")
+    exact = deal_queries(asked).cogroup(dealt).applyInPandas(_resolve, RESOLVED)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
     return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _kth(sums: DataFrame, column: str, k: int, name: str) -> DataFrame:
-    """(query_id, name): the k-th highest value, 0 where there are fewer."""
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(column)))
-    top = sums.withColumn("_n", n).where(F.col("_n") <= k)
-    low = F.when(F.count(F.lit(1)) == k, F.min(column)).otherwise(F.lit(0))
-    return top.groupBy("query_id").agg(low.alias(name))
