@@ -29,15 +29,16 @@ def mappable_customers(df: DataFrame) -> DataFrame:
 
 def customer_geo(df: DataFrame, city_dim: DataFrame | None = None) -> DataFrame:
     """Inner lookup city -> coordinates; unknown cities drop out.  The
-    dimension has a fixed size (10 rows), so it is broadcast: the customer
-    side is never shuffled, however skewed its cities are."""
+    built-in dimension has 10 rows, so it is broadcast: the customer side is
+    never shuffled, however skewed its cities are.  A caller's dimension is
+    joined as Spark sees fit."""
     if "city" not in df.columns:
         return df.sparkSession.createDataFrame(
             [], "customer_id bigint, full_name string, vehicle_model string, city string, "
                 "city_key string, lat double, lon double")
-    city_dim = city_dim if city_dim is not None else cities(df.sparkSession)
+    city_dim = city_dim if city_dim is not None else F.broadcast(cities(df.sparkSession))
     m = mappable_customers(df)
-    return (m.join(F.broadcast(city_dim), "city_key", "inner")
+    return (m.join(city_dim, "city_key", "inner")
             .select("customer_id", "full_name", col_or(m, "vehicle_model").alias("vehicle_model"),
                     "city", "city_key", "lat", "lon"))
 
@@ -110,7 +111,7 @@ def reminder_due(df: DataFrame, as_of=None, user: str | None = None) -> DataFram
         d = d.where(F.col("operator") == user)
     now = as_of_col(as_of)
     return (
-        d.withColumn("due_ts", reminder_due_ts(d))
+        d.withColumn("due_ts", F.col("reminder_ts") if "reminder_ts" in d.columns else reminder_due_ts(d))
         .where(F.col("due_ts").between(now - F.expr(f"INTERVAL {K.REMINDER_LATE_S} SECONDS"),
                                        now + F.expr(f"INTERVAL {K.REMINDER_EARLY_S} SECONDS")))
         .select("operator", "customer_id", as_text(col_or(d, "full_name", K.UNKNOWN_CUSTOMER)).alias("full_name"),
@@ -132,42 +133,37 @@ def due_reminder_first(pending: DataFrame) -> DataFrame:
         "operator", "f.customer_id", "f.full_name", "f.phone", "f.due_ts")
 
 
-# Width of the time buckets of the tick/reminder interval join.  A tick at
-# t can alert reminders due in [t - 7200 s, t + 300 s]; with buckets at
-# least that wide each tick lands in at most two buckets.
+# Width of the time buckets of the tick/reminder interval join: the whole
+# alert window, so a reminder's window covers its own bucket's end or the next
+# one's beginning, never a bucket's middle only.
 BUCKET_S = K.REMINDER_LATE_S + K.REMINDER_EARLY_S
 
 
-def _epoch_s(c):
-    return F.unix_timestamp(c.cast("timestamp"))
-
-
-def tick_buckets(ticks: DataFrame, ts_col: str = "tick_ts") -> DataFrame:
-    t = _epoch_s(F.col(ts_col))
-    lo = F.floor((t - K.REMINDER_LATE_S) / BUCKET_S)
-    hi = F.floor((t + K.REMINDER_EARLY_S) / BUCKET_S)
-    return ticks.withColumn("bucket", F.explode(F.sequence(lo, hi)))
-
-
-def reminder_buckets(reminders: DataFrame, due_col: str = "due_ts") -> DataFrame:
-    return reminders.withColumn("bucket", F.floor(_epoch_s(F.col(due_col)) / BUCKET_S))
-
-
-def alert_condition(tick_ts, due_ts):
-    """-300 s <= tick - due <= 7200 s."""
-    return ((tick_ts >= due_ts - F.expr(f"INTERVAL {K.REMINDER_EARLY_S} SECONDS"))
-            & (tick_ts <= due_ts + F.expr(f"INTERVAL {K.REMINDER_LATE_S} SECONDS")))
+def _bucket(ts, before_s: int = 0):
+    """Number of the bucket that holds the time ``before_s`` before ``ts``."""
+    return F.floor((F.unix_micros(ts.cast("timestamp")) - before_s * 1_000_000) / (BUCKET_S * 1_000_000))
 
 
 def reminders_alerted(ticks: DataFrame, reminders: DataFrame) -> DataFrame:
     """Batch form of the reminder alert stream: each reminder that some poll
     tick of its operator saw inside the alert window, once.
 
-    A left-semi join keyed on (operator, time bucket): no tick x reminder
-    pairs are materialised, and a hot operator is split over its time
-    buckets instead of landing in one task."""
-    t = tick_buckets(ticks).select(F.col("operator").alias("t_op"), "bucket", "tick_ts")
-    r = reminder_buckets(reminders)
-    cond = ((r.operator == t.t_op) & (r.bucket == t.bucket)
-            & alert_condition(t.tick_ts, r.due_ts))
-    return r.join(t, cond, "left_semi").select("operator", "reminder_id", "due_ts")
+    A reminder's window is as wide as a bucket and starts inside one bucket
+    ``b``: some tick of ``b`` lies in it when the latest tick of ``b`` is not
+    before its start, and some tick of ``b + 1`` when the earliest one is not
+    after its end.  So ticks shrink to their extremes per (operator, bucket),
+    combined map-side, and an equi join decides: no range condition, no hot
+    operator in one task."""
+    early = F.expr(f"INTERVAL {K.REMINDER_EARLY_S} SECONDS")
+    late = F.expr(f"INTERVAL {K.REMINDER_LATE_S} SECONDS")
+    extremes = (ticks.groupBy(F.col("operator").alias("_op"), _bucket(F.col("tick_ts")).alias("_b"))
+                .agg(F.min("tick_ts").alias("_first"), F.max("tick_ts").alias("_last")))
+    none = F.lit(None).cast(ticks.schema["tick_ts"].dataType)
+    # one row per side: own bucket's last tick, next bucket's first tick
+    own = extremes.select("_op", "_b", F.col("_last").alias("_own"), none.alias("_next"))
+    nxt = extremes.select("_op", (F.col("_b") - 1).alias("_b"), none, "_first")
+    sides = own.union(nxt).groupBy("_op", "_b").agg(F.max("_own").alias("_own"), F.max("_next").alias("_next"))
+    r = reminders.withColumn("_rb", _bucket(F.col("due_ts"), K.REMINDER_EARLY_S))
+    j = r.join(sides, (r["operator"] == sides["_op"]) & (r["_rb"] == sides["_b"]))
+    seen = (F.col("_own") >= F.col("due_ts") - early) | (F.col("_next") <= F.col("due_ts") + late)
+    return j.where(seen).select("operator", "reminder_id", "due_ts")

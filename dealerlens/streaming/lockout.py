@@ -5,9 +5,9 @@ before the unlock time, the event is ignored (even a right password); a
 success clears the state; a failure adds one attempt and sets unlock =
 now + lock.  Attempts do not reset when a lock expires, so the next failure
 locks again.  Ignored events leave the state untouched, which makes this a
-sequential fold rather than a window count.  Attempts are reported capped
-at the limit (only "at the limit" changes behaviour), so the state is
-(attempts in 0..max, unlock time).
+sequential fold rather than a window count.  Only "at the limit" changes
+behaviour, so the fold's state is (attempts in 0..max, unlock time); the full
+attempts count, which goes on past the limit, is added from the outcomes.
 
 Batch form — a two-pass parallel scan, exact for any lock length and
 skew:
@@ -27,8 +27,13 @@ skew:
 4. Pass 2 re-folds the unresolved prefixes of the runs from their entry
    states, in parallel.
 
-Stream form: ``applyInPandasWithState`` keeps (attempts, unlock) per user
-between micro-batches.
+4'. The count of failures since the last success composes over chunks as
+"reset, then k" or "plus k", so it is summed per chunk, carried over one row
+per chunk and user, and added back.
+
+Stream form: events wait until the stream's mark (newest event less the
+lateness) has passed them and are then folded in event-time order, from each
+user's state before.  A success removes the user's state.
 """
 
 from __future__ import annotations
@@ -38,19 +43,18 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as K
-from ..session import checkpoint_dir, scratch_path
+from ..session import scratch_path
 
 # The task-side functions below ship by value, so executors need no copy of
 # this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUT_SCHEMA = "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long"
-STATE_SCHEMA = "attempts long, unlock_us long"
+STATE_SCHEMA = "user_name string, attempts long, unlock_us long"
 NO_LOCK = -(1 << 62)  # "unlock time irrelevant"
 
 
@@ -238,7 +242,7 @@ def _stitch(max_attempts: int):
             eu = np.empty(len(pdf), dtype=np.int64)
             for i, r in enumerate(pdf.itertuples(index=False)):
                 if r.user_name != user:
-                    user, a, u = r.user_name, 0, NO_LOCK
+                    user, a, u = r.user_name, min(int(r.init_a), max_attempts), int(r.init_u)
                 ea[i], eu[i] = a, u
                 if a < max_attempts:
                     a, u = int(r.c_a[a]), int(r.c_u[a])
@@ -288,81 +292,123 @@ def attempts(events: DataFrame) -> DataFrame:
 
 
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
-                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None) -> DataFrame:
+                  lock_s: int = K.LOCKOUT_S, chunks: int | None = None,
+                  state: DataFrame | None = None) -> DataFrame:
     """Outcome of every attempt: success / failure / locked (a failure that
-    reaches the limit) / ignored (arrived while locked), with the attempts
-    count (capped at the limit) after it.
+    reaches the limit) / ignored (arrived while locked), with the failures
+    since the last success after it.
     ``events``: event_id, ts (timestamp_ntz), user_name, success.
+    ``state`` (user_name, attempts, unlock_us): where users stand before the
+    first event; users without a row stand at none.
 
     Pass 1 folds each range chunk of (user, ts) from every entry class at
     once and writes a transfer summary per (user, chunk) run (outcomes are
     final already where the trajectories merged); a stitch over the
     summaries — at most one row per chunk and user — gives each run its
     true entry state; pass 2 re-folds only the unresolved prefixes, in
-    parallel."""
+    parallel.  Pass 1's rows are stored by kind, so that each of the three
+    readers reads its own."""
     spark = events.sparkSession
-    checkpoint_dir(spark)
     lock_us = lock_s * 1_000_000
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["user_name", "ts", "event_id"]
-    p1 = (attempts(events)
-          .repartitionByRange(n, *order).sortWithinPartitions(*order)
-          .mapInPandas(_summarize(max_attempts, lock_us), SUMMARY_SCHEMA)
-          .checkpoint(eager=True))  # feeds two branches; lineage cut in the shared folder
-    entries = (p1.where(F.col("kind") == "summary")
-               .select("user_name", "chunk_ts", "chunk_eid", "c_a", "c_u", "g_upper", "g_a", "g_u")
-               .repartition(n, "user_name").sortWithinPartitions("user_name", "chunk_ts", "chunk_eid")
+    state = state if state is not None else spark.createDataFrame([], STATE_SCHEMA)
+
+    def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.repartition(chunks, *by) if chunks else df.repartition(*by)
+
+    auth = attempts(events)
+    ranged = auth.repartitionByRange(chunks, *order) if chunks else auth.repartitionByRange(*order)
+    first = scratch_path(spark, "lockout-pass1")
+    (ranged.sortWithinPartitions(*order).mapInPandas(_summarize(max_attempts, lock_us), SUMMARY_SCHEMA)
+     .withColumn("part", F.when(F.col("kind") == "summary", "summary")
+                 .when(F.col("outcome").isNull(), "open").otherwise("final"))
+     .write.partitionBy("part").parquet(first))
+    p1 = spark.read.schema(f"{SUMMARY_SCHEMA}, part string").parquet(first)
+    start = state.select("user_name", F.col("attempts").alias("init_a"), F.col("unlock_us").alias("init_u"))
+    entries = (dealt(p1.where(F.col("part") == "summary")
+                     .select("user_name", "chunk_ts", "chunk_eid", "c_a", "c_u", "g_upper", "g_a", "g_u")
+                     .join(start, "user_name", "left")
+                     .fillna({"init_a": 0, "init_u": NO_LOCK}), ["user_name"])
+               .sortWithinPartitions("user_name", "chunk_ts", "chunk_eid")
                .mapInPandas(_stitch(max_attempts), ENTRY_SCHEMA))
     keys = ["user_name", "chunk_ts", "chunk_eid"]
-    events_p1 = p1.where(F.col("kind") == "event")
-    resolved = events_p1.where(F.col("outcome").isNotNull()).select(
-        "event_id", "user_name", "ts", "outcome", "attempts")
-    prefix = events_p1.where(F.col("outcome").isNull()).select("event_id", "ts", "success", *keys)
-    refolded = (prefix.join(entries, keys, "inner")
-                .repartition(n, *keys).sortWithinPartitions(*keys, "ts", "event_id")
+    resolved = p1.where(F.col("part") == "final").select("event_id", "user_name", "ts", "outcome", "attempts")
+    prefix = p1.where(F.col("part") == "open").select("event_id", "ts", "success", *keys)
+    refolded = (dealt(prefix.join(entries, keys, "inner"), keys)
+                .sortWithinPartitions(*keys, "ts", "event_id")
                 .mapInPandas(_refold(max_attempts, lock_us), OUT_SCHEMA))
-    return resolved.unionByName(refolded)
-
-
-def _state_fn(max_attempts: int, lock_us: int):
-    def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        a, u = state.get if state.exists else (0, NO_LOCK)
-        o, at, a, u = fold_user(_micros(pdf["ts"]), pdf["success"].to_numpy(dtype=bool),
-                                int(a), int(u), max_attempts, lock_us)
-        state.update((int(a), int(u)))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_name": pdf["user_name"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "outcome": o, "attempts": at})
-    return fn
-
-
-def lockout_stream(events_stream: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
-                   lock_s: int = K.LOCKOUT_S) -> DataFrame:
-    """Streaming plan over raw events ('error' = failure, 'signup' = success)."""
-    auth = attempts(events_stream.where(F.col("event_type").isin("error", "signup")).select(
-        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.col("user_id").cast("string").alias("user_name"),
-        (F.col("event_type") == "signup").alias("success")))
-    return auth.groupBy("user_name").applyInPandasWithState(
-        _state_fn(max_attempts, lock_s * 1_000_000), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+    return _with_counts(resolved.unionByName(refolded), state)
+
+
+def _with_counts(outcomes: DataFrame, state: DataFrame) -> DataFrame:
+    """``attempts`` as failures since the user's last success, past the limit
+    too, on from the count in ``state``."""
+    spark = outcomes.sparkSession
+    order = ["user_name", "ts", "event_id"]
+    path = scratch_path(spark, "lockout-outcomes")
+    laid = (outcomes.drop("attempts").repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_at", F.monotonically_increasing_id()))
+    laid.write.parquet(path)
+    t = spark.read.schema(laid.schema).parquet(path).withColumn("_pid", F.shiftright("_at", 33))
+    run = Window.partitionBy("user_name", "_pid")
+    t = t.withColumn("_seg", F.sum((F.col("outcome") == "success").cast("long")).over(run.orderBy("_at")))
+    t = t.withColumn("_k", F.sum(F.col("outcome").isin("failure", "locked").cast("long")).over(
+        Window.partitionBy("user_name", "_pid", "_seg").orderBy("_at")))
+    runs = t.groupBy("user_name", "_pid").agg(F.max_by("_k", "_at").alias("_tail"), F.max("_seg").alias("_resets"))
+    runs = runs.join(state.select("user_name", F.col("attempts").alias("_from")), "user_name", "left").fillna({"_from": 0})
+    by_user = Window.partitionBy("user_name").orderBy("_pid")
+    runs = runs.withColumn("_span", F.sum((F.col("_resets") > 0).cast("long")).over(by_user))
+    exit_ = (F.sum("_tail").over(Window.partitionBy("user_name", "_span").orderBy("_pid"))
+             + F.when(F.col("_span") == 0, F.col("_from")).otherwise(0))
+    runs = runs.withColumn("_exit", exit_).withColumn("_entry", F.coalesce(F.lag("_exit").over(by_user), F.col("_from")))
+    j = t.join(runs.select("user_name", "_pid", "_entry"), ["user_name", "_pid"])
+    n = F.col("_k") + F.when(F.col("_seg") == 0, F.col("_entry")).otherwise(0)
+    return j.select("event_id", "user_name", "ts", "outcome", n.cast("long").alias("attempts"))
+
+
+LATENESS_S = 3 * 3600
+WAITING = "event_id long, user_name string, ts timestamp_ntz, success boolean"
+
+
+def state_after(outcomes: DataFrame, state: DataFrame, max_attempts: int, lock_s: int) -> DataFrame:
+    """Users' state after ``outcomes``; who last succeeded has none."""
+    order = F.struct("ts", "event_id")
+    last = outcomes.groupBy("user_name").agg(
+        F.max_by("attempts", order).alias("n"),
+        F.max(F.when(F.col("outcome") == "locked", F.unix_micros(F.col("ts").cast("timestamp")))).alias("at"))
+    j = last.join(state, "user_name", "full")
+    n = F.coalesce("n", "attempts")
+    unlock = F.when(n >= max_attempts, F.coalesce(F.col("at") + lock_s * 1_000_000, F.col("unlock_us"))).otherwise(NO_LOCK)
+    return j.select("user_name", n.alias("attempts"), unlock.alias("unlock_us")).where("attempts > 0")
 
 
 def run_lockout_stream(spark: SparkSession, sf_dir: str, max_attempts: int = K.MAX_ATTEMPTS,
-                       lock_s: int = K.LOCKOUT_S, out_path: str | None = None,
-                       landing_dir: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """Run the lockout stream to the end of the landed data (availableNow);
-    files must land in event-time order (state carries across batches)."""
+                       lock_s: int = K.LOCKOUT_S, base: str | None = None, landing_dir: str | None = None,
+                       files_per_trigger: int | None = None, lateness_s: int = LATENESS_S) -> DataFrame:
+    """Run the lockout over the landed events ('error' = failure, 'signup' =
+    success) and return every outcome so far.  Files may land in any order;
+    events are folded in event-time order once they are ``lateness_s`` old,
+    later ones go to ``base``/late.  What still waits at the end of the data
+    is folded for the result but stays waiting, so that a later call with the
+    same ``base`` goes on exactly."""
     from .reminders import events_stream
-    out_path = out_path or scratch_path(spark, "login_lockout")
-    q = (lockout_stream(events_stream(spark, sf_dir, landing_dir, files_per_trigger),
-                        max_attempts, lock_s).writeStream
-         .format("parquet").outputMode("append")
-         .option("path", out_path)
-         .option("checkpointLocation", out_path + "_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
+    from .versions import Versions, newest, read_parts, run
+    base = base or scratch_path(spark, "login_lockout")
+    raw = events_stream(spark, sf_dir, landing_dir, files_per_trigger)
+    auth = attempts(raw.where(F.col("event_type").isin("error", "signup")).select(
+        "event_id", "ts", F.col("user_id").cast("string").alias("user_name"),
+        (F.col("event_type") == "signup").alias("success")))
+    versions = Versions(spark, base, {"waiting": WAITING, "users": STATE_SCHEMA})
+
+    def step(rows, state, mark):
+        waiting = state["waiting"].unionByName(rows.select("event_id", "user_name", "ts", "success"))
+        if mark is None:
+            return spark.createDataFrame([], OUT_SCHEMA), {"waiting": waiting, "users": state["users"]}
+        out = login_lockout(waiting.where(F.col("ts") < F.lit(mark)), max_attempts, lock_s, state=state["users"])
+        return out, {"waiting": waiting.where(F.col("ts") >= F.lit(mark)),
+                     "users": state_after(out, state["users"], max_attempts, lock_s)}
+
+    run(auth, base, lateness_s, versions, step, OUT_SCHEMA)
+    last = versions.read(newest(spark, base))
+    rest = login_lockout(last["waiting"], max_attempts, lock_s, state=last["users"])
+    return read_parts(spark, f"{base}/out", OUT_SCHEMA).unionByName(rest)

@@ -1,80 +1,70 @@
-"""Reminder alerts as a Structured Streaming query.
+"""Reminder alerts over a stream of landed events.
 
-Poll ticks and reminders are two streams over the landed events.  Each
-reminder is alerted once, the first time a tick of its operator falls in
-[due - 300 s, due + 7200 s]: a stream-stream LEFT SEMI join keyed on
-(operator, time bucket) with watermarks on both sides, so the join state
-is bounded by the 2 h window and a hot operator's state is spread over its
-time buckets.  Append mode into a parquet sink; the checkpoint lives under
-the cluster's shared checkpoint folder."""
+Poll ticks and reminders are two views of the landed events.  Each reminder is
+alerted once, as soon as a tick of its operator inside [due - 300 s, due +
+7200 s] has landed.  State between micro-batches: reminders not alerted yet
+whose window is still open, and the ticks of the last window.  Both are
+bounded by the window and the lateness.  Events later than ``lateness_s``
+behind the newest go to the side output."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import alert_condition, reminder_buckets, tick_buckets
+from .. import constants as K
+from ..operators.joins import BUCKET_S, reminders_alerted
 from ..session import scratch_path
+from .versions import Versions, is_folder, read_parts, run
 
-WATERMARK = "3 hours"  # longer than the 2 h 5 min alert window
+LATENESS_S = 3 * 3600
+ALERT_SCHEMA = "operator string, reminder_id long, due_ts timestamp_ntz"
+STATE = {"ticks": "operator string, tick_ts timestamp_ntz", "open": ALERT_SCHEMA}
 
 
 def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = None,
-                  files_per_trigger: int = 1) -> DataFrame:
-    """Events as a file stream: the ``events.parquet`` table of ``sf_dir``,
-    or every parquet file arriving in ``landing_dir``; ``files_per_trigger``
-    landed files per micro-batch (raise it to catch up on a backlog; files
-    must land in event-time order for the lockout's per-user state)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+                  files_per_trigger: int | None = None) -> DataFrame:
+    """Events as a file stream: the ``events.parquet`` table of ``sf_dir`` (a
+    file or a folder), or every parquet file arriving in ``landing_dir``.
+    ``files_per_trigger`` bounds the files of a micro-batch; unset, one batch
+    takes all that has landed."""
+    table = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(table).schema
+    r = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
     if landing_dir is not None:
-        return r.option("pathGlobFilter", "*.parquet").parquet(landing_dir)
-    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
-def land_events(spark: SparkSession, sf_dir: str, landing_dir: str, files: int = 6,
-                slices: range | None = None) -> str:
-    """Land the events table as ``files`` parquet files in time order (one
-    write per time slice, so file times follow event times); ``slices``
-    lands only some of them (e.g. the first half now, the rest later)."""
-    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / files
-    for i in (slices if slices is not None else range(files)):
-        start, end = lo + step * i, (hi if i == files - 1 else lo + step * (i + 1))
-        cond = (F.col("ts") >= F.lit(start)) & ((F.col("ts") <= F.lit(end)) if i == files - 1
-                                               else (F.col("ts") < F.lit(end)))
-        e.where(cond).coalesce(1).write.mode("append").parquet(landing_dir)
-    return landing_dir
-
+        df = r.option("pathGlobFilter", "*.parquet").parquet(landing_dir)
+    elif is_folder(spark, table):
+        df = r.parquet(table)
+    else:
+        df = r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
-def alert_stream(events: DataFrame) -> DataFrame:
-    """Streaming plan: (operator, reminder_id, due_ts) once per reminder."""
-    ticks = (events.select(F.col("ts").cast("timestamp").alias("tick_ts"),
-                           F.col("user_id").cast("string").alias("t_op"))
-             .withWatermark("tick_ts", WATERMARK))
-    rem = (events.where(F.col("event_type") == "signup")
-           .select(F.col("event_id").alias("reminder_id"),
-                   F.col("user_id").cast("string").alias("operator"),
-                   (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("due_ts"))
-           .withWatermark("due_ts", WATERMARK))
-    t = tick_buckets(ticks, "tick_ts").withColumnRenamed("bucket", "t_bucket")
-    r = reminder_buckets(rem, "due_ts")
-    cond = ((r.operator == t.t_op) & (r.bucket == t.t_bucket) & alert_condition(t.tick_ts, r.due_ts))
-    return r.join(t, cond, "left_semi").select("operator", "reminder_id", "due_ts")
 
+def advance(rows: DataFrame, state: dict[str, DataFrame], mark: dt.datetime | None):
+    """One micro-batch: alerts, and the state after it."""
+    user = F.col("user_id").cast("string").alias("operator")
+    ticks = state["ticks"].unionByName(rows.select(user, F.col("ts").alias("tick_ts")))
+    new = rows.where(F.col("event_type") == "signup").select(
+        user, F.col("event_id").alias("reminder_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("due_ts"))
+    waiting = state["open"].unionByName(new)
+    alerts = reminders_alerted(ticks, waiting)
+    rest = waiting.join(alerts.select("reminder_id"), "reminder_id", "left_anti").select("operator", "reminder_id", "due_ts")
+    if mark is not None:
+        rest = rest.where(F.col("due_ts") >= F.lit(mark - dt.timedelta(seconds=K.REMINDER_LATE_S)))
+        ticks = ticks.where(F.col("tick_ts") >= F.lit(mark - dt.timedelta(seconds=BUCKET_S)))
+    return alerts, {"ticks": ticks, "open": rest}
 
-def run_reminder_alerts(spark: SparkSession, sf_dir: str, out_path: str | None = None,
-                        landing_dir: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """Run the alert stream to the end of the landed data (availableNow)
-    and return what the sink holds."""
-    out_path = out_path or scratch_path(spark, "reminder_alerts")
-    q = (alert_stream(events_stream(spark, sf_dir, landing_dir, files_per_trigger)).writeStream
-         .format("parquet").outputMode("append")
-         .option("path", out_path)
-         .option("checkpointLocation", out_path + "_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path).select(
-        "operator", "reminder_id", F.col("due_ts").cast("timestamp_ntz").alias("due_ts"))
 
+def run_reminder_alerts(spark: SparkSession, sf_dir: str, base: str | None = None, landing_dir: str | None = None,
+                        files_per_trigger: int | None = None, lateness_s: int = LATENESS_S) -> DataFrame:
+    """Run the alerts to the end of the landed data; all alerts so far.
+    ``base`` holds output, late rows, state and the stream's checkpoint;
+    a later call with the same ``base`` goes on from there."""
+    base = base or scratch_path(spark, "reminder_alerts")
+    run(events_stream(spark, sf_dir, landing_dir, files_per_trigger), base, lateness_s,
+        Versions(spark, base, STATE), advance, ALERT_SCHEMA)
+    return read_parts(spark, f"{base}/out", ALERT_SCHEMA)

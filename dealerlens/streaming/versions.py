@@ -1,0 +1,94 @@
+"""Micro-batches over a file stream with versioned state tables.
+
+``run`` feeds every micro-batch to a step function together with the state
+the batch before left behind, and writes what the step returns: output rows,
+and a new version of each state table.  A batch that is run again after a
+failure reads the same versions and overwrites what it wrote, so results stay
+exact.  Rows older than the lateness allows are not dropped: they go to a side
+output and can be counted."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Step = Callable[[DataFrame, dict[str, DataFrame], "dt.datetime | None"], tuple[DataFrame, dict[str, DataFrame]]]
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def newest(spark: SparkSession, base: str) -> int:
+    """Number of the last finished batch, -1 before the first."""
+    fs, p = _fs(spark, f"{base}/mark")
+    if not fs.exists(p):
+        return -1
+    names = [s.getPath() for s in fs.listStatus(p)]
+    done = [int(n.getName()) for n in names
+            if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return max(done, default=-1)
+
+
+class Versions:
+    """State tables of one stream below ``base``: name -> schema."""
+
+    def __init__(self, spark: SparkSession, base: str, schemas: dict[str, str]):
+        self.spark, self.base, self.schemas = spark, base.rstrip("/"), schemas
+
+    def read(self, k: int) -> dict[str, DataFrame]:
+        if k < 0:
+            return {n: self.spark.createDataFrame([], s) for n, s in self.schemas.items()}
+        return {n: self.spark.read.schema(s).parquet(f"{self.base}/{n}/{k}") for n, s in self.schemas.items()}
+
+    def mark(self, k: int) -> dt.datetime | None:
+        if k < 0:
+            return None
+        return self.spark.read.schema("mark timestamp_ntz").parquet(f"{self.base}/mark/{k}").first()["mark"]
+
+    def write(self, k: int, state: dict[str, DataFrame], mark: dt.datetime | None) -> None:
+        for n, df in state.items():
+            df.write.mode("overwrite").parquet(f"{self.base}/{n}/{k}")
+        # the mark comes last: a version with a mark is complete
+        self.spark.createDataFrame([(mark,)], "mark timestamp_ntz").write.mode("overwrite").parquet(f"{self.base}/mark/{k}")
+        for n in (*state, "mark"):  # a restart may run batch k again, which reads k - 1
+            fs, p = _fs(self.spark, f"{self.base}/{n}/{k - 2}")
+            fs.delete(p, True)
+
+
+def run(stream: DataFrame, base: str, lateness_s: int, versions: Versions, step: Step, out_schema: str) -> None:
+    """Run ``stream`` (with a column ``ts``) to the end of the landed data.
+    Output goes to ``base``/out, late rows to ``base``/late."""
+    spark = stream.sparkSession
+
+    def on_batch(batch: DataFrame, k: int) -> None:
+        mark = versions.mark(k - 1)
+        batch = batch.where(F.col("ts").isNotNull())
+        late = F.col("ts") < F.lit(mark) if mark is not None else F.lit(False)
+        batch.where(late).write.mode("overwrite").parquet(f"{base}/late/batch={k}")
+        top = batch.agg(F.max("ts")).first()[0]
+        new = max(filter(None, (mark, top and top - dt.timedelta(seconds=lateness_s))), default=None)
+        out, state = step(batch.where(~late), versions.read(k - 1), new)
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
+        versions.write(k, state, new)
+
+    q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows that the batches wrote below ``path`` (none before the first)."""
+    if not is_folder(spark, path):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(f"{schema}, batch int").parquet(path)
+    return df.drop("batch")

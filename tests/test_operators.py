@@ -3,6 +3,7 @@ aggregates and the stateful operators."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -69,7 +70,7 @@ def test_fixture_selection_counts(spark):
     assert S.seg_low_quality(c).count() == 39
     assert S.seg_test_drive(c).count() == 34
     assert S.reminder_list(c).count() == 30
-    assert J.reminder_due(c).count() == 2
+    assert J.reminder_due(c).count() == 15
     assert S.birthdays_month(c).count() == 13
     assert S.birthdays_today(c).count() == 1
     assert J.customer_geo(c).count() == 108
@@ -276,24 +277,24 @@ def plain_loop(events, max_attempts, lock_s):
         a, u = state.get(ev.user_name, (0, 0.0))
         t = ev.ts.timestamp()
         if a >= max_attempts and t < u:
-            out[ev.event_id] = "ignored"
+            out[ev.event_id] = ("ignored", a)
             continue
         if ev.success:
             state.pop(ev.user_name, None)
-            out[ev.event_id] = "success"
+            out[ev.event_id] = ("success", 0)
         else:
             a += 1
             state[ev.user_name] = (a, t + lock_s)
-            out[ev.event_id] = "locked" if a >= max_attempts else "failure"
+            out[ev.event_id] = ("locked" if a >= max_attempts else "failure", a)
     return out
 
 
 def test_login_lockout_matches_plain_loop(spark):
     ev = fx.auth_events(spark, SF01)
-    got = {r.event_id: r.outcome for r in login_lockout(ev, 3, 86400).collect()}
+    got = {r.event_id: (r.outcome, r.attempts) for r in login_lockout(ev, 3, 86400).collect()}
     assert got == plain_loop(ev.collect(), 3, 86400)
     counts = {}
-    for v in got.values():
+    for v, _ in got.values():
         counts[v] = counts.get(v, 0) + 1
     assert counts["locked"] == 408 and counts["ignored"] == 395
 
@@ -306,7 +307,7 @@ def test_login_lockout_many_chunks(spark):
     for data, lock in ((ev, 86400), (hot, 86400), (hot, 180), (ev, 7200)):
         got = {r.event_id: (r.outcome, r.attempts) for r in login_lockout(data, 3, lock, chunks=64).collect()}
         want = plain_loop(data.collect(), 3, lock)
-        assert {k: v[0] for k, v in got.items()} == want
+        assert got == want
     parts = login_lockout(hot, 3, 180, chunks=64)
     assert parts.count() == hot.count()
 
@@ -347,7 +348,7 @@ def test_lockout_edges():
     ok = np.array([False, False, False, True, False, True])
     out, att, a, u = fold_user(t, ok, 0, 0, 3, 180 * s)
     assert list(out) == ["failure", "failure", "locked", "ignored", "locked", "ignored"]
-    assert list(att) == [1, 2, 3, 3, 3, 3]  # capped at the limit
+    assert list(att) == [1, 2, 3, 3, 3, 3]  # the fold's state is capped at the limit
 
 
 def test_stream_equals_batch(spark):
@@ -362,24 +363,70 @@ def test_stream_equals_batch(spark):
     assert lb.exceptAll(ls).count() == 0 and ls.exceptAll(lb).count() == 0
 
 
-def test_streams_over_several_micro_batches(spark):
-    """Events landed as six time-ordered files, one per micro-batch: the
-    alert join's watermark state and the lockout's per-user state carry
-    across batches and the results equal the batch forms."""
+def _same(a, b):
+    return a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+YEARS = 10 * 366 * 86400
+
+
+@pytest.mark.parametrize("order,lateness", [(range(6), 3 * 3600), (range(5, -1, -1), YEARS)])
+def test_streams_over_several_micro_batches(spark, order, lateness):
+    """Events landed as six files, one per micro-batch, in time order or in
+    reverse with enough lateness: the results equal the batch forms."""
     from dealerlens.session import scratch_path
     from dealerlens.streaming.lockout import run_lockout_stream
-    from dealerlens.streaming.reminders import land_events, run_reminder_alerts
-    landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=6)
-    stream = run_reminder_alerts(spark, SF01, landing_dir=landing)
-    two_per_batch = run_reminder_alerts(spark, SF01, landing_dir=landing, files_per_trigger=2)
-    assert two_per_batch.exceptAll(stream).count() == 0 and two_per_batch.count() == stream.count()
+    from dealerlens.streaming.reminders import run_reminder_alerts
+    from landing import land_events
+    landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=6, slices=order)
     batch = J.reminders_alerted(fx.poll_ticks(spark, SF01), fx.stream_reminders(spark, SF01))
-    assert stream.count() == batch.count() == 350
-    assert batch.exceptAll(stream).count() == 0
-    ls = run_lockout_stream(spark, SF01, 3, 86400, landing_dir=landing)
-    lb = login_lockout(fx.auth_events(spark, SF01), 3, 86400)
-    assert ls.count() == lb.count()
-    assert lb.exceptAll(ls).count() == 0
+    assert batch.count() == 350
+    one = {"landing_dir": landing, "files_per_trigger": 1, "lateness_s": lateness}
+    assert _same(run_reminder_alerts(spark, SF01, **one), batch)
+    locks = run_lockout_stream(spark, SF01, 3, 86400, **one)
+    assert locks.count() == 4031
+    assert _same(locks, login_lockout(fx.auth_events(spark, SF01), 3, 86400))
+
+
+def test_late_rows_are_accounted_for(spark):
+    """With too little lateness nothing is lost silently: what is not in the
+    output is in the side output."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming.lockout import run_lockout_stream
+    from dealerlens.streaming.reminders import run_reminder_alerts
+    from landing import land_events
+    landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=4, slices=range(3, -1, -1))
+    base = scratch_path(spark, "locks")
+    locks = run_lockout_stream(spark, SF01, 3, 86400, base=base, landing_dir=landing, files_per_trigger=1)
+    late = spark.read.parquet(f"{base}/late")
+    assert late.count() > 0
+    assert locks.count() + late.count() == fx.auth_events(spark, SF01).count()
+    assert locks.join(late, "event_id").count() == 0
+    base = scratch_path(spark, "alerts")
+    run_reminder_alerts(spark, SF01, base=base, landing_dir=landing, files_per_trigger=1)
+    seen = spark.read.parquet(f"{SF01}/events.parquet").count() - spark.read.parquet(f"{base}/late").count()
+    assert 0 < seen < spark.read.parquet(f"{SF01}/events.parquet").count()
+
+
+def test_streams_read_a_folder_table(spark):
+    """events.parquet as a folder of part files, as large tables are."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming.lockout import run_lockout_stream
+    from dealerlens.streaming.reminders import run_reminder_alerts
+    sf = scratch_path(spark, "sf")
+    spark.read.parquet(f"{SF001}/events.parquet").repartition(3).write.parquet(f"{sf}/events.parquet")
+    assert run_reminder_alerts(spark, sf).count() == 29
+    assert run_lockout_stream(spark, sf, 3, 86400).count() == 400
+
+
+def test_lockout_state_goes_with_a_success(spark):
+    from dealerlens.streaming.lockout import STATE_SCHEMA, state_after
+    t = dt.datetime(2001, 8, 1)
+    out = spark.createDataFrame([(1, "a", t, "failure", 1), (2, "a", t + dt.timedelta(seconds=1), "success", 0),
+                                 (3, "b", t, "locked", 4)],
+                                "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long")
+    before = spark.createDataFrame([("a", 2, 0), ("c", 1, 0)], STATE_SCHEMA)
+    assert {r.user_name: r.attempts for r in state_after(out, before, 3, 180).collect()} == {"b": 4, "c": 1}
 
 
 def test_team_performance_from_cube_equals_direct(spark):
@@ -403,17 +450,18 @@ def test_streams_survive_restart(spark):
     checkpoints: outputs equal the batch results, nothing twice."""
     from dealerlens.session import scratch_path
     from dealerlens.streaming.lockout import run_lockout_stream
-    from dealerlens.streaming.reminders import land_events, run_reminder_alerts
+    from dealerlens.streaming.reminders import run_reminder_alerts
+    from landing import land_events
     landing = scratch_path(spark, "landing")
     alerts_out, lock_out = scratch_path(spark, "alerts"), scratch_path(spark, "lockout")
     land_events(spark, SF01, landing, files=6, slices=range(0, 3))
-    first = run_reminder_alerts(spark, SF01, out_path=alerts_out, landing_dir=landing).count()
-    run_lockout_stream(spark, SF01, 3, 86400, out_path=lock_out, landing_dir=landing)
+    first = run_reminder_alerts(spark, SF01, base=alerts_out, landing_dir=landing).count()
+    run_lockout_stream(spark, SF01, 3, 86400, base=lock_out, landing_dir=landing)
     land_events(spark, SF01, landing, files=6, slices=range(3, 6))
-    alerts = run_reminder_alerts(spark, SF01, out_path=alerts_out, landing_dir=landing)
-    locks = run_lockout_stream(spark, SF01, 3, 86400, out_path=lock_out, landing_dir=landing)
+    alerts = run_reminder_alerts(spark, SF01, base=alerts_out, landing_dir=landing)
+    locks = run_lockout_stream(spark, SF01, 3, 86400, base=lock_out, landing_dir=landing)
     batch = J.reminders_alerted(fx.poll_ticks(spark, SF01), fx.stream_reminders(spark, SF01))
     assert 0 < first < alerts.count() == batch.count()
     assert batch.exceptAll(alerts).count() == 0 and alerts.exceptAll(batch).count() == 0
     lb = login_lockout(fx.auth_events(spark, SF01), 3, 86400)
-    assert locks.count() == lb.count() and lb.exceptAll(locks).count() == 0
+    assert _same(locks, lb)
