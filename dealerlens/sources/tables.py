@@ -4,7 +4,10 @@ source, rebuild, append, read newest first, export a report."""
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
+import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,35 +72,64 @@ def gate_passes(df: DataFrame, required=REQUIRED_COLUMNS) -> bool:
     return len(df.limit(1).take(1)) > 0
 
 
+def _publish(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the finished folder ``fresh`` in the place of ``path``: the old
+    folder steps aside by renaming, and back again if the new one can't
+    follow."""
+    jvm = spark.sparkContext._jvm
+    new, place, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, f"{fresh}.replaced"))
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.exists(place)
+    if held and not fs.rename(place, aside):
+        raise OSError(f"{path} can't be renamed")
+    if not fs.rename(new, place):
+        if held:
+            fs.rename(aside, place)
+        raise OSError(f"{fresh} can't be renamed")
+    if held:
+        fs.delete(aside, True)
+
+
 def rebuild_table(df: DataFrame, path: str, logs_path: str | None = None) -> None:
     """Replace the customer table; create the audit log if it is missing
-    (an existing log is kept)."""
-    strip_headers(df).write.mode("overwrite").parquet(path)
+    (an existing log is kept).  The new table is written beside the old one
+    and read back before it takes its place, so a failing build, or one that
+    reads the old table, leaves that table as it was."""
+    spark = df.sparkSession
+    out = strip_headers(df)
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    out.write.parquet(fresh)
+    if spark.read.parquet(fresh).columns != out.columns:
+        raise ValueError(f"{fresh} does not read back as written")
+    _publish(spark, fresh, path)
     if logs_path is not None:
         df.sparkSession.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(logs_path)
 
 
 def load_with_fallback(spark: SparkSession, primary: str, fallback=None,
                        logs_path: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Read the primary table; if it is unreadable or fails the gate,
-    rebuild it from ``fallback`` (a DataFrame or a callable returning one)
-    and read it again without re-checking.  Rebuild errors are swallowed;
-    without a fallback the result is an empty frame of the required
-    columns."""
+    """Read the primary table; if it is missing, has no readable schema or
+    fails the gate, rebuild it from ``fallback`` (a DataFrame or a callable
+    returning one) and read it again without re-checking.  Other read errors
+    (a throttled store, a lost node) are raised: they say nothing about the
+    table.  A failing rebuild is reported as a warning and leaves the primary
+    untouched; without a fallback the result is an empty frame of the
+    required columns."""
     try:
         df = load_customers(spark, primary, fmt)
         if gate_passes(df):
             return df
-    except Exception:  # unreadable primary
-        pass
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     if fallback is None:
         return spark.createDataFrame(
             [], "customer_id bigint, full_name string, phone string, close_reason string")
     try:
         src = fallback() if callable(fallback) else fallback
         rebuild_table(src, primary, logs_path)
-    except Exception:
-        pass
+    except Exception as e:
+        warnings.warn(f"{primary} was not rebuilt: {e}", stacklevel=2)
     return load_customers(spark, primary, fmt)
 
 

@@ -4,6 +4,7 @@ station feed snapshots."""
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
@@ -90,13 +91,50 @@ def test_export_keeps_all_columns_when_none_listed_exist(spark):
 
 
 def test_station_snapshots(spark):
-    pages = fx.station_documents(spark, SF01)
-    st = ST.latest_snapshot(pages)
-    assert st.count() > 0
-    assert {r.snapshot_id for r in st.collect()} == {1}  # newest fetch (0) came back empty
-    later = ST.latest_snapshot(pages, as_of=dt.datetime(2001, 8, 1, 13, 0))
-    assert all(r.is_stale for r in later.collect())
-    # a page with an element lacking coordinates invalidates its fetch
-    broken = pages.withColumn("json", F.when(F.col("snapshot_id") == 1,
-                                             F.lit('{"elements":[{"lon":30.0,"tags":{}}]}')).otherwise(F.col("json")))
-    assert {r.snapshot_id for r in ST.latest_snapshot(broken).collect()} == {2}
+    noon = dt.datetime(2001, 8, 1, 12, 0)
+    good = '{"elements":[{"lat":40.0,"lon":30.0,"tags":{"amenity":"charging_station"}}]}'
+    far = '{"elements":[{"lat":10.0,"lon":30.0,"tags":{"amenity":"charging_station"}}]}'
+    empty, broken = '{"elements":[]}', '{"elements":[{"lon":30.0,"tags":{}}]}'
+
+    def shown(*fetches):
+        """(fetch, stale) shown at noon after (minutes ago, page...) fetches."""
+        rows = [(k, p, noon - dt.timedelta(minutes=m), page)
+                for k, (m, *pages) in enumerate(fetches) for p, page in enumerate(pages)]
+        df = spark.createDataFrame(rows, "snapshot_id int, page long, fetched_at timestamp_ntz, json string")
+        return {(r.snapshot_id, r.is_stale) for r in ST.latest_snapshot(df, noon).collect()}
+
+    assert shown((30, good)) == {(0, False)}
+    assert shown((30, good), (5, empty)) == {(0, False)}     # the cache is young enough
+    assert shown((30, good), (5, far)) == {(0, False)}       # outside the box only: empty too
+    assert shown((30, good), (20, good), (5, broken)) == {(1, False)}
+    assert shown((180, good), (5, empty)) == set()           # a refresh that came back empty counts
+    assert shown((180, good), (5, far)) == set()
+    assert shown((180, good), (5, broken)) == {(0, True)}    # a refresh that failed does not
+    assert shown((180, good), (5, good, broken)) == {(0, True)}  # one bad page spoils a fetch
+    assert shown((180, good)) == {(0, True)}
+    assert shown((5, broken)) == set() and shown((-5, good)) == set()
+
+
+def test_failing_rebuild_leaves_the_table(spark):
+    """A rebuild that fails while it runs, or reads the table it replaces,
+    leaves the old files as they were."""
+    def files(path):
+        return {f: open(os.path.join(path, f), "rb").read() for f in os.listdir(path)}
+
+    path = scratch_path(spark, "customers")
+    spark.createDataFrame([(1, "a")], "x int, y string").write.parquet(path)
+    before = files(path)
+    bad = spark.range(3).select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        T.rebuild_table(bad, path)
+    assert files(path) == before
+    with pytest.warns(UserWarning):
+        assert T.load_with_fallback(spark, path, fallback=lambda: bad).columns == ["x", "y"]
+    assert files(path) == before
+    T.rebuild_table(spark.read.parquet(path).withColumn("z", F.lit(1)), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "a", 1)]
+
+
+def test_read_errors_are_not_taken_for_a_missing_table(spark):
+    with pytest.raises(Exception, match="no such format"):
+        T.load_with_fallback(spark, "x", fallback=lambda: 1 / 0, fmt="no such format")
