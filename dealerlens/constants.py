@@ -37,7 +37,6 @@ PENDING_STATUS = "İşlem Bekliyor"
 DEFAULT_BIRTHDAY_NAME = "Kayıtlı Müşteri"
 ALL_STAFF = "HEPSİ"
 REMINDER_SUFFIX = " (⏰ Hatırlatıcı Kuruldu: {})"
-BIRTHDAY_SEPARATOR = " • "
 # Daily goal per person.
 DAILY_GOAL = 35
 # Reminder alert window: seconds before / after the due time.
@@ -74,21 +73,12 @@ CITIES = [
 # City normalisation: upper-case letters mapped to ASCII.
 CITY_FROM = "İŞÇĞÜÖ"
 CITY_TO = "ISCGUO"
-# Date formats accepted when parsing loosely typed text, tried in order.
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "dd.MM.yyyy",
-]
 NOTE_TS_PATTERN = r"\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}"
 NOTE_TS_FORMAT = "dd.MM.yyyy HH:mm"
 DISPLAY_DATE_FORMAT = "dd-MM-yyyy"
 DISPLAY_REMINDER_FORMAT = "dd-MM-yyyy HH:mm"
 LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Mon-first weekday headers of the birthday calendar.
-WEEKDAYS = ["Pzt", "Sal", "Çar", "Per", "Cum", "Cmt", "Paz"]
 # Audit log action types and detail texts ({} = customer name / id / file).
 AUDIT_OUTCOME = ("Müşteri İşlemi", "Müşteri: {} (No: {}) paneli üzerinden güncelleme yapıldı.")
 AUDIT_ADMIN = ("Yönetici Düzenlemesi", "Müşteri (No: {}) bilgileri yönetici tarafından güncellendi.")
@@ -139,3 +129,12 @@ NUMERIC_PATTERN = r"(?i)^(\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(in
 
 # Default evaluation time for the bundled fixtures (newest order date).
 FIXTURE_AS_OF = "2001-08-01 12:00:00"
+
+# Date formats accepted when parsing loosely typed text, tried in order.
+DATE_FORMATS = [
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd",
+    "dd.MM.yyyy",
+]

@@ -239,8 +239,8 @@ def map_hover(name, model, city) -> Column:
 def geo_jitter(key, salt: str) -> Column:
     """Deterministic uniform offset in [-0.008, 0.008) degrees per key
     (the dashboard used an unseeded random draw)."""
-    buckets = 1 << 24
-    u = F.pmod(F.xxhash64(_c(key), F.lit(salt)), F.lit(buckets)).cast("double") / float(buckets)
+    digits = F.substring(F.md5(F.concat(_c(key).cast("string"), F.lit(salt)).cast("binary")), 1, 8)
+    u = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
     return (u * 2.0 - 1.0) * F.lit(K.GEO_JITTER_DEG)
 
 

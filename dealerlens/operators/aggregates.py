@@ -5,7 +5,7 @@ the shuffle moves one row per task and key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -54,9 +54,10 @@ def channel_dist(df: DataFrame) -> DataFrame:
 
 
 def distribution_share(dist: DataFrame, n_col: str = "n") -> DataFrame:
-    """Percentage of each slice.  Runs on an already aggregated
-    distribution (one row per category), so the global window is small."""
-    total = F.sum(n_col).over(Window.partitionBy())
+    """Percentage of each slice, against a total that is aggregated to one
+    number by a subquery: categories may be free text, so no window gathers
+    them in one task."""
+    total = dist.agg(F.sum(n_col)).scalar()
     return dist.withColumn("share_pct", F.col(n_col).cast("double") * 100.0 / total)
 
 

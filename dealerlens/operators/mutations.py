@@ -41,6 +41,26 @@ def reduce_outcomes(patches: DataFrame) -> DataFrame:
     )
 
 
+def append_note(base: DataFrame, notes: DataFrame) -> DataFrame:
+    """Append note lines (patch_ts, seq, customer_id, user_name, note,
+    reminder) to the notes cells, in order; blank notes add nothing, an old
+    cell that is null, '' or 'nan' is replaced, and the result is stripped.
+    The other columns stay as they are."""
+    note = F.col("note")
+    line = F.when(note.isNotNull() & (note != ""),
+                  urstrip(note_line(F.col("patch_ts"), F.col("user_name"), note, F.col("reminder"))))
+    lines = notes.groupBy("customer_id").agg(_ordered_lines(line).alias("p_lines"))
+    j = base.join(lines, "customer_id", "left")
+    return j.select(*[(_appended() if c == "notes" else F.col(c)).alias(c) for c in base.columns])
+
+
+def _appended() -> Column:
+    """The notes cell with the new lines after it."""
+    old = F.col("notes")
+    kept = F.when(old.isNotNull() & (old != "") & (old != "nan"), old)
+    return F.when(F.col("p_lines").isNotNull(), ustrip(F.concat_ws("\n", kept, F.col("p_lines")))).otherwise(old)
+
+
 def apply_outcome(base: DataFrame, patches: DataFrame) -> DataFrame:
     """Save call outcomes: flag 'Evet', operator and date of the last save,
     reason = COALESCE(new, old) (an empty new reason overwrites), reminder
@@ -49,17 +69,13 @@ def apply_outcome(base: DataFrame, patches: DataFrame) -> DataFrame:
     red = reduce_outcomes(patches).withColumn("_m", F.lit(True))
     j = base.join(red, "customer_id", "left")
     m = F.col("_m").isNotNull()
-    old = F.col("notes")
-    old_kept = F.when(old.isNotNull() & (old != "") & (old != "nan"), old)
-    new_notes = F.when(F.col("p_lines").isNotNull(),
-                       ustrip(F.concat_ws("\n", old_kept, F.col("p_lines")))).otherwise(old)
     upd = {
         "called_flag": F.when(m, F.lit(K.CALLED_EXACT)).otherwise(F.col("called_flag")),
         "operator": F.when(m, F.col("p_user")).otherwise(F.col("operator")),
         "action_date": F.when(m, F.col("p_date")).otherwise(F.col("action_date")),
         "close_reason": F.coalesce(F.col("p_reason"), F.col("close_reason")),
         "reminder_at": F.coalesce(F.col("p_reminder"), F.col("reminder_at")),
-        "notes": new_notes,
+        "notes": _appended(),
     }
     return j.select(*[upd.get(c, F.col(c)).alias(c) for c in base.columns])
 
@@ -114,6 +130,12 @@ def complete_reminder(base: DataFrame, ids: DataFrame) -> DataFrame:
     return j.select(*[upd.get(c, F.col(c)).alias(c) for c in base.columns])
 
 
+def still_notified(notified: DataFrame, completed: DataFrame) -> DataFrame:
+    """The notified ids without those whose reminder was completed: a new
+    reminder of such a customer alerts again."""
+    return notified.join(completed.select("customer_id").distinct(), "customer_id", "left_anti")
+
+
 def _log(ts: Column, user: Column, action: str, detail: Column) -> list[Column]:
     return [F.date_format(ts, K.LOG_TS_FORMAT).alias("log_ts"), as_text(user).alias("user_name"),
             F.lit(action).alias("action_type"), detail.alias("detail")]

@@ -1,9 +1,8 @@
-"""Ordering operators: paging of a sorted table and the map overlay."""
+"""Paging of a sorted table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import constants as K
 
@@ -15,13 +14,3 @@ def page(df: DataFrame, n: int, size: int = K.PAGE_SIZE, order_by=None) -> DataF
     full sort."""
     order_by = order_by or [df.columns[0]]
     return df.orderBy(*order_by).offset(n * size).limit(size)
-
-
-def map_layers_plain(geo: DataFrame, stations: DataFrame) -> DataFrame:
-    """Customer points (city coordinates) and stations as one overlay."""
-    cust = geo.select(F.lit("customers").alias("layer"), "lat", "lon",
-                      F.concat(F.col("full_name"), F.lit("<br>Model: "), F.col("vehicle_model"),
-                               F.lit("<br>Şehir: "), F.col("city")).alias("label"))
-    st = stations.select(F.lit("stations").alias("layer"), "lat", "lon",
-                         F.concat(F.lit("⚡ "), F.col("station_name")).alias("label"))
-    return cust.unionByName(st)

@@ -94,8 +94,11 @@ def birthdays_today(df: DataFrame, as_of=None) -> DataFrame:
     now = as_of_col(as_of)
     bd = parse_ts(as_text(col_or(df, "birth_date", None)))
     name = col_or(df, "full_name", K.DEFAULT_BIRTHDAY_NAME)
+    month, day = F.month(bd), F.dayofmonth(bd)
+    if "birth_month" in df.columns:  # typed columns: the filter reaches the scan
+        month, day = F.col("birth_month"), F.col("birth_day_of_month")
     return (
-        df.where((F.month(bd) == F.month(now)) & (F.dayofmonth(bd) == F.dayofmonth(now)))
+        df.where((month == F.month(now)) & (day == F.dayofmonth(now)))
         .select("customer_id", as_text(name).alias("full_name"))
     )
 
@@ -106,6 +109,9 @@ def birthdays_month(df: DataFrame, as_of=None) -> DataFrame:
     if "birth_date" not in df.columns:
         df = df.withColumn("birth_date", F.lit(None).cast("string"))
     now = as_of_col(as_of)
+    if "birth_month" in df.columns:
+        return (df.where(F.col("birth_month") == F.month(now))
+                .select("customer_id", "full_name", "birth_date", F.col("birth_day_of_month").alias("birth_day")))
     b = F.col("birth_date")
     bd = parse_ts(b)
     return (

@@ -132,7 +132,8 @@ cte("customers", f"""
       ELSE 'Supplier#' || {lp('c.c_custkey % 4', 9)} END AS operator,
     strftime(lo.last_orderdate, '%Y-%m-%d') AS action_date,
     CASE c.c_custkey % 5
-      WHEN 0 THEN strftime(TIMESTAMP '2001-08-01 00:00:00' + to_hours(CAST(c.c_custkey % 48 AS INTEGER)), '%Y-%m-%dT%H:%M')
+      WHEN 0 THEN strftime(CASE WHEN c.c_custkey % 10 = 0 THEN {AS_OF} - to_minutes(CAST(c.c_custkey % 120 AS INTEGER))
+        ELSE TIMESTAMP '2001-08-01 00:00:00' + to_hours(CAST(c.c_custkey % 48 AS INTEGER)) END, '%Y-%m-%dT%H:%M')
       WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN 'bad' ELSE NULL END AS reminder_at,
     n.notes,
     CASE WHEN c.c_custkey % 17 = 0 THEN 'n/a'
@@ -168,8 +169,7 @@ cte("outcome_patches", f"""
     CASE o_orderkey % 3 WHEN 1 THEN ''
       WHEN 2 THEN strftime(o_orderdate + to_days(2) + to_hours(10), '%Y-%m-%dT%H:%M') END AS reminder,
     CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS note
-  FROM orders
-  WHERE o_orderdate >= {AS_OF} - INTERVAL 60 DAY AND o_orderdate <= {AS_OF}""")
+  FROM orders""")
 
 cte("admin_patches", f"""
   SELECT {AS_OF} AS patch_ts, c_custkey AS seq, c_custkey AS customer_id, 'Admin' AS user_name,
@@ -206,20 +206,21 @@ cte("cities", "SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS t(city_key, lat, lon)")
 
 cte("stations_raw", f"""
-  SELECT s_suppkey, s_name, s_nationkey, s_nationkey % 3 AS snapshot_id,
-    CAST(35 + s_suppkey % 9 AS DOUBLE) AS lat, CAST(24 + s_suppkey % 23 AS DOUBLE) AS lon,
+  SELECT s_suppkey, s_name, s_nationkey, snapshot_id,
+    CASE WHEN snapshot_id = 4 THEN CAST(10 AS DOUBLE) ELSE CAST(35 + s_suppkey % 9 AS DOUBLE) END AS lat, CAST(24 + s_suppkey % 23 AS DOUBLE) AS lon,
     CASE WHEN s_suppkey % 5 = 0 THEN 'fuel' ELSE '{K.STATION_AMENITY}' END AS amenity,
     CASE WHEN s_suppkey % 4 = 0 THEN s_name END AS t_operator,
     CASE s_suppkey % 4 WHEN 0 THEN 'BRAND-' || CAST(s_nationkey AS VARCHAR) WHEN 1 THEN '' END AS t_brand,
     CASE s_suppkey % 4 WHEN 0 THEN 'st-' || CAST(s_suppkey AS VARCHAR) WHEN 1 THEN 'st-' || CAST(s_suppkey AS VARCHAR)
       WHEN 2 THEN 'istasyon ' || CAST(s_suppkey AS VARCHAR) END AS t_name
-  FROM supplier""")
+  FROM (SELECT *, s_nationkey % 3 AS snapshot_id FROM supplier
+        UNION ALL SELECT *, 4 FROM supplier WHERE s_suppkey % 10 = 0)""")
 
 cte("stations", f"""
   SELECT snapshot_id, lat, lon,
     upper(coalesce(t_operator, t_brand, t_name, '{K.UNKNOWN_STATION}')) AS station_name
   FROM stations_raw
-  WHERE snapshot_id <> 0 AND amenity = '{K.STATION_AMENITY}'
+  WHERE amenity = '{K.STATION_AMENITY}'
     AND lat BETWEEN {K.STATION_LAT[0]} AND {K.STATION_LAT[1]}
     AND lon BETWEEN {K.STATION_LON[0]} AND {K.STATION_LON[1]}""", ["stations_raw"])
 

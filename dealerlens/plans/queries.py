@@ -1,12 +1,12 @@
 """Registry of named queries: each operator of the inventory as a Spark
 plan over the fixture tables, next to its DuckDB oracle SQL.
 
-``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name] -> str``.
-A name without an ORACLE entry gets a rows-only check (geo jitter uses a
-hash DuckDB does not have)."""
+``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name] -> str``."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +103,10 @@ def s_report(report_name: str, where: str, extra: dict | None = None, source: st
 # ================================================================ 2.1 sources
 @q("load_customers", "SELECT * FROM customers")
 def _load_customers(spark, sf):
-    """Full scan of the customer table (the fixture adapter)."""
-    return cust(spark, sf)
+    """Full scan of the stored customer table."""
+    path = scratch_path(spark, "customers")
+    cust(spark, sf).write.parquet(path)
+    return T.load_customers(spark, path)
 
 
 @q("schema_gate", """
@@ -173,16 +175,44 @@ def _station_feed(spark, sf):
     return ST.station_feed(fx.station_documents(spark, sf))
 
 
+# Fetches with stations, newest first: 0, 1, 2 (10, 20, 30 minutes old).
+BEST_FETCH = "SELECT min(snapshot_id) AS sid FROM stations"
+
+
 @q("latest_snapshot", f"""
-WITH best AS (SELECT min(s_nationkey % 3) AS sid FROM supplier WHERE s_nationkey % 3 <> 0)
-SELECT s.snapshot_id, {O.AS_OF} - to_minutes(CAST(b.sid * 10 AS INTEGER)) AS fetched_at, s.lat, s.lon,
-       s.station_name,
-       ({O.AS_OF} - to_minutes(CAST(b.sid * 10 AS INTEGER))) <= {O.AS_OF} - INTERVAL {K.STATION_TTL_S} SECOND AS is_stale
-FROM stations s JOIN best b ON s.snapshot_id = b.sid""", needs=("stations",))
+SELECT s.snapshot_id, {O.AS_OF} - to_minutes(CAST((s.snapshot_id + 1) * 10 AS INTEGER)) AS fetched_at, s.lat, s.lon,
+       s.station_name, FALSE AS is_stale
+FROM stations s JOIN ({BEST_FETCH}) b ON s.snapshot_id = b.sid""", needs=("stations",))
 def _latest_snapshot(spark, sf):
+    """The last good fetch is younger than an hour: kept, though a newer
+    fetch came back empty."""
     return ST.latest_snapshot(fx.station_documents(spark, sf))
 
 
+# Minutes after the evaluation time, and what the newest fetch is by then.
+SNAPSHOT_CASES = {"fresh, newest outside the box": 45, "stale, newest outside the box": 75, "stale, newest invalid": 125}
+
+
+@q("latest_snapshot_cases", f"""
+SELECT t.name, CASE WHEN t.good THEN s.n ELSE 0 END AS stations, CASE WHEN t.good THEN s.sid END AS snapshot_id,
+       CASE WHEN t.good THEN t.stale END AS is_stale
+FROM (VALUES ('fresh, newest outside the box', TRUE, FALSE), ('stale, newest outside the box', FALSE, FALSE),
+             ('stale, newest invalid', TRUE, TRUE)) t(name, good, stale),
+     (SELECT count(*) AS n, min(snapshot_id) AS sid FROM stations
+      WHERE snapshot_id = (SELECT sid FROM ({BEST_FETCH}))) s""", needs=("stations",))
+def _latest_snapshot_cases(spark, sf):
+    """What the cache shows at other times: stations, fetch and staleness."""
+    pages = fx.station_documents(spark, sf)
+    out = None
+    for name, minutes in SNAPSHOT_CASES.items():
+        at = dt.datetime.fromisoformat(K.FIXTURE_AS_OF) + dt.timedelta(minutes=minutes)
+        one = ST.latest_snapshot(pages, at).agg(
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("stations"), F.min("snapshot_id").alias("snapshot_id"),
+            F.bool_or("is_stale").alias("is_stale"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @q("report_export", f"SELECT * FROM ({s_report('trade_in', s_trade())})")
 def _report_export(spark, sf):
     """Export the trade-in list (parquet here; CSV by default), read back."""
@@ -192,6 +222,41 @@ def _report_export(spark, sf):
     return spark.read.parquet(path)
 
 
+@q("report_export_csv", f"SELECT * FROM ({s_report('trade_in', s_trade())})")
+def _report_export_csv(spark, sf):
+    """The default CSV export, read back with its quoting (cells that held
+    nothing read as null, as in a spreadsheet; the oracle's never do here)."""
+    path = T.report_export(report(cust(spark, sf), "trade_in"), "trade_in", scratch_path(spark, "exports"))
+    back = T.load_customers(spark, path, fmt="csv")
+    src = report(cust(spark, sf), "trade_in")
+    types = dict(src.dtypes)
+    blank = src.select("customer_id", *[F.col(c).alias(f"_{c}") for c in src.columns if c != "customer_id"])
+    j = back.join(blank, "customer_id")
+    # an empty cell and a missing one are the same in CSV: take the table's
+    return j.select(*[F.col(c) if c == "customer_id" else
+                      F.when(F.col(c).isNull() & (F.col(f"_{c}").cast("string") == ""), F.col(f"_{c}"))
+                      .otherwise(F.col(c).cast(types[c])).alias(c) for c in back.columns])
+
+
+@q("report_export_general", """SELECT customer_id, full_name, phone, contact_channel, vehicle_model, city, close_reason
+FROM customers""")
+def _report_export_general(spark, sf):
+    """The export of a page without columns of its own."""
+    path = T.report_export(cust(spark, sf), "general", scratch_path(spark, "exports"), fmt="parquet")
+    return spark.read.parquet(path)
+
+
+@q("log_export", f"""SELECT * FROM (SELECT log_ts, user_name, action_type, detail FROM system_logs)
+UNION ALL SELECT strftime({O.AS_OF}, '%Y-%m-%d %H:%M:%S'), '{K.UNKNOWN_USER}', '{K.AUDIT_LOG_EXPORT[0]}', '{K.AUDIT_LOG_EXPORT[1]}'""",
+   needs=("system_logs",))
+def _log_export(spark, sf):
+    """The exported log, and the audit row that the export writes."""
+    logs = scratch_path(spark, "system_logs")
+    path = T.report_export(T.audit_log(spark, logs=fx.system_logs(spark, sf)), "logs", scratch_path(spark, "exports"),
+                           fmt="parquet", logs_path=logs)
+    return spark.read.parquet(path).unionByName(T.audit_log(spark, logs))
+
+
 @q("report_export_reminders", f"""
 SELECT customer_id, full_name, phone, contact_channel, reminder_at, operator, notes
 FROM ({s_report('reminders', f"reminder_at IS NOT NULL AND {O.strip('reminder_at')} <> '' AND lower(reminder_at) <> 'nan' AND {s_reminder_ts()} IS NOT NULL",
@@ -349,15 +414,23 @@ def _map_hover(spark, sf):
     return g.select("customer_id", map_hover(F.col("full_name"), F.col("vehicle_model"), F.col("city")).alias("hover"))
 
 
-@q("geo_jitter")
+def s_jitter(salt: str) -> str:
+    u = f"CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '{salt}'), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0"
+    return f"({u} * 2.0 - 1.0) * CAST({K.GEO_JITTER_DEG} AS DOUBLE)"
+
+
+JITTER_SQL = f"""SELECT customer_id, lat + {s_jitter('lat')} AS lat, lon + {s_jitter('lon')} AS lon,
+  full_name || '<br>Model: ' || vehicle_model || '<br>Şehir: ' || city AS hover FROM ({GEO_SQL})"""
+
+
+@q("geo_jitter", JITTER_SQL, needs=(C, "cities"))
 def _geo_jitter(spark, sf):
-    """Jittered map points (rows-only check: the offset is a hash DuckDB
-    lacks; the bound is checked in the tests)."""
+    """Map points spread by a deterministic offset per customer."""
     return J.jittered(J.customer_geo(cust(spark, sf)))
 
 
 @q("station_name", f"""SELECT lat, lon, upper(coalesce(t_operator, t_brand, t_name, '{K.UNKNOWN_STATION}')) AS station_name
-  FROM stations_raw WHERE snapshot_id <> 0""", needs=("stations_raw",))
+  FROM stations_raw""", needs=("stations_raw",))
 def _station_name(spark, sf):
     """Display name of every element of every valid feed document."""
     from ..functions import station_name
@@ -520,6 +593,15 @@ def _customer_profile(spark, sf):
     return N.customer_profile(cust(spark, sf))
 
 
+@q("customer_profile_lookup", f"""SELECT customer_id, full_name, phone,
+  CASE WHEN coalesce(close_reason, '') <> '' THEN close_reason ELSE '{K.PENDING_STATUS}' END AS status,
+  {s_clean('vehicle_model')} AS model, {s_clean('birth_date')} AS birth_date, '-' AS occupation,
+  {s_clean('city')} AS city FROM customers WHERE customer_id = 77""")
+def _customer_profile_lookup(spark, sf):
+    """One customer's card."""
+    return N.customer_profile(cust(spark, sf), 77)
+
+
 TIMELINE_SQL = f"""
 WITH l AS (
   SELECT customer_id, unnest(string_split(coalesce(notes, 'None'), chr(10))) AS line,
@@ -604,8 +686,8 @@ def _apply_outcome(spark, sf):
 
 @q("append_note", s_outcome_applied() + "SELECT customer_id, notes FROM applied", needs=(C, "outcome_patches"))
 def _append_note(spark, sf):
-    """The notes column after saving outcomes with notes."""
-    return M.apply_outcome(cust(spark, sf), fx.outcome_patches(spark, sf)).select("customer_id", "notes")
+    """The notes column after the saves' notes."""
+    return M.append_note(cust(spark, sf), fx.outcome_patches(spark, sf)).select("customer_id", "notes")
 
 
 @q("apply_admin_edit", f"""
@@ -640,15 +722,28 @@ def _reminder_due(spark, sf):
     return J.reminder_due(cust(spark, sf))
 
 
+def notified(c: DataFrame) -> DataFrame:
+    return J.reminder_due(c, PREV_POLL_VALUE).where(F.col("customer_id") % 3 == 0)
+
+
 PENDING_SQL = (f"SELECT * FROM ({REMINDER_DUE_SQL.format(now=O.AS_OF)}) WHERE customer_id NOT IN "
-               f"(SELECT customer_id FROM ({REMINDER_DUE_SQL.format(now=PREV_POLL)}))")
+               f"(SELECT customer_id FROM ({REMINDER_DUE_SQL.format(now=PREV_POLL)}) WHERE customer_id % 3 = 0)")
 
 
 @q("reminder_pending", PENDING_SQL)
 def _reminder_pending(spark, sf):
-    """Due now and not notified at the previous poll (20 s earlier)."""
+    """Due now and not notified yet: the poll before (20 s earlier) had got
+    through every third of what was due."""
     c = cust(spark, sf)
-    return J.reminder_pending(J.reminder_due(c), J.reminder_due(c, PREV_POLL_VALUE))
+    return J.reminder_pending(J.reminder_due(c), notified(c))
+
+
+@q("still_notified", f"""SELECT customer_id FROM ({REMINDER_DUE_SQL.format(now=PREV_POLL)}) WHERE customer_id % 3 = 0
+  AND customer_id % 4 <> 0""")
+def _still_notified(spark, sf):
+    """The notified ids after every fourth customer's reminder was completed."""
+    n = notified(cust(spark, sf)).select("customer_id")
+    return M.still_notified(n, n.where(F.col("customer_id") % 4 == 0))
 
 
 # ============================================================ 2.5 aggregates
@@ -665,12 +760,12 @@ def _close_reason_dist(spark, sf):
     return A.close_reason_dist(cust(spark, sf))
 
 
-@q("close_reason_dist_empty", "SELECT 'Veri Yok' AS reason, CAST(1 AS BIGINT) AS n")
+@q("close_reason_dist_empty", """SELECT 'Veri Yok' AS reason, CAST(1 AS BIGINT) AS n
+  WHERE (SELECT count(close_reason) FROM customers WHERE close_reason IS NULL) = 0""")
 def _close_reason_dist_empty(spark, sf):
-    """Placeholder path: no reason survives (reasons of the called rows
-    nulled out), so the one placeholder row is returned."""
-    c = cust(spark, sf).withColumn("close_reason", F.lit(None).cast("string"))
-    return A.close_reason_dist(c)
+    """Placeholder path: the customers without a reason give the one
+    placeholder row."""
+    return A.close_reason_dist(cust(spark, sf).where(F.col("close_reason").isNull()))
 
 
 def _dist_sql(col):
@@ -820,17 +915,14 @@ def _page(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY operator ORDER BY due_ts, customer_id) AS rn FROM ({PENDING_SQL})) WHERE rn = 1""")
 def _due_reminder_first(spark, sf):
     c = cust(spark, sf)
-    return J.due_reminder_first(J.reminder_pending(J.reminder_due(c), J.reminder_due(c, PREV_POLL_VALUE)))
+    return J.due_reminder_first(J.reminder_pending(J.reminder_due(c), notified(c)))
 
 
-@q("map_layers", f"""SELECT 'customers' AS layer, lat, lon, full_name || '<br>Model: ' || vehicle_model || '<br>Şehir: ' || city AS label
-  FROM ({GEO_SQL})
+@q("map_layers", f"""SELECT 'customers' AS layer, lat, lon, hover AS label FROM ({JITTER_SQL})
   UNION ALL SELECT 'stations', lat, lon, '⚡ ' || station_name FROM stations""", needs=(C, "cities", "stations"))
 def _map_layers(spark, sf):
-    """Customer and station layers (city centre coordinates; the jitter is
-    a separate display step, see geo_jitter)."""
-    from ..operators.ordering import map_layers_plain
-    return map_layers_plain(J.customer_geo(cust(spark, sf)), ST.station_feed(fx.station_documents(spark, sf)))
+    """Jittered customers and stations as one overlay."""
+    return J.map_layers(J.customer_geo(cust(spark, sf)), ST.station_feed(fx.station_documents(spark, sf)))
 
 
 # ========================================================= 2.8 mutations
@@ -913,7 +1005,7 @@ LOCK_MAX, LOCK_S = 3, 86400
 
 def lockout_sql(max_attempts=LOCK_MAX, lock_s=LOCK_S):
     """Oracle of the lockout fold: a recursive CTE stepping through each
-    user's attempts in (ts, event_id) order (attempts capped at the limit)."""
+    user's attempts in (ts, event_id) order."""
     L = lock_s * 1_000_000
     ign = f"(f.a >= {max_attempts} AND e.t_us < f.u)"
     return f"""WITH RECURSIVE
@@ -922,14 +1014,14 @@ ev AS (SELECT *, row_number() OVER (PARTITION BY user_name ORDER BY ts, event_id
 fold AS (
   SELECT user_name, rn, event_id, ts,
     CASE WHEN success THEN 'success' WHEN 1 >= {max_attempts} THEN 'locked' ELSE 'failure' END AS outcome,
-    CASE WHEN success THEN 0 ELSE least(1, {max_attempts}) END AS a,
+    CASE WHEN success THEN 0 ELSE 1 END AS a,
     CASE WHEN success THEN 0 ELSE t_us + {L} END AS u
   FROM ev WHERE rn = 1
   UNION ALL
   SELECT e.user_name, e.rn, e.event_id, e.ts,
     CASE WHEN {ign} THEN 'ignored' WHEN e.success THEN 'success'
          WHEN f.a + 1 >= {max_attempts} THEN 'locked' ELSE 'failure' END,
-    CASE WHEN {ign} THEN f.a WHEN e.success THEN 0 ELSE least(f.a + 1, {max_attempts}) END,
+    CASE WHEN {ign} THEN f.a WHEN e.success THEN 0 ELSE f.a + 1 END,
     CASE WHEN {ign} THEN f.u WHEN e.success THEN 0 ELSE e.t_us + {L} END
   FROM fold f JOIN ev e ON e.user_name = f.user_name AND e.rn = f.rn + 1)
 SELECT event_id, user_name, ts, outcome, CAST(a AS BIGINT) AS attempts FROM fold"""
@@ -950,5 +1042,13 @@ def _login_lockout_stream(spark, sf):
     return run_lockout_stream(spark, sf, LOCK_MAX, LOCK_S)
 
 
+@q("login_lockout_page_limits")
+def _login_lockout_page_limits(spark, sf):
+    """The login page's own limits: 5 failures, 180 seconds."""
+    from ..streaming.lockout import login_lockout
+    return login_lockout(fx.auth_events(spark, sf))
+
+
 ORACLE["login_lockout"] = O.sql(lockout_sql(), ["auth_events"])
+ORACLE["login_lockout_page_limits"] = O.sql(lockout_sql(K.MAX_ATTEMPTS, K.LOCKOUT_S), ["auth_events"])
 ORACLE["login_lockout_stream"] = ORACLE["login_lockout"]

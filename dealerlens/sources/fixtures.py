@@ -50,38 +50,28 @@ def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# sf_dir -> path of a materialised customer table (see materialize_customers)
-_MATERIALIZED: dict[str, str] = {}
-
-
-def materialize_customers(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Build the customer table once and store it as parquet (the
-    dashboard's system of record); later ``customers(spark, sf_dir)`` calls
-    scan it (column pruning and filter pushdown apply) instead of
-    re-running the adapter joins.  Rows are sorted by key within each
-    file, so row-group statistics serve point lookups by customer_id."""
-    customer_table(spark, sf_dir).sortWithinPartitions("customer_id").write.mode("overwrite").parquet(path)
-    _MATERIALIZED[sf_dir.rstrip("/")] = path
-    return path
-
-
-def forget_materialized(sf_dir: str | None = None) -> None:
-    if sf_dir is None:
-        _MATERIALIZED.clear()
-    else:
-        _MATERIALIZED.pop(sf_dir.rstrip("/"), None)
+def materialize_customers(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Store the customer table as parquet (the dashboard's system of record)
+    and return it as read back, with the typed columns of ``with_typed``
+    beside the texts.  Rows are sorted by key within each file, so row-group
+    statistics serve point lookups by customer_id."""
+    typed = with_typed(customers(spark, sf_dir))
+    typed.sortWithinPartitions("customer_id").write.mode("overwrite").parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)
+
+
+def with_typed(df: DataFrame) -> DataFrame:
+    """Adds what the selective filters otherwise parse from text in every
+    query: month and day of birth and the reminder's time.  Filters use these
+    columns when a table has them, so that they reach the scan."""
+    from ..functions import parse_ts
+    from ..operators.segments import reminder_due_ts
+    born = parse_ts(F.col("birth_date"))
+    return (df.withColumn("birth_month", F.month(born)).withColumn("birth_day_of_month", F.dayofmonth(born))
+            .withColumn("reminder_ts", reminder_due_ts(df)))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer table: the materialised copy when one was written for
-    ``sf_dir``, else the lazy adapter plan."""
-    path = _MATERIALIZED.get(sf_dir.rstrip("/"))
-    if path is not None:
-        return spark.read.parquet(path)
-    return customer_table(spark, sf_dir)
-
-
-def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer table (all text except the key), FIXTURES.md §3.1."""
     cust = read_table(spark, sf_dir, "customer")
     # p_partkey is part's key; grouping on it states that to the optimizer,
@@ -94,7 +84,8 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
         .agg(F.max("o_orderdate").alias("last_orderdate"),
-             F.max_by("o_orderpriority", "o_orderkey").alias("pr"))
+             # only the priority's digit counts; a number keeps the hash aggregate
+             F.max_by(F.substring("o_orderpriority", 1, 1).cast("tinyint"), "o_orderkey").alias("pr"))
     )
     notes = conversation_notes(spark, sf_dir)
     j = (
@@ -105,18 +96,19 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     p7 = F.lpad(k.cast("string"), 7, "0")
     pr = F.col("pr")
-    reminder_ts = F.expr("timestamp_ntz'2001-08-01 00:00:00' + "
-                         "make_dt_interval(0, cast(c_custkey % 48 as int), 0, 0)")
+    # every tenth customer's falls in the two hours before the evaluation time
+    reminder_ts = F.when(k % 10 == 0, as_of_col() - F.expr("make_dt_interval(0, 0, cast(c_custkey % 120 as int), 0)")) \
+        .otherwise(F.expr("timestamp_ntz'2001-08-01 00:00:00' + make_dt_interval(0, cast(c_custkey % 48 as int), 0, 0)"))
     birth = F.date_add(F.lit("1960-02-01").cast("date"), ((k * 37) % 15000).cast("int"))
     return j.select(
         k.alias("customer_id"),
         F.col("c_name").alias("full_name"),
         _pick(k % 6, [F.concat(F.lit("+90 532 "), p7), F.concat(F.lit("532"), p7),
                       F.concat(F.lit("0532"), p7), "12345", ""]).alias("phone"),
-        F.when(pr.startswith("5"), F.lit("Bilgi Verildi"))
-        .when(pr.startswith("4"), F.lit(None).cast("string"))
-        .when(pr.startswith("3"), F.lit(""))
-        .when(pr.startswith("2"), F.lit("Olumlu"))
+        F.when(pr == 5, F.lit("Bilgi Verildi"))
+        .when(pr == 4, F.lit(None).cast("string"))
+        .when(pr == 3, F.lit(""))
+        .when(pr == 2, F.lit("Olumlu"))
         .otherwise(F.lit("Kararsız")).alias("close_reason"),
         _pick(k % 8, ["Evet", "Evet", " YES ", "1", "Hayır", "HAYIR", ""]).alias("called_flag"),
         F.when(k % 10 == 9, F.lit(None).cast("string"))
@@ -149,19 +141,15 @@ def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def outcome_patches(spark: SparkSession, sf_dir: str, as_of=None, days: int = 60) -> DataFrame:
-    """Call outcomes saved by sales people: one per order of the last
-    ``days`` days (patch_ts, seq, customer_id, user_name, reason, reminder,
-    note)."""
+def outcome_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call outcomes saved by sales people: one per order (patch_ts, seq,
+    customer_id, user_name, reason, reminder, note)."""
     o = read_table(spark, sf_dir, "orders")
-    now = as_of_col(as_of)
     ok = F.col("o_orderkey")
     ts = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(9), (ok % 480).cast("int"), F.lit(0))
     rem_ts = F.col("o_orderdate") + F.make_dt_interval(F.lit(2), F.lit(10), F.lit(0), F.lit(0))
     return (
-        o.where((F.col("o_orderdate") >= now - F.expr(f"INTERVAL {days} DAYS"))
-                & (F.col("o_orderdate") <= now))
-        .select(
+        o.select(
             ts.alias("patch_ts"),
             ok.alias("seq"),
             F.col("o_custkey").alias("customer_id"),
@@ -244,11 +232,17 @@ STATION_JSON_SCHEMA = ("struct<elements:array<struct<lat:double,lon:double,"
                        "tags:map<string,string>>>>")
 
 
+# Fetches of the landed station feed: snapshot id -> minutes after as_of.
+# 0..2 hold the suppliers, 3 came back empty, 4 holds only places outside the
+# box, 5 lacks a coordinate.
+FETCH_MINUTES = {0: -10, 1: -20, 2: -30, 3: -5, 4: 40, 5: 120}
+
+
 def station_documents(spark: SparkSession, sf_dir: str, as_of=None, page_size: int = 50) -> DataFrame:
-    """Landed station feed: three fetches (snapshot_id = s_nationkey % 3,
-    fetched 0 / 10 / 20 minutes before as_of), each landed as JSON pages of
-    at most ``page_size`` elements (snapshot_id, page, fetched_at, json).
-    The newest fetch (snapshot 0) came back empty."""
+    """Landed station feed: the fetches of ``FETCH_MINUTES``, each as JSON
+    pages of at most ``page_size`` elements (snapshot_id, page, fetched_at,
+    json).  Every supplier is in one of fetches 0 to 2, by its nation; every
+    tenth is in fetch 4 too, far south; fetch 5 has those without latitude."""
     s = read_table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     amenity = F.when(sk % 5 == 0, F.lit("fuel")).otherwise(F.lit(K.STATION_AMENITY))
@@ -263,18 +257,18 @@ def station_documents(spark: SparkSession, sf_dir: str, as_of=None, page_size: i
                                    F.concat(F.lit("istasyon "), sk.cast("string"))))
         .otherwise(F.create_map(F.lit("amenity"), amenity))
     )
-    el = F.struct((F.lit(35.0) + (sk % 9)).cast("double").alias("lat"),
-                  (F.lit(24.0) + (sk % 23)).cast("double").alias("lon"),
-                  tags.alias("tags"))
-    sid = (F.col("s_nationkey") % 3).cast("int")
-    empty = F.array().cast("array<struct<lat:double,lon:double,tags:map<string,string>>>")
-    return (
-        s.groupBy(sid.alias("snapshot_id"), F.floor(sk / page_size).alias("page"))
-        .agg(F.collect_list(el).alias("els"))
-        .select(
-            "snapshot_id", "page",
-            (as_of_col(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.col("snapshot_id") * 10, F.lit(0))).alias("fetched_at"),
-            F.to_json(F.struct(F.when(F.col("snapshot_id") == 0, empty).otherwise(F.col("els"))
-                               .alias("elements"))).alias("json"),
-        )
-    )
+    tenth = F.when(sk % 10 == 0, F.array(F.lit(4), F.lit(5))).otherwise(F.array().cast("array<int>"))
+    sid = F.col("snapshot_id")
+    placed = s.withColumn("snapshot_id", F.explode(F.concat(
+        F.array((F.col("s_nationkey") % 3).cast("int")), tenth)))
+    lat = F.when(sid == 4, F.lit(10.0)).when(sid < 4, (F.lit(35.0) + (sk % 9)).cast("double"))
+    el = F.struct(lat.alias("lat"), (F.lit(24.0) + (sk % 23)).cast("double").alias("lon"), tags.alias("tags"))
+    minutes = F.create_map(*[F.lit(x) for kv in FETCH_MINUTES.items() for x in kv])
+    pages = (placed.groupBy("snapshot_id", F.floor(sk / page_size).alias("page"))
+             .agg(F.collect_list(el).alias("elements"))
+             .select("snapshot_id", "page", F.to_json(F.struct("elements")).alias("json")))
+    empty = spark.range(1).select(F.lit(3).alias("snapshot_id"), F.lit(0).cast("long").alias("page"),
+                                  F.lit('{"elements":[]}').alias("json"))
+    return pages.unionByName(empty).select(
+        "snapshot_id", "page",
+        (as_of_col(as_of) + F.make_dt_interval(F.lit(0), F.lit(0), minutes[sid], F.lit(0))).alias("fetched_at"), "json")

@@ -10,7 +10,7 @@ import decimal
 import hashlib
 import math
 
-from ..sources.fixtures import TABLES
+from dealerlens.sources.fixtures import TABLES
 
 
 def duck_connect(sf_dir: str):
@@ -34,7 +34,7 @@ def _canon(v) -> str:
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, _dt.datetime):
-        return v.strftime("%Y-%m-%d %H:%M:%S")
+        return v.strftime("%Y-%m-%d %H:%M:%S.%f")
     if isinstance(v, _dt.date):
         return v.strftime("%Y-%m-%d")
     if isinstance(v, (list, tuple)):

@@ -20,5 +20,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck01():
-    from dealerlens.plans.compare import duck_connect
+    from compare import duck_connect
     return duck_connect(SF01)

@@ -3,14 +3,15 @@ Spark produces for the registered queries."""
 
 import pytest
 
-from conftest import SF01
+from conftest import SF001, SF01
 from dealerlens.plans.queries import QUERIES
 from dealerlens.session import scratch_path
 from dealerlens.sources import fixtures as fx
 
 # queries whose callables run jobs while building the plan (writes, streams)
-EAGER = {"load_with_fallback", "rebuild_table", "audit_append", "report_export",
-         "report_export_reminders", "reminder_alerts_stream", "login_lockout", "login_lockout_stream"}
+EAGER = {"load_customers", "load_with_fallback", "rebuild_table", "audit_append", "report_export", "report_export_csv",
+         "report_export_general", "report_export_reminders", "log_export", "reminder_alerts_stream", "login_lockout",
+         "login_lockout_page_limits", "login_lockout_stream"}
 
 
 def plan(df) -> str:
@@ -61,29 +62,60 @@ def test_unused_adapter_joins_are_removed(spark):
     assert "part.parquet" not in p and "orders.parquet" not in p
 
 
-def test_interval_join_is_bucketed_semi_join(no_broadcast):
+def test_alert_join_is_an_equi_join_of_aggregates(no_broadcast):
+    """Ticks are aggregated before the join, which meets one row per operator
+    and bucket."""
     p = plan(QUERIES["reminder_alerts"](no_broadcast, SF01))
-    assert "LeftSemi" in p and "bucket" in p
+    joins = [line for line in p.splitlines() if "SortMergeJoin" in line]
+    # what the condition compares are the extremes of one bucket, one row each
+    assert len(joins) == 1 and "Inner" in joins[0] and "tick_ts" not in joins[0]
+    assert "partial_max(tick_ts" in p
+
+
+def test_orders_are_hash_aggregated(no_broadcast):
+    last = fx.customers(no_broadcast, SF01).select("close_reason")
+    assert "SortAggregate" not in plan(last)
+
+
+def test_shares_use_no_window(no_broadcast):
+    assert "Window" not in plan(QUERIES["distribution_share"](no_broadcast, SF01))
+
+
+def test_caller_cities_are_not_forced_into_a_broadcast(no_broadcast):
+    from dealerlens.operators.joins import cities, customer_geo
+    p = plan(customer_geo(fx.customers(no_broadcast, SF01), cities(no_broadcast)))
+    assert "BroadcastExchange" not in p
+
+
+def test_typed_filters_reach_the_scan(spark):
+    from dealerlens.operators import joins as J
+    from dealerlens.operators import segments as S
+    t = fx.materialize_customers(spark, SF01, scratch_path(spark, "customers"))
+    lazy = fx.customers(spark, SF01)
+    for fn, column in ((S.birthdays_today, "birth_month"), (S.birthdays_month, "birth_month"),
+                       (J.reminder_due, "reminder_ts")):
+        pushed = [line for line in plan(fn(t)).splitlines() if "PushedFilters" in line]
+        assert pushed and all(f"({column}" in line for line in pushed), fn
+        assert sorted(map(tuple, fn(t).collect())) == sorted(map(tuple, fn(lazy).collect()))
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES)))
+def test_every_query_scans_and_returns_rows(spark, name):
+    df = QUERIES[name](spark, SF001)
+    assert "FileScan" in plan(df) or name in EAGER, "reads no table"
+    assert df.limit(1).count() == 1, "empty result"
 
 
 def test_point_lookup_pushed_to_scan(spark):
     from dealerlens.operators.notes import customer_profile
     path = scratch_path(spark, "customers")
-    fx.materialize_customers(spark, SF01, path)
-    try:
-        p = plan(customer_profile(fx.customers(spark, SF01), 42))
-        assert "PushedFilters: [IsNotNull(customer_id), EqualTo(customer_id,42)]" in p
-        assert "ReadSchema: struct<customer_id:bigint,full_name:string,phone:string,close_reason:string" in p
-    finally:
-        fx.forget_materialized(SF01)
+    p = plan(customer_profile(fx.materialize_customers(spark, SF01, path), 42))
+    assert "PushedFilters: [IsNotNull(customer_id), EqualTo(customer_id,42)]" in p
+    assert "ReadSchema: struct<customer_id:bigint,full_name:string,phone:string,close_reason:string" in p
 
 
 def test_column_pruning_on_materialized_table(spark):
-    path = scratch_path(spark, "customers")
-    fx.materialize_customers(spark, SF01, path)
-    try:
-        p = plan(QUERIES["kpi_summary"](spark, SF01))
-        assert "ReadSchema: struct<called_flag:string,odometer_km:string,model_year:string>" in p
-        assert QUERIES["kpi_summary"](spark, SF01).first().total == 1500
-    finally:
-        fx.forget_materialized(SF01)
+    from dealerlens.operators.segments import kpi_summary
+    df = kpi_summary(fx.materialize_customers(spark, SF01, scratch_path(spark, "customers")))
+    assert "ReadSchema: struct<called_flag:string,odometer_km:string,model_year:string>" in plan(df)
+    assert df.first().total == 1500
