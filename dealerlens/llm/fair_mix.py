@@ -28,6 +28,8 @@ from .common import WORD_PATTERN, global_rank, prepare, range_sorted, stored
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LAPS = 2
+#: Breaks ties of the finish time.
+PLACE = ("_src", "_key", "doc_id", "size")
 
 
 def source_key(source: Column) -> Column:
@@ -73,7 +75,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, laps: int = LAPS
 
 def _queue(rows: DataFrame, weights, share, laps, seed) -> DataFrame:
     """The queue over (doc_id, _src, size, ...)."""
-    keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id")))
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    keyed = rows.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     order = [F.col("_src"), F.col("_key"), F.col("doc_id"), F.col("size")]
     t = range_sorted(keyed, order, "mix-rows")
     per = stored(t.groupBy("_pid", "_src").agg(F.sum("size").alias("_sum")), "mix-ranges")
@@ -83,34 +86,33 @@ def _queue(rows: DataFrame, weights, share, laps, seed) -> DataFrame:
     run = Window.partitionBy("_pid", "_src").orderBy("_idx")
     cum = t.withColumn("_cum", F.sum("size").over(run)).join(off, ["_pid", "_src"])
     cum = cum.withColumn("_cum", F.col("_cum") + F.col("_off"))
-    base = stored(cum.drop("_pid", "_idx", "_off", "_key"), "mix-base")
+    base = stored(cum.drop("_pid", "_idx", "_off"), "mix-base")
 
     def finish(lap: Column) -> Column:
         return F.when(F.col("target") > 0, (F.col("_cum") + lap * F.col("source_size")) / F.col("target"))
 
     queue = (base.where("size > 0 AND target > 0")
-             .select("_mid", "size", "_cum", "source_size", "target",
-                     F.explode(F.sequence(F.lit(0), F.lit(laps - 1))).alias("_lap"))
-             .select("size", "_lap", "_mid", finish(F.col("_lap")).alias("_fin")))
-    queue = queue.withColumnRenamed("_mid", "_row")
+             .withColumn("_lap", F.explode(F.sequence(F.lit(0), F.lit(laps - 1))))
+             .select(finish(F.col("_lap")).alias("_fin"), *PLACE, "_lap"))
     cut = _cut(queue, share)
     if cut is None:
         kept = F.lit(0)
     else:
-        fin, row, lap = cut
-        kept = sum((F.when(F.struct(finish(F.lit(k)), F.col("_mid"), F.lit(k))
-                           <= F.struct(F.lit(fin), F.lit(row).cast("long"), F.lit(lap)), 1).otherwise(0)
+        last = F.struct(F.lit(cut["_fin"]), *[F.lit(cut[c]).cast(base.schema[c].dataType) for c in PLACE],
+                        F.lit(cut["_lap"]))
+        kept = sum((F.when(F.struct(finish(F.lit(k)), *PLACE, F.lit(k)) <= last, 1).otherwise(0)
                     for k in range(laps)), F.lit(0))
     kept = F.when((F.col("size") > 0) & (F.col("target") > 0), kept).otherwise(0)
     return (base.withColumn("copies", kept).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
-            .drop("_mid", "_cum", "_src"))
+            .drop("_mid", "_cum", "_src", "_key"))
 
 
 def _cut(queue: DataFrame, share: float):
-    """(finish, row, lap) of the last entry whose running words stay within
-    the budget, or None when nothing does.  Only the one range that holds the
+    """The last entry of the queue whose running words stay within the
+    budget, or None when none does.  Only the one range that holds the
     cut is scanned row by row."""
-    s = range_sorted(queue, [F.col("_fin"), F.col("_row"), F.col("_lap")], "mix-queue")
+    order = ["_fin", *PLACE, "_lap"]
+    s = range_sorted(queue, [F.col(c) for c in order], "mix-queue")
     sums = s.groupBy("_pid").agg(F.sum("size").alias("_sum"))
     before = F.sum("_sum").over(Window.orderBy("_pid")) - F.col("_sum")
     sums = stored(sums.withColumn("_off", before), "mix-queue-sums")
@@ -123,10 +125,10 @@ def _cut(queue: DataFrame, share: float):
 
     def last(pid: int, off: int):
         rows = s.where(F.col("_pid") == pid).withColumn("_cum", F.sum("size").over(run) + F.lit(off))
-        return rows.where(F.col("_cum") <= budget).agg(F.max(F.struct("_fin", "_row", "_lap"))).first()[0]
+        return rows.where(F.col("_cum") <= budget).agg(F.max(F.struct(*order))).first()[0]
 
     hit = last(first["_pid"], first["_off"])
     if hit is None:
         prev = sums.where(F.col("_pid") < first["_pid"]).orderBy(F.col("_pid").desc()).limit(1).first()
         hit = last(prev["_pid"], prev["_off"]) if prev else None
-    return hit and (hit["_fin"], hit["_row"], hit["_lap"])
+    return hit

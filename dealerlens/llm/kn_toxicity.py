@@ -175,12 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     learn = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def count(batches):
+        import pyarrow as pa
         for b in batches:
+            rows = list(zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True))
             for y in (0, 1):
-                c = Counter(w for t in b["text"][b["y"] == y] if t for w in TERM.findall(t.lower()))
-                yield pd.DataFrame({"w": list(c), "y": y, "n": list(c.values())})
+                c = Counter(w for t, u in rows if u == y and t for w in TERM.findall(t.lower()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()),
+                     pa.array(list(c.values()), pa.int64())], names=["w", "y", "n"])
 
-    t = (learn.where(~F.col("_cal")).select("text", "y").mapInPandas(count, "w string, y int, n long")
+    t = (learn.where(~F.col("_cal")).select("text", "y").mapInArrow(count, "w string, y int, n long")
          .groupBy("w").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
          .orderBy("w").toPandas())
     if not (len(t) and t["n0"].sum() and t["n1"].sum()):

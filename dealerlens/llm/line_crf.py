@@ -116,8 +116,9 @@ class Field:
         return np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at)
 
     def scores(self, texts) -> np.ndarray:
+        """Rounded, so that a text's place in its batch does not show."""
         a, b = self.logistic
-        return 1 / (1 + np.exp(-np.clip(a * stretch(self.documents(texts)) + b, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(a * stretch(self.documents(texts)) + b, -30, 30))), 9)
 
 
 def stretch(q: np.ndarray) -> np.ndarray:

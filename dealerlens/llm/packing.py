@@ -7,7 +7,8 @@ the bins; then a local search takes the emptiest bin in turn and moves its
 documents, or exchanges one for one and two for one, with other underfull
 bins.  Each step raises the sum of squared fills, so the search ends; bins
 that run empty disappear.  What the groups leave underfull is packed again in
-a later round over fewer groups, until one round's left-over fits one group.
+a later round over fewer groups, until one group holds it all, three rounds
+at most.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 are packed separately; an empty table gives an empty result; other columns
@@ -282,7 +283,7 @@ def pack(cut: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECES)
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id()), F.lit(groups)))
         out = stored(dealt.groupBy("_group").applyInPandas(_packer(rounds << 56, size), schema), "pack-round")
         rounds += 1
-        if groups == 1:
+        if groups == 1 or rounds == ROUNDS:
             done.append(out)
             break
         # the emptier a bin, the likelier it dissolves when groups meet
@@ -296,8 +297,9 @@ def pack(cut: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECES)
     return whole.select(*cols, "sequence_id", "offset")
 
 
-#: Bins filled less than this share are packed again across groups.
+#: Bins filled less than this share are packed again across groups, so often.
 REPACK = 0.98
+ROUNDS = 3
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,

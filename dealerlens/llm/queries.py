@@ -82,7 +82,49 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
+# The words of the contracts, in DuckDB.
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op4_fair_mix": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size,
+                   ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':7'), 1, 15))::BIGINT AS k FROM documents),
+        src AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+                       [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+                FROM d GROUP BY source),
+        budget AS (SELECT 1.5::DOUBLE * sum(source_size) AS b FROM src),
+        level AS (
+            SELECT 0 AS step, 0.0::DOUBLE AS lvl, -1::BIGINT AS capped, FALSE AS done
+            UNION ALL
+            SELECT step + 1, coalesce((any_value(b) - sum(CASE WHEN cap <= lvl * w THEN cap ELSE 0 END))
+                                      / nullif(sum(CASE WHEN cap <= lvl * w THEN 0 ELSE w END), 0), lvl),
+                   count(*) FILTER (WHERE cap <= lvl * w), count(*) FILTER (WHERE cap <= lvl * w) = capped
+            FROM level, src, budget WHERE NOT done GROUP BY step, lvl, capped),
+        t AS (SELECT src.*, least(cap, w * (SELECT lvl FROM level ORDER BY step DESC LIMIT 1)) AS target FROM src),
+        c AS (SELECT d.*, source_size, target,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, (cum + lap * source_size) / target AS fin FROM c, (VALUES (0), (1)) AS laps(lap)
+              WHERE size > 0 AND target > 0),
+        r AS (SELECT *, sum(size) OVER (ORDER BY fin, source NULLS LAST, k, doc_id, size, lap
+                                        ROWS UNBOUNDED PRECEDING) AS run FROM q),
+        kept AS (SELECT doc_id, count(*) AS n FROM r, budget WHERE run <= b GROUP BY doc_id)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken
+        FROM c LEFT JOIN kept USING (doc_id)""",
+    "op6_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(FOLDED)} AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) END AS sh FROM w),
+        e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+              GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b
+              WHERE 100 * k >= 90 * (len(sa.sh) + len(sb.sh) - k)),
+        c AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT c.doc_id, l.b FROM c JOIN l ON c.r = l.a),
+        m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
+        SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN m USING (doc_id)""",
     "op7_uniform_topk": """
         WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q
                    FROM embeddings
