@@ -13,7 +13,7 @@ fewer than ``v_i`` shingles: it is equal (v = 1) or equal after dropping one
 shingle (v = 2).  A set is indexed by every segment's subset and, in the last
 ``q`` segments, by its one-deletion neighbours.  It probes as its own costs
 suggest: empty segments, whose lists are long, get 0, and as many of the last
-segments, those with the shortest neighbourhoods first, get 2.  A pair meets
+segments, those with the rarest neighbourhoods first, get 2.  A pair meets
 if either member probes for it.
 
 Candidates whose parity sketches differ in more bits than linked sets may
@@ -41,16 +41,20 @@ from functools import lru_cache
 from math import ceil, exp, sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import components, prepare, stored
+from .common import components, partitions, prepare, stored
 from .words import MIX1, scramble
 
 WIDTH, NUM, DEN = 5, 80, 100
 #: Rounds of verification against one pivot per list.
 PIVOT_ROUNDS = 2
+#: Shingles per bucket of signatures; a shingle has about one signature of ten
+#: bytes (of 18 in the task that sorts them).
+BUCKET_SHINGLES = 1_000_000
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 
@@ -86,7 +90,8 @@ def scheme(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
     most = hi + hi * den // num
     m = most * (den - num) // (den + num) + 1
     empty = m * exp(-lo / m)
-    return m, min(m, ceil(empty + 3 * sqrt(empty)) + 1)
+    two = 1 - exp(-lo / m) * (1 + lo / m)  # of the segments hold two shingles or more
+    return m, min(m, ceil((empty + 3 * sqrt(empty)) / two) + 1)
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +121,10 @@ def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
         skipped = int((count == 0).sum())
         probe = count > 0
         last = np.arange(m - q, m)
-        two = last[np.argsort(count[last], kind="stable")]
-        two = two[count[two] > 0][:skipped]  # an empty segment has no use as a 2
+        # the fuller a segment, the fewer share it less one shingle; less its
+        # only shingle it would be the empty one
+        two = last[np.argsort(-count[last], kind="stable")]
+        two = two[count[two] > 1][:skipped]
         if len(two) < skipped:  # too few: probe the first empty ones after all
             probe[np.flatnonzero(count == 0)[:skipped - len(two)]] = True
         probes.append(probe)
@@ -145,28 +152,60 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest string")
 
 
-def _signature_rows(reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _signature_blobs(reps: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """(bucket, blob): the signatures of some hundred documents that fall into
+    one bucket, ten bytes each: the signature, its lowest bit telling whether
+    the document probes with it, and the document's place in the blob's head."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for at in range(0, len(ids), 200):
-                sig, size, probe, doc = [], [], [], []
-                for d, t in zip(ids[at:at + 200], b.column("text").slice(at, 200).to_pylist(), strict=True):
-                    s = shingles(t, width)
-                    if len(s):
-                        g, p = signatures(s, num, den)
-                        sig.append(g)
-                        probe.append(p)
-                        size.append(np.full(len(g), len(s), np.int32))
-                        doc.append(np.full(len(g), d, np.int64))
-                if sig:
-                    packed = np.concatenate(size) * 2 + np.concatenate(probe)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(doc)),
-                         pa.array(packed.astype(np.int32))], names=["sig", "id", "packed"])
-
-    return reps.mapInArrow(run, "sig long, id long, packed int")
+            ids, sizes, sig, doc = [], [], [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                s = shingles(t, width)
+                if len(s):
+                    g, p = signatures(s, num, den)
+                    sig.append((g << np.uint64(1)) | p.astype(np.uint64))
+                    doc.append(np.full(len(g), len(ids), np.uint16))
+                    ids.append(d)
+                    sizes.append(len(s))
+            if not ids:
+                continue
+            head = np.array([len(ids)], "<u4").tobytes() + np.array(ids, "<i8").tobytes() + np.array(sizes, "<i4").tobytes()
+            sig, doc = np.concatenate(sig), np.concatenate(doc)
+            place = ((sig >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            ends = np.cumsum(np.bincount(place, minlength=buckets))
+            sig, doc = sig[order], doc[order]
+            out = [(k, head + sig[lo:hi].tobytes() + doc[lo:hi].tobytes())
+                   for k, (lo, hi) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if hi > lo]
+            for at in range(0, len(out), 256):
+                part = out[at:at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()),
+                                                  pa.array([x for _, x in part], pa.binary())], names=["bucket", "blob"])
+
+    return reps.mapInArrow(run, "bucket int, blob binary")
+
+
+def _lists(blobs: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket the rows (sig, id, size, probe) of all signatures that
+    different documents share and one of them probes with."""
+    sigs, ids, sizes = [], [], []
+    for x in blobs["blob"]:
+        n = int(np.frombuffer(x, "<u4", 1)[0])
+        rows = (len(x) - 4 - 12 * n) // 10
+        doc = np.frombuffer(x, "<u2", rows, 4 + 12 * n + 8 * rows)
+        sigs.append(np.frombuffer(x, "<u8", rows, 4 + 12 * n))
+        ids.append(np.frombuffer(x, "<i8", n, 4)[doc])
+        sizes.append(np.frombuffer(x, "<i4", n, 4 + 8 * n)[doc])
+    sig, doc, size = np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes)
+    order = np.argsort(sig, kind="stable")
+    sig, doc, size = sig[order], doc[order], size[order]
+    probe, sig = (sig & np.uint64(1)).astype(np.int32), sig >> np.uint64(1)
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    keep = ((np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
+            & (np.maximum.reduceat(probe, starts) == 1))
+    rows = np.repeat(keep, np.diff(np.append(starts, len(sig))))
+    return pd.DataFrame({"sig": sig[rows].view(np.int64), "id": doc[rows], "size": size[rows], "probe": probe[rows]})
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -191,16 +230,14 @@ def _arrays(reps: DataFrame, width: int) -> DataFrame:
     return reps.mapInArrow(run, f"id long, {words}, s array<long>")
 
 
-def links(reps: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+def links(reps: DataFrame, buckets: int, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, comp) of the documents of ``reps`` (doc_id, text) that link with
-    another; sets are assumed different."""
-    rows = _signature_rows(reps, width, num, den)
+    another; sets are assumed different.  Signatures are dealt into
+    ``buckets``, each of which one task sorts in memory."""
     lists = Window.partitionBy("sig")
-    rows = (rows.withColumn("lo", F.min("id").over(lists)).withColumn("hi", F.max("id").over(lists))
-            .withColumn("any", F.max(F.col("packed") % 2).over(lists)))
-    hits = stored(rows.where("lo <> hi AND any = 1")
-                  .select("sig", "id", F.expr("packed div 2").cast("int").alias("size"),
-                          (F.col("packed") % 2).alias("probe")), "jaccard-lists")
+    blobs = _signature_blobs(reps, width, num, den, buckets)
+    hits = stored(blobs.groupBy("bucket").applyInPandas(_lists, "sig long, id long, size int, probe int"),
+                  "jaccard-lists")
     ids = hits.select(F.col("id").alias("doc_id")).distinct()
     arrays = stored(_arrays(reps.join(ids, "doc_id", "left_semi"), width), "jaccard-sets")
 
@@ -212,19 +249,22 @@ def links(reps: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -
                .select("a", "b", (both * den >= (size - both) * num).alias("linked")))
         return stored(out, name)
 
-    words = [f"k{k}" for k in range(SKETCH)]
-    carried = ["id", "size", "probe", "comp", *words]
-    hits = stored(hits.join(arrays.select("id", *words), "id"), "jaccard-sketched")
+    sketches = arrays.select("id", F.array(*[f"k{k}" for k in range(SKETCH)]).alias("k"))
 
-    def may_link(a, b):
-        """Of two rows with ``carried`` columns: different components, one
-        probes, and neither sizes nor sketches rule the pair out."""
-        size = a["size"] + b["size"]
-        apart = sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in words), F.lit(0))
-        return ((a["comp"] != b["comp"]) & (a["probe"] + b["probe"] > 0)
-                & (F.least(a["size"], b["size"]) * den >= F.greatest(a["size"], b["size"]) * num)
-                & (apart * (den + num) <= size * (den - num)))
+    def may_link(a: str, b: str):
+        """Of two rows (id, size, probe, comp): different components, one
+        probes, and the sizes don't rule the pair out."""
+        least, most = (f(f"{a}.size", f"{b}.size") for f in (F.least, F.greatest))
+        return ((F.col(f"{a}.comp") != F.col(f"{b}.comp")) & (F.col(f"{a}.probe") + F.col(f"{b}.probe") > 0)
+                & (least * den >= most * num))
 
+    def near(a: str, b: str, size):
+        """Sketches that differ in no more bits than linked sets of ``size``
+        shingles in all may differ in shingles."""
+        apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+        return apart * (den + num) <= size * (den - num)
+
+    row = F.struct("id", "size", "probe", "comp")
     comp, tested = None, None
     for k in range(PIVOT_ROUNDS + 1):
         if comp is None:
@@ -236,17 +276,27 @@ def links(reps: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -
             now = stored(now, "jaccard-open")
             if now.isEmpty():
                 break
-        row = F.struct(*carried)
         if k < PIVOT_ROUNDS:
-            pivot = now.groupBy("sig").agg(
-                F.min_by(row, F.struct(F.xxhash64("sig", "id", F.lit(k)), "id")).alias("p"))
-            met = now.select("sig", row.alias("r")).join(pivot, "sig")
+            # first one order for all lists, so that a group's lists agree on
+            # a pivot, then an order of each list's own
+            order = F.xxhash64("id") if k == 0 else F.xxhash64("sig", "id", F.lit(k))
+            pivot = now.groupBy("sig").agg(F.min_by(row, F.struct(order, "id")).alias("p"))
+            met = now.select("sig", row.alias("r")).join(pivot, "sig").where(may_link("r", "p"))
+            met = (met.groupBy(F.col("r.id").alias("a"), F.col("p.id").alias("b"))
+                   .agg(F.max(F.col("r.size") + F.col("p.size")).alias("size")))
+            met = met.join(sketches.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
+            met = met.join(sketches.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+            # one pivot for each document and round
+            pairs = (met.where(near("ka", "kb", F.col("size"))).groupBy("a")
+                     .agg(F.min_by("b", F.struct(F.xxhash64("b", F.lit(k)), "b")).alias("b")))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            met = now.select("sig", row.alias("r")).join(now.select("sig", row.alias("p")), "sig")
-            met = met.where("r.comp < p.comp")
-        r, p = ({c: F.col(f"{x}.{c}") for c in carried} for x in "rp")
-        met = met.where(may_link(r, p))
-        pairs = met.select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")).distinct()
+            now = now.join(sketches, "id")
+            side = [now.select("sig", row.alias(x), F.col("k").alias(f"k{x}")) for x in "rp"]
+            met = side[0].join(side[1], "sig").where(
+                may_link("r", "p") & (F.col("r.comp") < F.col("p.comp"))
+                & near("kr", "kp", F.col("r.size") + F.col("p.size")))
+            pairs = met.select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = verified(pairs, f"jaccard-pairs-{k}")
@@ -265,7 +315,8 @@ def groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     copies = stored(known.select("doc_id").distinct().join(rep_ids, "doc_id", "left_anti"), "jaccard-copies")
     reps = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
             .join(copies, "doc_id", "left_anti"))
-    comp = links(reps, width, num, den)
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    comp = links(reps, max(partitions(docs.sparkSession), -(-total // BUCKET_SHINGLES)), width, num, den)
     # ids that stand for several sets bind those sets' classes together
     held = known.join(classes, "digest").select("doc_id", "rep").distinct()
     held = held.withColumn("lo", F.min("rep").over(Window.partitionBy("doc_id")))
