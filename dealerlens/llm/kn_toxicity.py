@@ -35,7 +35,7 @@ from .common import prepare
 from .labels import fit_logistic, held_out, sample
 from .words import TERM, scramble
 
-PER_CLASS = 2000
+PER_CLASS = 1200
 THRESHOLD = 0.5
 #: Documents of the sample per calibration document.
 CALIBRATION = 4
@@ -64,7 +64,7 @@ def grams(words: list[str], orders=range(LOWEST - 1, ORDER + 1)) -> tuple[dict,
     return out, owner
 
 
-def contexts(words: list[str]) -> dict[int, np.ndarray]:
+def contexts(words: list[str], orders=range(2, ORDER + 1)) -> dict[int, np.ndarray]:
     """For each order the hashes of the histories of the same n-grams."""
     text = "".join(BEGIN + w + END for w in words)
     cp = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -74,7 +74,8 @@ def contexts(words: list[str]) -> dict[int, np.ndarray]:
     out, h = {}, np.full(len(at), 7, np.uint64)
     for k in range(2, ORDER + 1):
         h = scramble(h + cp[at - k + 1] + np.uint64(k << 40))
-        out[k] = h
+        if k in orders:
+            out[k] = h
     return out
 
 
@@ -138,26 +139,23 @@ class Model:
 
 def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
     """The class models' tables from the sample's words and their counts
-    (2, words) by class."""
-    g, owner = grams(words)
-    h = contexts(words)
-    begins = {k: np.zeros(0, bool) for k in g}
-    sizes = np.bincount(owner, minlength=len(words))
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for k in g:
-        begins[k] = place < k - 1  # the n-gram holds a begin mark: it has one left neighbour only
+    (2, words) by class; one order at a time, to spare the driver."""
+    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    place = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     out = {}
     above = None
     for k in range(ORDER, LOWEST - 1, -1):
-        table, first, inv = np.unique(g[k], return_index=True, return_inverse=True)
+        g, owner = grams(words, [k])
+        table, first, inv = np.unique(g.pop(k), return_index=True, return_inverse=True)
         count = np.stack([np.bincount(inv, weights=n[c][owner]) for c in (0, 1)])
         if above is not None:  # distinct left extensions, but for n-grams at a word's beginning
             seen, first_above = above
             kinds = np.stack([np.bincount(inv[first_above], weights=seen[c] > 0, minlength=len(table))
                               for c in (0, 1)])
-            count = np.where(begins[k][first], count, kinds)
+            # an n-gram that holds a begin mark has one left neighbour only
+            count = np.where(place[first] < k - 1, count, kinds)
         above = (count, first)
-        hist, hist_inv = np.unique(h[k][first], return_inverse=True)
+        hist, hist_inv = np.unique(contexts(words, [k])[k][first], return_inverse=True)
         cut = np.minimum(count, RARE)
         total = np.stack([np.bincount(hist_inv, weights=count[c], minlength=len(hist)) for c in (0, 1)])
         left = np.stack([np.bincount(hist_inv, weights=cut[c], minlength=len(hist)) for c in (0, 1)])
@@ -222,7 +220,7 @@ def shared_tables(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted lowest n-grams of ``words`` and the number of each one's history."""
     k = LOWEST - 1
     table, first = np.unique(grams(words, [k])[0][k], return_index=True)
-    return table, np.unique(contexts(words)[k][first], return_inverse=True)[1]
+    return table, np.unique(contexts(words, [k])[k][first], return_inverse=True)[1]
 
 
 def conditional(n: np.ndarray, hist: np.ndarray) -> np.ndarray:
