@@ -35,7 +35,7 @@ from .common import prepare
 from .labels import fit_logistic, held_out, sample
 from .words import TERM, scramble
 
-PER_CLASS = 1200
+PER_CLASS = 2000
 THRESHOLD = 0.5
 #: Documents of the sample per calibration document.
 CALIBRATION = 4
