@@ -72,7 +72,8 @@ def test_packed_documents(spark, odd_docs, no_docs):
 
 
 def test_packing_in_many_groups(spark):
-    """Small groups and several rounds still pack tightly."""
+    """Groups of 200 pieces over several rounds need at most 3 % more bins
+    than one group of all pieces."""
     rng = np.random.default_rng(2)
     rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 4096, 3000))]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), group_pieces=200).collect()
@@ -80,7 +81,8 @@ def test_packing_in_many_groups(spark):
     for r in out:
         fill[r.sequence_id] += r.length
     assert len(out) == 3000 and max(fill.values()) <= 4096
-    assert len(fill) <= 1.02 * sum(n for _, n in rows) / 4096 + 1
+    whole = packing.pack_group(np.array([n for _, n in rows]))[0].max() + 1
+    assert len(fill) <= 1.03 * whole
 
 
 def brute_count(pieces, rare, path):
