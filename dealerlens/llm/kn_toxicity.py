@@ -5,33 +5,36 @@ character after up to ``ORDER - 1`` earlier ones of its word.  Insults are
 inflected and compounded, so an expression is often new as a word though its
 stem is not; spelling models see the stem.  Counts are discounted (Kneser-Ney:
 raw counts at the longest history, continuation counts below) and back off
-down to one shared model, the character after one other counted over every
-document, so that what neither class has shown costs both the same.  A
-document's score is the logistic of its log-likelihood ratio per word.
-
-Learning uses a bounded sample of labelled rows (``per_class`` documents of
-each class, as many of either): three quarters give the counts, one quarter
-sets the logistic.  Spark counts the sample's words; the tables of n-grams
-that follow from them are bounded by the sample and are broadcast.  The shared
-counts cover the whole corpus.
+down to one shared model, a Kneser-Ney model of the same longest order counted
+over every document, so that what neither class has shown costs both the same.
+A document's score is the logistic of its log-likelihood ratio per word.
+
+The class models learn from a bounded sample of labelled rows (``per_class``
+documents of each class, as many of either): three quarters give the counts,
+one quarter sets the logistic.  Their tables are bounded by the sample and are
+broadcast.  The shared model has a row for every n-gram of the corpus: Spark
+counts them order by order into stored tables, and each longest n-gram's log
+ratio is one row of a stored table.  The ``KNOWN`` most frequent rows are
+broadcast for scoring; a document's other n-grams are joined to the table.
+Ratios are whole multiples of 1 / ``UNIT``, so sums don't depend on the order.
 
 Defined results: a null or empty text scores what a ratio of zero scores;
 without labelled rows of both classes every score is 0; repeated rows score
-alike; other columns pass through.
+alike; other columns pass through.  Texts with n-grams that the corpus of
+``fit`` lacks get their ratios from the shorter ones.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, stored
 from .labels import fit_logistic, held_out, sample
 from .words import TERM, scramble
 
@@ -39,38 +42,41 @@ PER_CLASS = 2000
 THRESHOLD = 0.5
 #: Documents of the sample per calibration document.
 CALIBRATION = 4
-#: Longest and shortest n-grams of the class models; one shorter is shared.
+#: Longest and shortest n-grams of the class models; the shared one has all.
 ORDER, LOWEST = 6, 3
 #: Counts up to this one are left to the lower orders whole.
 RARE = 2
+#: Log ratios are whole multiples of 1 / UNIT.
+UNIT = 1 << 32
+#: Rows of the n-grams' ratios that scoring broadcasts; others are joined.
+KNOWN = 250_000
 #: Words whose ratio a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
 BEGIN, END = "\x02" * (ORDER - 1), "\x03"
 
 
-def grams(words: list[str], orders=range(LOWEST - 1, ORDER + 1)) -> tuple[dict, np.ndarray]:
-    """For each order the hashes of the n-grams that end at each character
-    (end mark included) of each word, and the word number of each."""
+def places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the words with their marks, the place of each character
+    (end mark included) among them, and the word number of each."""
     text = "".join(BEGIN + w + END for w in words)
-    cp = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(owner)) + (ORDER - 1) * (owner + 1)
+    return cp, np.arange(len(owner)) + (ORDER - 1) * (owner + 1), owner
+
+
+def _gram_hashes(cp: np.ndarray, at: np.ndarray, orders) -> dict[int, np.ndarray]:
+    cp = cp.astype(np.uint64)
     out, h = {}, np.zeros(len(at), np.uint64)
     for k in range(1, ORDER + 1):  # from the last character backwards
         h = scramble(h + cp[at - k + 1] + np.uint64(k << 40))
         if k in orders:
             out[k] = h
-    return out, owner
+    return out
 
 
-def contexts(words: list[str], orders=range(2, ORDER + 1)) -> dict[int, np.ndarray]:
-    """For each order the hashes of the histories of the same n-grams."""
-    text = "".join(BEGIN + w + END for w in words)
-    cp = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(owner)) + (ORDER - 1) * (owner + 1)
+def _context_hashes(cp: np.ndarray, at: np.ndarray, orders) -> dict[int, np.ndarray]:
+    cp = cp.astype(np.uint64)
     out, h = {}, np.full(len(at), 7, np.uint64)
     for k in range(2, ORDER + 1):
         h = scramble(h + cp[at - k + 1] + np.uint64(k << 40))
@@ -79,7 +85,29 @@ def contexts(words: list[str], orders=range(2, ORDER + 1)) -> dict[int, np.ndarr
     return out
 
 
+def grams(words: list[str], orders=range(LOWEST, ORDER + 1)) -> tuple[dict, np.ndarray]:
+    """For each order the hashes of the n-grams that end at each character
+    (end mark included) of each word, and the word number of each."""
+    cp, at, owner = places(words)
+    return _gram_hashes(cp, at, orders), owner
+
+
+def contexts(words: list[str], orders=range(LOWEST, ORDER + 1)) -> dict[int, np.ndarray]:
+    """For each order the hashes of the histories of the same n-grams."""
+    cp, at, _ = places(words)
+    return _context_hashes(cp, at, orders)
+
+
+def _spelt(cp: np.ndarray, at: np.ndarray) -> list[str]:
+    """The longest n-grams that end at the places ``at``."""
+    if not len(at):
+        return []
+    return np.ascontiguousarray(cp[at[:, None] + np.arange(1 - ORDER, 1)]).view(f"<U{ORDER}").ravel().tolist()
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
 
@@ -93,48 +121,61 @@ class Order:
     backoff: np.ndarray     # (2, histories): weight left for the lower order
 
 
+def gram_ratios(orders: dict[int, Order], spelt: list[str], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of longest n-grams and their toxic minus ordinary log
+    probabilities in UNITs, ``low`` being the shared model's probabilities."""
+    cp = np.frombuffer("".join(spelt).encode("utf-32-le"), "<u4")
+    at = np.arange(len(spelt)) * ORDER + ORDER - 1
+    g, h = (f(cp, at, range(LOWEST, ORDER + 1)) for f in (_gram_hashes, _context_hashes))
+    p = [low, low]
+    for k in range(LOWEST, ORDER + 1):
+        o = orders[k]
+        gi, g_known = _find(o.grams, g[k])
+        hi, h_known = _find(o.histories, h[k])
+        p = [np.where(g_known, o.mass[c][gi], 0.0) + np.where(h_known, o.backoff[c][hi], 1.0) * p[c]
+             for c in (0, 1)]
+    return g[ORDER], np.rint((np.log(p[1]) - np.log(p[0])) * UNIT).astype(np.int64)
+
+
+@dataclass
+class Shared:
+    """The model over all documents, every order a stored table."""
+    grams: dict[int, DataFrame]      # (g, n, p): n-gram, occurrences, probability
+    histories: dict[int, DataFrame]  # (h, back): history, weight left for the lower order
+    unknown: float                   # probability of a character that no document has
+
+    def probabilities(self, spelt: DataFrame) -> DataFrame:
+        """(g, p) of the distinct longest n-grams ``spelt(g)``, in the corpus
+        or not: an n-gram that it lacks has what its history leaves."""
+        need = {ORDER: spelt.select("g").distinct()}
+        for k in range(ORDER - 1, 0, -1):
+            need[k] = need[k + 1].select(F.substring("g", 2, k).alias("g")).distinct()
+        p = (need[1].join(self.grams[1].select("g", "p"), "g", "left")
+             .select("g", F.coalesce("p", F.lit(self.unknown)).alias("p")))
+        for k in range(2, ORDER + 1):
+            low = p.select(F.col("g").alias("s"), F.col("p").alias("low"))
+            p = (need[k].select("g", F.substring("g", 1, k - 1).alias("h"), F.substring("g", 2, k - 1).alias("s"))
+                 .join(self.grams[k].select("g", "p"), "g", "left").join(self.histories[k], "h", "left")
+                 .join(low, "s").select("g", F.coalesce("p", F.coalesce("back", F.lit(1.0)) * F.col("low")).alias("p")))
+        return p
+
+
 @dataclass
 class Model:
     orders: dict[int, Order]
-    shared_grams: np.ndarray
-    shared: np.ndarray      # log-free probabilities; the last is the unknown's
+    shared: Shared
+    ratios: DataFrame | None = None  # (g, n, key, r) of the corpus's longest n-grams
+    known: tuple[np.ndarray, np.ndarray] | None = None  # sorted keys of the frequent ones, and their r
     logistic: tuple[float, float] = (0.0, 0.0)
-    cache: dict[str, float] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word."""
-        g, owner = grams(words)
-        h = contexts(words)
-        at, known = _find(self.shared_grams, g[LOWEST - 1])
-        low = np.where(known, self.shared[:-1][at], self.shared[-1])
-        p = [low, low]
-        for k in range(LOWEST, ORDER + 1):
-            o = self.orders[k]
-            gi, g_known = _find(o.grams, g[k])
-            hi, h_known = _find(o.histories, h[k])
-            p = [np.where(g_known, o.mass[c][gi], 0.0) + np.where(h_known, o.backoff[c][hi], 1.0) * p[c]
-                 for c in (0, 1)]
-        return np.bincount(owner, weights=np.log(p[1]) - np.log(p[0]), minlength=len(words))
-
-    def ratios(self, texts) -> np.ndarray:
-        """Log-likelihood ratio of each text per word."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        found = [TERM.findall(t.lower()) if t else [] for t in texts]
-        new = sorted({w for ws in found for w in ws if w not in cache})
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            cache.update(zip(part, self.word_ratios(part).tolist(), strict=True))
-        get = cache.__getitem__
-        return np.array([sum(map(get, ws)) / max(len(ws), 1) for ws in found], float)
-
-    def scores(self, texts) -> np.ndarray:
-        a, b = self.logistic
-        return 1 / (1 + np.exp(-np.clip(a * self.ratios(texts) + b, -30, 30)))
+        """Toxic minus ordinary log-likelihood of each of a few words."""
+        cp, at, owner = places(words)
+        spelt = _spelt(cp, at)
+        frame = self.shared.grams[ORDER].sparkSession.createDataFrame([(g,) for g in set(spelt)], "g string")
+        p = {r["g"]: r["p"] for r in self.shared.probabilities(frame).collect()}
+        r = gram_ratios(self.orders, spelt, np.array([p[g] for g in spelt]))[1]
+        return np.bincount(owner, weights=r / UNIT, minlength=len(words))
 
 
 def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
@@ -187,24 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
          .orderBy("w").toPandas())
     if not (len(t) and t["n0"].sum() and t["n1"].sum()):
         return None
-    words = t["w"].tolist()
-    shared_grams, shared_hist = shared_tables(words)
-    shared = conditional(_shared(docs, shared_grams), shared_hist)
-    model = Model(_class_orders(words, t[["n0", "n1"]].to_numpy(float).T), shared_grams, shared)
-    box = spark.sparkContext.broadcast(model)
-
-    def ratio(batches):
-        for b in batches:
-            yield pd.DataFrame({"x": box.value.ratios(b["text"].tolist()), "y": b["y"]})
-
+    model = Model(_class_orders(t["w"].tolist(), t[["n0", "n1"]].to_numpy(float).T), shared_model(docs))
+    whole = model.shared.grams[ORDER]
+    model.ratios = stored(_with_ratios(whole, model.orders), "toxicity-ratios")
+    model.known = _frequent(model.ratios, KNOWN)
     cal = learn.where("_cal").select("text", F.col("y").cast("double"))
-    c = cal.mapInPandas(ratio, "x double, y double").toPandas()
+    c = ratios(cal, model, "text", "x", ("y",)).toPandas()
     if c["y"].nunique() < 2:
         model.logistic = (20.0, 0.0)
     else:
         w = fit_logistic(c[["x"]].to_numpy() * 10, c["y"].to_numpy())
         model.logistic = (float(w[0]) * 10, float(w[1]) + _prior(labels, label))
-    box.unpersist()
     return model
 
 
@@ -216,70 +250,180 @@ def _prior(labels: DataFrame, label: str) -> float:
     return float(np.log((r["t"] + 1) / (r["n"] - r["t"] + 1)))
 
 
-def shared_tables(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted lowest n-grams of ``words`` and the number of each one's history."""
-    k = LOWEST - 1
-    table, first = np.unique(grams(words, [k])[0][k], return_index=True)
-    return table, np.unique(contexts(words, [k])[k][first], return_inverse=True)[1]
+def discounts(seen) -> list[float]:
+    """Modified Kneser-Ney discounts of counts of one, two and more, from how
+    many n-grams have counts of one to four; each below its count."""
+    y = seen[0] / (seen[0] + 2 * seen[1]) if seen[0] else 0.0
+    return [min(max(i - (i + 1) * y * seen[i] / seen[i - 1], 0.05), i - 0.05) if seen[i - 1] and seen[i] else i / 2
+            for i in (1, 2, 3)]
 
 
-def conditional(n: np.ndarray, hist: np.ndarray) -> np.ndarray:
-    """Probabilities given the history from counts (the last is the
-    unknown's, which gets the rarest n-gram's probability)."""
-    p = n[:-1] / np.bincount(hist, weights=n[:-1])[hist]
-    return np.append(p, p.min())
-
-
-def _shared(docs: DataFrame, table: np.ndarray) -> np.ndarray:
-    """Counts of the known lowest n-grams over all of ``docs`` (last: of all
-    others), one added to each."""
-    box = docs.sparkSession.sparkContext.broadcast(table)
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(g, n): the longest n-grams of the words of ``docs``, by occurrence."""
 
     def count(batches):
-        table, seen = box.value, np.zeros(len(box.value) + 1)
+        import pyarrow as pa
         words: Counter = Counter()
 
         def flush():
-            names, n = list(words), np.fromiter(words.values(), float, len(words))
-            for k in range(0, len(names), 20_000):
-                g, owner = grams(names[k:k + 20_000], [LOWEST - 1])
-                at, known = _find(table, g[LOWEST - 1])
-                seen[:] += np.bincount(np.where(known, at, len(table)), weights=n[k:k + 20_000][owner],
-                                       minlength=len(seen))
+            names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+            for k in range(0, len(names), 100_000):
+                cp, at, owner = places(names[k:k + 100_000])
+                _, first, inv = np.unique(_gram_hashes(cp, at, (ORDER,))[ORDER], return_index=True, return_inverse=True)
+                total = np.bincount(inv, weights=n[k:k + 100_000][owner], minlength=len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_spelt(cp, at[first]), pa.string()), pa.array(total)],
+                                                 names=["g", "n"])
             words.clear()
 
         for b in batches:
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 if t:
                     words.update(TERM.findall(t.lower()))
             if len(words) > CACHE_WORDS:
-                flush()
-        flush()
-        hit = np.flatnonzero(seen)
-        yield pd.DataFrame({"k": hit, "n": seen[hit]})
+                yield from flush()
+        yield from flush()
+
+    return docs.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def shared_model(docs: DataFrame) -> Shared:
+    """Kneser-Ney model of all words of ``docs``."""
+    counts = {ORDER: stored(count_grams(docs).withColumn("c", F.col("n")), "toxicity-grams")}
+    for k in range(ORDER - 1, 0, -1):
+        # distinct left extensions; an n-gram that holds a begin mark has one left neighbour only
+        counts[k] = stored(counts[k + 1].select(F.substring("g", 2, k).alias("g"), "n").groupBy("g")
+                           .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+                           .select("g", "n", F.when(F.substring("g", 1, 1) == BEGIN[0], F.col("n"))
+                                   .otherwise(F.col("k")).alias("c")), f"toxicity-grams-{k}")
+    out_grams, out_histories, unknown = {}, {}, 0.0
+    low = None
+    for k in range(1, ORDER + 1):
+        seen = counts[k].agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]).first()
+        d = discounts(list(seen))
+        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        rows = counts[k].select("g", "n", "c", cut.alias("cut"), F.substring("g", 1, k - 1).alias("h"))
+        per = rows.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back"))
+        per = stored(per, f"toxicity-histories-{k}")
+        out_histories[k] = per.select("h", "back")
+        if k == 1:
+            chars = counts[1].count()
+            first = per.first()
+            unknown = first["back"] / (chars + 1) if first else 1.0
+            p = rows.select("g", "n", ((F.col("c") - F.col("cut")) / (first["total"] if first else 1) + unknown).alias("p"))
+        else:
+            p = (rows.withColumn("s", F.substring("g", 2, k - 1)).join(per, "h").join(low, "s")
+                 .select("g", "n", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("low")).alias("p")))
+        out_grams[k] = stored(p, f"toxicity-shared-{k}")
+        low = out_grams[k].select(F.col("g").alias("s"), F.col("p").alias("low"))
+    return Shared(out_grams, out_histories, unknown)
+
+
+def _with_ratios(probabilities: DataFrame, orders: dict[int, Order]) -> DataFrame:
+    """(g, n, key, r) of ``probabilities(g, n, p)``."""
+    box = probabilities.sparkSession.sparkContext.broadcast(orders)
 
-    t = docs.select("text").mapInPandas(count, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    box.unpersist()
-    n = np.ones(len(table) + 1)
-    n[t["k"].to_numpy()] += t["n"].to_numpy()
-    return n
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            if b.num_rows:
+                key, r = gram_ratios(box.value, b.column("g").to_pylist(), b.column("p").to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column("g"), b.column("n"), pa.array(key.view(np.int64)), pa.array(r)],
+                                                 names=["g", "n", "key", "r"])
+
+    return probabilities.select("g", "n", "p").mapInArrow(run, "g string, n long, key long, r long")
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, ratios) of the rows with the largest ``n``, at most
+    ``most``: all from some power of two on."""
+    per = {r["e"]: r["m"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("e"))
+           .agg(F.count(F.lit(1)).alias("m")).collect()}
+    least, have = 64, 0
+    for e in sorted(per, reverse=True):
+        have += per[e]
+        if have > most:
+            break
+        least = e
+    t = table.where(F.floor(F.log2("n")) >= least).select("key", "r").toPandas()
+    key, r = t["key"].to_numpy(np.int64).view(np.uint64), t["r"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return key[order], r[order]
+
+
+def _summed(known: tuple[np.ndarray, np.ndarray]):
+    """Function of a batch's texts to (sum of the known n-grams' ratios, number
+    of words, the other n-grams) of each."""
+    keys, r = known
+    sums: dict[str, int] = {}
+    others: dict[str, list[str]] = {}
+
+    def add(words: list[str]):
+        cp, at, owner = places(words)
+        i, found = _find(keys, _gram_hashes(cp, at, (ORDER,))[ORDER])
+        part = np.zeros(len(words), np.int64)
+        if len(keys):
+            np.add.at(part, owner[found], r[i[found]])
+        sums.update(zip(words, part.tolist(), strict=True))
+        lost = np.flatnonzero(~found)
+        for w, g in zip(owner[lost].tolist(), _spelt(cp, at[lost]), strict=True):
+            others.setdefault(words[w], []).append(g)
+
+    def run(texts):
+        if len(sums) > CACHE_WORDS:
+            sums.clear()
+            others.clear()
+        found = [TERM.findall(t.lower()) if t else [] for t in texts]
+        new = sorted({w for ws in found for w in ws if w not in sums})
+        for k in range(0, len(new), 20_000):
+            add(new[k:k + 20_000])
+        get = sums.__getitem__
+        return ([sum(map(get, ws)) for ws in found], [len(ws) for ws in found],
+                [[g for w in ws if w in others for g in others[w]] for ws in found])
 
+    return run
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score",
-          keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with column ``out``."""
-    keep = tuple(docs.columns) if keep is None else keep
-    if model is None:
-        return docs.select(*keep, F.lit(0.0).alias(out))
-    box = prepare(docs.sparkSession).sparkContext.broadcast(model)
-    inner = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
+
+def ratios(docs: DataFrame, model: Model, text: str, out: str, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and the log-likelihood ratio of each
+    text per word, as column ``out``."""
+    spark = prepare(docs.sparkSession)
+    box = spark.sparkContext.broadcast(model.known)
+    inner = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col(text).alias("text"))
+    columns = [f"c{k}" for k in range(len(keep))]
+    schema = T.StructType([*[inner.schema[c] for c in columns], T.StructField("part", T.LongType()),
+                           T.StructField("words", T.LongType()), T.StructField("rest", T.ArrayType(T.StringType()))])
 
     def run(batches):
         import pyarrow as pa
+        summed = _summed(box.value)
         for b in batches:
-            s = box.value.scores(b.column("__text").to_pylist())
+            part, words, rest = summed(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + [pa.array(s, pa.float64())], names=[*keep, out])
+                [*[b.column(c) for c in columns], pa.array(part, pa.int64()), pa.array(words, pa.int64()),
+                 pa.array(rest, pa.list_(pa.string()))], names=[*columns, "part", "words", "rest"])
+
+    rows = stored(inner.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    rest = rows.where(F.size("rest") > 0).select("row", F.explode("rest").alias("g"))
+    whole = F.col("part")
+    if not rest.isEmpty():
+        table = model.ratios.select("g", "r")
+        strange = stored(rest.select("g").distinct().join(table, "g", "left_anti"), "toxicity-strange")
+        if not strange.isEmpty():
+            p = model.shared.probabilities(strange).withColumn("n", F.lit(0).cast("long"))
+            table = table.unionByName(_with_ratios(p, model.orders).select("g", "r"))
+        more = rest.join(table, "g").groupBy("row").agg(F.sum("r").alias("more"))
+        rows = rows.join(more, "row", "left")
+        whole = whole + F.coalesce("more", F.lit(0))
+    x = whole / F.lit(float(UNIT)) / F.greatest("words", F.lit(1))
+    return rows.select(*[F.col(c).alias(k) for c, k in zip(columns, keep, strict=True)], x.alias(out))
+
 
-    return inner.mapInArrow(run, schema)
+def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score",
+          keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (or its ``keep`` columns) with column ``out``."""
+    keep = tuple(docs.columns) if keep is None else keep
+    if model is None:
+        return docs.select(*keep, F.lit(0.0).alias(out))
+    a, b = model.logistic
+    z = F.least(F.greatest(F.lit(a) * F.col(out) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
+    return ratios(docs, model, text, out, keep).withColumn(out, 1 / (1 + F.exp(-z)))

@@ -37,6 +37,36 @@ def test_spelling_models_are_distributions(spark, labelled, labels):
     assert strange > plain + 1
 
 
+def test_shared_model_counts_every_document(spark, labelled, labels):
+    """The shared model holds the n-grams of documents without labels too, and
+    its probabilities of all characters after a history sum to one."""
+    others = spark.createDataFrame([(1000 + i, w, "ru", "s", 0) for i, w in enumerate(
+        ["привет мир", "приветы миру", "примеры мира", "приз", "priwet"])], labelled.schema)
+    shared = kn_toxicity.fit(labelled.unionByName(others), labels).shared
+    n = {r.g: r.n for r in shared.grams[kn_toxicity.ORDER].where("g IN ('\x02\x02\x02\x02\x02п', '\x02приве')").collect()}
+    assert n == {"\x02\x02\x02\x02\x02п": 4, "\x02приве": 2}
+    chars = [r.g for r in shared.grams[1].select("g").collect()]
+    for history in ("\x02\x02при", "\x02\x02\x02ta", "zzzzz"):
+        spelt = spark.createDataFrame([(history + c,) for c in [*chars, "ß"]], "g string")
+        p = {r.g: r.p for r in shared.probabilities(spelt).collect()}
+        assert len(p) == len(chars) + 1 and min(p.values()) > 0 and np.isclose(sum(p.values()), 1)
+    in_corpus = shared.grams[kn_toxicity.ORDER].select("g", "p").limit(50)
+    want = {r.g: r.p for r in in_corpus.collect()}
+    got = {r.g: r.p for r in shared.probabilities(spark.createDataFrame([(g,) for g in want], "g string")).collect()}
+    assert got == want
+
+
+def test_joined_ratios_equal_broadcast_ones(spark, labelled, labels, odd_docs):
+    """Scores don't depend on how many n-grams' ratios are broadcast."""
+    model = kn_toxicity.fit(labelled, labels)
+    for docs in (labelled, odd_docs):
+        whole = {(r.doc_id, r.mark) for r in kn_toxicity.score(docs, model, out="mark").collect()}
+        model_known, model.known = model.known, kn_toxicity._frequent(model.ratios, 20)
+        assert 0 < len(model.known[0]) <= 20
+        assert {(r.doc_id, r.mark) for r in kn_toxicity.score(docs, model, out="mark").collect()} == whole
+        model.known = model_known
+
+
 def test_quality_on_held_out_rows(spark, labelled, labels):
     field = line_crf.fit(labelled, labels)
     acc, n = accuracy(line_crf.score(labelled, field), labels, "quality", line_crf.THRESHOLD)
