@@ -44,8 +44,6 @@ THRESHOLD = 0.5
 CALIBRATION = 4
 #: Longest and shortest n-grams of the class models; the shared one has all.
 ORDER, LOWEST = 6, 3
-#: Counts up to this one are left to the lower orders whole.
-RARE = 2
 #: Log ratios are whole multiples of 1 / UNIT.
 UNIT = 1 << 32
 #: Rows of the n-grams' ratios that scoring broadcasts; others are joined.
@@ -178,6 +176,12 @@ class Model:
         return np.bincount(owner, weights=r / UNIT, minlength=len(words))
 
 
+def _cut(count: np.ndarray) -> np.ndarray:
+    """What each of one class's counts leaves to the lower orders."""
+    d = discounts([np.count_nonzero(count == i) for i in (1, 2, 3, 4)])
+    return np.array([0.0, *d])[np.minimum(count, 3).astype(int)]
+
+
 def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
     """The class models' tables from the sample's words and their counts
     (2, words) by class; one order at a time, to spare the driver."""
@@ -197,7 +201,7 @@ def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
             count = np.where(place[first] < k - 1, count, kinds)
         above = (count, first)
         hist, hist_inv = np.unique(contexts(words, [k])[k][first], return_inverse=True)
-        cut = np.minimum(count, RARE)
+        cut = np.stack([_cut(c) for c in count])
         total = np.stack([np.bincount(hist_inv, weights=count[c], minlength=len(hist)) for c in (0, 1)])
         left = np.stack([np.bincount(hist_inv, weights=cut[c], minlength=len(hist)) for c in (0, 1)])
         mass = (count - cut) / np.maximum(total[:, hist_inv], 1)

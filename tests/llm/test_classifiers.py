@@ -56,6 +56,22 @@ def test_shared_model_counts_every_document(spark, labelled, labels):
     assert got == want
 
 
+def test_rare_ngrams_keep_some_mass():
+    """An n-gram seen once or twice in a class is likelier there than one
+    never seen, at every order, and what it leaves goes to the lower order."""
+    words = ["once", "twice", "often", "other"]
+    orders = kn_toxicity._class_orders(words, np.array([[0, 0, 50, 50], [1, 2, 50, 0]], float))
+    for k, o in orders.items():
+        for w, c in (("once", 1), ("twice", 1), ("other", 0)):
+            at, known = kn_toxicity._find(o.grams, kn_toxicity.grams([w], [k])[0][k])
+            assert known.all() and (o.mass[c][at] > 0).all()
+        last = kn_toxicity._find(o.grams, kn_toxicity.grams(["once"], [k])[0][k])[0]
+        assert (o.mass[0][last] == 0).any()
+    for seen in ([5, 4, 3, 2], [100, 1, 1, 1], [3, 0, 0, 0], [0, 0, 0, 0], [1, 50, 1, 90]):
+        d = kn_toxicity.discounts(seen)
+        assert all(0 < x < i for i, x in enumerate(d, 1))
+
+
 def test_joined_ratios_equal_broadcast_ones(spark, labelled, labels, odd_docs):
     """Scores don't depend on how many n-grams' ratios are broadcast."""
     model = kn_toxicity.fit(labelled, labels)
