@@ -7,8 +7,8 @@ the bins; then a local search takes the emptiest bin in turn and moves its
 documents, or exchanges one for one and two for one, with other underfull
 bins.  Each step raises the sum of squared fills, so the search ends; bins
 that run empty disappear.  What the groups leave underfull is packed again in
-a later round over fewer groups, until one group holds it all, three rounds
-at most.
+a later round over fewer groups, until one group holds it all or a round
+leaves no fewer underfull bins.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 are packed separately; an empty table gives an empty result; other columns
@@ -234,16 +234,21 @@ def _step(lengths, giving, a, fill, home, frozen, size):
         return None
     room = slack[home[cand]]
     have = lengths[cand]
-    outs = [[i] for i in giving]
-    short = sorted(giving, key=lambda i: -lengths[i])[:64]
-    outs += [[i, j] for x, i in enumerate(short) for j in short[x + 1:]]
-    for out in outs:  # one for one, two for one
-        d = int(lengths[out].sum()) - have
-        d = np.where((d > 0) & (d <= room), d, 0)
-        k = int(d.argmax())
-        if d[k] > gain:
-            best, gain = (out, [int(cand[k])], int(home[cand[k]])), int(d[k])
-    return best
+    # one for one, two for one: of each length two documents stand for all
+    short = np.array(sorted(giving, key=lambda i: -lengths[i]))
+    same = lengths[short]
+    short = short[np.concatenate((same[:2] > 0, same[2:] != same[:-2]))]
+    i, j = np.triu_indices(len(short), 1)
+    outs = np.concatenate((lengths[short], lengths[short[i]] + lengths[short[j]]))
+    sums, first = np.unique(outs, return_index=True)
+    at = np.searchsorted(sums, have + room, side="right") - 1  # the most that fits
+    d = np.where(at >= 0, sums[at] - have, 0)
+    k = int(d.argmax())
+    if d[k] <= 0:
+        return None
+    x = int(first[at[k]]) - len(short)
+    out = [int(short[x])] if x < 0 else [int(short[i[x]]), int(short[j[x]])]
+    return out, [int(cand[k])], int(home[cand[k]])
 
 
 def pack_group(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -276,30 +281,34 @@ def pack(cut: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECES)
     schema = T.StructType([*cut.schema.fields, T.StructField("_h", T.LongType()),
                            T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
                            T.StructField("_fill", T.LongType())])
-    done, rounds = [], 0
+    done, base, left, under = [], 0, None, None
     while True:
         n = rest.count()
         groups = max(1, -(-n // group_pieces))
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id()), F.lit(groups)))
-        out = stored(dealt.groupBy("_group").applyInPandas(_packer(rounds << 56, size), schema), "pack-round")
-        rounds += 1
-        if groups == 1 or rounds == ROUNDS:
-            done.append(out)
+        out = stored(dealt.groupBy("_group").applyInPandas(_packer(base, size), schema), "pack-round")
+        base += groups << 24
+        if left is not None and out.select("sequence_id").distinct().count() > under:
+            done.append(left)  # the round made more bins of them
             break
         # the emptier a bin, the likelier it dissolves when groups meet
-        rest = out.where(F.col("_fill") < int(size * REPACK)).select(*cols, "_h")
+        low = out.where(F.col("_fill") < int(size * REPACK))
+        fewer = low.select("sequence_id").distinct().count()
+        if groups == 1 or (under is not None and fewer >= under):
+            done.append(out)
+            break
         done.append(out.where(F.col("_fill") >= int(size * REPACK)))
-        if rest.isEmpty():
+        if not fewer:
             break
+        left, under, rest = low, fewer, low.select(*cols, "_h")
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)
     return whole.select(*cols, "sequence_id", "offset")
 
 
-#: Bins filled less than this share are packed again across groups, so often.
+#: Bins filled less than this share are packed again across groups.
 REPACK = 0.98
-ROUNDS = 3
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,

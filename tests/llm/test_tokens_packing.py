@@ -120,3 +120,40 @@ def test_token_counts_of_odd_rows(spark, odd_docs, no_docs):
     assert len(out) == odd_docs.count()
     assert n[2] == n[3] == n[4] == (0, 0) and n[1] == n[7] and n[5][0] == 20000
     assert trie_tokens.token_counts(no_docs).count() == 0
+
+
+def test_two_for_one_looks_at_all_lengths():
+    """Of a bin with 67 documents only the two shortest together make room."""
+    lengths = np.array([10] * 65 + [3, 2, 995, 4])
+    home = np.array([0] * 67 + [1, 1])
+    fill = np.bincount(home, weights=lengths).astype(int)
+    step = packing._step(lengths, list(range(67)), 0, fill, home, np.zeros(2, bool), 1000)
+    assert step == ([65, 66], [68], 1)
+
+
+def test_rounds_go_on_while_bins_fill(spark, monkeypatch):
+    """Rounds that fill one bin a group go on until one group holds the rest."""
+    bases = []
+
+    def packer(base, size):
+        bases.append(base)
+
+        def pack_one(key, pdf):
+            n = len(pdf)
+            return pdf.drop(columns="_group").assign(
+                sequence_id=[base + (int(key[0]) << 24) + max(k - 1, 0) for k in range(n)],
+                offset=[int(k == 1) for k in range(n)], _fill=[size if k < 2 else 1 for k in range(n)])
+
+        return pack_one
+
+    monkeypatch.setattr(packing, "_packer", packer)
+    rows = spark.createDataFrame([(k, 1) for k in range(120)], "doc_id long, length long")
+    out = packing.pack(rows, group_pieces=20).collect()
+    assert len(bases) > 3 and len(set(bases)) == len(bases)
+    assert sorted(r.doc_id for r in out) == list(range(120))
+    assert len({(r.sequence_id, r.offset) for r in out}) == 120
+    # what one group couldn't hold has been dealt out: 20 pieces at most are left alone
+    count = {}
+    for r in out:
+        count[r.sequence_id] = count.get(r.sequence_id, 0) + 1
+    assert sum(n == 1 for n in count.values()) <= 20
