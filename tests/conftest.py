@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +18,5 @@ def spark():
 @pytest.fixture(scope="session")
 def duck01():
     from compare import duck_connect
+    from paths import SF01
     return duck_connect(SF01)

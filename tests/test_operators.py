@@ -6,7 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from dealerlens.operators import aggregates as A
 from dealerlens.operators import joins as J
 from dealerlens.operators import mutations as M

@@ -3,7 +3,7 @@ column names, order-insensitive value hash)."""
 
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from compare import compare
 from dealerlens.plans.queries import ORACLE, QUERIES
 

@@ -3,7 +3,7 @@ Spark produces for the registered queries."""
 
 import pytest
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from dealerlens.plans.queries import QUERIES
 from dealerlens.session import scratch_path
 from dealerlens.sources import fixtures as fx

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from dealerlens.session import scratch_path
 from dealerlens.sources import fixtures as fx
 from dealerlens.sources import stations as ST
