@@ -6,7 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_labeller, fair_mix, feistel, jaccard_join, kn_toxicity, line_crf, packing, simhash, trie_tokens, uniform_topk
+from . import (
+    block_labeller,
+    centroid_clusters,
+    fair_mix,
+    feistel,
+    jaccard_join,
+    kn_toxicity,
+    line_crf,
+    one_bit_search,
+    packing,
+    simhash,
+    token_alignment,
+    trie_tokens,
+    uniform_topk,
+)
 from .labels import held_out
 
 
@@ -69,6 +83,22 @@ def op10_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(kn_toxicity.score(docs, model, keep=("doc_id",)), kn_toxicity.THRESHOLD)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    out = token_alignment.with_strengths(found.withColumn("groups_sha256", digest).drop("groups"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
+                      "count_sum", "groups_sha256")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_block_labeller": op1_block_labeller,
     "op2_feistel_sharding": op2_feistel_sharding,
@@ -80,13 +110,49 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_uniform_topk": op7_uniform_topk,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_one_bit_search": op13_one_bit_search,
 }
 
+
+def _cluster_sql(k: int = 40, rounds: int = 5, scale: int = 256, width: int = 64, seed: int = 2) -> str:
+    """The clustering's rounds as one CTE each."""
+    floors = "CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT)"  # whole division cuts towards zero
+
+    def assigned(c: str) -> str:
+        near = f"list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.q, {c}.q)])"
+        return f"""SELECT v.rid, v.vec_id, v.q, unnest(min(struct_pack(distance := CAST({near} AS BIGINT), cluster := {c}.cluster)))
+            FROM v, {c} GROUP BY v.rid, v.vec_id, v.q"""
+
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+                [CAST(floor({scale}.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings
+              WHERE len(embedding) = {width} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+            f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY m, q) - 1 AS INT) AS cluster, q FROM (
+                SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS m, q FROM v WHERE vec_id IS NOT NULL
+                ORDER BY m, q LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED ({assigned(f'c{i}')})")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN (
+                SELECT cluster, list(g ORDER BY i) AS q FROM (
+                  SELECT cluster, i, {floors} AS g FROM (
+                    SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (
+                      SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY cluster, i))
+                GROUP BY cluster) m USING (cluster))""")
+    return f"""WITH {", ".join(ctes)}
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+
 # The words of the contracts, in DuckDB.
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op12_centroid_clusters": _cluster_sql(),
     "op4_fair_mix": f"""
         WITH RECURSIVE d AS (
             SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size,
