@@ -994,8 +994,8 @@ def _reminder_alerts(spark, sf):
 
 @q("reminder_alerts_stream", ALERTS_SQL, needs=("stream_reminders", "poll_ticks"))
 def _reminder_alerts_stream(spark, sf):
-    """Structured Streaming form over the events file source (availableNow
-    trigger, parquet sink), read back."""
+    """Stream form: keyed state with event-time timers over the events file
+    source, read back."""
     from ..streaming.reminders import run_reminder_alerts
     return run_reminder_alerts(spark, sf)
 
@@ -1037,7 +1037,8 @@ def _login_lockout(spark, sf):
 
 @q("login_lockout_stream")
 def _login_lockout_stream(spark, sf):
-    """Stream form: applyInPandasWithState over the events file source."""
+    """Stream form: keyed state with event-time timers over the events file
+    source, read back."""
     from ..streaming.lockout import run_lockout_stream
     return run_lockout_stream(spark, sf, LOCK_MAX, LOCK_S)
 

@@ -31,9 +31,13 @@ skew:
 "reset, then k" or "plus k", so it is summed per chunk, carried over one row
 per chunk and user, and added back.
 
-Stream form: events wait until the stream's mark (newest event less the
-lateness) has passed them and are then folded in event-time order, from each
-user's state before.  A success removes the user's state.
+Stream form: keyed state per user.  A batch's events are appended to the
+user's list; an event-time timer releases those that the watermark (newest
+event less the lateness) has passed, and they are folded in event-time order
+from where the user stands.  A success removes that standing.  The fold jumps
+over what one lock ignores and over runs of successes as arrays, so a user
+under attack costs a few steps per lock, not one per attempt.  Attempts behind
+the watermark, or without a time, go to the side output.
 """
 
 from __future__ import annotations
@@ -45,9 +49,11 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as K
 from ..session import scratch_path
+from .landed import events_stream, keyed_state, run_to_end, sink_part, state_of
 
 # The task-side functions below ship by value, so executors need no copy of
 # this package on their path.
@@ -56,6 +62,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUT_SCHEMA = "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long"
 STATE_SCHEMA = "user_name string, attempts long, unlock_us long"
 NO_LOCK = -(1 << 62)  # "unlock time irrelevant"
+NO_ID = -(1 << 63)  # stands for a null event id inside the scan; sorts first as null does
 
 
 def step(a: int, u: int, t: int, success: bool, max_attempts: int, lock_us: int):
@@ -282,13 +289,17 @@ def _refold(max_attempts: int, lock_us: int):
     return run
 
 
-def attempts(events: DataFrame) -> DataFrame:
-    """Login attempts keyed as the page keys them: user name stripped and
-    lower-cased; an attempt without a user name or time is not counted."""
+def user_key(events: DataFrame) -> DataFrame:
+    """Attempts keyed as the page keys them: user name stripped and
+    lower-cased; an attempt without a user name is not counted."""
     from ..functions import ustrip
-    key = F.lower(ustrip(F.col("user_name")))
-    return (events.select("event_id", "ts", key.alias("user_name"), "success")
-            .where(F.col("user_name").isNotNull() & (F.col("user_name") != "") & F.col("ts").isNotNull()))
+    return (events.withColumn("user_name", F.lower(ustrip(F.col("user_name"))))
+            .where(F.col("user_name").isNotNull() & (F.col("user_name") != "")))
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Login attempts that count: with a user name and a time."""
+    return user_key(events).select("event_id", "ts", "user_name", "success").where(F.col("ts").isNotNull())
 
 
 def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
@@ -316,7 +327,7 @@ def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
     def dealt(df: DataFrame, by: list[str]) -> DataFrame:
         return df.repartition(chunks, *by) if chunks else df.repartition(*by)
 
-    auth = attempts(events)
+    auth = attempts(events).withColumn("event_id", F.coalesce("event_id", F.lit(NO_ID)))
     ranged = auth.repartitionByRange(chunks, *order) if chunks else auth.repartitionByRange(*order)
     first = scratch_path(spark, "lockout-pass1")
     (ranged.sortWithinPartitions(*order).mapInPandas(_summarize(max_attempts, lock_us), SUMMARY_SCHEMA)
@@ -337,7 +348,8 @@ def login_lockout(events: DataFrame, max_attempts: int = K.MAX_ATTEMPTS,
     refolded = (dealt(prefix.join(entries, keys, "inner"), keys)
                 .sortWithinPartitions(*keys, "ts", "event_id")
                 .mapInPandas(_refold(max_attempts, lock_us), OUT_SCHEMA))
-    return _with_counts(resolved.unionByName(refolded), state)
+    out = _with_counts(resolved.unionByName(refolded), state)
+    return out.withColumn("event_id", F.nullif("event_id", F.lit(NO_ID)))
 
 
 def _with_counts(outcomes: DataFrame, state: DataFrame) -> DataFrame:
@@ -367,19 +379,96 @@ def _with_counts(outcomes: DataFrame, state: DataFrame) -> DataFrame:
 
 
 LATENESS_S = 3 * 3600
-WAITING = "event_id long, user_name string, ts timestamp_ntz, success boolean"
-
-
-def state_after(outcomes: DataFrame, state: DataFrame, max_attempts: int, lock_s: int) -> DataFrame:
-    """Users' state after ``outcomes``; who last succeeded has none."""
-    order = F.struct("ts", "event_id")
-    last = outcomes.groupBy("user_name").agg(
-        F.max_by("attempts", order).alias("n"),
-        F.max(F.when(F.col("outcome") == "locked", F.unix_micros(F.col("ts").cast("timestamp")))).alias("at"))
-    j = last.join(state, "user_name", "full")
-    n = F.coalesce("n", "attempts")
-    unlock = F.when(n >= max_attempts, F.coalesce(F.col("at") + lock_s * 1_000_000, F.col("unlock_us"))).otherwise(NO_LOCK)
-    return j.select("user_name", n.alias("attempts"), unlock.alias("unlock_us")).where("attempts > 0")
+SUCCESS, FAILURE, LOCKED, IGNORED = "success", "failure", "locked", "ignored"
+
+
+def fold_run(t_us: np.ndarray, success: np.ndarray, n: int, u: int, max_attempts: int, lock_us: int):
+    """Fold sorted events of one user who stands at ``n`` failures since the
+    last success and, at the limit, is locked until ``u``: outcomes, failures
+    after each event, and the standing after all."""
+    outcome = np.empty(len(t_us), object)
+    count = np.empty(len(t_us), np.int64)
+    fails = np.flatnonzero(~success)
+    i = 0
+    while i < len(t_us):
+        if n >= max_attempts and t_us[i] < u:
+            j = int(np.searchsorted(t_us, u))
+            outcome[i:j], count[i:j] = IGNORED, n
+        elif success[i]:
+            k = int(np.searchsorted(fails, i))
+            j = int(fails[k]) if k < len(fails) else len(t_us)
+            n, u = 0, NO_LOCK
+            outcome[i:j], count[i:j] = SUCCESS, 0
+        else:
+            j, n = i + 1, n + 1
+            if n >= max_attempts:
+                u = int(t_us[i]) + lock_us
+            outcome[i], count[i] = (LOCKED if n >= max_attempts else FAILURE), n
+        i = j
+    return outcome, count, n, u
+
+
+STREAM_OUT = "part string, reason string, event_id long, user_name string, ts_us long, outcome string, attempts long"
+STREAM_NAMES = [f.split()[0] for f in STREAM_OUT.split(", ")]
+
+
+class Lockouts(StatefulProcessor):
+    """One user's attempts."""
+
+    def __init__(self, max_attempts: int, lock_us: int):
+        self.max_attempts, self.lock_us = max_attempts, lock_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, ts_us long, success boolean")
+        self.standing = handle.getValueState("standing", "attempts long, unlock_us long, timer_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for pdf in rows:
+            why = np.where(pdf["ts_us"].isna(), "no time", np.where(pdf["ts_us"] < mark, "late", ""))
+            if (why != "").any():
+                bad = pdf[why != ""]
+                yield pd.DataFrame({"part": "stray", "reason": why[why != ""], "event_id": bad["event_id"].astype("Int64"),
+                                    "user_name": key[0], "ts_us": bad["ts_us"].astype("Int64"), "outcome": None,
+                                    "attempts": None})[STREAM_NAMES]
+            good = pdf[why == ""]
+            if len(good):
+                ids = good["event_id"].astype("Int64").astype(object).where(good["event_id"].notna(), None)
+                self.waiting.appendList(list(zip(ids, good["ts_us"].astype(int), good["success"].eq(True), strict=True)))
+                self._wake(int(good["ts_us"].min()))
+
+    def _wake(self, ts_us: int) -> None:
+        """A timer for the moment when the watermark has passed an event."""
+        attempts, unlock_us, timer = self.standing.get() or (0, NO_LOCK, None)
+        at = ts_us // 1000 + 1
+        if timer is None or at < timer:
+            self.handle.registerTimer(at)
+            self.standing.update((attempts, unlock_us, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get(), key=lambda e: (e[1], e[0] is not None, e[0]))
+        due = [e for e in held if e[1] < mark]
+        attempts, unlock_us, _ = self.standing.get() or (0, NO_LOCK, None)
+        if due:
+            ids, t, ok = zip(*due, strict=True)
+            outcome, count, attempts, unlock_us = fold_run(
+                np.array(t, np.int64), np.array(ok, bool), attempts, unlock_us, self.max_attempts, self.lock_us)
+            rest = held[len(due):]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            yield pd.DataFrame({"part": "outcome", "reason": None, "event_id": pd.array(ids, "Int64"), "user_name": key[0],
+                                "ts_us": t, "outcome": outcome, "attempts": count})[STREAM_NAMES]
+            held = rest
+        if held or attempts:
+            self.standing.update((attempts, unlock_us, None))
+        else:
+            self.standing.clear()
+        if held:
+            self._wake(held[0][1])
+
+    def close(self) -> None:
+        pass
 
 
 def run_lockout_stream(spark: SparkSession, sf_dir: str, max_attempts: int = K.MAX_ATTEMPTS,
@@ -387,28 +476,31 @@ def run_lockout_stream(spark: SparkSession, sf_dir: str, max_attempts: int = K.M
                        files_per_trigger: int | None = None, lateness_s: int = LATENESS_S) -> DataFrame:
     """Run the lockout over the landed events ('error' = failure, 'signup' =
     success) and return every outcome so far.  Files may land in any order;
-    events are folded in event-time order once they are ``lateness_s`` old,
-    later ones go to ``base``/late.  What still waits at the end of the data
-    is folded for the result but stays waiting, so that a later call with the
-    same ``base`` goes on exactly."""
-    from .reminders import events_stream
-    from .versions import Versions, newest, read_parts, run
+    events are folded in event-time order once they are ``lateness_s`` old.
+    What still waits at the end of the data is folded in the batch form for
+    the result but stays waiting, so that a later call with the same ``base``
+    goes on exactly."""
     base = base or scratch_path(spark, "login_lockout")
-    raw = events_stream(spark, sf_dir, landing_dir, files_per_trigger)
-    auth = attempts(raw.where(F.col("event_type").isin("error", "signup")).select(
-        "event_id", "ts", F.col("user_id").cast("string").alias("user_name"),
-        (F.col("event_type") == "signup").alias("success")))
-    versions = Versions(spark, base, {"waiting": WAITING, "users": STATE_SCHEMA})
-
-    def step(rows, state, mark):
-        waiting = state["waiting"].unionByName(rows.select("event_id", "user_name", "ts", "success"))
-        if mark is None:
-            return spark.createDataFrame([], OUT_SCHEMA), {"waiting": waiting, "users": state["users"]}
-        out = login_lockout(waiting.where(F.col("ts") < F.lit(mark)), max_attempts, lock_s, state=state["users"])
-        return out, {"waiting": waiting.where(F.col("ts") >= F.lit(mark)),
-                     "users": state_after(out, state["users"], max_attempts, lock_s)}
-
-    run(auth, base, lateness_s, versions, step, OUT_SCHEMA)
-    last = versions.read(newest(spark, base))
-    rest = login_lockout(last["waiting"], max_attempts, lock_s, state=last["users"])
-    return read_parts(spark, f"{base}/out", OUT_SCHEMA).unionByName(rest)
+    events = events_stream(spark, sf_dir, landing_dir, files_per_trigger)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{lateness_s} seconds")
+    rows = (user_key(events.where(F.col("event_type").isin("error", "signup"))
+                     .withColumn("user_name", F.col("user_id").cast("string")))
+            .select("user_name", F.col("event_id").cast("long").alias("event_id"), F.unix_micros("ts").alias("ts_us"),
+                    (F.col("event_type") == "signup").alias("success")))
+    run_to_end(keyed_state(rows, ["user_name"], Lockouts(max_attempts, lock_s * 1_000_000), STREAM_OUT), base)
+    out = _ts(sink_part(spark, base, STREAM_OUT, "outcome")).select("event_id", "user_name", "ts", "outcome", "attempts")
+    waiting, standing = (state_of(spark, base, name) for name in ("waiting", "standing"))
+    if waiting is None:
+        return out
+    waiting = _ts(waiting.select("key.user_name", "list_element.*")).select("event_id", "ts", "user_name", "success")
+    standing = standing.select("key.user_name", "value.attempts", "value.unlock_us").where("attempts > 0")
+    return out.unionByName(login_lockout(waiting, max_attempts, lock_s, state=standing))
+
+
+def _ts(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+
+
+def strays(spark: SparkSession, base: str) -> DataFrame:
+    """The side output: attempts behind the watermark or without a time."""
+    return _ts(sink_part(spark, base, STREAM_OUT, "stray")).select("reason", "event_id", "user_name", "ts")

@@ -1,70 +1,190 @@
 """Reminder alerts over a stream of landed events.
 
 Poll ticks and reminders are two views of the landed events.  Each reminder is
-alerted once, as soon as a tick of its operator inside [due - 300 s, due +
-7200 s] has landed.  State between micro-batches: reminders not alerted yet
-whose window is still open, and the ticks of the last window.  Both are
-bounded by the window and the lateness.  Events later than ``lateness_s``
-behind the newest go to the side output."""
+alerted once, in the micro-batch in which a tick of its operator inside
+[due - 300 s, due + 7200 s] and the reminder itself have both landed.
+
+A batch is read once.  Its ticks shrink to their earliest and latest per
+operator and time bucket before the shuffle, so a hot operator sends a few rows
+a task; an operator's reminders are dealt over ``shares`` keys, each of which
+sees all of its operator's extremes.  State per key: the extremes of buckets
+that the watermark hasn't passed, and reminders not alerted yet whose window
+is still open.  An event-time timer clears what no row that is still in time
+can need.
+
+Nothing is dropped silently.  Rows that can't count go to a side output, which
+``strays`` reads: ticks whose whole bucket lies behind the watermark and
+reminders whose event does ('late'), rows without a time, an operator or
+(reminders) an id ('no time', 'no operator', 'no id').  Results and side output are parts
+of one file sink, so a restart neither loses nor repeats rows."""
 
 from __future__ import annotations
 
-import datetime as dt
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as K
-from ..operators.joins import BUCKET_S, reminders_alerted
+from ..operators.joins import BUCKET_S
 from ..session import scratch_path
-from .versions import Versions, is_folder, read_parts, run
+from .landed import events_stream, keyed_state, run_to_end, sink_part
+
+# The task-side code below ships by value, so executors need no copy of this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LATENESS_S = 3 * 3600
+SHARES = 4
 ALERT_SCHEMA = "operator string, reminder_id long, due_ts timestamp_ntz"
-STATE = {"ticks": "operator string, tick_ts timestamp_ntz", "open": ALERT_SCHEMA}
-
-
-def events_stream(spark: SparkSession, sf_dir: str, landing_dir: str | None = None,
-                  files_per_trigger: int | None = None) -> DataFrame:
-    """Events as a file stream: the ``events.parquet`` table of ``sf_dir`` (a
-    file or a folder), or every parquet file arriving in ``landing_dir``.
-    ``files_per_trigger`` bounds the files of a micro-batch; unset, one batch
-    takes all that has landed."""
-    table = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(table).schema
-    r = spark.readStream.schema(schema)
-    if files_per_trigger is not None:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    if landing_dir is not None:
-        df = r.option("pathGlobFilter", "*.parquet").parquet(landing_dir)
-    elif is_folder(spark, table):
-        df = r.parquet(table)
-    else:
-        df = r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-def advance(rows: DataFrame, state: dict[str, DataFrame], mark: dt.datetime | None):
-    """One micro-batch: alerts, and the state after it."""
-    user = F.col("user_id").cast("string").alias("operator")
-    ticks = state["ticks"].unionByName(rows.select(user, F.col("ts").alias("tick_ts")))
-    new = rows.where(F.col("event_type") == "signup").select(
-        user, F.col("event_id").alias("reminder_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("due_ts"))
-    waiting = state["open"].unionByName(new)
-    alerts = reminders_alerted(ticks, waiting)
-    rest = waiting.join(alerts.select("reminder_id"), "reminder_id", "left_anti").select("operator", "reminder_id", "due_ts")
-    if mark is not None:
-        rest = rest.where(F.col("due_ts") >= F.lit(mark - dt.timedelta(seconds=K.REMINDER_LATE_S)))
-        ticks = ticks.where(F.col("tick_ts") >= F.lit(mark - dt.timedelta(seconds=BUCKET_S)))
-    return alerts, {"ticks": ticks, "open": rest}
+STRAY_SCHEMA = "reason string, operator string, reminder_id long, first_ts timestamp_ntz, last_ts timestamp_ntz, n long"
+
+SECOND = 1_000_000
+BUCKET_US, EARLY_US, LATE_US = (s * SECOND for s in (BUCKET_S, K.REMINDER_EARLY_S, K.REMINDER_LATE_S))
+LEAD_US = 3600 * SECOND  # a reminder is due an hour after its event
+
+ROWS = "kind string, operator string, reminder_id long, bucket long, first_us long, last_us long, n long"
+OUT = "part string, reason string, operator string, reminder_id long, first_us long, last_us long, n long"
+ROW_NAMES, OUT_NAMES = ([f.split()[0] for f in s.split(", ")] for s in (ROWS, OUT))
+
+
+def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(operator, event_id, ts_us, reminder) rows as ROWS: one 'tick' per
+    operator and bucket, one 'due' per reminder, and strays."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        why = np.select([pdf["ts_us"].isna(), pdf["operator"].isna()], ["no time", "no operator"], "")
+        parts = []
+        for reason in ("no time", "no operator"):
+            bad = pdf[why == reason]
+            parts.append(pd.DataFrame({"kind": reason, "operator": bad["operator"], "reminder_id": bad["event_id"],
+                                       "bucket": 0, "first_us": bad["ts_us"], "last_us": bad["ts_us"], "n": 1}))
+        good = pdf[why == ""]
+        t = good["ts_us"].astype("int64")
+        ticks = pd.DataFrame({"operator": good["operator"], "bucket": t // BUCKET_US, "t": t})
+        ticks = ticks.groupby(["operator", "bucket"], as_index=False).agg(
+            first_us=("t", "min"), last_us=("t", "max"), n=("t", "size"))
+        parts.append(ticks.assign(kind="tick", reminder_id=None))
+        new = good[good["reminder"].eq(True)]
+        due = new["ts_us"].astype("int64") + LEAD_US
+        kind = np.where(new["event_id"].isna(), "no id", "due")
+        parts.append(pd.DataFrame({"kind": kind, "operator": new["operator"], "reminder_id": new["event_id"],
+                                   "bucket": (due - EARLY_US) // BUCKET_US, "first_us": due, "last_us": due, "n": 1}))
+        out = pd.concat([p[ROW_NAMES] for p in parts if len(p)])
+        for c in ("reminder_id", "first_us", "last_us"):
+            out[c] = out[c].astype("Int64")
+        yield out
+
+
+def packed(*columns) -> bytes:
+    """Equally long columns of integers as one value."""
+    return np.array(columns, "<i8").tobytes()
+
+
+def unpacked(value: bytes, width: int) -> list[list[int]]:
+    return np.frombuffer(value, "<i8").reshape(width, -1).tolist()
+
+
+class Alerts(StatefulProcessor):
+    """One operator's share of reminders.  Its whole state is one value, so a
+    key costs one read and one write a batch."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "extremes binary, open binary, timer_ms long")
+
+    def _read(self):
+        """(bucket -> (first, last), reminder -> due, time of the timer)."""
+        held = self.held.get()
+        if held is None:
+            return {}, {}, -1
+        buckets, first, last = unpacked(held[0], 3)
+        return dict(zip(buckets, zip(first, last))), dict(zip(*unpacked(held[1], 2))), held[2]
+
+    def handleInputRows(self, key, rows, timerValues):
+        operator, share = key
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        known, waiting, timer = self._read()
+        out = []
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                if r.kind == "tick":
+                    if (r.bucket + 1) * BUCKET_US > mark:
+                        lo, hi = known.get(r.bucket, (r.first_us, r.last_us))
+                        known[r.bucket] = (int(min(lo, r.first_us)), int(max(hi, r.last_us)))
+                    elif share == 0:  # one share reports it
+                        out.append(("stray", "late", operator, None, r.first_us, r.last_us, r.n))
+                elif r.kind == "due" and r.first_us - LEAD_US >= mark:
+                    waiting[int(r.reminder_id)] = int(r.first_us)
+                else:
+                    reason = "late" if r.kind == "due" else r.kind
+                    out.append(("stray", reason, operator, r.reminder_id, r.first_us, r.last_us, r.n))
+        for reminder, due in list(waiting.items()):
+            b = (due - EARLY_US) // BUCKET_US
+            # a tick of the window's own bucket from its start on, or one of the next bucket up to its end
+            if (b in known and known[b][1] >= due - EARLY_US) or (b + 1 in known and known[b + 1][0] <= due + LATE_US):
+                out.append(("alert", None, operator, reminder, due, due, 1))
+                del waiting[reminder]
+        self._keep(known, waiting, timer, mark)
+        if out:
+            pdf = pd.DataFrame(out, columns=OUT_NAMES)
+            yield pdf.astype({c: "Int64" for c in ("reminder_id", "first_us", "last_us")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        known, waiting, _ = self._read()
+        self._keep(known, waiting, -1, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame(columns=OUT_NAMES)
+
+    def _keep(self, known, waiting, timer, mark) -> None:
+        """Store what rows still in time can need, and set a timer for its end."""
+        known = {b: x for b, x in known.items() if (b + 1) * BUCKET_US > mark}
+        waiting = {r: due for r, due in waiting.items() if due + LATE_US >= mark}
+        if not known and not waiting:
+            self.held.clear()
+            return
+        last = max([b + 1 for b in known] + [(due + LATE_US) // BUCKET_US + 1 for due in waiting.values()])
+        end = last * BUCKET_US // 1000
+        if end > timer:
+            self.handle.registerTimer(end)
+        extremes = packed(list(known), [x[0] for x in known.values()], [x[1] for x in known.values()])
+        self.held.update((extremes, packed(list(waiting), list(waiting.values())), max(end, timer)))
+
+    def close(self) -> None:
+        pass
 
 
 def run_reminder_alerts(spark: SparkSession, sf_dir: str, base: str | None = None, landing_dir: str | None = None,
-                        files_per_trigger: int | None = None, lateness_s: int = LATENESS_S) -> DataFrame:
+                        files_per_trigger: int | None = None, lateness_s: int = LATENESS_S,
+                        shares: int = SHARES) -> DataFrame:
     """Run the alerts to the end of the landed data; all alerts so far.
-    ``base`` holds output, late rows, state and the stream's checkpoint;
-    a later call with the same ``base`` goes on from there."""
+    ``base`` holds output, side output and the stream's checkpoint; a later
+    call with the same ``base`` goes on from there (with the same ``shares``)."""
     base = base or scratch_path(spark, "reminder_alerts")
-    run(events_stream(spark, sf_dir, landing_dir, files_per_trigger), base, lateness_s,
-        Versions(spark, base, STATE), advance, ALERT_SCHEMA)
-    return read_parts(spark, f"{base}/out", ALERT_SCHEMA)
+    events = events_stream(spark, sf_dir, landing_dir, files_per_trigger)
+    rows = (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{lateness_s} seconds")
+            .select(F.col("user_id").cast("string").alias("operator"), F.col("event_id").cast("long").alias("event_id"),
+                    F.unix_micros("ts").alias("ts_us"), F.coalesce(F.col("event_type") == "signup", F.lit(False)).alias("reminder"))
+            .mapInPandas(shrink, ROWS))
+    every_share = F.sequence(F.lit(0), F.lit(shares - 1))
+    own_share = F.array(F.pmod(F.xxhash64("reminder_id", "first_us"), F.lit(shares)).cast("int"))
+    rows = rows.withColumn("share", F.explode(F.when(F.col("kind") == "tick", every_share).otherwise(own_share)))
+    out = keyed_state(rows, ["operator", "share"], Alerts(), OUT)
+    run_to_end(out, base)
+    found = sink_part(spark, base, OUT, "alert")
+    return found.select("operator", "reminder_id", _ntz("first_us").alias("due_ts"))
+
+
+def _ntz(us: str):
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
+def strays(spark: SparkSession, base: str) -> DataFrame:
+    """The side output: rows that could not count, ``n`` events each."""
+    return sink_part(spark, base, OUT, "stray").select(
+        "reason", "operator", "reminder_id", _ntz("first_us").alias("first_ts"), _ntz("last_us").alias("last_ts"), "n")

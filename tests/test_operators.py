@@ -392,20 +392,91 @@ def test_late_rows_are_accounted_for(spark):
     """With too little lateness nothing is lost silently: what is not in the
     output is in the side output."""
     from dealerlens.session import scratch_path
-    from dealerlens.streaming.lockout import run_lockout_stream
-    from dealerlens.streaming.reminders import run_reminder_alerts
+    from dealerlens.streaming import lockout, reminders
     from landing import land_events
     landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=4, slices=range(3, -1, -1))
     base = scratch_path(spark, "locks")
-    locks = run_lockout_stream(spark, SF01, 3, 86400, base=base, landing_dir=landing, files_per_trigger=1)
-    late = spark.read.parquet(f"{base}/late")
+    locks = lockout.run_lockout_stream(spark, SF01, 3, 86400, base=base, landing_dir=landing, files_per_trigger=1)
+    late = lockout.strays(spark, base)
     assert late.count() > 0
     assert locks.count() + late.count() == fx.auth_events(spark, SF01).count()
     assert locks.join(late, "event_id").count() == 0
     base = scratch_path(spark, "alerts")
-    run_reminder_alerts(spark, SF01, base=base, landing_dir=landing, files_per_trigger=1)
-    seen = spark.read.parquet(f"{SF01}/events.parquet").count() - spark.read.parquet(f"{base}/late").count()
-    assert 0 < seen < spark.read.parquet(f"{SF01}/events.parquet").count()
+    alerts = reminders.run_reminder_alerts(spark, SF01, base=base, landing_dir=landing, files_per_trigger=1)
+    late = reminders.strays(spark, base)
+    ticks = late.where("reminder_id IS NULL").agg(F.sum("n")).first()[0]
+    assert 0 < ticks < spark.read.parquet(f"{SF01}/events.parquet").count()
+    batch = J.reminders_alerted(fx.poll_ticks(spark, SF01), fx.stream_reminders(spark, SF01))
+    assert alerts.exceptAll(batch).count() == 0
+    # an alert of the batch form that is missing: its reminder or its operator's ticks came late
+    missing = batch.exceptAll(alerts)
+    assert missing.count() == missing.join(late.select("operator").distinct(), "operator", "left_semi").count() > 0
+
+
+def test_rows_that_cannot_count_are_in_the_side_output(spark):
+    """Events without a time, a user or an id, spread over two micro-batches."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming import lockout, reminders
+    t = dt.datetime(2024, 1, 5, 12)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [(1, t, 7, "signup"), (2, None, 7, "signup"), (3, t, None, "signup"), (None, t, 7, "signup"),
+            (4, None, None, "error"), (5, t + dt.timedelta(hours=1), 7, "view"), (6, t, 8, "error"), (7, t, 8, None)]
+    sf, landing = scratch_path(spark, "sf"), scratch_path(spark, "landing")
+    df = spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    df.limit(0).write.parquet(f"{sf}/events.parquet")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1 OR event_id IS NULL"):
+        df.where(part).coalesce(1).write.mode("append").parquet(landing)
+    base = scratch_path(spark, "alerts")
+    got = reminders.run_reminder_alerts(spark, sf, base=base, landing_dir=landing, files_per_trigger=1)
+    assert [tuple(r) for r in got.collect()] == [("7", 1, t + dt.timedelta(hours=1))]
+    assert sorted((r.reason, r.operator or "", r.reminder_id or 0) for r in reminders.strays(spark, base).collect()) == [
+        ("no id", "7", 0), ("no operator", "", 3), ("no time", "", 4), ("no time", "7", 2)]
+    base = scratch_path(spark, "locks")
+    got = lockout.run_lockout_stream(spark, sf, base=base, landing_dir=landing, files_per_trigger=1)
+    assert {(r.event_id, r.user_name, r.outcome) for r in got.collect()} == {
+        (1, "7", "success"), (None, "7", "success"), (6, "8", "failure")}
+    assert [(r.reason, r.event_id, r.user_name) for r in lockout.strays(spark, base).collect()] == [("no time", 2, "7")]
+
+
+def test_hot_operator_in_the_streams(spark):
+    """A user with a third of all events; ticks of a batch shrink to extremes,
+    reminders are dealt over shares."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming import lockout, reminders
+    from landing import land_events
+    sf = scratch_path(spark, "sf")
+    events = spark.read.parquet(f"{SF01}/events.parquet")
+    events = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")))
+    events.coalesce(1).write.parquet(f"{sf}/events.parquet")
+    landing = land_events(spark, sf, scratch_path(spark, "landing"), files=3)
+    user = F.col("user_id").cast("string").alias("operator")
+    ticks = events.select(user, F.col("ts").alias("tick_ts"))
+    due = (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("due_ts")
+    batch = J.reminders_alerted(ticks, events.where("event_type = 'signup'").select(
+        user, F.col("event_id").alias("reminder_id"), due))
+    one = {"landing_dir": landing, "files_per_trigger": 1}
+    for shares in (1, 3):
+        assert _same(reminders.run_reminder_alerts(spark, sf, shares=shares, **one), batch)
+    auth = events.where(F.col("event_type").isin("error", "signup")).select(
+        "event_id", "ts", F.col("user_id").cast("string").alias("user_name"), (F.col("event_type") == "signup").alias("success"))
+    assert _same(lockout.run_lockout_stream(spark, sf, 3, 7200, **one), login_lockout(auth, 3, 7200))
+
+
+def test_reminder_state_is_bounded(spark):
+    """What the watermark has passed leaves the state."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming import reminders
+    from dealerlens.streaming.landed import state_of
+    from landing import land_events
+    base = scratch_path(spark, "alerts")
+    landing = land_events(spark, SF01, scratch_path(spark, "landing"), files=6)
+    reminders.run_reminder_alerts(spark, SF01, base=base, landing_dir=landing, files_per_trigger=1, lateness_s=3600, shares=1)
+    held = [r.value for r in state_of(spark, base, "held").collect()]
+    buckets = [b for v in held for b in reminders.unpacked(v.extremes, 3)[0]]
+    # five of the six files lie behind the last watermark that was in force
+    first = spark.read.parquet(f"{SF01}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
+    passed = (first[0] + (first[1] - first[0]) * 5 / 6 - dt.timedelta(hours=1)).timestamp()
+    assert buckets and min(buckets) >= passed * 1_000_000 // reminders.BUCKET_US - 1
 
 
 def test_streams_read_a_folder_table(spark):
@@ -419,14 +490,25 @@ def test_streams_read_a_folder_table(spark):
     assert run_lockout_stream(spark, sf, 3, 86400).count() == 400
 
 
-def test_lockout_state_goes_with_a_success(spark):
-    from dealerlens.streaming.lockout import STATE_SCHEMA, state_after
-    t = dt.datetime(2001, 8, 1)
-    out = spark.createDataFrame([(1, "a", t, "failure", 1), (2, "a", t + dt.timedelta(seconds=1), "success", 0),
-                                 (3, "b", t, "locked", 4)],
-                                "event_id long, user_name string, ts timestamp_ntz, outcome string, attempts long")
-    before = spark.createDataFrame([("a", 2, 0), ("c", 1, 0)], STATE_SCHEMA)
-    assert {r.user_name: r.attempts for r in state_after(out, before, 3, 180).collect()} == {"b": 4, "c": 1}
+def test_lockout_standing_goes_with_a_success(spark):
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming.landed import state_of
+    from dealerlens.streaming.lockout import run_lockout_stream
+    t = dt.datetime(2024, 1, 5, 12)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    days = [[(1, t, 1, "error"), (2, t, 2, "error"), (3, t + dt.timedelta(seconds=1), 1, "signup")],
+            [(4, t + dt.timedelta(days=1), 3, "error")], [(5, t + dt.timedelta(days=2), 4, "error")]]
+    sf, landing, base = (scratch_path(spark, n) for n in ("sf", "landing", "locks"))
+    spark.createDataFrame([], schema).write.parquet(f"{sf}/events.parquet")
+    for day in days:
+        (spark.createDataFrame([(*r, None, None) for r in day], schema).coalesce(1)
+         .write.mode("append").parquet(landing))
+        out = run_lockout_stream(spark, sf, 3, 180, base=base, landing_dir=landing)
+    assert {(r.event_id, r.outcome) for r in out.collect()} == {
+        (1, "failure"), (2, "failure"), (3, "success"), (4, "failure"), (5, "failure")}
+    standing = {r.key.user_name: r.value.attempts for r in state_of(spark, base, "standing").collect()}
+    # user 1 has none, 3's and 4's events still wait
+    assert standing == {"2": 1, "3": 0, "4": 0} or standing == {"2": 1, "3": 1, "4": 0}
 
 
 def test_team_performance_from_cube_equals_direct(spark):
