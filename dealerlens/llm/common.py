@@ -4,7 +4,10 @@ connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,16 +30,52 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
     Later uses read the files, so a lost executor costs no recomputation and
-    non-deterministic values (partition ids) stay as written."""
+    non-deterministic values (partition ids) stay as written.  Inside
+    ``passing`` the table goes at the end, unless it is ``lasting``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if not lasting and _passing.get() is not None:
+        _passing.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """For work whose result is stored as ``lasting``: the other tables that
+    ``stored`` writes inside are deleted at the end, and Spark is let see that
+    their shuffles are no longer in use."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+#: Rows of a table of ids (16 bytes each) that may be broadcast; larger ones
+#: meet their documents in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` that the stored table ``ids`` doesn't name."""
+    ids = ids.select(*on)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(on), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

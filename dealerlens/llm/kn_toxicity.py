@@ -59,8 +59,8 @@ def places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = "".join(BEGIN + w + END for w in words)
     cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
-    return cp, np.arange(len(owner)) + (ORDER - 1) * (owner + 1), owner
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    return cp, np.arange(len(owner), dtype=np.int32) + (ORDER - 1) * (owner + 1), owner
 
 
 def _gram_hashes(cp: np.ndarray, at: np.ndarray, orders) -> dict[int, np.ndarray]:

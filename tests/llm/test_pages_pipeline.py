@@ -102,3 +102,25 @@ def test_queries_equal_their_sql(spark, name):
     con = duck_connect(SF001)
     r = compare(queries.QUERIES[name](spark, SF001), queries.ORACLE[name], con)
     assert r["ok"], r
+
+
+def test_unrelated_texts_that_share_an_id_stay(spark):
+    def text(word, n=40):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a") + " more"), (3, text("c")), (4, text("c"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, SF001).collect()
+    # 1's first text stands for 2, its second is one row; 3 stands for 4
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, text("a")), (1, text("b")), (3, text("c"))])
+
+
+def test_tables_of_finished_work_are_deleted(spark):
+    import os
+    from dealerlens.llm.common import passing, stored
+    with passing(spark):
+        gone = stored(spark.range(3), "passing").inputFiles()[0]
+        kept = stored(spark.range(4), "lasting", lasting=True)
+    assert not os.path.exists(gone.removeprefix("file://")) and kept.count() == 4
+    assert stored(spark.range(2), "outside").count() == 2
