@@ -157,6 +157,42 @@ def test_top_k_equals_brute_force(spark, n, dims, monkeypatch):
     assert sorted(tuple(r) for r in uniform_topk.top_k(df).collect()) == sorted(brute_top(rows, 10))
 
 
+@pytest.mark.parametrize("size", [20_000.0, 3e5])
+def test_top_k_is_exact_for_large_components(spark, size, monkeypatch):
+    monkeypatch.setattr(uniform_topk, "CHUNK_VECTORS", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) * (size if i % 4 else 1.0)).tolist()) for i in range(130)]
+    rows += [(200, [size, 1.0]), (201, [size * 1.5, 0.0]), (202, [-size, -0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in uniform_topk.top_k(df).collect()) == sorted(brute_top(rows, 10))
+
+
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        uniform_topk.top_k(df).collect()
+
+
+def test_top_k_goes_back_only_to_lists_that_may_hide_entries(spark, monkeypatch):
+    """One near chunk's worth of high entries among low ones: the low cells'
+    lists end below the threshold, so they are not asked again."""
+    monkeypatch.setattr(uniform_topk, "CHUNK_VECTORS", 30)
+    asked = []
+    plain = uniform_topk.stored
+
+    def noted(df, name):
+        out = plain(df, name)
+        if name == "topk-again":
+            asked.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(uniform_topk, "stored", noted)
+    rows = [(0, [1.0, 1.0])] + [(i, [0.0, i / 1000]) for i in range(1, 300)] + [(300 + i, [9.0, 9.0 + i]) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in uniform_topk.top_k(df).collect()) == sorted(brute_top(rows, 10))
+    assert len(asked) < 11
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, row int, q string")
     assert uniform_topk.top_k(df).count() == 0
