@@ -43,8 +43,10 @@ EPOCHS = 50
 #: Training reads pages in windows of so many blocks; labelling reads them whole.
 WINDOW = 32
 
-#: Elements (HTML standard): raw text, void, and those that break a line.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object")
+#: Elements (HTML standard): raw text, which an open tag extends to the end of
+#: the page; others whose content isn't read; void; those that break a line.
+RAW = ("script", "style", "textarea")
+UNREAD = frozenset("noscript template iframe svg select object".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section
@@ -55,11 +57,29 @@ FURNITURE_NAME = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|pro
                             r"share|social|related|recommend\w*|comments?|replies|disqus|login|search)(?:$|[-_ ])")
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_NAME = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|body|text)(?:$|[-_ ])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _unread(tokens: list[re.Match]) -> dict[int, int]:
+    """The place of the end tag of every element of ``UNREAD``, by the place
+    of its start tag.  Nested ones pair inside out; one that closes itself, or
+    that nothing closes, is its tag alone."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for k, m in enumerate(tokens):
+        tag = m[3].lower() if m[3] else ""
+        if tag not in UNREAD:
+            continue
+        if not m[2]:
+            if not m[4].endswith("/"):
+                begun.setdefault(tag, []).append(k)
+        elif begun.get(tag):
+            ends[begun[tag].pop()] = k
+    return ends
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]   # element names, outermost first
@@ -93,31 +113,40 @@ def blocks(page: str | None) -> list[Block]:
         if any(t == "a" for t, _ in stack):
             link.append(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    ends = _unread(tokens)
+    at, skipped = 0, -1
+    for k, m in enumerate(tokens):
+        if k <= skipped:
+            continue
         if m.start() > at:
             keep(page[at:m.start()])
         at = m.end()
         if not m[3]:
             continue
         tag = m[3].lower()
+        if tag in UNREAD:
+            if k in ends:
+                skipped = ends[k]
+                at = tokens[skipped].end()
+            continue
         if tag == "br":
             run.append(" ")
             continue
         if tag in BLOCK:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            for d in range(len(stack) - 1, -1, -1):
+                if stack[d][0] == tag:
+                    del stack[d:]
                     break
         elif tag not in VOID and not m[4].endswith("/"):
             if tag in BLOCK:  # an open paragraph ends, with what was left open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (tag == "li" and stack[k][0] == "li"):
-                        del stack[k:]
+                for d in range(len(stack) - 1, -1, -1):
+                    if stack[d][0] == "p" or (tag == "li" and stack[d][0] == "li"):
+                        del stack[d:]
                         break
-                    if stack[k][0] in BLOCK:
+                    if stack[d][0] in BLOCK:
                         break
             names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if m[4] else ""
             stack.append((tag, names))

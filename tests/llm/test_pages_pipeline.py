@@ -40,6 +40,23 @@ def test_blocks_keep_inline_text_together():
     assert got == [("p", "abc d"), ("p", "ef")]
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<p>Before words. <svg/> After words", ["Before words. After words"]),
+    ('<p>one <svg class="x" viewBox="0 0 1 1" /> two</p><p>three</p>', ["one two", "three"]),
+    ("<p>one <object data=x /> two</p><p>three</p>", ["one two", "three"]),
+    ("<template-card>one</template-card><p>two</p>", ["one", "two"]),
+    ("<p>a</p><template><p>b<template>c</template>d</p></template><p>e</p>", ["a", "e"]),
+    ("<p>a</p><svg><text>x</text><svg>y</svg>z</svg><p>b</p>", ["a", "b"]),
+    ("<p>a</p><iframe src=x><p>b</p>", ["a", "b"]),
+    ("<p>a</p></svg><p>b</p><select-list>c</select-list>", ["a", "b", "c"]),
+    ("<p>a</p><script>if (a < b) x = '</p>'</script ><p>b</p><scripted>c</scripted>", ["a", "b", "c"]),
+    ("<p>a</p><script/>never closed <p>b", ["a"]),
+    ("<p>a</p><textarea>b <svg> c</textarea><p>d</p>", ["a", "d"]),
+])
+def test_elements_that_are_not_read(page, texts):
+    assert [b.text for b in bl.blocks(page)] == texts
+
+
 def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(0)
     x, live = bl._pad([rng.normal(size=(n, bl.INPUT)) for n in (4, 2)])
