@@ -7,20 +7,25 @@ stem is not; spelling models see the stem.  Counts are discounted (Kneser-Ney:
 raw counts at the longest history, continuation counts below) and back off
 down to one shared model, a Kneser-Ney model of the same longest order counted
 over every document, so that what neither class has shown costs both the same.
-A document's score is the logistic of its log-likelihood ratio per word.
-
-The class models learn from a bounded sample of labelled rows (``per_class``
-documents of each class, as many of either): three quarters give the counts,
-one quarter sets the logistic.  Their tables are bounded by the sample and are
+A word's evidence is what its log-likelihood ratio exceeds ``FLOOR`` by: one
+insult must not drown in the many words that differ a little by chance.  A
+document's score is the logistic of the logarithm of its words' evidence over
+the square root of their number (the noise of a sum grows with that root).
+
+The class models learn from a bounded sample of labelled rows (at most
+``per_class`` documents of each class): three quarters give the counts, one
+quarter sets the logistic, which is then moved to the classes' shares among all
+learning rows and to ``MISS_COST``.  Their tables are bounded by the sample and are
 broadcast.  The shared model has a row for every n-gram of the corpus: Spark
 counts them order by order into stored tables, and each longest n-gram's log
 ratio is one row of a stored table.  The ``KNOWN`` most frequent rows are
-broadcast for scoring; a document's other n-grams are joined to the table.
+broadcast for scoring; words with other n-grams are joined to the table, each
+distinct word once.
 Ratios are whole multiples of 1 / ``UNIT``, so sums don't depend on the order.
 
-Defined results: a null or empty text scores what a ratio of zero scores;
-without labelled rows of both classes every score is 0; repeated rows score
-alike; other columns pass through.  Texts with n-grams that the corpus of
+Defined results: a null or empty text scores what no evidence scores; without
+labelled rows of both classes every score is 0; repeated rows score alike;
+other columns pass through, but one named like the score gives way to it.  Texts with n-grams that the corpus of
 ``fit`` lacks get their ratios from the shorter ones.
 """
 
@@ -40,6 +45,11 @@ from .words import TERM, scramble
 
 PER_CLASS = 2000
 THRESHOLD = 0.5
+#: Log ratio that a word's must exceed to count.
+FLOOR = 2
+#: A score of a half is where a missed document costs so many times a clean
+#: one that is rejected, times its odds.
+MISS_COST = 3
 #: Documents of the sample per calibration document.
 CALIBRATION = 4
 #: Longest and shortest n-grams of the class models; the shared one has all.
@@ -50,6 +60,8 @@ UNIT = 1 << 32
 KNOWN = 250_000
 #: Words whose ratio a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
+#: Words that the driver splits into n-grams at a time.
+WORDS_AT_ONCE = 50_000
 BEGIN, END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -182,25 +194,41 @@ def _cut(count: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3).astype(int)]
 
 
+def _longest(words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (n-grams, ORDER) of the distinct longest n-grams of the
+    words and their occurrences (2, n-grams) by class."""
+    hashes, spelt, seen = [np.empty(0, np.uint64)], [np.empty((0, ORDER), np.uint32)], [np.empty((2, 0))]
+
+    def distinct(h, occurrences):
+        _, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        return first, np.stack([np.bincount(inv, weights=o, minlength=len(first)) for o in occurrences])
+
+    for k in range(0, len(words), WORDS_AT_ONCE):
+        cp, at, owner = places(words[k:k + WORDS_AT_ONCE])
+        h = _gram_hashes(cp, at, (ORDER,))[ORDER]
+        first, occurrences = distinct(h, n[:, k:k + WORDS_AT_ONCE][:, owner])
+        hashes.append(h[first])
+        spelt.append(cp[at[first][:, None] + np.arange(1 - ORDER, 1)])
+        seen.append(occurrences)
+    first, occurrences = distinct(np.concatenate(hashes), np.concatenate(seen, axis=1))
+    return np.concatenate(spelt)[first], occurrences
+
+
 def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
     """The class models' tables from the sample's words and their counts
-    (2, words) by class; one order at a time, to spare the driver."""
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    place = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-    out = {}
-    above = None
+    (2, words) by class, each order's n-grams from those of the next longer."""
+    cp, occurrences = _longest(words, n)
+    count, out = occurrences, {}
     for k in range(ORDER, LOWEST - 1, -1):
-        g, owner = grams(words, [k])
-        table, first, inv = np.unique(g.pop(k), return_index=True, return_inverse=True)
-        count = np.stack([np.bincount(inv, weights=n[c][owner]) for c in (0, 1)])
-        if above is not None:  # distinct left extensions, but for n-grams at a word's beginning
-            seen, first_above = above
-            kinds = np.stack([np.bincount(inv[first_above], weights=seen[c] > 0, minlength=len(table))
-                              for c in (0, 1)])
-            # an n-gram that holds a begin mark has one left neighbour only
-            count = np.where(place[first] < k - 1, count, kinds)
-        above = (count, first)
-        hist, hist_inv = np.unique(contexts(words, [k])[k][first], return_inverse=True)
+        last = np.arange(1, len(cp) + 1) * ORDER - 1
+        table, first, inv = np.unique(_gram_hashes(cp.ravel(), last, [k])[k], return_index=True, return_inverse=True)
+        kinds, occurrences = (np.stack([np.bincount(inv, weights=v, minlength=len(table)) for v in values])
+                              for values in (count > 0, occurrences))
+        cp = cp[first]
+        # distinct left extensions; an n-gram that holds a begin mark has one left neighbour only
+        whole = (cp[:, ORDER - k] == ord(BEGIN[0])) | (k == ORDER)
+        count = np.where(whole, occurrences, kinds)
+        hist, hist_inv = np.unique(_context_hashes(cp.ravel(), last[:len(cp)], [k])[k], return_inverse=True)
         cut = np.stack([_cut(c) for c in count])
         total = np.stack([np.bincount(hist_inv, weights=count[c], minlength=len(hist)) for c in (0, 1)])
         left = np.stack([np.bincount(hist_inv, weights=cut[c], minlength=len(hist)) for c in (0, 1)])
@@ -213,7 +241,7 @@ def _class_orders(words: list[str], n: np.ndarray) -> dict[int, Order]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """Model of ``label`` for the texts of ``docs``."""
     spark = prepare(docs.sparkSession)
-    picked = sample(labels, label, per_class, balanced=True)
+    picked = sample(labels, label, per_class, balanced=False)
     picked = picked.withColumn("_cal", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(CALIBRATION)) == 0)
     learn = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
@@ -237,18 +265,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     model.ratios = stored(_with_ratios(whole, model.orders), "toxicity-ratios")
     model.known = _frequent(model.ratios, KNOWN)
     cal = learn.where("_cal").select("text", F.col("y").cast("double"))
-    c = ratios(cal, model, "text", "x", ("y",)).toPandas()
+    c = evidence(cal, model, "text", "x", ("y",)).toPandas()
     if c["y"].nunique() < 2:
-        model.logistic = (20.0, 0.0)
+        model.logistic = (2.0, -2.0)
     else:
-        w = fit_logistic(c[["x"]].to_numpy() * 10, c["y"].to_numpy())
-        model.logistic = (float(w[0]) * 10, float(w[1]) + _prior(labels, label))
+        w = fit_logistic(c[["x"]].to_numpy(), c["y"].to_numpy())
+        toxic = c["y"].sum()
+        here = np.log(toxic / (len(c) - toxic))
+        model.logistic = (float(w[0]), float(w[1] - here + _prior(labels, label) + np.log(MISS_COST)))
     return model
 
 
 def _prior(labels: DataFrame, label: str) -> float:
-    """Log odds of the label over all learning rows, which the balanced
-    sample leaves out."""
+    """Log odds of the label over all learning rows, which the sample's may
+    differ from."""
     r = (labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
          .agg(F.sum(label).alias("t"), F.count(F.lit(1)).alias("n")).first())
     return float(np.log((r["t"] + 1) / (r["n"] - r["t"] + 1)))
@@ -354,80 +384,104 @@ def _frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], r[order]
 
 
-def _summed(known: tuple[np.ndarray, np.ndarray]):
-    """Function of a batch's texts to (sum of the known n-grams' ratios, number
-    of words, the other n-grams) of each."""
-    keys, r = known
-    sums: dict[str, int] = {}
-    others: dict[str, list[str]] = {}
+def _known_part(words: list[str], known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Sum of the known n-grams' ratios of each word, and the other n-grams:
+    their word numbers and themselves."""
+    cp, at, owner = places(words)
+    i, found = _find(known[0], _gram_hashes(cp, at, (ORDER,))[ORDER])
+    part = np.zeros(len(words), np.int64)
+    if len(known[0]):
+        np.add.at(part, owner[found], known[1][i[found]])
+    lost = np.flatnonzero(~found)
+    return part, owner[lost], _spelt(cp, at[lost])
 
-    def add(words: list[str]):
-        cp, at, owner = places(words)
-        i, found = _find(keys, _gram_hashes(cp, at, (ORDER,))[ORDER])
-        part = np.zeros(len(words), np.int64)
-        if len(keys):
-            np.add.at(part, owner[found], r[i[found]])
-        sums.update(zip(words, part.tolist(), strict=True))
-        lost = np.flatnonzero(~found)
-        for w, g in zip(owner[lost].tolist(), _spelt(cp, at[lost]), strict=True):
-            others.setdefault(words[w], []).append(g)
+
+def _weighed(known: tuple[np.ndarray, np.ndarray]):
+    """Function of a batch's texts to (evidence of the words whose n-grams are
+    all known, number of words, how often each other word) of each."""
+    weight: dict[str, int | None] = {}
 
     def run(texts):
-        if len(sums) > CACHE_WORDS:
-            sums.clear()
-            others.clear()
+        if len(weight) > CACHE_WORDS:
+            weight.clear()
         found = [TERM.findall(t.lower()) if t else [] for t in texts]
-        new = sorted({w for ws in found for w in ws if w not in sums})
+        new = sorted({w for ws in found for w in ws if w not in weight})
         for k in range(0, len(new), 20_000):
-            add(new[k:k + 20_000])
-        get = sums.__getitem__
-        return ([sum(map(get, ws)) for ws in found], [len(ws) for ws in found],
-                [[g for w in ws if w in others for g in others[w]] for ws in found])
+            words = new[k:k + 20_000]
+            part, lost, _ = _known_part(words, known)
+            weight.update(zip(words, np.maximum(part - FLOOR * UNIT, 0).tolist(), strict=True))
+            weight.update((words[j], None) for j in np.unique(lost).tolist())
+        sums, rest = [], []
+        for ws in found:
+            of_words = list(map(weight.__getitem__, ws))
+            sums.append(sum(filter(None, of_words)))
+            rest.append(list(Counter(w for w, e in zip(ws, of_words, strict=True) if e is None).items()))
+        return sums, [len(ws) for ws in found], rest
 
     return run
 
 
-def ratios(docs: DataFrame, model: Model, text: str, out: str, keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns of ``docs`` and the log-likelihood ratio of each
-    text per word, as column ``out``."""
+def _resolved(words: DataFrame, model: Model, box) -> DataFrame:
+    """(w, e): those of the distinct ``words(w)`` that have evidence."""
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            names = b.column("w").to_pylist()
+            part, lost, spelt = _known_part(names, box.value) if names else (np.empty(0, np.int64), np.empty(0, int), [])
+            ends = np.cumsum(np.bincount(lost, minlength=len(names)))
+            grams = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(spelt, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("w"), pa.array(part), grams], names=["w", "part", "gs"])
+
+    rows = stored(words.mapInArrow(run, "w string, part long, gs array<string>"), "toxicity-words")
+    spelt = rows.select("w", "part", F.explode("gs").alias("g"))
+    table = model.ratios.select("g", "r")
+    strange = stored(spelt.select("g").distinct().join(table, "g", "left_anti"), "toxicity-strange")
+    if not strange.isEmpty():
+        p = model.shared.probabilities(strange).withColumn("n", F.lit(0).cast("long"))
+        table = table.unionByName(_with_ratios(p, model.orders).select("g", "r"))
+    whole = spelt.join(table, "g").groupBy("w").agg((F.first("part") + F.sum("r") - F.lit(FLOOR * UNIT)).alias("e"))
+    return whole.where("e > 0")
+
+
+def evidence(docs: DataFrame, model: Model, text: str, out: str, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and the evidence in each text, on a
+    logarithmic scale from 0, as column ``out``."""
     spark = prepare(docs.sparkSession)
     box = spark.sparkContext.broadcast(model.known)
     inner = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col(text).alias("text"))
     columns = [f"c{k}" for k in range(len(keep))]
     schema = T.StructType([*[inner.schema[c] for c in columns], T.StructField("part", T.LongType()),
-                           T.StructField("words", T.LongType()), T.StructField("rest", T.ArrayType(T.StringType()))])
+                           T.StructField("words", T.LongType()),
+                           T.StructField("rest", T.MapType(T.StringType(), T.LongType()))])
 
     def run(batches):
         import pyarrow as pa
-        summed = _summed(box.value)
+        weighed = _weighed(box.value)
         for b in batches:
-            part, words, rest = summed(b.column("text").to_pylist())
+            part, words, rest = weighed(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in columns], pa.array(part, pa.int64()), pa.array(words, pa.int64()),
-                 pa.array(rest, pa.list_(pa.string()))], names=[*columns, "part", "words", "rest"])
+                 pa.array(rest, pa.map_(pa.string(), pa.int64()))], names=[*columns, "part", "words", "rest"])
 
     rows = stored(inner.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
-    rest = rows.where(F.size("rest") > 0).select("row", F.explode("rest").alias("g"))
+    rest = rows.where(F.size("rest") > 0).select("row", F.explode("rest").alias("w", "n"))
     whole = F.col("part")
     if not rest.isEmpty():
-        table = model.ratios.select("g", "r")
-        strange = stored(rest.select("g").distinct().join(table, "g", "left_anti"), "toxicity-strange")
-        if not strange.isEmpty():
-            p = model.shared.probabilities(strange).withColumn("n", F.lit(0).cast("long"))
-            table = table.unionByName(_with_ratios(p, model.orders).select("g", "r"))
-        more = rest.join(table, "g").groupBy("row").agg(F.sum("r").alias("more"))
-        rows = rows.join(more, "row", "left")
+        weights = stored(_resolved(rest.select("w").distinct(), model, box), "toxicity-weights")
+        more = rest.join(weights, "w").groupBy("row").agg(F.sum(F.col("n") * F.col("e")).alias("more"))
+        rows = rows.drop("rest").join(more, "row", "left")
         whole = whole + F.coalesce("more", F.lit(0))
-    x = whole / F.lit(float(UNIT)) / F.greatest("words", F.lit(1))
+    x = F.log1p(whole / F.lit(float(UNIT)) / F.sqrt(F.greatest("words", F.lit(1))))
     return rows.select(*[F.col(c).alias(k) for c, k in zip(columns, keep, strict=True)], x.alias(out))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score",
           keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or its ``keep`` columns) with column ``out``."""
-    keep = tuple(docs.columns) if keep is None else keep
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower())
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias(out))
     a, b = model.logistic
     z = F.least(F.greatest(F.lit(a) * F.col(out) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
-    return ratios(docs, model, text, out, keep).withColumn(out, 1 / (1 + F.exp(-z)))
+    return evidence(docs, model, text, out, keep).withColumn(out, 1 / (1 + F.exp(-z)))

@@ -83,6 +83,71 @@ def test_joined_ratios_equal_broadcast_ones(spark, labelled, labels, odd_docs):
         model.known = model_known
 
 
+def plain_log_ratio(samples, gram, low):
+    """Toxic minus ordinary log probability of the last character of ``gram``
+    by dictionaries of strings; ``samples`` are the words' counts by class."""
+    n, begin, out = kn_toxicity.ORDER, "\x02", []
+    for sample_words in samples:
+        seen = {n: {}}
+        for w, times in sample_words.items():
+            marked = begin * (n - 1) + w + "\x03"
+            for i in range(len(w) + 1):
+                g = marked[i:i + n]
+                seen[n][g] = seen[n].get(g, 0) + times
+        raw = seen[n]
+        for k in range(n - 1, kn_toxicity.LOWEST - 1, -1):
+            seen[k] = {}
+            for g in {g[-k:] for g in raw}:
+                left = {h[-k - 1:] for h in raw if h.endswith(g)}
+                seen[k][g] = sum(t for h, t in raw.items() if h.endswith(g)) if g[0] == begin else len(left)
+        p = low
+        for k in range(kn_toxicity.LOWEST, n + 1):
+            values = list(seen[k].values())
+            d = [0.0, *kn_toxicity.discounts([values.count(i) for i in (1, 2, 3, 4)])]
+            same = {g: t for g, t in seen[k].items() if g[:-1] == gram[-k:-1]}
+            if same:
+                total = sum(same.values())
+                own = same.get(gram[-k:], 0)
+                p = (own - d[min(own, 3)]) / total + sum(d[min(t, 3)] for t in same.values()) / total * p
+        out.append(p)
+    return np.log(out[1]) - np.log(out[0])
+
+
+def test_class_models_equal_dictionaries(monkeypatch):
+    monkeypatch.setattr(kn_toxicity, "WORDS_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 8))) for _ in range(60)})
+    n = rng.integers(0, 5, (2, len(words))).astype(float)
+    samples = [{w: int(t) for w, t in zip(words, c, strict=True) if t} for c in n]
+    orders = kn_toxicity._class_orders(words, n)
+    cp, at, _ = kn_toxicity.places([*words[::3], "abababab", "zz", "éé"])
+    spelt = sorted(set(kn_toxicity._spelt(cp, at)))
+    low = rng.uniform(0.01, 0.2, len(spelt))
+    got = kn_toxicity.gram_ratios(orders, spelt, low)[1] / kn_toxicity.UNIT
+    want = [plain_log_ratio(samples, g, p) for g, p in zip(spelt, low, strict=True)]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_evidence_is_what_words_exceed_the_floor_by(spark, labelled, labels, odd_docs):
+    model = kn_toxicity.fit(labelled, labels)
+    for docs in (labelled.limit(60), odd_docs):
+        got = {(r.doc_id, r.text): r.x for r in kn_toxicity.evidence(docs, model, "text", "x", ("doc_id", "text")).collect()}
+        found = {k: kn_toxicity.TERM.findall((k[1] or "").lower()) for k in got}
+        words = sorted({w for ws in found.values() for w in ws})
+        over = dict(zip(words, np.maximum(model.word_ratios(words) - kn_toxicity.FLOOR, 0), strict=True))
+        for k, ws in found.items():
+            assert np.isclose(got[k], np.log1p(sum(over[w] for w in ws) / max(1, len(ws)) ** 0.5), atol=1e-6)
+
+
+@pytest.mark.parametrize("module,label", [(kn_toxicity, "toxic"), (line_crf, "quality")])
+def test_a_column_named_like_the_score_gives_way(spark, labelled, labels, module, label):
+    docs = labelled.withColumn("Score", F.lit("old")).withColumn("c0", F.lit(1)).withColumn("row", F.lit(2))
+    out = module.score(docs, module.fit(docs, labels))
+    assert [c for c in out.columns if c.lower() == "score"] == ["score"] and {"c0", "row"} <= set(out.columns)
+    assert all(0 <= r.score <= 1 for r in out.select("score").collect())
+    assert module.score(docs, None).select("score").distinct().count() == 1
+
+
 def test_quality_on_held_out_rows(spark, labelled, labels):
     field = line_crf.fit(labelled, labels)
     acc, n = accuracy(line_crf.score(labelled, field), labels, "quality", line_crf.THRESHOLD)
