@@ -231,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "score",
           keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with column ``out``."""
-    keep = tuple(docs.columns) if keep is None else keep
+    """``docs`` (or its ``keep`` columns) with column ``out``; one named alike
+    gives way to it."""
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower())
     if field is None:
         return docs.select(*keep, F.lit(1.0).alias(out))
     box = prepare(docs.sparkSession).sparkContext.broadcast(field)
@@ -242,8 +243,8 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            s = box.value.scores(b.column("__text").to_pylist())
+            s = box.value.scores(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + [pa.array(s, pa.float64())], names=[*keep, out])
+                [*b.columns[:len(keep)], pa.array(s, pa.float64())], names=[*keep, out])
 
     return inner.mapInArrow(run, schema)
