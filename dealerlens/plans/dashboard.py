@@ -10,6 +10,8 @@ table size, so keeping it cached is cheap."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,26 +22,72 @@ from ..operators.segments import seg_called
 from ..session import as_of_col
 
 
-def performance_cube(df: DataFrame, as_of=None, periods=K.PERIODS) -> DataFrame:
-    """(operator, close_reason, in_7d, in_30d, in_365d, n) over the
-    'Evet' rows; one scan, map-side combined."""
+def _calls(df: DataFrame) -> DataFrame:
+    """(operator, close_reason, action_at) of the 'Evet' rows."""
     for c in ("operator", "close_reason", "action_date"):  # missing -> no data
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    now = as_of_col(as_of)
-    action = parse_ts(F.col("action_date"))
-    flags = [(action >= now - F.make_dt_interval(F.lit(int(d)))).alias(f"in_{d}d") for d in periods]
-    c = seg_called(df).select("operator", "close_reason", *[F.coalesce(f, F.lit(False)).alias(f"in_{d}d")
-                                                           for f, d in zip(flags, periods)])
+    return seg_called(df).select("operator", "close_reason", parse_ts(F.col("action_date")).alias("action_at"))
+
+
+def _in_periods(calls: DataFrame, as_of, periods, *kept: str) -> DataFrame:
+    now, action = as_of_col(as_of), F.col("action_at")
+    flags = [F.coalesce(action >= now - F.make_dt_interval(F.lit(int(d))), F.lit(False)).alias(f"in_{d}d")
+             for d in periods]
+    return calls.select("operator", "close_reason", *flags, *kept)
+
+
+def performance_cube(df: DataFrame, as_of=None, periods=K.PERIODS) -> DataFrame:
+    """(operator, close_reason, in_7d, in_30d, in_365d, n) over the
+    'Evet' rows; one scan, map-side combined."""
+    c = _in_periods(_calls(df), as_of, periods)
     return c.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def call_counts(df: DataFrame) -> DataFrame:
+    """(operator, close_reason, action_at, n): the partial aggregate that is
+    stored and moved on by changes instead of being counted anew.  It holds for
+    every evaluation time.  The dashboard stores dates, so ``action_at`` is a
+    day; a table with times of day is counted by those, and stays exact."""
+    c = _calls(df)
+    return c.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def moved_counts(counts: DataFrame, base: DataFrame, patches: DataFrame,
+                 update: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The counts after ``update(base, patches)``: what the patched customers
+    counted for before is taken back, what they count for now is added.  ``base``
+    is the table before the change, or any part of it that holds the patched
+    keys (``KeyedTable.touching``); no other customer is counted."""
+    before = base.join(patches.select("customer_id").distinct(), "customer_id", "left_semi").select(base.columns)
+    gone = call_counts(before).withColumn("n", -F.col("n"))
+    parts = counts.unionByName(gone).unionByName(call_counts(update(before, patches)))
+    return (parts.groupBy("operator", "close_reason", "action_at").agg(F.sum("n").alias("n"))
+            .where(F.col("n") != 0))
+
+
+def cube_of_counts(counts: DataFrame, as_of=None, periods=K.PERIODS) -> DataFrame:
+    """``performance_cube`` of the table that ``counts`` was taken from."""
+    c = _in_periods(counts, as_of, periods, "n")
+    return c.groupBy(*[x for x in c.columns if x != "n"]).agg(F.sum("n").alias("n"))
+
+
 class TeamPerformance:
     """The three widgets of the performance page from one cached cube."""
 
     def __init__(self, df: DataFrame, as_of=None):
-        self.has_operator = "operator" in df.columns
-        self.cube = performance_cube(df, as_of).persist(StorageLevel.MEMORY_AND_DISK)
+        self._keep(performance_cube(df, as_of), "operator" in df.columns)
+
+    @classmethod
+    def from_counts(cls, counts: DataFrame, as_of=None) -> TeamPerformance:
+        """The page from stored ``call_counts`` of a table with operators."""
+        self = cls.__new__(cls)
+        self._keep(cube_of_counts(counts, as_of), True)
+        return self
+
+    def _keep(self, cube: DataFrame, has_operator: bool) -> None:
+        self.has_operator = has_operator
+        self.cube = cube.persist(StorageLevel.MEMORY_AND_DISK)
 
     def calls_by_staff(self, days: int = 30) -> DataFrame:
         return (self.cube.where(F.col(f"in_{days}d") & F.col("operator").isNotNull())

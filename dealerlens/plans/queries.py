@@ -19,9 +19,12 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import mutations as M
 from ..operators import notes as N
+from ..operators import search_index as SI
 from ..operators import segments as S
 from ..session import as_of_col, prepare, scratch_path
+from ..sources import audit as AU
 from ..sources import fixtures as fx
+from ..sources import ranges as KR
 from ..sources import stations as ST
 from ..sources import tables as T
 from . import oracle as O
@@ -29,6 +32,9 @@ from .reports import REPORT_COLUMNS, report
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+# each query's SQL before its tables are put in front, for a second form of it
+ORACLE_BODY: dict = {}
+ORACLE_NEEDS: dict = {}
 
 C = "customers"
 NOT_DONE = O.in_list(K.FLAG_NOT_DONE)
@@ -47,6 +53,7 @@ def q(name: str, sql: str | None = None, needs=(C,)):
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = O.sql(sql, needs)
+            ORACLE_BODY[name], ORACLE_NEEDS[name] = sql, needs
         return run
     return deco
 
@@ -55,6 +62,15 @@ def cust(spark, sf):
     return fx.customers(spark, sf)
 
 
+#: Keys of a range in the registered queries, whose tables are small.
+QUERY_WIDTH = 500
+
+
+def keyed(spark, sf):
+    """The customer table stored in key ranges."""
+    return KR.store(cust(spark, sf), scratch_path(spark, "customers"), QUERY_WIDTH)
+
+
 # ---------------------------------------------------------------- SQL bits
 def s_trade():
     return f"{O.to_number('odometer_km', '0')} > {K.TRADE_IN_KM} AND {O.norm_token('called_flag')} IN {NOT_DONE}"
@@ -165,6 +181,35 @@ def _audit_append(spark, sf):
     return T.audit_log(spark, path)
 
 
+def _logged_once(spark, sf):
+    """A log that got two batches, the second of them twice: the landed log's
+    rows, then the audit rows of a batch of saves."""
+    path = scratch_path(spark, "system_logs")
+    rows = M.audit_from_patches(cust(spark, sf), outcomes=fx.outcome_patches(spark, sf))
+    AU.append_once(fx.system_logs(spark, sf), path, "landed")
+    for _ in range(2):
+        AU.append_once(rows, path, "saves")
+    return path
+
+
+LOGGED_SQL = f"SELECT * FROM system_logs UNION ALL ({OUTCOME_AUDIT_SQL})"
+LOGGED_NEEDS = ("system_logs", C, "outcome_patches")
+
+
+@q("audit_append_once", LOGGED_SQL, needs=LOGGED_NEEDS)
+def _audit_append_once(spark, sf):
+    """The whole log, newest first, after a batch was saved twice."""
+    return AU.newest(spark, _logged_once(spark, sf))
+
+
+@q("audit_last_day", f"""SELECT * FROM ({LOGGED_SQL}) WHERE substr(log_ts, 1, 10) =
+  (SELECT max(substr(log_ts, 1, 10)) FROM ({LOGGED_SQL}))""", needs=LOGGED_NEEDS)
+def _audit_last_day(spark, sf):
+    """The last day's log, read from that day on."""
+    path = _logged_once(spark, sf)
+    return AU.newest(spark, path, since=AU.last_day(spark, path))
+
+
 @q("audit_log", "SELECT * FROM system_logs", needs=("system_logs",))
 def _audit_log(spark, sf):
     return T.audit_log(spark, logs=fx.system_logs(spark, sf))
@@ -602,6 +647,22 @@ def _customer_profile_lookup(spark, sf):
     return N.customer_profile(cust(spark, sf), 77)
 
 
+INDEXED_Q = "customer#0000001"
+
+
+@q("global_search_indexed", f"SELECT * FROM customers WHERE {s_search(INDEXED_Q, literal=True)}")
+def _global_search_indexed(spark, sf):
+    """A literal search through the trigram index of the stored table."""
+    table = fx.materialize_customers(spark, sf, scratch_path(spark, "customers")).select(CUSTOMER_COLS)
+    return SI.search(table, SI.build(table, scratch_path(spark, "index")), INDEXED_Q, literal=True)
+
+
+@q("customer_profile_stored", ORACLE_BODY["customer_profile_lookup"])
+def _customer_profile_stored(spark, sf):
+    """One customer's card from the table in key ranges."""
+    return N.customer_profile(keyed(spark, sf).at(77))
+
+
 TIMELINE_SQL = f"""
 WITH l AS (
   SELECT customer_id, unnest(string_split(coalesce(notes, 'None'), chr(10))) AS line,
@@ -709,6 +770,13 @@ def _apply_admin_edit(spark, sf):
     return M.apply_admin_edit(cust(spark, sf), fx.admin_patches(spark, sf))
 
 
+def _register_stored(name, update, patches):
+    @q(f"{name}_stored", ORACLE_BODY[name], needs=ORACLE_NEEDS[name])
+    def _r(spark, sf):
+        return keyed(spark, sf).change(update, patches(spark, sf))
+    _r.__doc__ = f"{name} on the table in key ranges: only touched ranges are written."
+
+
 REMINDER_DUE_SQL = f"""SELECT operator, customer_id, coalesce(full_name, 'None') AS full_name, phone, due_ts
   FROM (SELECT *, {s_reminder_ts()} AS due_ts FROM customers
         WHERE operator IS NOT NULL AND reminder_at IS NOT NULL AND reminder_at <> '')
@@ -888,6 +956,21 @@ def _performance_cube(spark, sf):
     return performance_cube(cust(spark, sf))
 
 
+@q("performance_cube_moved", s_outcome_applied() + f"""SELECT operator, close_reason,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 7 DAY, FALSE) AS in_7d,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 30 DAY, FALSE) AS in_30d,
+  coalesce({O.parse_ts('action_date')} >= {O.AS_OF} - INTERVAL 365 DAY, FALSE) AS in_365d, count(*) AS n
+  FROM applied WHERE called_flag = '{K.CALLED_EXACT}' GROUP BY ALL""", needs=(C, "outcome_patches"))
+def _performance_cube_moved(spark, sf):
+    """The cube after a batch of saves: stored counts moved on by the patched
+    customers alone."""
+    from .dashboard import call_counts, cube_of_counts, moved_counts
+    table, path = keyed(spark, sf), scratch_path(spark, "call-counts")
+    call_counts(table.rows()).write.parquet(path)
+    patches = fx.outcome_patches(spark, sf)
+    return cube_of_counts(moved_counts(spark.read.parquet(path), table.touching(patches), patches, M.apply_outcome))
+
+
 @q("station_count", "SELECT count(*) AS stations FROM stations", needs=("stations",))
 def _station_count(spark, sf):
     return A.station_count(ST.station_feed(fx.station_documents(spark, sf)))
@@ -911,6 +994,15 @@ def _page(spark, sf):
     return page(report(cust(spark, sf), "trade_in"), 1, order_by=["customer_id"])
 
 
+@q("page_stored", f"SELECT * FROM ({REPORT_SQL['trade_in']}) ORDER BY customer_id LIMIT {K.PAGE_SIZE} OFFSET {3 * K.PAGE_SIZE}")
+def _page_stored(spark, sf):
+    """Fourth page of the trade-in list from its stored sorted copy."""
+    from ..operators.ordering import store_sorted, stored_page
+    path = scratch_path(spark, "trade-in-sorted")
+    store_sorted(report(cust(spark, sf), "trade_in"), path, ["customer_id"])
+    return stored_page(spark, path, 3)
+
+
 @q("due_reminder_first", f"""SELECT operator, customer_id, full_name, phone, due_ts FROM (
   SELECT *, row_number() OVER (PARTITION BY operator ORDER BY due_ts, customer_id) AS rn FROM ({PENDING_SQL})) WHERE rn = 1""")
 def _due_reminder_first(spark, sf):
@@ -957,6 +1049,12 @@ def _complete_reminder(spark, sf):
     return M.complete_reminder(c, overdue_reminders(c))
 
 
+_register_stored("apply_outcome", M.apply_outcome, fx.outcome_patches)
+_register_stored("apply_admin_edit", M.apply_admin_edit, fx.admin_patches)
+_register_stored("delete_note", M.delete_note, fx.note_deletions)
+_register_stored("complete_reminder", M.complete_reminder, lambda spark, sf: overdue_reminders(cust(spark, sf)))
+
+
 @q("audit_from_patches", OUTCOME_AUDIT_SQL + f"""
 UNION ALL
 SELECT strftime(patch_ts, '%Y-%m-%d %H:%M:%S'), user_name, '{K.AUDIT_ADMIN[0]}',

@@ -11,7 +11,9 @@ from dealerlens.sources import fixtures as fx
 # queries whose callables run jobs while building the plan (writes, streams)
 EAGER = {"load_customers", "load_with_fallback", "rebuild_table", "audit_append", "report_export", "report_export_csv",
          "report_export_general", "report_export_reminders", "log_export", "reminder_alerts_stream", "login_lockout",
-         "login_lockout_page_limits", "login_lockout_stream"}
+         "login_lockout_page_limits", "login_lockout_stream", "audit_append_once", "audit_last_day",
+         "global_search_indexed", "customer_profile_stored", "apply_outcome_stored", "apply_admin_edit_stored",
+         "delete_note_stored", "complete_reminder_stored", "performance_cube_moved", "page_stored"}
 
 
 def plan(df) -> str:
