@@ -994,13 +994,13 @@ def _page(spark, sf):
     return page(report(cust(spark, sf), "trade_in"), 1, order_by=["customer_id"])
 
 
-@q("page_stored", f"SELECT * FROM ({REPORT_SQL['trade_in']}) ORDER BY customer_id LIMIT {K.PAGE_SIZE} OFFSET {3 * K.PAGE_SIZE}")
+@q("page_stored", f"SELECT * FROM ({REPORT_SQL['trade_in']}) ORDER BY customer_id LIMIT {K.PAGE_SIZE} OFFSET {K.PAGE_SIZE}")
 def _page_stored(spark, sf):
-    """Fourth page of the trade-in list from its stored sorted copy."""
+    """Second page of the trade-in list from its stored sorted copy."""
     from ..operators.ordering import store_sorted, stored_page
     path = scratch_path(spark, "trade-in-sorted")
     store_sorted(report(cust(spark, sf), "trade_in"), path, ["customer_id"])
-    return stored_page(spark, path, 3)
+    return stored_page(spark, path, 1)
 
 
 @q("due_reminder_first", f"""SELECT operator, customer_id, full_name, phone, due_ts FROM (
