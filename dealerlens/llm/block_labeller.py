@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from .common import prepare
+from .common import prepare, spare, unlike
 
 SAMPLE_PAGES = 250
 PATH_DIMS, WORD_DIMS, EXTRA = 24, 24, 8
@@ -360,10 +360,11 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller | None:
 
 
 def extract(pages: DataFrame, labeller: Labeller | None, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``pages`` (or its ``keep`` columns) with the main ``text``."""
+    """``pages`` (or its ``keep`` columns) with the main ``text``, to which a
+    column of that name gives way."""
     prepare(pages.sparkSession)
-    keep = tuple(c for c in pages.columns if c not in ("html", "text")) if keep is None else keep
-    inner = pages.select(*keep, F.col("html").alias("__html"))
+    keep = unlike([c for c in pages.columns if c != "html"] if keep is None else keep, "text")
+    inner = pages.select(*keep, F.col("html").alias(spare(keep, "__html")))
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
     box = pages.sparkSession.sparkContext.broadcast(labeller)
 
@@ -372,14 +373,14 @@ def extract(pages: DataFrame, labeller: Labeller | None, keep: tuple[str, ...] |
         for b in batches:
             texts = []
             for at in range(0, b.num_rows, 250):
-                found = [blocks(h) for h in b.column("__html").slice(at, 250).to_pylist()]
+                found = [blocks(h) for h in b.column(len(keep)).slice(at, 250).to_pylist()]
                 if box.value is None:
                     texts += [""] * len(found)
                     continue
                 chances = box.value.label([features(p) for p in found])
                 texts += [" ".join(x.text for x, p in zip(page, c, strict=True) if p >= 0.5)
                           for page, c in zip(found, chances, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(texts, pa.string())],
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(texts, pa.string())],
                                              names=[*keep, "text"])
 
     return inner.mapInArrow(run, schema)

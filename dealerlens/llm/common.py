@@ -30,6 +30,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unlike(columns: Sequence[str], *taken: str) -> tuple[str, ...]:
+    """The columns whose names, in any case, are not among ``taken``: an
+    operator's own columns go before a caller's that are named alike."""
+    own = {t.lower() for t in taken}
+    return tuple(c for c in columns if c.lower() not in own)
+
+
+def spare(columns: Sequence[str], name: str) -> str:
+    """``name``, lengthened until no column of ``columns`` bears it."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 

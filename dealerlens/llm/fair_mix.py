@@ -23,13 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, global_rank, prepare, range_sorted, stored
+from .common import WORD_PATTERN, global_rank, prepare, range_sorted, stored, unlike
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LAPS = 2
 #: Breaks ties of the finish time.
 PLACE = ("_src", "_key", "doc_id", "size")
+#: Columns that the queue is worked out with.
+WORKING = ("_src", "_key", "_pid", "_idx", "_mid", "_sum", "_off", "_cum")
 
 
 def source_key(source: Column) -> Column:
@@ -66,10 +68,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, laps: int = LAPS
     """(doc_id, size, source_size, target, copies, taken) for every row of
     ``docs``: ``copies`` (0..laps) of it enter the mix, ``taken`` words in
     all.  Texts do not travel; ``keep`` names columns to carry along, such as
-    a row id by which a caller joins them back."""
+    a row id by which a caller joins them back; those named like one of the
+    result's columns or like a working column (``WORKING``) give way."""
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", source_key(F.col("source")).alias("_src"),
-                       word_count(F.col("text")).alias("size"), *keep)
+                       word_count(F.col("text")).alias("size"),
+                       *unlike(keep, "doc_id", "size", "source_size", "target", "copies", "taken", *WORKING))
     return _queue(rows, weights, share, laps, seed)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare
 from .labels import fit_logistic, held_out, sample
 
 PER_CLASS = 1500
@@ -237,7 +237,7 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "
     if field is None:
         return docs.select(*keep, F.lit(1.0).alias(out))
     box = prepare(docs.sparkSession).sparkContext.broadcast(field)
-    inner = docs.select(*keep, F.col(text).alias("__text"))
+    inner = docs.select(*keep, F.col(text).alias(spare(keep, "__text")))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):

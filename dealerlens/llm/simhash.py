@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, prepare, stored
+from .common import partitions, prepare, spare, stored, unlike
 from .words import MIX1, hashes, scramble
 
 BITS = 128
@@ -65,17 +65,18 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
                  keep: tuple[str, ...] | None = None, width: int = WIDTH, bits: int = BITS) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with the fingerprint of ``text``."""
+    """``docs`` (or its ``keep`` columns) with the fingerprint of ``text`` as
+    ``out``, to which a column of that name gives way."""
     prepare(docs.sparkSession)
-    keep = tuple(docs.columns) if keep is None else keep
-    inner = docs.select(*keep, F.col(text).alias("__text"))
+    keep = unlike(docs.columns if keep is None else keep, out)
+    inner = docs.select(*keep, F.col(text).alias(spare(keep, "__text")))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            f = [fingerprint(t, width, bits) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(f, pa.string())],
+            f = [fingerprint(t, width, bits) for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(f, pa.string())],
                                              names=[*keep, out])
 
     return inner.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, spare, stored
 
 #: Texts that are aligned together; one longer text is aligned alone.
 BATCH_CHARS = 400_000
@@ -289,7 +289,7 @@ def align(docs: DataFrame, keep: Sequence[str] = ("doc_id",), paths: tuple[str,
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + [f"{c} {t}" for c, t in RESULTS.items()])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(spare(keep, "__text"))).mapInArrow(run, schema)
 
 
 def strengths(aligned: DataFrame) -> DataFrame:

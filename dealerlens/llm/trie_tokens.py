@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare, unlike
 
 SPACE_MARK = "▁"
 #: Pre-tokens whose counts a worker remembers before it starts afresh.
@@ -113,11 +113,12 @@ def counter(path: str) -> TrieCounter:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with n_pretokens and n_tokens."""
+    """``docs`` (or its ``keep`` columns) with n_pretokens and n_tokens;
+    columns named like these give way to them."""
     path = path or vocabulary_path()
-    keep = tuple(docs.columns) if keep is None else keep
+    keep = unlike(docs.columns if keep is None else keep, "n_pretokens", "n_tokens")
     prepare(docs.sparkSession)
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    inner = docs.select(*keep, F.col("text").alias(spare(keep, "__text")))
     schema = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -125,9 +126,9 @@ def token_counts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
         import pyarrow as pa
         c = counter(path)
         for b in batches:
-            n = np.array(c.totals(b.column("__text").to_pylist()), np.int64).reshape(-1, 2)
+            n = np.array(c.totals(b.column(len(keep)).to_pylist()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(k) for k in keep] + [pa.array(n[:, 0]), pa.array(n[:, 1])],
+                [*b.columns[:len(keep)]] + [pa.array(n[:, 0]), pa.array(n[:, 1])],
                 names=[f.name for f in schema])
 
     return inner.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 SF001 = "/root/testdata/sf0.001"
@@ -31,6 +32,9 @@ def test_main_text_of_pages(spark, pages):
     assert got[500] == got[501] == got[502] == ""
     assert got[None].startswith("Head line nrx")
     assert got[503].count("many words") == 3000
+    clash = bl.extract(pages.withColumn("__html", F.lit("h")), bl.fit(pages), keep=("page_id", "__html", "text"))
+    assert clash.columns == ["page_id", "__html", "text"]
+    assert {(r.page_id, r["__html"], r.text) for r in clash.collect()} == {(r.page_id, "h", r.text) for r in out}
     assert bl.extract(pages.where("false"), bl.fit(pages)).count() == 0
     assert bl.fit(pages.where("false")) is None
 

@@ -82,6 +82,10 @@ def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     assert len(out) == odd_docs.count()
     assert all(r.taken == 0 for r in out if r.size == 0)
     assert {r.size for r in out if r.doc_id in (2, 3, 4)} == {0}
+    kept = fair_mix.mix(odd_docs.withColumn("_sum", F.lit("s")).withColumn("TAKEN", F.lit("t")),
+                        keep=("score", "target", "copies", "size", "_sum", "TAKEN"))
+    assert kept.columns == ["doc_id", "size", "score", "source_size", "target", "copies", "taken"]
+    assert sorted(map(str, kept.drop("score").collect())) == sorted(map(str, out))
     assert fair_mix.mix(no_docs).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(r.target, r.taken) for r in fair_mix.mix(empty).collect()} == {(0.0, 0)}

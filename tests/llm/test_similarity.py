@@ -3,6 +3,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dealerlens.llm import jaccard_join, simhash, uniform_topk
 
@@ -56,6 +57,9 @@ def test_edited_texts_equal_brute_force(spark, odd_docs, labelled):
     check_edits(labelled)
     check_edits(labelled.limit(1))
     assert simhash.with_edits(labelled.where("false")).count() == 0
+    clash = simhash.fingerprints(labelled.withColumn("FINGERPRINT", F.lit("x")).withColumn("__text", F.lit("y")))
+    assert [c.lower() for c in clash.columns].count("fingerprint") == 1
+    assert all(r.fingerprint == simhash.fingerprint(r.text) and r["__text"] == "y" for r in clash.collect())
 
 
 def brute_groups(rows, width, num, den):

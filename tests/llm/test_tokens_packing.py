@@ -120,6 +120,11 @@ def test_token_counts_of_odd_rows(spark, odd_docs, no_docs):
     assert len(out) == odd_docs.count()
     assert n[2] == n[3] == n[4] == (0, 0) and n[1] == n[7] and n[5][0] == 20000
     assert trie_tokens.token_counts(no_docs).count() == 0
+    clash = odd_docs.withColumnsRenamed({"size": "N_TOKENS", "rank": "n_pretokens", "score": "__text"})
+    again = trie_tokens.token_counts(clash)
+    assert [c.lower() for c in again.columns].count("n_tokens") == 1 and again.columns[-2:] == ["n_pretokens", "n_tokens"]
+    assert sorted((str(r.doc_id), r["__text"], r.n_tokens) for r in again.collect()) == sorted(
+        (str(r.doc_id), "s", r.n_tokens) for r in out)
 
 
 def test_two_for_one_looks_at_all_lengths():
