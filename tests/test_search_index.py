@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dealerlens.operators.notes import global_search
 from dealerlens.operators.search_index import build, needed, search
@@ -58,3 +59,22 @@ def test_a_selective_query_filters_the_scan_by_key(spark):
     pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
     assert "customer_id" in pushed and out.count() == global_search(df, "customer#000000012", literal=True).count() > 0
     assert search(df, index, "no such text anywhere", literal=True).count() == 0
+
+
+def test_index_rows_are_lists_of_customers(spark):
+    """A trigram of many customers fills a few rows, each customer once."""
+    rows = [(i, f"customer {i}", "customer" if i % 2 else None, None) for i in range(3000)] + [(None, "customer", None, None)]
+    df = spark.createDataFrame(rows, COLUMNS).coalesce(1)
+    index = build(df, scratch_path(spark, "index"))
+    ust = index.where("gram = 'ust'").collect()
+    assert len(ust) < 3000 / 100
+    assert sorted(k for r in ust for k in r["keys"]) == list(range(3000))
+    assert index.where("gram = 'non'").count() > 0  # what a null reads as
+    assert index.where("exists(keys, k -> k IS NULL)").count() == 0
+    for query in ("customer 299", "one"):
+        assert sorted(map(str, search(df, index, query).collect())) == sorted(map(str, global_search(df, query).collect()))
+    empty = df.limit(0)
+    assert search(empty, build(empty, scratch_path(spark, "index")), "customer").count() == 0
+    short = df.where("customer_id < 2").select("customer_id", F.lit("ab").alias("full_name"))
+    index = build(short, scratch_path(spark, "index"))
+    assert index.count() == 0 and search(short, index, "ab").count() == 2 and search(short, index, "abc").count() == 0
