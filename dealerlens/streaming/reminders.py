@@ -6,11 +6,13 @@ alerted once, in the micro-batch in which a tick of its operator inside
 
 A batch is read once.  Its ticks shrink to their earliest and latest per
 operator and time bucket before the shuffle, so a hot operator sends a few rows
-a task; an operator's reminders are dealt over ``shares`` keys, each of which
-sees all of its operator's extremes.  State per key: the extremes of buckets
-that the watermark hasn't passed, and reminders not alerted yet whose window
-is still open.  An event-time timer clears what no row that is still in time
-can need.
+a task; an operator's reminders are dealt over ``shares``, each of which sees
+all of its operator's extremes.  The shares of all operators are dealt over
+``slots``, the keys of the state, so that the work per key doesn't grow with the
+number of operators; a slot handles its rows as columns.  State per slot: the
+extremes of buckets that the watermark hasn't passed, and reminders not alerted
+yet whose window is still open.  An event-time timer clears what no row that is
+still in time can need.
 
 Nothing is dropped silently.  Rows that can't count go to a side output, which
 ``strays`` reads: ticks whose whole bucket lies behind the watermark and
@@ -20,6 +22,7 @@ of one file sink, so a restart neither loses nor repeats rows."""
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -41,6 +44,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LATENESS_S = 3 * 3600
 SHARES = 4
+#: Keys of the state; at 36 million events a slot holds about 280,000 extremes
+#: of 32 bytes.
+SLOTS = 512
 ALERT_SCHEMA = "operator string, reminder_id long, due_ts timestamp_ntz"
 STRAY_SCHEMA = "reason string, operator string, reminder_id long, first_ts timestamp_ntz, last_ts timestamp_ntz, n long"
 
@@ -91,69 +97,115 @@ def unpacked(value: bytes, width: int) -> list[list[int]]:
     return np.frombuffer(value, "<i8").reshape(width, -1).tolist()
 
 
+def _columns(value: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(value, "<i8").reshape(width, -1)
+
+
+def _at(owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """(owner, bucket) as one integer; buckets of any time have 32 bits."""
+    return (owner << 33) + bucket + (1 << 32)
+
+
+def _pushed(owner, bucket, first, last):
+    """The columns with one row per (owner, bucket), in that order."""
+    key = _at(owner, bucket)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    if not len(starts):
+        return owner, bucket, first, last
+    own = order[starts]
+    return (owner[own], bucket[own], np.minimum.reduceat(first[order], starts), np.maximum.reduceat(last[order], starts))
+
+
 class Alerts(StatefulProcessor):
-    """One operator's share of reminders.  Its whole state is one value, so a
-    key costs one read and one write a batch."""
+    """A slot's operators and their shares of reminders.  The whole state of a
+    slot is one value, so a slot costs one read and one write a batch however
+    many operators it has: ``owners`` lists their (operator, share), ``extremes``
+    and ``open`` hold buckets and waiting reminders, ``of_extremes`` and
+    ``of_open`` the owner of each."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "extremes binary, open binary, timer_ms long")
+        self.held = handle.getValueState(
+            "held", "extremes binary, open binary, timer_ms long, owners string, of_extremes binary, of_open binary")
 
     def _read(self):
-        """(bucket -> (first, last), reminder -> due, time of the timer)."""
+        """(owners, [owner, bucket, first, last], [owner, reminder, due], time of the timer)."""
         held = self.held.get()
         if held is None:
-            return {}, {}, -1
-        buckets, first, last = unpacked(held[0], 3)
-        return dict(zip(buckets, zip(first, last))), dict(zip(*unpacked(held[1], 2))), held[2]
+            return [], np.empty((4, 0), np.int64), np.empty((3, 0), np.int64), -1
+        known = np.concatenate([_columns(held[4], 1), _columns(held[0], 3)])
+        waiting = np.concatenate([_columns(held[5], 1), _columns(held[1], 2)])
+        return [tuple(o) for o in json.loads(held[3])], known, waiting, held[2]
 
     def handleInputRows(self, key, rows, timerValues):
-        operator, share = key
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        known, waiting, timer = self._read()
-        out = []
+        owners, known, waiting, timer = self._read()
+        number = {o: i for i, o in enumerate(owners)}
+        ticks, dues = [known], [waiting]
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.kind == "tick":
-                    if (r.bucket + 1) * BUCKET_US > mark:
-                        lo, hi = known.get(r.bucket, (r.first_us, r.last_us))
-                        known[r.bucket] = (int(min(lo, r.first_us)), int(max(hi, r.last_us)))
-                    elif share == 0:  # one share reports it
-                        out.append(("stray", "late", operator, None, r.first_us, r.last_us, r.n))
-                elif r.kind == "due" and r.first_us - LEAD_US >= mark:
-                    waiting[int(r.reminder_id)] = int(r.first_us)
-                else:
-                    reason = "late" if r.kind == "due" else r.kind
-                    out.append(("stray", reason, operator, r.reminder_id, r.first_us, r.last_us, r.n))
-        for reminder, due in list(waiting.items()):
-            b = (due - EARLY_US) // BUCKET_US
-            # a tick of the window's own bucket from its start on, or one of the next bucket up to its end
-            if (b in known and known[b][1] >= due - EARLY_US) or (b + 1 in known and known[b + 1][0] <= due + LATE_US):
-                out.append(("alert", None, operator, reminder, due, due, 1))
-                del waiting[reminder]
-        self._keep(known, waiting, timer, mark)
-        if out:
-            pdf = pd.DataFrame(out, columns=OUT_NAMES)
-            yield pdf.astype({c: "Int64" for c in ("reminder_id", "first_us", "last_us")})
+            first, last = (pdf[c].astype("Int64") for c in ("first_us", "last_us"))
+            tick, due = (pdf["kind"].eq(k).to_numpy() for k in ("tick", "due"))
+            late = np.zeros(len(pdf), bool)
+            late[tick] = (pdf["bucket"].to_numpy()[tick] + 1) * BUCKET_US <= mark
+            late[due] = first[due].to_numpy(np.int64) - LEAD_US < mark
+            share = pdf["share"].to_numpy(np.int64)
+            stray = (late & ~tick) | (late & (share == 0)) | ~(tick | due)  # one share reports a tick
+            if stray.any():
+                bad = pdf[stray].assign(first_us=first[stray], last_us=last[stray], part="stray")
+                bad["reason"] = np.where(late[stray], "late", bad["kind"])
+                yield bad[OUT_NAMES].astype({c: "Int64" for c in ("reminder_id", "first_us", "last_us")})
+            for rows_of, columns, out in ((tick & ~late, ("bucket", "first_us", "last_us"), ticks),
+                                          (due & ~late, ("reminder_id", "first_us"), dues)):
+                good = pdf[rows_of]
+                code, names = pd.factorize(good["operator"].to_numpy(object))
+                pair, pairs = pd.factorize(code.astype(np.int64) * (1 << 31) + share[rows_of])
+                place = np.array([number.setdefault((names[p >> 31], int(p & 0x7FFFFFFF)), len(number))
+                                  for p in pairs.tolist()], np.int64)
+                out.append(np.stack([place[pair] if len(pair) else np.empty(0, np.int64),
+                                     *[good[c].to_numpy(np.int64) for c in columns]]))
+        owners = list(number)
+        known = np.stack(_pushed(*np.concatenate(ticks, axis=1)))
+        waiting = np.concatenate(dues, axis=1)
+        # a reminder that comes again counts as it came last
+        again = pd.DataFrame({"o": waiting[0], "r": waiting[1]}).duplicated(keep="last").to_numpy()
+        waiting = waiting[:, ~again]
+        # a tick of the window's own bucket from its start on, or one of the next bucket up to its end
+        owner, reminder, due = waiting
+        b = (due - EARLY_US) // BUCKET_US
+        at = _at(known[0], known[1])
+        seen = np.zeros(len(due), bool)
+        if len(at):
+            for step in (0, 1):
+                i = np.minimum(np.searchsorted(at, _at(owner, b + step)), len(at) - 1)
+                there = at[i] == _at(owner, b + step)
+                seen |= there & (known[3][i] >= due - EARLY_US if step == 0 else known[2][i] <= due + LATE_US)
+        self._keep(owners, known, waiting[:, ~seen], timer, mark)
+        if seen.any():
+            out = pd.DataFrame({"part": "alert", "reason": None, "operator": [owners[o][0] for o in owner[seen].tolist()],
+                                "reminder_id": reminder[seen], "first_us": due[seen], "last_us": due[seen], "n": 1})
+            yield out[OUT_NAMES].astype({c: "Int64" for c in ("reminder_id", "first_us", "last_us")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        known, waiting, _ = self._read()
-        self._keep(known, waiting, -1, timerValues.getCurrentWatermarkInMs() * 1000)
+        owners, known, waiting, _ = self._read()
+        self._keep(owners, known, waiting, -1, timerValues.getCurrentWatermarkInMs() * 1000)
         yield pd.DataFrame(columns=OUT_NAMES)
 
-    def _keep(self, known, waiting, timer, mark) -> None:
+    def _keep(self, owners, known, waiting, timer, mark) -> None:
         """Store what rows still in time can need, and set a timer for its end."""
-        known = {b: x for b, x in known.items() if (b + 1) * BUCKET_US > mark}
-        waiting = {r: due for r, due in waiting.items() if due + LATE_US >= mark}
-        if not known and not waiting:
+        known = known[:, (known[1] + 1) * BUCKET_US > mark]
+        waiting = waiting[:, waiting[2] + LATE_US >= mark]
+        if not known.size and not waiting.size:
             self.held.clear()
             return
-        last = max([b + 1 for b in known] + [(due + LATE_US) // BUCKET_US + 1 for due in waiting.values()])
-        end = last * BUCKET_US // 1000
+        ends = np.concatenate([known[1] + 1, (waiting[2] + LATE_US) // BUCKET_US + 1])
+        end = int(ends.max()) * BUCKET_US // 1000
         if end > timer:
             self.handle.registerTimer(end)
-        extremes = packed(list(known), [x[0] for x in known.values()], [x[1] for x in known.values()])
-        self.held.update((extremes, packed(list(waiting), list(waiting.values())), max(end, timer)))
+        used, of = np.unique(np.concatenate([known[0], waiting[0]]), return_inverse=True)
+        n = known.shape[1]
+        self.held.update((packed(*known[1:]), packed(*waiting[1:]), max(end, timer),
+                          json.dumps([owners[o] for o in used.tolist()]), packed(of[:n]), packed(of[n:])))
 
     def close(self) -> None:
         pass
@@ -161,10 +213,11 @@ class Alerts(StatefulProcessor):
 
 def run_reminder_alerts(spark: SparkSession, sf_dir: str, base: str | None = None, landing_dir: str | None = None,
                         files_per_trigger: int | None = None, lateness_s: int = LATENESS_S,
-                        shares: int = SHARES) -> DataFrame:
+                        shares: int = SHARES, slots: int = SLOTS) -> DataFrame:
     """Run the alerts to the end of the landed data; all alerts so far.
     ``base`` holds output, side output and the stream's checkpoint; a later
-    call with the same ``base`` goes on from there (with the same ``shares``)."""
+    call with the same ``base`` goes on from there (with the same ``shares`` and
+    ``slots``)."""
     base = base or scratch_path(spark, "reminder_alerts")
     events = events_stream(spark, sf_dir, landing_dir, files_per_trigger)
     rows = (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{lateness_s} seconds")
@@ -174,7 +227,8 @@ def run_reminder_alerts(spark: SparkSession, sf_dir: str, base: str | None = Non
     every_share = F.sequence(F.lit(0), F.lit(shares - 1))
     own_share = F.array(F.pmod(F.xxhash64("reminder_id", "first_us"), F.lit(shares)).cast("int"))
     rows = rows.withColumn("share", F.explode(F.when(F.col("kind") == "tick", every_share).otherwise(own_share)))
-    out = keyed_state(rows, ["operator", "share"], Alerts(), OUT)
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("operator", "share"), F.lit(slots)).cast("int"))
+    out = keyed_state(rows, ["slot"], Alerts(), OUT)
     run_to_end(out, base)
     found = sink_part(spark, base, OUT, "alert")
     return found.select("operator", "reminder_id", _ntz("first_us").alias("due_ts"))

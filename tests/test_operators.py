@@ -479,6 +479,26 @@ def test_reminder_state_is_bounded(spark):
     assert buckets and min(buckets) >= passed * 1_000_000 // reminders.BUCKET_US - 1
 
 
+def test_reminder_state_keys_do_not_grow_with_operators(spark):
+    """Operators by the hundred share a few slots, over several micro-batches."""
+    from dealerlens.session import scratch_path
+    from dealerlens.streaming import reminders
+    from dealerlens.streaming.landed import state_of
+    from landing import land_events
+    sf, base = scratch_path(spark, "sf"), scratch_path(spark, "alerts")
+    start = F.timestamp_seconds(F.lit(1704067200) + (F.col("event_id") * 7919) % 90000).cast("timestamp_ntz")
+    events = spark.range(6000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 700).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "signup").otherwise("view").alias("event_type"),
+        F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props")).withColumn("ts", start)
+    events.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{sf}/events.parquet")
+    landing = land_events(spark, sf, scratch_path(spark, "landing"), files=3)
+    got = reminders.run_reminder_alerts(spark, sf, base=base, landing_dir=landing, files_per_trigger=1, slots=16)
+    batch = J.reminders_alerted(fx.poll_ticks(spark, sf), fx.stream_reminders(spark, sf))
+    assert batch.count() > 50 and _same(got, batch)
+    assert 0 < state_of(spark, base, "held").count() <= 16
+
+
 def test_streams_read_a_folder_table(spark):
     """events.parquet as a folder of part files, as large tables are."""
     from dealerlens.session import scratch_path
