@@ -45,19 +45,21 @@ def spare(columns: Sequence[str], name: str) -> str:
     return name
 
 
-_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
     Later uses read the files, so a lost executor costs no recomputation and
     non-deterministic values (partition ids) stay as written.  Inside
-    ``passing`` the table goes at the end, unless it is ``lasting``."""
+    ``passing`` the table goes at the end; a ``lasting`` one stays until the
+    next outer ``passing`` ends, if there is one."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if not lasting and _passing.get() is not None:
-        _passing.get().append(path)
+    levels = _passing.get()[:-1] if lasting else _passing.get()
+    if levels:
+        levels[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +69,7 @@ def passing(spark: SparkSession) -> Iterator[None]:
     ``stored`` writes inside are deleted at the end, and Spark is let see that
     their shuffles are no longer in use."""
     paths: list[str] = []
-    token = _passing.set(paths)
+    token = _passing.set((*_passing.get(), paths))
     try:
         yield
     finally:
@@ -85,10 +87,15 @@ def passing(spark: SparkSession) -> Iterator[None]:
 BROADCAST_IDS = 2_000_000
 
 
-def without(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
+def without(df: DataFrame, ids: DataFrame, on: Sequence[str], how: str = "left_anti") -> DataFrame:
     """Rows of ``df`` that the stored table ``ids`` doesn't name."""
     ids = ids.select(*on)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(on), "left_anti")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(on), how)
+
+
+def within(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` that the stored table ``ids`` names."""
+    return without(df, ids, on, "left_semi")
 
 
 def partitions(spark: SparkSession) -> int:

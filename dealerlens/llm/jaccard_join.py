@@ -20,10 +20,13 @@ Candidates whose parity sketches differ in more bits than linked sets may
 differ in shingles are dropped at once: a bit of the sketch is the parity of
 the shingles hashed to it, so each differing shingle flips one bit at most.
 Verification is exact, on whole sets.  Only components are wanted, so a list
-is not expanded into all its pairs: in a few rounds each list's members are
-verified against one pivot and components are formed; what still lies in
-different components of a list is then verified pair by pair.  Every pair that
-shares a list is thus verified or already connected.
+is not expanded into all its pairs: in a few rounds each list's members meet
+the list's pivot, a document is verified against one pivot of each component
+that it met, and components are formed; what still lies in different components
+of a list is then verified pair by pair, a pair of many lists in the first of
+them as far as the first few lists of both tell.  Every pair that shares a list
+is thus verified or already connected.  Whole sets are made only of documents
+that a round's pairs name, and deleted when it ends.
 
 Words and shingles are compared through 64-bit hashes, equal sets through
 128-bit digests.
@@ -42,16 +45,18 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import components, partitions, prepare, stored
+from .common import components, partitions, passing, prepare, stored, within, without
 from .words import MIX1, scramble
 
 WIDTH, NUM, DEN = 5, 80, 100
 #: Rounds of verification against one pivot per list.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 4
+#: Lists of a document that tell whether a pair was made in an earlier list.
+FIRST_LISTS = 8
 #: Shingles per bucket of signatures; a shingle has about one signature of ten
 #: bytes (of 18 in the task that sorts them).
 BUCKET_SHINGLES = 1_000_000
@@ -214,92 +219,124 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _arrays(reps: DataFrame, width: int) -> DataFrame:
-    """(id, k0.. sketch words, s sorted shingles)."""
+def _sketches(reps: DataFrame, width: int) -> DataFrame:
+    """(id, k0.. sketch words)."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            found = [shingles(t, width) for t in b.column("text").to_pylist()]
-            bits = np.array([sketch(s) for s in found], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(bits[:, k]) for k in range(SKETCH)],
-                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                names=["id", *[f"k{k}" for k in range(SKETCH)], "s"])
+            bits = np.array([sketch(shingles(t, width)) for t in b.column("text").to_pylist()], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(bits[:, k]) for k in range(SKETCH)]],
+                                             names=["id", *[f"k{k}" for k in range(SKETCH)]])
+
+    return reps.mapInArrow(run, "id long, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
 
-    words = ", ".join(f"k{k} long" for k in range(SKETCH))
-    return reps.mapInArrow(run, f"id long, {words}, s array<long>")
+
+def _arrays(reps: DataFrame, width: int) -> DataFrame:
+    """(id, s sorted shingles)."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            found = [shingles(t, width).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+
+    return reps.mapInArrow(run, "id long, s array<long>")
+
+
+def may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Of two rows (id, size, probe, comp): different components, one probes,
+    and the sizes don't rule the pair out."""
+    least, most = (f(f"{a}.size", f"{b}.size") for f in (F.least, F.greatest))
+    return ((F.col(f"{a}.comp") != F.col(f"{b}.comp")) & (F.col(f"{a}.probe") + F.col(f"{b}.probe") > 0)
+            & (least * den >= most * num))
+
+
+def near(a: str, b: str, size: Column, num: int, den: int) -> Column:
+    """Sketches that differ in no more bits than linked sets of ``size``
+    shingles in all may differ in shingles."""
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
+    return apart * (den + num) <= size * (den - num)
+
+
+def list_pairs(now: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``now`` (sig, id, size, probe, comp) that share a list
+    and may link; some come more than once.  ``first`` names the first lists
+    that a document probes with: a pair meets in every list that both name, so
+    only lists up to the earliest of these make it."""
+    first = (now.where("probe = 1").groupBy("id")
+             .agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_LISTS).alias("first")))
+    # both sides are one plan, so that they share a shuffle
+    rows = now.join(sketches, "id").join(first, "id", "left")
+    earliest = F.array_min(F.array_intersect("r.first", "p.first"))
+    return (rows.alias("r").join(rows.alias("p"), F.expr("r.sig = p.sig") & (F.col("r.comp") < F.col("p.comp"))
+                                 & may_link("r", "p", num, den)
+                                 & near("r.k", "p.k", F.col("r.size") + F.col("p.size"), num, den)
+                                 & (F.coalesce(earliest, F.col("r.sig")) >= F.col("r.sig")))
+            .select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")))
+
+
+def pivot_pairs(now: DataFrame, sketches: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of documents of ``now`` and pivots of their lists that may
+    link: in round 0 one pivot for each document, later one of each component."""
+    row = F.struct("id", "size", "probe", "comp")
+    # first one order for all lists, so that a group's lists agree on a pivot,
+    # then an order of each list's own
+    order = F.xxhash64("id") if k == 0 else F.xxhash64("sig", "id", F.lit(k))
+    pivot = now.groupBy("sig").agg(F.min_by(row, F.struct(order, "id")).alias("p"))
+    met = now.select("sig", row.alias("r")).join(pivot, "sig").where(may_link("r", "p", num, den))
+    met = (met.groupBy(F.col("r.id").alias("a"), F.col("p.id").alias("b"))
+           .agg(F.max(F.col("r.size") + F.col("p.size")).alias("size"), F.max("p.comp").alias("comp")))
+    met = met.join(sketches.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
+    met = met.join(sketches.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    one = ["a"] if k == 0 else ["a", "comp"]
+    pairs = (met.where(near("ka", "kb", F.col("size"), num, den)).groupBy(*one)
+             .agg(F.min_by("b", F.struct(F.xxhash64("b", F.lit(k)), "b")).alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def links(reps: DataFrame, buckets: int, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, comp) of the documents of ``reps`` (doc_id, text) that link with
     another; sets are assumed different.  Signatures are dealt into
     ``buckets``, each of which one task sorts in memory."""
+    spark = reps.sparkSession
     lists = Window.partitionBy("sig")
-    blobs = _signature_blobs(reps, width, num, den, buckets)
-    hits = stored(blobs.groupBy("bucket").applyInPandas(_lists, "sig long, id long, size int, probe int"),
-                  "jaccard-lists")
-    ids = hits.select(F.col("id").alias("doc_id")).distinct()
-    arrays = stored(_arrays(reps.join(ids, "doc_id", "left_semi"), width), "jaccard-sets")
+    with passing(spark):
+        hits = stored(_signature_blobs(reps, width, num, den, buckets).groupBy("bucket")
+                      .applyInPandas(_lists, "sig long, id long, size int, probe int"), "jaccard-lists", lasting=True)
+    with passing(spark):
+        ids = stored(hits.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids")
+        sketches = stored(_sketches(within(reps, ids, ("doc_id",)), width), "jaccard-sketches", lasting=True)
+    sketches = sketches.select("id", F.array(*[f"k{k}" for k in range(SKETCH)]).alias("k"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+        arrays = stored(_arrays(within(reps, ids, ("doc_id",)), width), f"{name}-sets")
         a, b = (arrays.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         size = F.size("sa").cast("long") + F.size("sb")
         out = (pairs.join(a, "a").join(b, "b")
                .select("a", "b", (both * den >= (size - both) * num).alias("linked")))
-        return stored(out, name)
-
-    sketches = arrays.select("id", F.array(*[f"k{k}" for k in range(SKETCH)]).alias("k"))
+        return stored(out, name, lasting=True)
 
-    def may_link(a: str, b: str):
-        """Of two rows (id, size, probe, comp): different components, one
-        probes, and the sizes don't rule the pair out."""
-        least, most = (f(f"{a}.size", f"{b}.size") for f in (F.least, F.greatest))
-        return ((F.col(f"{a}.comp") != F.col(f"{b}.comp")) & (F.col(f"{a}.probe") + F.col(f"{b}.probe") > 0)
-                & (least * den >= most * num))
-
-    def near(a: str, b: str, size):
-        """Sketches that differ in no more bits than linked sets of ``size``
-        shingles in all may differ in shingles."""
-        apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)), F.lit(0))
-        return apart * (den + num) <= size * (den - num)
-
-    row = F.struct("id", "size", "probe", "comp")
     comp, tested = None, None
     for k in range(PIVOT_ROUNDS + 1):
-        if comp is None:
-            now = hits.withColumn("comp", F.col("id"))
-        else:  # only lists that still hold different components
-            now = hits.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            now = (now.withColumn("lo", F.min("comp").over(lists)).withColumn("hi", F.max("comp").over(lists))
-                   .where("lo <> hi").drop("lo", "hi"))
-            now = stored(now, "jaccard-open")
-            if now.isEmpty():
-                break
-        if k < PIVOT_ROUNDS:
-            # first one order for all lists, so that a group's lists agree on
-            # a pivot, then an order of each list's own
-            order = F.xxhash64("id") if k == 0 else F.xxhash64("sig", "id", F.lit(k))
-            pivot = now.groupBy("sig").agg(F.min_by(row, F.struct(order, "id")).alias("p"))
-            met = now.select("sig", row.alias("r")).join(pivot, "sig").where(may_link("r", "p"))
-            met = (met.groupBy(F.col("r.id").alias("a"), F.col("p.id").alias("b"))
-                   .agg(F.max(F.col("r.size") + F.col("p.size")).alias("size")))
-            met = met.join(sketches.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")
-            met = met.join(sketches.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-            # one pivot for each document and round
-            pairs = (met.where(near("ka", "kb", F.col("size"))).groupBy("a")
-                     .agg(F.min_by("b", F.struct(F.xxhash64("b", F.lit(k)), "b")).alias("b")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            now = now.join(sketches, "id")
-            side = [now.select("sig", row.alias(x), F.col("k").alias(f"k{x}")) for x in "rp"]
-            met = side[0].join(side[1], "sig").where(
-                may_link("r", "p") & (F.col("r.comp") < F.col("p.comp"))
-                & near("kr", "kp", F.col("r.size") + F.col("p.size")))
-            pairs = met.select(F.least("r.id", "p.id").alias("a"), F.greatest("r.id", "p.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = verified(pairs, f"jaccard-pairs-{k}")
+        with passing(spark):
+            if comp is None:
+                now = hits.withColumn("comp", F.col("id"))
+            else:  # only lists that still hold different components
+                now = hits.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                now = (now.withColumn("lo", F.min("comp").over(lists)).withColumn("hi", F.max("comp").over(lists))
+                       .where("lo <> hi").drop("lo", "hi"))
+                now = stored(now, "jaccard-open")
+                if now.isEmpty():
+                    break
+            if k < PIVOT_ROUNDS:
+                pairs = pivot_pairs(now, sketches, k, num, den)
+            else:
+                pairs = list_pairs(now, sketches, num, den)
+            pairs = stored(pairs.distinct(), f"jaccard-met-{k}")
+            if tested is not None:
+                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            new = verified(pairs, f"jaccard-pairs-{k}")
         tested = new if tested is None else tested.unionByName(new)
         comp = components(tested.where("linked"), "jaccard")
     return comp
@@ -313,8 +350,7 @@ def groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
     copies = stored(known.select("doc_id").distinct().join(rep_ids, "doc_id", "left_anti"), "jaccard-copies")
-    reps = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-            .join(copies, "doc_id", "left_anti"))
+    reps = without(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), copies, ("doc_id",))
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     comp = links(reps, max(partitions(docs.sparkSession), -(-total // BUCKET_SHINGLES)), width, num, den)
     # ids that stand for several sets bind those sets' classes together

@@ -121,6 +121,33 @@ def test_linked_sets_share_a_signature(num):
     assert linked > 100
 
 
+def test_a_pair_is_made_once_and_none_is_lost(spark):
+    """Members of a group share many lists: their pairs don't grow with the
+    lists; lists met in any order, by probes of one side too, keep every pair."""
+    zeros = [0] * jaccard_join.SKETCH
+    sketches = spark.createDataFrame([(i, zeros) for i in range(60)], "id long, k array<long>")
+    cols = "sig long, id long, size int, probe int, comp long"
+    group = [(s, i, 100, 1, i) for s in range(40) for i in range(30)]
+    made = jaccard_join.list_pairs(spark.createDataFrame(group, cols), sketches, 80, 100).collect()
+    assert len(made) == len(set(made)) == 30 * 29 // 2
+    rng = random.Random(5)
+    mixed = [(s, i, 100 + 30 * (i % 2), int(rng.random() < 0.5), i // 2) for s in range(80) for i in rng.sample(range(60), 12)]
+    made = jaccard_join.list_pairs(spark.createDataFrame(mixed, cols), sketches, 80, 100).collect()
+    want = {(a[1], b[1]) for a in mixed for b in mixed if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]
+            and a[2] == b[2] and a[3] + b[3] > 0}
+    assert {(r.a, r.b) for r in made} == want
+
+
+def test_a_document_meets_a_pivot_of_each_component(spark):
+    """After round 0 one list's pivot doesn't hide those of other components."""
+    zeros = [0] * jaccard_join.SKETCH
+    sketches = spark.createDataFrame([(i, zeros) for i in range(6)], "id long, k array<long>")
+    rows = [(s, i, 100, 1, i) for s in range(1, 6) for i in (0, s)]
+    now = spark.createDataFrame(rows, "sig long, id long, size int, probe int, comp long")
+    pairs = jaccard_join.pivot_pairs(now, sketches, 1, 80, 100).distinct().collect()
+    assert {(r.a, r.b) for r in pairs} == {(0, s) for s in range(1, 6)}
+
+
 def test_groups_of_odd_rows(spark, odd_docs, no_docs):
     out = jaccard_join.groups(odd_docs).collect()
     assert len(out) == odd_docs.count()
