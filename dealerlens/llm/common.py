@@ -5,9 +5,10 @@ connected components."""
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks, made at its first use; what
+    was kept under other names goes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Frees what this worker process keeps: it outlives the stage, and other
+    operators' tasks need the memory."""
+    _kept.clear()
+
+
 def unlike(columns: Sequence[str], *taken: str) -> tuple[str, ...]:
     """The columns whose names, in any case, are not among ``taken``: an
     operator's own columns go before a caller's that are named alike."""

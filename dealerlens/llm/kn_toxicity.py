@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, stored
+from .common import let_go, prepare, stored
 from .labels import fit_logistic, held_out, sample
 from .words import TERM, scramble
 
@@ -60,8 +60,8 @@ UNIT = 1 << 32
 KNOWN = 250_000
 #: Words whose ratio a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
-#: Words that the driver splits into n-grams at a time.
-WORDS_AT_ONCE = 50_000
+#: Words that the driver and that a worker splits into n-grams at a time.
+WORDS_AT_ONCE, WORKER_WORDS = 50_000, 25_000
 BEGIN, END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -247,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     def count(batches):
         import pyarrow as pa
+        let_go()
         for b in batches:
             rows = list(zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True))
             for y in (0, 1):
@@ -297,14 +298,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         import pyarrow as pa
+        let_go()
         words: Counter = Counter()
 
         def flush():
-            names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
-            for k in range(0, len(names), 100_000):
-                cp, at, owner = places(names[k:k + 100_000])
+            names = sorted(words)  # neighbours share n-grams, so few come in two parts
+            for k in range(0, len(names), WORKER_WORDS):
+                part = names[k:k + WORKER_WORDS]
+                n = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
+                cp, at, owner = places(part)
                 _, first, inv = np.unique(_gram_hashes(cp, at, (ORDER,))[ORDER], return_index=True, return_inverse=True)
-                total = np.bincount(inv, weights=n[k:k + 100_000][owner], minlength=len(first)).astype(np.int64)
+                total = np.bincount(inv, weights=n[owner], minlength=len(first)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(_spelt(cp, at[first]), pa.string()), pa.array(total)],
                                                  names=["g", "n"])
             words.clear()
@@ -457,6 +461,7 @@ def evidence(docs: DataFrame, model: Model, text: str, out: str, keep: tuple[str
 
     def run(batches):
         import pyarrow as pa
+        let_go()
         weighed = _weighed(box.value)
         for b in batches:
             part, words, rest = weighed(b.column("text").to_pylist())

@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, stored
+from .common import kept, let_go, prepare, stored
 
 SEQUENCE = 4096
 END_ID = 1
 GROUP_PIECES = 8192
-#: Chunks and words whose ids a worker remembers before it starts afresh.
-CACHE_CHUNKS = 300_000
-CACHE_WORDS = 700_000
+#: Chunks whose ids a worker remembers before it starts afresh.
+CACHE_CHUNKS = 700_000
 
 
 def vocabulary_path() -> str:
@@ -47,9 +46,10 @@ class WordTokenizer:
 
     The vocabulary drops white space and never merges across it, so a text's
     ids are those of its white-space-separated chunks in order.  A chunk of
-    plain letters and closing marks is two pre-tokens; its lower-cased letters
-    go to the BPE model as they are.  Other chunks take the whole tokenizer.
-    Every distinct word and chunk is tokenised once while it is remembered."""
+    plain letters and closing marks is two pre-tokens, each a chunk of its own;
+    lower-case letters go to the BPE model as they are.  Other chunks take the
+    whole tokenizer.  Every distinct chunk is tokenised once while it is
+    remembered."""
 
     PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?|]*)")
 
@@ -57,7 +57,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the
         # others for code points from 256 on, in order
         keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -68,47 +67,40 @@ class WordTokenizer:
         return np.asarray(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, s: str) -> bytes:
-        got = self.words.get(s)
-        if got is None:
-            form = s.encode("utf-8").decode("latin-1").translate(self.byte_chars)
-            got = np.asarray([t.id for t in self.tok.model.tokenize(form)], "<u4").tobytes()
-            self.words[s] = got
-        return got
+        form = s.encode("utf-8").decode("latin-1").translate(self.byte_chars)
+        return np.asarray([t.id for t in self.tok.model.tokenize(form)], "<u4").tobytes()
 
     def _chunk(self, w: bytes) -> bytes:
-        s = w.decode("utf-8", "replace")
-        m = self.PLAIN.fullmatch(s)
-        if not m:
-            return self._full(s)
-        got = self._word(m[1].lower())
-        if m[2]:
-            if m[2] not in self.words:
-                self.words[m[2]] = self._full(m[2])
-            got += self.words[m[2]]
+        got = self.cache.get(w)
+        if got is None:
+            s = w.decode("utf-8", "replace")
+            m = self.PLAIN.fullmatch(s)
+            if not m:
+                got = self._full(s)
+            elif not m[2] and s == s.lower():
+                got = self._word(s)
+            else:
+                got = self._chunk(m[1].lower().encode("utf-8"))
+                if m[2]:
+                    got += self._chunk(m[2].encode("utf-8"))
+            self.cache[w] = got
         return got
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         cache = self.cache
         for t in texts:
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
             chunks = (t or "").encode("utf-8", "replace").split()
             for w in chunks:
                 if w not in cache:
-                    cache[w] = self._chunk(w)
+                    self._chunk(w)
             yield b"".join(map(cache.__getitem__, chunks))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker process, kept between its tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return kept(f"words {path}", lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -263,6 +255,7 @@ def pack_group(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, n
 
 def _packer(base: int, size: int):
     def pack_one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()  # all documents are tokenised
         lengths = pdf["length"].to_numpy(np.int64)
         where, offset = pack_group(lengths, size)
         fill = np.bincount(where, weights=lengths).astype(np.int64)

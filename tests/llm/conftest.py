@@ -57,3 +57,25 @@ def labelled(spark):
             lines[rng.randrange(len(lines))] = " | ".join(x.upper() + "!!" for x in words(15))
         rows.append((i, "\n".join(lines), "en", "s", 0))
     return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture
+def grams_task(spark):
+    """The task that counts n-grams, as a function of one batch's texts, in
+    this process."""
+    import pyarrow as pa
+
+    from dealerlens.llm import kn_toxicity
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        groupBy = agg = select
+
+        def mapInArrow(self, task, _):
+            self.task = task
+            return self
+
+    docs = kn_toxicity.count_grams(Docs())
+    return lambda texts: docs.task(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]))

@@ -1,4 +1,6 @@
+import tracemalloc
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -37,6 +39,29 @@ def test_spelling_models_are_distributions(spark, labelled, labels):
     assert strange > plain + 1
 
 
+def test_counting_n_grams_takes_bounded_memory(grams_task):
+    """120,000 distinct words in one task: each n-gram's total is right and the
+    work beside the words stays small."""
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (120_000, 9))]
+    n = Counter()
+    tracemalloc.start()
+    batches = grams_task([" ".join(words)])
+    peak = 0
+    while (b := next(batches, None)) is not None:
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for g, k in zip(b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True):
+            n[g] += k
+        del b
+        tracemalloc.start()
+    tracemalloc.stop()
+    whole = Counter(g for w in words for p in [kn_toxicity.BEGIN + w + kn_toxicity.END]
+                    for g in (p[k:k + kn_toxicity.ORDER] for k in range(len(w) + 1)))
+    assert n == whole
+    assert peak < 60e6, peak
+
+
 def test_shared_model_counts_every_document(spark, labelled, labels):
     """The shared model holds the n-grams of documents without labels too, and
     its probabilities of all characters after a history sum to one."""

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,31 @@ def test_cached_ids_of_any_text(text):
     assert np.frombuffer(next(t.encode([text])), "<u4").tolist() == t.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_remembers_a_bounded_number_of_chunks(monkeypatch):
+    """Within a batch too, and of whatever kind the chunks are."""
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    t = packing.WordTokenizer(packing.vocabulary_path())
+    texts = [f"Word{chr(97 + k // 26)}{chr(97 + k % 26)}, {k}" for k in range(400)]
+    for text, ids in zip(texts, t.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.tok.encode(text, add_special_tokens=False).ids
+        assert sum(len(v) for v in vars(t).values() if isinstance(v, dict)) <= 256 + 50 + 8
+
+
+def _frees_tokenizer(task):
+    before = packing.tokenizer(packing.vocabulary_path())
+    assert packing.tokenizer(packing.vocabulary_path()) is before
+    task()
+    return packing.tokenizer(packing.vocabulary_path()) is not before
+
+
+def test_tasks_after_tokenising_free_the_tokenizer(grams_task):
+    """A worker process outlives the stage; what it remembered must not add to
+    the memory of the packing's own groups or of the next operator."""
+    pieces = pd.DataFrame({"length": [3, 4], "_group": 0})
+    assert _frees_tokenizer(lambda: packing._packer(0, 10)((0,), pieces))
+    assert _frees_tokenizer(lambda: list(grams_task(["some words"])))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_local_search_keeps_pieces_and_never_adds_bins(lengths):
