@@ -14,11 +14,15 @@ shingle (v = 2).  A set is indexed by every segment's subset and, in the last
 ``q`` segments, by its one-deletion neighbours.  It probes as its own costs
 suggest: empty segments, whose lists are long, get 0, and as many of the last
 segments, those with the rarest neighbourhoods first, get 2.  A pair meets
-if either member probes for it.
+if either member probes for it.  On the way to its list a signature names its
+document by 32 bits; ids and sizes are joined to the lists, which are few.
 
 Candidates whose parity sketches differ in more bits than linked sets may
 differ in shingles are dropped at once: a bit of the sketch is the parity of
 the shingles hashed to it, so each differing shingle flips one bit at most.
+Large sets have a second sketch with as many bits as shingles, which only the
+pairs that pass the first, a few of each document, are joined with: whole sets
+travel once for each pair that passes both.
 Verification is exact, on whole sets.  Only components are wanted, so a list
 is not expanded into all its pairs: in a few rounds each list's members meet
 the list's pivot, a document is verified against one pivot of each component
@@ -143,45 +147,51 @@ def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(sigs), np.concatenate(probes)
 
 
+def key(doc_id: int | None, s: np.ndarray) -> int:
+    """32 bits of an id and a set, by which signatures name their row."""
+    return xxh64_intdigest(s.tobytes(), (doc_id or 0) & 0xFFFFFFFFFFFFFFFF) & 0xFFFFFFFF
+
+
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest) of every row; equal digests, equal sets."""
+    """(doc_id, n_shingles, digest, key) of every row; equal digests, equal sets."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             found = [shingles(t, width) for t in b.column("text").to_pylist()]
+            keys = [key(d, s) for d, s in zip(b.column("doc_id").to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array([xxh3_128_hexdigest(s.tobytes()) for s in found], pa.string())],
-                names=["doc_id", "n_shingles", "digest"])
+                 pa.array([xxh3_128_hexdigest(s.tobytes()) for s in found], pa.string()), pa.array(keys, pa.int64())],
+                names=["doc_id", "n_shingles", "digest", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest string, key long")
 
 
 def _signature_blobs(reps: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
     """(bucket, blob): the signatures of some hundred documents that fall into
-    one bucket, ten bytes each: the signature, its lowest bit telling whether
-    the document probes with it, and the document's place in the blob's head."""
+    one bucket, ten bytes each and nothing else, so that more buckets don't take
+    more room: 48 bits of the signature, the lowest telling whether the document
+    probes with it, and the document's key."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            ids, sizes, sig, doc = [], [], [], []
+            sig, doc = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t, width)
                 if len(s):
                     g, p = signatures(s, num, den)
                     sig.append((g << np.uint64(1)) | p.astype(np.uint64))
-                    doc.append(np.full(len(g), len(ids), np.uint16))
-                    ids.append(d)
-                    sizes.append(len(s))
-            if not ids:
+                    doc.append(np.full(len(g), key(d, s), "<u4"))
+            if not sig:
                 continue
-            head = np.array([len(ids)], "<u4").tobytes() + np.array(ids, "<i8").tobytes() + np.array(sizes, "<i4").tobytes()
             sig, doc = np.concatenate(sig), np.concatenate(doc)
             place = ((sig >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(place, kind="stable")
             ends = np.cumsum(np.bincount(place, minlength=buckets))
             sig, doc = sig[order], doc[order]
-            out = [(k, head + sig[lo:hi].tobytes() + doc[lo:hi].tobytes())
+            low = ((sig >> np.uint64(16)) & np.uint64(0xFFFFFFFE) | sig & np.uint64(1)).astype("<u4")
+            high = (sig >> np.uint64(48)).astype("<u2")
+            out = [(k, low[lo:hi].tobytes() + doc[lo:hi].tobytes() + high[lo:hi].tobytes())
                    for k, (lo, hi) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) if hi > lo]
             for at in range(0, len(out), 256):
                 part = out[at:at + 256]
@@ -192,43 +202,80 @@ def _signature_blobs(reps: DataFrame, width: int, num: int, den: int, buckets: i
 
 
 def _lists(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket the rows (sig, id, size, probe) of all signatures that
-    different documents share and one of them probes with."""
-    sigs, ids, sizes = [], [], []
+    """Of one bucket the rows (sig, key, probe) of all signatures that different
+    keys share and one of them probes with."""
+    sigs, docs = [], []
     for x in blobs["blob"]:
-        n = int(np.frombuffer(x, "<u4", 1)[0])
-        rows = (len(x) - 4 - 12 * n) // 10
-        doc = np.frombuffer(x, "<u2", rows, 4 + 12 * n + 8 * rows)
-        sigs.append(np.frombuffer(x, "<u8", rows, 4 + 12 * n))
-        ids.append(np.frombuffer(x, "<i8", n, 4)[doc])
-        sizes.append(np.frombuffer(x, "<i4", n, 4 + 8 * n)[doc])
-    sig, doc, size = np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes)
+        rows = len(x) // 10
+        sigs.append(np.frombuffer(x, "<u4", rows).astype(np.uint64)
+                    | np.frombuffer(x, "<u2", rows, 8 * rows).astype(np.uint64) << np.uint64(32))
+        docs.append(np.frombuffer(x, "<u4", rows, 4 * rows))
+    sig, doc = np.concatenate(sigs), np.concatenate(docs)
     order = np.argsort(sig, kind="stable")
-    sig, doc, size = sig[order], doc[order], size[order]
+    sig, doc = sig[order], doc[order]
     probe, sig = (sig & np.uint64(1)).astype(np.int32), sig >> np.uint64(1)
     starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     keep = ((np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
             & (np.maximum.reduceat(probe, starts) == 1))
     rows = np.repeat(keep, np.diff(np.append(starts, len(sig))))
-    return pd.DataFrame({"sig": sig[rows].view(np.int64), "id": doc[rows], "size": size[rows], "probe": probe[rows]})
+    bucket = np.uint64(blobs["bucket"].iloc[0])
+    return pd.DataFrame({"sig": (sig[rows] | bucket << np.uint64(47)).view(np.int64), "key": doc[rows].astype(np.int64),
+                         "probe": probe[rows]})
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set as SKETCH signed 64-bit words."""
-    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(s: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity sketch of a set as ``words`` (a power of two) signed 64-bit words."""
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """Parity sketch with a bit for each shingle at least, of sets that have
+    more shingles than SKETCH words have bits: with so few bits the sketches of
+    large sets without a common shingle are as close as those of linked ones."""
+    return None if len(s) <= 64 * SKETCH else sketch(s, 1 << (-(-len(s) // 64) - 1).bit_length()).tobytes()
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the longer is folded to the other's bits."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum())
+
+
 def _sketches(reps: DataFrame, width: int) -> DataFrame:
-    """(id, k0.. sketch words)."""
+    """(id, size, wide sketch, k0.. sketch words)."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            bits = np.array([sketch(shingles(t, width)) for t in b.column("text").to_pylist()], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(bits[:, k]) for k in range(SKETCH)]],
-                                             names=["id", *[f"k{k}" for k in range(SKETCH)]])
+            ids, sizes, wide, bits = b.column("doc_id"), [], [], []
+            for t in b.column("text").to_pylist():
+                s = shingles(t, width)
+                sizes.append(len(s))
+                wide.append(wide_sketch(s))
+                bits.append(sketch(s))
+            bits = np.array(bits, np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()),
+                                              *[pa.array(bits[:, k]) for k in range(SKETCH)]],
+                                             names=["id", "size", "wide", *[f"k{k}" for k in range(SKETCH)]])
 
-    return reps.mapInArrow(run, "id long, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
+    return reps.mapInArrow(run, "id long, size long, wide binary, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
+
+
+def alike(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those whose wide sketches (``wide``: id, size,
+    wide) differ in more bits than linked sets may differ in shingles."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            x, y, size = (b.column(c).to_pylist() for c in ("wa", "wb", "size"))
+            may = pa.array([n is None or wide_apart(p, q) * (den + num) <= n * (den - num)
+                            for p, q, n in zip(x, y, size, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(may), b.column("b").filter(may)], names=["a", "b"])
+
+    for x in "ab":
+        pairs = pairs.join(wide.select(F.col("id").alias(x), F.col("wide").alias(f"w{x}"), F.col("size").alias(f"n{x}")), x, "left")
+    return (pairs.select("a", "b", "wa", "wb", (F.col("na") + F.col("nb")).alias("size"))
+            .mapInArrow(run, "a long, b long"))
 
 
 def _arrays(reps: DataFrame, width: int) -> DataFrame:
@@ -293,18 +340,31 @@ def pivot_pairs(now: DataFrame, sketches: DataFrame, k: int, num: int, den: int)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(reps: DataFrame, buckets: int, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+def listed(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sig, id, size, probe) of ``named`` (sig, key, probe) by ``rows`` (id,
+    key, size).  Rows that happen to share a key stand in each other's lists and
+    in one of their own, so that they meet too."""
+    shared = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+              .select(F.bitwise_not("key").alias("sig"), "key", F.lit(1).alias("probe")))
+    return named.unionByName(shared).join(rows, "key").select("sig", "id", "size", "probe")
+
+
+def links(reps: DataFrame, rows: DataFrame, buckets: int, width: int = WIDTH, num: int = NUM,
+          den: int = DEN) -> DataFrame:
     """(id, comp) of the documents of ``reps`` (doc_id, text) that link with
-    another; sets are assumed different.  Signatures are dealt into
-    ``buckets``, each of which one task sorts in memory."""
+    another; sets are assumed different.  ``rows`` has their distinct (id, key,
+    size).  Signatures are dealt into ``buckets``, each of which one task sorts
+    in memory."""
     spark = reps.sparkSession
     lists = Window.partitionBy("sig")
     with passing(spark):
-        hits = stored(_signature_blobs(reps, width, num, den, buckets).groupBy("bucket")
-                      .applyInPandas(_lists, "sig long, id long, size int, probe int"), "jaccard-lists", lasting=True)
-    with passing(spark):
+        with passing(spark):
+            named = stored(_signature_blobs(reps, width, num, den, buckets).groupBy("bucket")
+                           .applyInPandas(_lists, "sig long, key long, probe int"), "jaccard-lists", lasting=True)
+        hits = stored(listed(named, rows), "jaccard-hits", lasting=True)
         ids = stored(hits.select(F.col("id").alias("doc_id")).distinct(), "jaccard-ids")
         sketches = stored(_sketches(within(reps, ids, ("doc_id",)), width), "jaccard-sketches", lasting=True)
+    wide = sketches.where("wide IS NOT NULL").select("id", "size", "wide")
     sketches = sketches.select("id", F.array(*[f"k{k}" for k in range(SKETCH)]).alias("k"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -333,9 +393,10 @@ def links(reps: DataFrame, buckets: int, width: int = WIDTH, num: int = NUM, den
                 pairs = pivot_pairs(now, sketches, k, num, den)
             else:
                 pairs = list_pairs(now, sketches, num, den)
-            pairs = stored(pairs.distinct(), f"jaccard-met-{k}")
+            pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = stored(alike(pairs, wide, num, den), f"jaccard-met-{k}")
             new = verified(pairs, f"jaccard-pairs-{k}")
         tested = new if tested is None else tested.unionByName(new)
         comp = components(tested.where("linked"), "jaccard")
@@ -352,7 +413,9 @@ def groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     copies = stored(known.select("doc_id").distinct().join(rep_ids, "doc_id", "left_anti"), "jaccard-copies")
     reps = without(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), copies, ("doc_id",))
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    comp = links(reps, max(partitions(docs.sparkSession), -(-total // BUCKET_SHINGLES)), width, num, den)
+    rows = stored(without(known, copies, ("doc_id",)).select(
+        F.col("doc_id").alias("id"), "key", F.col("n_shingles").cast("int").alias("size")).distinct(), "jaccard-rows")
+    comp = links(reps, rows, max(partitions(docs.sparkSession), -(-total // BUCKET_SHINGLES)), width, num, den)
     # ids that stand for several sets bind those sets' classes together
     held = known.join(classes, "digest").select("doc_id", "rep").distinct()
     held = held.withColumn("lo", F.min("rep").over(Window.partitionBy("doc_id")))

@@ -2,6 +2,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,71 @@ def test_linked_sets_share_a_signature(num):
     assert linked > 100
 
 
+def test_signatures_take_no_more_room_in_more_buckets(spark):
+    """More input has more buckets: what a bucket holds beside its signatures
+    would grow with documents times buckets."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(2000)], k=200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few, many = (jaccard_join._signature_blobs(docs, 5, 80, 100, n).agg(F.sum(F.length("blob"))).first()[0] for n in (4, 4000))
+    assert few == many
+    blobs = jaccard_join._signature_blobs(docs, 5, 80, 100, 7).toPandas()
+    twice = jaccard_join._signature_blobs(docs.withColumn("doc_id", F.col("doc_id") + 60), 5, 80, 100, 7).toPandas()
+    lists = [jaccard_join._lists(b) for _, b in pd.concat([blobs, twice]).groupby("bucket")]
+    want = {i: jaccard_join.key(i, jaccard_join.shingles(rows[i % 60][1], 5)) for i in range(120)}
+    got = pd.concat(lists).groupby("sig")["key"].agg(set)
+    assert {frozenset(g) for g in got} == {frozenset((want[i], want[i + 60])) for i in range(60)}
+
+
+def test_rows_that_share_a_key_meet(spark):
+    named = spark.createDataFrame([(5, 1, 1), (5, 2, 0)], "sig long, key long, probe int")
+    rows = spark.createDataFrame([(10, 1, 30), (11, 1, 31), (12, 2, 32)], "id long, key long, size int")
+    got = jaccard_join.listed(named, rows).collect()
+    assert {tuple(r) for r in got if r.sig == 5} == {(5, 10, 30, 1), (5, 11, 31, 1), (5, 12, 32, 0)}
+    assert {(r.id, r.size, r.probe) for r in got if r.sig != 5} == {(10, 30, 1), (11, 31, 1)}
+    assert len({r.sig for r in got}) == 2
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_wide_sketches_lose_no_linked_sets(num):
+    rng = np.random.default_rng(num)
+    far = 0
+    for _ in range(150):
+        a = rng.integers(0, 2 ** 63, int(rng.integers(500, 6000)), dtype=np.uint64)
+        drop = int(rng.integers(0, len(a) * (100 - num) // 100 + 1))
+        b = np.concatenate((a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, drop + 1)), dtype=np.uint64)))
+        other = rng.integers(0, 2 ** 63, len(b), dtype=np.uint64)
+        x, y, z = map(jaccard_join.wide_sketch, (a, b, other))
+        assert (x is None) == (len(a) <= 512)
+        if x is not None and y is not None:
+            size = len(a) + len(b)
+            assert jaccard_join.wide_apart(x, y) == jaccard_join.wide_apart(y, x) <= size - 2 * len(np.intersect1d(a, b))
+            far += num == 50 or jaccard_join.wide_apart(x, z) * (100 + num) > size * (100 - num)
+    assert far > 100
+
+
+def test_whole_sets_meet_only_in_pairs_that_wide_sketches_leave(spark, monkeypatch):
+    """Large documents with a passage in common are no reason to join whole sets."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(9000)]
+    passage = rng.choices(words, k=2000)
+    rows = [(i, " ".join(rng.choices(words, k=3000) + passage)) for i in range(8)]
+    rows.append((8, rows[7][1] + " and more"))
+    made = {}
+    write = jaccard_join.stored
+
+    def stored(df, name, lasting=False):
+        out = write(df, name, lasting)
+        if name.startswith("jaccard-pairs-") and "a" in out.columns:
+            made[name] = {(r.a, r.b) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    got = jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(8)}, 8: 7}
+    assert set().union(*made.values()) == {(7, 8)}
+
+
 def test_a_pair_is_made_once_and_none_is_lost(spark):
     """Members of a group share many lists: their pairs don't grow with the
     lists; lists met in any order, by probes of one side too, keep every pair."""
